@@ -73,7 +73,7 @@ FLAGS_SQL = "flags AS (SELECT " + ", ".join(f"{I.word_match_sql('text', b)} AS {
 
 @query("a8_co_mention_counts", f"WITH {FLAGS_SQL} SELECT {', '.join(I.BRANDS)}, count(*)::BIGINT AS count FROM flags GROUP BY ALL")
 def a8(spark, sf):
-    return A.co_mention_counts(M.mention_flags(I.table(spark, sf, "documents").select("text"), "text", I.BRANDS), I.BRANDS)
+    return A.co_mention_counts(M.mention_flags(I.documents(spark, sf).select("text"), "text", I.BRANDS), I.BRANDS)
 
 
 @query("a9_total", "SELECT sum(n_chars)::BIGINT AS sum_n_chars FROM documents")

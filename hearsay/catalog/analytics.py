@@ -73,7 +73,7 @@ def b5(spark, sf):
 
 @query("b6_mention_flags", "SELECT doc_id, " + ", ".join(f"{I.word_match_sql('text', b)} AS {b}" for b in I.BRANDS) + " FROM documents")
 def b6(spark, sf):
-    return M.mention_flags(I.table(spark, sf, "documents").select("doc_id", "text"), "text", I.BRANDS).drop("text")
+    return M.mention_flags(I.documents(spark, sf).select("doc_id", "text"), "text", I.BRANDS).drop("text")
 
 
 @query("b7_co_mentions", f"WITH {FLAGS_SQL} SELECT {', '.join(I.BRANDS)}, count(*)::BIGINT AS count FROM flags GROUP BY ALL")

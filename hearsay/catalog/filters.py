@@ -103,7 +103,7 @@ def f11b(spark, sf):
 @query("f12_restrict_words", f"WITH {I.words_sql('documents', 'doc_id', 'text')} SELECT word, count(*)::BIGINT AS count FROM words "
        "WHERE word IN ('license', 'apache', 'version', 'trash') GROUP BY 1")
 def f12(spark, sf):
-    counts = T.word_count(I.table(spark, sf, "documents"), C.clean_tokens("text"))
+    counts = T.word_count(I.documents(spark, sf), C.clean_tokens("text"))
     return rows.restrict_words(counts, ["license", "apache", "version", "trash"])
 
 
@@ -152,7 +152,7 @@ def j2(spark, sf):
 def j3(spark, sf):
     from hearsay.operators.sentiment import score_distinct
 
-    scored = score_distinct(I.table(spark, sf, "documents").select("doc_id", "text"), "text", I.LEXICON)
+    scored = score_distinct(I.documents(spark, sf).select("doc_id", "text"), "text", I.LEXICON)
     return scored.select("doc_id", "positive_weight", "negative_weight", "sentiment")
 
 

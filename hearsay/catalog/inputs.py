@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from hearsay.operators.skew import spread
 from hearsay.vocab import PUNCTUATION
 
 POST_TYPES = ["signup", "purchase"]
@@ -31,6 +32,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The text table, spread over the cores when it is one small file."""
+    return spread(table(spark, sf, "documents").select("doc_id", "text", "source", "lang"), "doc_id")
+
+
 def log(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select(
         F.col("event_id").alias("id"), F.concat(F.lit("u"), "user_id").alias("author"),
@@ -55,7 +61,7 @@ posts AS (SELECT * FROM log WHERE event_type IN ('signup', 'purchase'))"""
 
 
 def texts(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", F.col("text").alias("body"), F.col("source").alias("community"), "lang")
+    return documents(spark, sf).select("doc_id", F.col("text").alias("body"), F.col("source").alias("community"), "lang")
 
 
 TEXTS_SQL = "texts AS (SELECT doc_id, text AS body, source AS community, lang FROM documents)"

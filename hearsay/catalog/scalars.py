@@ -13,9 +13,13 @@ def docs(spark, sf):
     return I.table(spark, sf, "documents")
 
 
+def texts(spark, sf):
+    return I.documents(spark, sf)
+
+
 @query("x1_lower", "SELECT doc_id, md5(lower(text)) AS v FROM documents")
 def x1(spark, sf):
-    return docs(spark, sf).select("doc_id", F.md5(F.lower("text")).alias("v"))
+    return texts(spark, sf).select("doc_id", F.md5(F.lower("text")).alias("v"))
 
 
 @query("x2_contains", "SELECT doc_id, contains(text, 'license') AS v FROM documents")
@@ -25,17 +29,17 @@ def x2(spark, sf):
 
 @query("x3_strip_punct_delete", f"SELECT doc_id, md5(translate(text, {I.MARKS}, ' ')) AS v FROM documents")
 def x3(spark, sf):
-    return docs(spark, sf).select("doc_id", F.md5(C.strip_punct("text")).alias("v"))
+    return texts(spark, sf).select("doc_id", F.md5(C.strip_punct("text")).alias("v"))
 
 
 @query("x3_strip_punct_space", f"SELECT doc_id, md5(translate(text, {I.MARKS}, {I.SPACES})) AS v FROM documents")
 def x3b(spark, sf):
-    return docs(spark, sf).select("doc_id", F.md5(C.strip_punct("text", "space")).alias("v"))
+    return texts(spark, sf).select("doc_id", F.md5(C.strip_punct("text", "space")).alias("v"))
 
 
 @query("x4_letters_only", "SELECT doc_id, md5(lower(regexp_replace(text, '[^a-zA-Z\\s]', '', 'g'))) AS v FROM documents")
 def x4(spark, sf):
-    return docs(spark, sf).select("doc_id", F.md5(C.letters_only("text")).alias("v"))
+    return texts(spark, sf).select("doc_id", F.md5(C.letters_only("text")).alias("v"))
 
 
 def _chain(expr: str, rules) -> str:
@@ -55,17 +59,17 @@ def _single_pass(expr: str, rules) -> str:
 
 @query("x5_normalize_terms", f"SELECT doc_id, md5({_single_pass('lower(text)', I.RULES)}) AS v FROM documents")
 def x5(spark, sf):
-    return docs(spark, sf).select("doc_id", F.md5(C.normalize_terms(F.lower("text"), I.RULES)).alias("v"))
+    return texts(spark, sf).select("doc_id", F.md5(C.normalize_terms(F.lower("text"), I.RULES)).alias("v"))
 
 
 @query("x5_normalize_terms_chain", f"SELECT doc_id, md5({_chain('lower(text)', I.RULES)}) AS v FROM documents")
 def x5b(spark, sf):
-    return docs(spark, sf).select("doc_id", F.md5(C.normalize_terms(F.lower("text"), I.RULES, compat=True)).alias("v"))
+    return texts(spark, sf).select("doc_id", F.md5(C.normalize_terms(F.lower("text"), I.RULES, compat=True)).alias("v"))
 
 
 @query("x6_strip_sentence_marks", "SELECT doc_id, md5(lower(regexp_replace(text, '[,\\.!?]', '', 'g'))) AS v FROM documents")
 def x6(spark, sf):
-    return docs(spark, sf).select("doc_id", F.md5(C.strip_sentence_marks("text")).alias("v"))
+    return texts(spark, sf).select("doc_id", F.md5(C.strip_sentence_marks("text")).alias("v"))
 
 
 @query("x7_pattern_tests", """SELECT doc_id, regexp_matches(text, 'License|license') AS r, lower(text) LIKE '%public%' AS l, starts_with(lower(text), 'the') AS p FROM documents""")

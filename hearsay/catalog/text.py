@@ -13,7 +13,7 @@ from hearsay.vocab import STOPWORDS, TOPIC_NOISE
 
 
 def docs(spark, sf):
-    return I.table(spark, sf, "documents").select("doc_id", "text", "lang")
+    return I.documents(spark, sf).select("doc_id", "text", "lang")
 
 
 WORDS = I.words_sql("documents", "doc_id, lang", "text")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from hearsay.vocab import PUNCTUATION
 
@@ -169,7 +169,7 @@ def word_tokens(c: str | Column, keep_empty: bool = False) -> Column:
     lowered = F.lower(as_col(c))
     if keep_empty:
         return F.split(lowered, r"\s")
-    return F.filter(F.split(lowered, r"\s+"), lambda t: t != "")
+    return F.array_remove(F.split(lowered, r"\s+"), "")
 
 
 def clean_tokens(c: str | Column, mode: str = "space") -> Column:
@@ -179,7 +179,7 @@ def clean_tokens(c: str | Column, mode: str = "space") -> Column:
 def normalize_tokens(tokens: str | Column) -> Column:
     """Letters only, lower case, empty tokens dropped."""
     cleaned = F.transform(as_col(tokens), lambda t: F.lower(F.regexp_replace(t, "[^a-zA-Z]", "")))
-    return F.filter(cleaned, lambda t: t != "")
+    return F.array_remove(cleaned, "")
 
 
 def simple_tokens(c: str | Column, shortest: int = 2, longest: int = 15) -> Column:
@@ -191,6 +191,15 @@ def simple_tokens(c: str | Column, shortest: int = 2, longest: int = 15) -> Colu
     )
 
 
+def explode_rows(df: DataFrame, array: str | Column, name: str, *keep: str | Column) -> DataFrame:
+    """`keep` columns and one row per element; empty and null arrays give no row.
+
+    The outer form with a filter behind it: for a plain explode the optimiser
+    adds a size filter in front, which would build the array a second time.
+    """
+    return df.select(*keep, F.explode_outer(as_col(array)).alias(name)).where(F.col(name).isNotNull())
+
+
 def without_stopwords(tokens: str | Column, words: Sequence[str]) -> Column:
     """Drop the listed words, keep order and duplicates (a hash lookup per token)."""
     listed = list(dict.fromkeys(words))

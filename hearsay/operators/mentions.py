@@ -51,7 +51,7 @@ def term_hits(text: str | Column, terms: Sequence[str] | Mapping[str, Sequence[s
 def explode_mentions(df: DataFrame, text: str, terms: Sequence[str] | Mapping[str, Sequence[str]],
                      out: str = "term", match: str = "word") -> DataFrame:
     """One row per (text, name found); only hits are emitted."""
-    return df.select("*", F.explode(term_hits(text, terms, match)).alias(out))
+    return C.explode_rows(df, term_hits(text, terms, match), out, "*")
 
 
 def explode_term_table(df: DataFrame, row_id: str, text: str, terms: DataFrame, longest: int, out: str = "term") -> DataFrame:
@@ -61,7 +61,7 @@ def explode_term_table(df: DataFrame, row_id: str, text: str, terms: DataFrame,
     size allows. Returns (row id, name), distinct.
     """
     grams = C.ngrams_of_lengths(C.clean_tokens(text, "space"), range(1, longest + 1))
-    flat = df.select(row_id, F.explode(F.array_distinct(grams)).alias("spelling"))
+    flat = C.explode_rows(df, F.array_distinct(grams), "spelling", row_id)
     hits = flat.join(terms.select("spelling", "name"), "spelling")
     return hits.select(row_id, F.col("name").alias(out)).distinct()
 
@@ -74,7 +74,7 @@ def mention_flags(df: DataFrame, text: str, terms: Sequence[str], match: str = "
 def explode_brands(df: DataFrame, text: str, terms: Sequence[str], match: str = "word", out: str = "brand") -> DataFrame:
     """One row per (text, brand mentioned); one scan instead of a filtered scan per brand."""
     named = F.array_compact(F.array(*[F.when(C.mentions(text, t, match), F.lit(t)) for t in terms]))
-    return df.select("*", F.explode(named).alias(out))
+    return C.explode_rows(df, named, out, "*")
 
 
 def attribute_brand(rules: Sequence[tuple[str, Column]], default: str = "general") -> Column:

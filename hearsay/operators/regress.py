@@ -19,6 +19,7 @@ from hearsay.functions.stats import (
     ADF_CRITICAL, adf_critical, adf_p_value, chi2_tail, durbin_levinson, solve_gram,
 )
 from hearsay.operators.series import acf, over_days
+from hearsay.session import ship_package
 
 
 def with_lags(df: DataFrame, keys: Sequence[str], day: str, cols: Sequence[str], lags: int,
@@ -38,6 +39,7 @@ def gram(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
 
     Rows with a null in any of the columns are left out.
     """
+    ship_package(df.sparkSession)
     keys, cols = list(keys), list(cols)
     rows = df.select(*keys, F.array(F.lit(1.0), *[F.col(c).cast("double") for c in cols]).alias("x"))
     rows = rows.where(~F.exists("x", lambda v: v.isNull()))
@@ -67,6 +69,7 @@ def _matrix(flat) -> np.ndarray:
 
 def _per_row(df: DataFrame, fn, schema: str) -> DataFrame:
     """Apply `fn(row) -> list of tuples` to every aggregated row, in batches."""
+    ship_package(df.sparkSession)
     names = [part.split()[0].strip("`") for part in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -15,12 +15,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from hearsay.functions import seasonal as S
+from hearsay.session import ship_package
 
 ORDERS = list(product((0, 1), repeat=6))
 
 
 def _arrays(df: DataFrame, keys: Sequence[str], day: str, value: str) -> DataFrame:
     """One row per series: last day and values in day order. Days must be complete and non-null."""
+    ship_package(df.sparkSession)
     ordered = F.sort_array(F.collect_list(F.struct(F.col(day).alias("d"), F.col(value).cast("double").alias("v"))))
     return df.groupBy(*keys).agg(ordered.alias("_s")).select(*keys, F.col("_s.d").alias("_days"), F.col("_s.v").alias("_values"))
 

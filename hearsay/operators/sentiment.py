@@ -70,7 +70,7 @@ def score_sentiment(df: DataFrame, text: str, lexicon: Mapping[str, float] | Dat
 
 def _score_by_join(texts: DataFrame, text: str, lexicon: DataFrame) -> DataFrame:
     keyed = texts.withColumn("_text_key", F.sha2(text, 256))
-    words = keyed.select("_text_key", F.explode(C.clean_tokens(text)).alias("word"))
+    words = C.explode_rows(keyed, C.clean_tokens(text), "word", "_text_key")
     counts = words.groupBy("_text_key", "word").agg(F.count(F.lit(1)).alias("_n"))
     weight = F.col("weight") * F.col("_n")
     summed = counts.join(lexicon.select("word", "weight"), "word").groupBy("_text_key").agg(

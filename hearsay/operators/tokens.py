@@ -43,7 +43,7 @@ def lemmatize(df: DataFrame, col: str, lemmas: Mapping[str, str] | DataFrame, ro
     """
     if isinstance(lemmas, Mapping):
         return df.withColumn(out, C.lemmatize_tokens(col, lemmas))
-    flat = df.select(row_id, F.posexplode(col).alias("_pos", "form"))
+    flat = df.select(row_id, F.posexplode_outer(col).alias("_pos", "form")).where(F.col("form").isNotNull())
     mapped = flat.join(lemmas.select("form", "lemma"), "form", "left")
     word = F.coalesce("lemma", "form")
     back = mapped.groupBy(row_id).agg(F.sort_array(F.collect_list(F.struct("_pos", word.alias("w")))).alias("_l"))
@@ -67,7 +67,7 @@ def simple_words(df: DataFrame, col: str, out: str = "words", extra: Sequence[st
 
 def word_count(df: DataFrame, tokens: str | Column, k: int | None = None) -> DataFrame:
     """Occurrences per word; counts combine on the map side, so a hot word moves few rows."""
-    words = df.select(F.explode(C.as_col(tokens)).alias("word"))
+    words = C.explode_rows(df, tokens, "word")
     counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("count"))
     return counted if k is None else top_k(counted, "count", k, ["word"])
 
@@ -81,13 +81,19 @@ def term_frequencies(df: DataFrame, tokens: str | Column) -> DataFrame:
 
 def tf(df: DataFrame, row_id: str, tokens: str, keys: Sequence[str] = ()) -> DataFrame:
     """Exact occurrences per (document, word)."""
-    words = df.select(row_id, *keys, F.explode(tokens).alias("word"))
+    words = C.explode_rows(df, tokens, "word", row_id, *keys)
     return words.groupBy(row_id, *keys, "word").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def idf(frequencies: DataFrame, n_docs: Column) -> DataFrame:
-    """Smoothed inverse document frequency ln((N + 1) / (df + 1)) per word."""
-    counted = frequencies.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+def idf(df: DataFrame, tokens: str) -> DataFrame:
+    """Document frequency and smoothed inverse ln((N + 1) / (df + 1)) per word.
+
+    A document is one row, so its words are made distinct inside the row; only
+    counts per word are shuffled.
+    """
+    n_docs = df.agg(F.count(F.lit(1))).scalar()
+    words = C.explode_rows(df, F.array_distinct(tokens), "word")
+    counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     return counted.withColumn("idf", F.log((n_docs + 1) / (F.col("df") + 1)))
 
 
@@ -98,8 +104,7 @@ def tf_idf(df: DataFrame, row_id: str, tokens: str, keys: Sequence[str] = (), di
     frequency is known, so `join_hot_split` takes the few hottest words out.
     """
     frequencies = tf(df, row_id, tokens, keys)
-    n_docs = df.agg(F.count(F.lit(1))).scalar()
-    joined = join_hot_split(frequencies, idf(frequencies, n_docs), ["word"], "df")
+    joined = join_hot_split(frequencies, idf(df, tokens), ["word"], "df")
     value = F.col("tf") * F.col("idf")
     return joined.withColumn("tf_idf", value if digits is None else F.round(value, digits))
 

@@ -90,7 +90,7 @@ def brand_product_sentiment(df: DataFrame, text: str, brands: Sequence[str], pro
 def place_mentions(texts: DataFrame, text: str, places: Sequence[str], coordinates: DataFrame | None = None,
                    match: str = "prefix") -> DataFrame:
     """(city, count, percent and, given a table, coordinates)."""
-    hits = texts.select(F.explode(M.place_hits(text, places, match)).alias("city"))
+    hits = C.explode_rows(texts, M.place_hits(text, places, match), "city")
     counted = percent_of_total(hits.groupBy("city").agg(F.count(F.lit(1)).alias("count")), "count")
     return counted if coordinates is None else counted.join(coordinates, "city", "left")
 
