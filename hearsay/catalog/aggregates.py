@@ -202,7 +202,7 @@ def w6(spark, sf):
     return day_text(S.undifference(twice, anchors, ["series"], "day", "n_diff", 2, "level").select("series", "day", "level"))
 
 
-@query("w7_row_id_in_group", "SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::INT AS row_id FROM events")
+@query("w7_row_id_in_group", "SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS row_id FROM events")
 def w7(spark, sf):
     return W.with_row_id(I.table(spark, sf, "events").select("event_id", "user_id", "ts"), ["ts", "event_id"], ["user_id"]).drop("ts")
 

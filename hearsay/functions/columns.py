@@ -142,7 +142,8 @@ def mentions(text: str | Column, term: str, match: str = "word") -> Column:
     if match == "two_case":
         return text.rlike(f"{_quote(term.capitalize())}|{_quote(term.lower())}")
     if match == "word":
-        return text.rlike("(?i)" + whole_word(term))
+        # The plain search settles most rows; only texts holding the term reach the pattern.
+        return F.lower(text).contains(term.lower()) & text.rlike("(?i)" + whole_word(term))
     if match == "substring":
         return F.lower(text).contains(term.lower())
     raise ValueError(f"unknown match {match!r}")

@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from hearsay.operators.skew import broadcast_if_small, join_hot_split
+from hearsay.operators.skew import is_small, join_hot_split
 
 
 def full_outer_daily(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
@@ -58,15 +58,21 @@ def cohort_of(comments: DataFrame, posts: DataFrame, community: str, community_c
     return both.distinct()
 
 
-def cohort_activity(log: DataFrame, cohort: DataFrame, author: str = "author", broadcast_rows: int | None = None) -> DataFrame:
+def cohort_activity(log: DataFrame, cohort: DataFrame, author: str = "author", row_id: str = "id", salts: int = 16,
+                    broadcast_rows: int | None = None) -> DataFrame:
     """All rows of the cohort's authors, wherever posted.
 
     A semi join: the author list never reaches the driver. With
     `broadcast_rows` the cohort is counted, up to that bound, and broadcast if
-    it fits; otherwise the join shuffles and AQE splits heavy authors.
+    it fits, and the log does not move. Otherwise each author is split into
+    `salts` parts by row id, the small side repeated for each, so one very
+    busy author does not fill one task.
     """
-    side = broadcast_if_small(cohort, broadcast_rows) if broadcast_rows else cohort
-    return log.join(side, author, "left_semi")
+    if broadcast_rows and is_small(cohort, broadcast_rows):
+        return log.join(F.broadcast(cohort), author, "left_semi").select(*log.columns)
+    parts = cohort.select(author, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    salted = log.withColumn("_salt", F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int"))
+    return salted.join(parts, [author, "_salt"], "left_semi").select(*log.columns)
 
 
 def attach_by_text(df: DataFrame, text: str, compute: Callable[[DataFrame], DataFrame], outputs: Sequence[str]) -> DataFrame:

@@ -114,7 +114,7 @@ def classification_report(pred: DataFrame, label: str = "label", prediction: str
     sides = counts.select(*keys, F.explode(F.array(
         F.struct(F.col("label").cast("string").alias("class"), hit.alias("tp"), F.col("n").alias("support"), F.lit(0).cast("bigint").alias("predicted")),
         F.struct(F.col("prediction").cast("string").alias("class"), F.lit(0).cast("bigint").alias("tp"), F.lit(0).cast("bigint").alias("support"), F.col("n").alias("predicted")),
-    )).alias("s")).select(*keys, "s.*")
+    )).alias("_s")).select(*keys, "_s.*")
     per = sides.groupBy(*keys, "class").agg(*[F.sum(c).alias(c) for c in ("tp", "support", "predicted")])
     zero = F.lit(0.0)
     precision = F.coalesce(F.try_divide("tp", "predicted"), zero)
@@ -132,8 +132,8 @@ def classification_report(pred: DataFrame, label: str = "label", prediction: str
         F.struct(F.lit("accuracy").alias("class"), hits.alias("precision"), hits.alias("recall"), hits.alias("f1"), hits.alias("support")),
         F.struct(F.lit("macro avg").alias("class"), F.avg("precision").alias("precision"), F.avg("recall").alias("recall"), F.avg("f1").alias("f1"), support),
         F.struct(F.lit("weighted avg").alias("class"), weighted("precision").alias("precision"), weighted("recall").alias("recall"), weighted("f1").alias("f1"), support),
-    ).alias("a"))
-    return rows.unionByName(averages.select(*keys, F.explode("a").alias("a")).select(*keys, "a.*"))
+    ).alias("_a"))
+    return rows.unionByName(averages.select(*keys, F.explode("_a").alias("_a")).select(*keys, "_a.*"))
 
 
 def default_classifiers(label: str, seed: int = 123) -> dict[str, Estimator]:

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hearsay.functions import columns as C
+from hearsay.operators.skew import broadcast_if_small
 
 
 def spelling_table(terms: Sequence[str] | Mapping[str, Sequence[str]], match: str) -> dict[str, str]:
@@ -57,12 +58,13 @@ def explode_mentions(df: DataFrame, text: str, terms: Sequence[str] | Mapping[st
 def explode_term_table(df: DataFrame, row_id: str, text: str, terms: DataFrame, longest: int, out: str = "term") -> DataFrame:
     """As `explode_mentions` for a (spelling, name) table too long to inline.
 
-    The n-grams of each text join to the table; Catalyst broadcasts it when its
-    size allows. Returns (row id, name), distinct.
+    The n-grams of each text join to the table, which is broadcast when a
+    bounded count shows that it is small; a longer one joins by shuffle.
+    Returns (row id, name), distinct.
     """
     grams = C.ngrams_of_lengths(C.clean_tokens(text, "space"), range(1, longest + 1))
     flat = C.explode_rows(df, F.array_distinct(grams), "spelling", row_id)
-    hits = flat.join(terms.select("spelling", "name"), "spelling")
+    hits = flat.join(broadcast_if_small(terms.select("spelling", "name")), "spelling")
     return hits.select(row_id, F.col("name").alias(out)).distinct()
 
 

@@ -58,8 +58,8 @@ def series_summary(long: DataFrame, key: str | Sequence[str], value: str) -> Dat
     keys = [key] if isinstance(key, str) else list(key)
     q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.75)))
     return long.groupBy(*keys).agg(
-        F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), q.alias("q")
-    ).select(*keys, "min", "max", "mean", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
+        F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), q.alias("_q")
+    ).select(*keys, "min", "max", "mean", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("q3"))
 
 
 def histogram(df: DataFrame, value: str, width: float = 1.0, keys: Sequence[str] = ()) -> DataFrame:

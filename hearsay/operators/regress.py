@@ -35,30 +35,30 @@ def with_lags(df: DataFrame, keys: Sequence[str], day: str, cols: Sequence[str],
 
 
 def gram(df: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
-    """Cross-product matrix of (1, *cols) per key: columns keys, `m` (flat, row by row).
+    """Cross-product matrix of (1, *cols) per key: columns keys, `gram` (flat, row by row).
 
     Rows with a null in any of the columns are left out.
     """
     ship_package(df.sparkSession)
     keys, cols = list(keys), list(cols)
-    rows = df.select(*keys, F.array(F.lit(1.0), *[F.col(c).cast("double") for c in cols]).alias("x"))
-    rows = rows.where(~F.exists("x", lambda v: v.isNull()))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema) + ", m array<double>"
+    rows = df.select(*keys, F.array(F.lit(1.0), *[F.col(c).cast("double") for c in cols]).alias("_x"))
+    rows = rows.where(~F.exists("_x", lambda v: v.isNull()))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema) + ", gram array<double>"
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for key, part in batch.groupby(keys, sort=False, dropna=False):
-                x = np.stack(part["x"].to_numpy())
+                x = np.stack(part["_x"].to_numpy())
                 out.append((*key, (x.T @ x).ravel()))
             if out:
-                yield pd.DataFrame(out, columns=[*keys, "m"])
+                yield pd.DataFrame(out, columns=[*keys, "gram"])
 
-    cells = rows.mapInPandas(partial, schema).select(*keys, F.posexplode("m").alias("pos", "v"))
-    summed = cells.groupBy(*keys, "pos").agg(F.sum("v").alias("v"))
+    cells = rows.mapInPandas(partial, schema).select(*keys, F.posexplode("gram").alias("_pos", "_v"))
+    summed = cells.groupBy(*keys, "_pos").agg(F.sum("_v").alias("_v"))
     # One list of (columns + 1) squared numbers per key.
-    return summed.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("s")).select(
-        *keys, F.col("s.v").alias("m")
+    return summed.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_pos", "_v"))).alias("_s")).select(
+        *keys, F.col("_s._v").alias("gram")
     )
 
 
@@ -91,7 +91,7 @@ def lag_ols(df: DataFrame, keys: Sequence[str], day: str, y: str, xs: Sequence[s
     terms = ["const", *cols]
 
     def solve(row):
-        m = _matrix(row.m)
+        m = _matrix(row.gram)
         beta, ssr, _ = solve_gram(m, list(range(len(terms))), len(terms))
         key = tuple(row[: len(keys)])
         return [(*key, t, float(b), ssr, int(m[0, 0])) for t, b in zip(terms, beta)]
@@ -113,8 +113,8 @@ def lag_ols_one(df: DataFrame, keys: Sequence[str], day: str, y: str, x: str, la
 def pacf(df: DataFrame, keys: Sequence[str], day: str, value: str, nlags: int = 40) -> DataFrame:
     """Partial autocorrelations by Durbin-Levinson on the aggregated autocorrelations."""
     rho = acf(df, keys, day, value, nlags).groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("lag", "acf"))).alias("s"), F.first("bound95").alias("bound95")
-    ).select(*keys, F.col("s.acf").alias("rho"), "bound95")
+        F.sort_array(F.collect_list(F.struct("lag", "acf"))).alias("_s"), F.first("bound95").alias("bound95")
+    ).select(*keys, F.col("_s.acf").alias("rho"), "bound95")
 
     def solve(row):
         key = tuple(row[: len(keys)])
@@ -142,11 +142,11 @@ def adf(df: DataFrame, keys: Sequence[str], day: str, value: str, max_lag: int,
     usable = F.least(F.col("_t") - 1, F.lit(max_lag))
     ranged = lagged.where(F.col("_t") >= 1).withColumn("_order", usable)
     grams = gram(ranged, [*keys, "_order"], cols)
-    rows = grams.groupBy(*keys).agg(F.collect_list(F.struct("_order", "m")).alias("parts"))
+    rows = grams.groupBy(*keys).agg(F.collect_list(F.struct("_order", "gram")).alias("parts"))
 
     def solve(row):
         key = tuple(row[: len(keys)])
-        parts = {int(p["_order"]): _matrix(p["m"]) for p in row.parts}
+        parts = {int(p["_order"]): _matrix(p["gram"]) for p in row.parts}
         y = max_lag + 2
         common = parts.get(max_lag)
         if common is None:
@@ -187,13 +187,13 @@ def granger_matrix(df: DataFrame, keys: Sequence[str], day: str, cols: Sequence[
     names = [f"{c}_lag{i}" for c in cols for i in range(1, max_lag + 1)]
     ranged = lagged.where(F.col("_t") >= 1).withColumn("_order", F.least("_t", F.lit(max_lag)))
     grams = gram(ranged, [*keys, "_order"], [*names, *cols])
-    rows = grams.groupBy(*keys).agg(F.collect_list(F.struct("_order", "m")).alias("parts"))
+    rows = grams.groupBy(*keys).agg(F.collect_list(F.struct("_order", "gram")).alias("parts"))
     at = {c: 1 + i * max_lag for i, c in enumerate(cols)}
     y_at = {c: 1 + len(names) + i for i, c in enumerate(cols)}
 
     def solve(row):
         key = tuple(row[: len(keys)])
-        parts = {int(p["_order"]): _matrix(p["m"]) for p in row.parts}
+        parts = {int(p["_order"]): _matrix(p["gram"]) for p in row.parts}
         best = {}
         for k in range(1, max_lag + 1):
             full = sum(m for order, m in parts.items() if order >= k)
@@ -247,12 +247,12 @@ def var_select(df: DataFrame, keys: Sequence[str], day: str, cols: Sequence[str]
     lagged, names = _var_design(df, keys, day, cols, max_lag)
     ranged = lagged.where(F.col("_t") >= 1).withColumn("_order", F.least("_t", F.lit(max_lag)))
     grams = gram(ranged, [*keys, "_order"], [*names, *cols])
-    rows = grams.groupBy(*keys).agg(F.collect_list(F.struct("_order", "m")).alias("parts"))
+    rows = grams.groupBy(*keys).agg(F.collect_list(F.struct("_order", "gram")).alias("parts"))
     k, width = len(cols), 1 + len(names)
 
     def solve(row):
         key = tuple(row[: len(keys)])
-        parts = {int(p["_order"]): _matrix(p["m"]) for p in row.parts}
+        parts = {int(p["_order"]): _matrix(p["gram"]) for p in row.parts}
         out = []
         for order in range(1, max_lag + 1):
             first = max_lag if common_sample else order
@@ -272,7 +272,7 @@ def var_fit(df: DataFrame, keys: Sequence[str], day: str, cols: Sequence[str], o
     xs = list(range(1 + len(names)))
 
     def solve(row):
-        m, key = _matrix(row.m), tuple(row[: len(keys)])
+        m, key = _matrix(row.gram), tuple(row[: len(keys)])
         return [(*key, c, solve_gram(m, xs, len(xs) + i)[0].tolist()) for i, c in enumerate(cols)]
 
     return _per_row(grams, solve, f"{_key_schema(df, keys)}, response string, coefficients array<double>")
@@ -283,8 +283,8 @@ def var_residuals(df: DataFrame, keys: Sequence[str], day: str, cols: Sequence[s
     lagged, names = _var_design(df, keys, day, cols, order)
     rows = lagged.where(F.col("_t") >= order).select(
         *keys, day, F.array(F.lit(1.0), *names).alias("_x"),
-        F.explode(F.array(*[F.struct(F.lit(c).alias("response"), F.col(c).alias("actual")) for c in cols])).alias("r"),
-    ).select(*keys, day, "_x", "r.*")
+        F.explode(F.array(*[F.struct(F.lit(c).alias("response"), F.col(c).alias("actual")) for c in cols])).alias("_r"),
+    ).select(*keys, day, "_x", "_r.*")
     fitted = rows.join(var_fit(df, keys, day, cols, order), [*keys, "response"])
     products = F.zip_with("_x", "coefficients", lambda x, b: x * b)
     estimate = F.aggregate(products, F.lit(0.0), lambda acc, v: acc + v)
@@ -297,14 +297,14 @@ def var_forecast(df: DataFrame, keys: Sequence[str], day: str, cols: Sequence[st
     w = over_days(keys, F.desc(day))
     last = df.select(*keys, day, *cols, F.row_number().over(w).alias("_r")).where(F.col("_r") <= order)
     history = last.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("_r", F.array(*[F.col(c).cast("double") for c in cols]).alias("v")))).alias("h"),
+        F.sort_array(F.collect_list(F.struct("_r", F.array(*[F.col(c).cast("double") for c in cols]).alias("v")))).alias("_h"),
         F.max(day).alias("_last"),
-    ).select(*keys, F.col("h.v").alias("recent"), "_last")
+    ).select(*keys, F.col("_h.v").alias("recent"), "_last")
     fit = var_fit(df, keys, day, cols, order)
     betas = fit.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("response", "coefficients"))).alias("b")
+        F.map_from_entries(F.collect_list(F.struct("response", "coefficients"))).alias("_b")
     )
-    betas = betas.select(*keys, F.array(*[F.col("b")[c] for c in cols]).alias("b"))
+    betas = betas.select(*keys, F.array(*[F.col("_b")[c] for c in cols]).alias("betas"))
     rows = history.join(betas, list(keys))
 
     def solve(row):
@@ -312,7 +312,7 @@ def var_forecast(df: DataFrame, keys: Sequence[str], day: str, cols: Sequence[st
         recent = [np.asarray(v, float) for v in row.recent]
         if len(recent) < order:
             return []
-        b = np.stack([np.asarray(c, float) for c in row.b])
+        b = np.stack([np.asarray(c, float) for c in row.betas])
         out = []
         for step in range(1, steps + 1):
             nxt = b @ np.concatenate([[1.0], *recent[:order]])

@@ -103,20 +103,20 @@ def acf(df: DataFrame, keys: Sequence[str], day: str, value: str, nlags: int = 4
     )
     lagged = centred.select(*keys, "_d", *[F.lag("_d", k).over(w).alias(f"_l{k}") for k in range(1, nlags + 1)])
     sums = lagged.groupBy(*keys).agg(
-        F.count("_d").alias("n"),
-        F.sum(d * d).alias("c0"),
-        F.array(*[F.coalesce(F.sum(d * F.col(f"_l{k}")), F.lit(0.0)) for k in range(1, nlags + 1)]).alias("c"),
+        F.count("_d").alias("_n"),
+        F.sum(d * d).alias("_c0"),
+        F.array(*[F.coalesce(F.sum(d * F.col(f"_l{k}")), F.lit(0.0)) for k in range(1, nlags + 1)]).alias("_c"),
     )
-    flat = sums.select(*keys, "n", "c0", F.posexplode(F.concat(F.array("c0"), "c")).alias("lag", "ck"))
-    out = flat.where(F.col("lag") < F.col("n")).withColumn("acf", F.try_divide("ck", "c0"))
+    flat = sums.select(*keys, "_n", "_c0", F.posexplode(F.concat(F.array("_c0"), "_c")).alias("lag", "_ck"))
+    out = flat.where(F.col("lag") < F.col("_n")).withColumn("acf", F.try_divide("_ck", "_c0"))
     before = over_days(keys, "lag").rowsBetween(Window.unboundedPreceding, -1)
     squares = F.coalesce(F.sum(F.when(F.col("lag") > 0, F.col("acf") * F.col("acf"))).over(before), F.lit(0.0))
-    root = F.sqrt(F.col("n").cast("double"))
+    root = F.sqrt(F.col("_n").cast("double"))
     return out.select(
         *keys, "lag", "acf",
         (F.lit(Z95) / root).alias("bound95"),
         (F.lit(Z99) / root).alias("bound99"),
-        F.when(F.col("lag") == 0, F.lit(0.0)).otherwise(F.lit(Z95) * F.sqrt((1 + 2 * squares) / F.col("n"))).alias("bartlett95"),
+        F.when(F.col("lag") == 0, F.lit(0.0)).otherwise(F.lit(Z95) * F.sqrt((1 + 2 * squares) / F.col("_n"))).alias("bartlett95"),
     )
 
 
@@ -150,8 +150,8 @@ def residual_report(df: DataFrame, keys: Sequence[str], resid: str) -> DataFrame
     q = F.percentile(resid, F.array(*[F.lit(p) for p in (0.25, 0.5, 0.75)]))
     return df.groupBy(*keys).agg(
         F.count(resid).alias("count"), F.avg(resid).alias("mean"), F.stddev_samp(resid).alias("std"),
-        F.min(resid).alias("min"), q.alias("q"), F.max(resid).alias("max"),
-    ).select(*keys, "count", "mean", "std", "min", *[F.col("q")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))], "max")
+        F.min(resid).alias("min"), q.alias("_q"), F.max(resid).alias("max"),
+    ).select(*keys, "count", "mean", "std", "min", *[F.col("_q")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))], "max")
 
 
 def residual_density(df: DataFrame, keys: Sequence[str], resid: str, points: int = 25) -> DataFrame:
@@ -175,7 +175,7 @@ def residual_density(df: DataFrame, keys: Sequence[str], resid: str, points: int
                  F.sum(F.exp(-z[i] * z[i] / 2) / norm).alias("density"))
         for i in range(points)
     ])
-    return sized.groupBy(*keys).agg(cells.alias("c")).select(*keys, F.explode("c").alias("c")).select(*keys, "c.*")
+    return sized.groupBy(*keys).agg(cells.alias("_c")).select(*keys, F.explode("_c").alias("_c")).select(*keys, "_c.*")
 
 
 def durbin_watson(df: DataFrame, keys: Sequence[str], day: str, resid: str) -> DataFrame:

@@ -7,13 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 
+def is_small(df: DataFrame, max_rows: int) -> bool:
+    """A count that stops at `max_rows + 1`: the check behind a broadcast hint."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Hint a broadcast only after a bounded count shows the side is small.
+    """Hint a broadcast only when the counted side is small.
 
-    The count stops at `max_rows + 1`. A larger side comes back without a hint
-    and joins by shuffle, where AQE splits skewed partitions.
+    A larger side comes back without a hint and joins by shuffle, where AQE
+    splits skewed partitions.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    return F.broadcast(df) if is_small(df, max_rows) else df
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import CountVectorizer
 from pyspark.ml.functions import vector_to_array
@@ -14,6 +14,7 @@ from hearsay.functions import columns as C
 from hearsay.operators.reshape import top_k
 from hearsay.operators.skew import join_hot_split
 from hearsay.operators.windows import top_k_per_group
+from hearsay.session import cut_lineage
 from hearsay.vocab import STOPWORDS, TOPIC_NOISE
 
 
@@ -38,13 +39,16 @@ def stem_counts(counts: DataFrame, word: str = "word", count: str = "count") ->
 def lemmatize(df: DataFrame, col: str, lemmas: Mapping[str, str] | DataFrame, row_id: str, out: str = "lemmas") -> DataFrame:
     """Replace word forms by lemmas, keeping token order.
 
-    A mapping is applied inside the row. A (form, lemma) table is joined to the
-    exploded tokens and each row's tokens are put back in order.
+    A mapping is applied inside the row. A (form, lemma) table is first cut to
+    the forms in use, with their counts, and joined to the exploded tokens by
+    `join_hot_split`; each row's tokens are then put back in order.
     """
     if isinstance(lemmas, Mapping):
         return df.withColumn(out, C.lemmatize_tokens(col, lemmas))
     flat = df.select(row_id, F.posexplode_outer(col).alias("_pos", "form")).where(F.col("form").isNotNull())
-    mapped = flat.join(lemmas.select("form", "lemma"), "form", "left")
+    used = word_count(df, col).withColumnRenamed("word", "form")
+    known = used.join(lemmas.select("form", "lemma").dropDuplicates(["form"]), "form", "left")
+    mapped = join_hot_split(flat, known, ["form"], "count")
     word = F.coalesce("lemma", "form")
     back = mapped.groupBy(row_id).agg(F.sort_array(F.collect_list(F.struct("_pos", word.alias("w")))).alias("_l"))
     merged = df.join(back, row_id, "left")
@@ -134,9 +138,11 @@ def bag_of_words(df: DataFrame, row_id: str, tokens: str, vocab_size: int = 1 <<
 
 def fit_topics(df: DataFrame, tokens: str, k: int = 10, max_iter: int = 10, vocab_size: int = 1 << 16,
                min_df: float = 1.0, seed: int = 17) -> PipelineModel:
-    bag = CountVectorizer(inputCol=tokens, outputCol="bag", vocabSize=vocab_size, minDF=min_df)
+    """Vocabulary and topics. The bags are checkpointed once, so the rounds do not tokenise again."""
+    bag = CountVectorizer(inputCol=tokens, outputCol="bag", vocabSize=vocab_size, minDF=min_df).fit(df)
+    bags = cut_lineage(bag.transform(df).select("bag"))
     lda = LDA(k=k, maxIter=max_iter, seed=seed, featuresCol="bag", optimizer="online", topicDistributionCol="mixture")
-    return Pipeline(stages=[bag, lda]).fit(df)
+    return PipelineModel(stages=[bag, lda.fit(bags)])
 
 
 def topic_words(model: PipelineModel, n_words: int = 10) -> DataFrame:
@@ -155,8 +161,8 @@ def topic_words(model: PipelineModel, n_words: int = 10) -> DataFrame:
 
 def topic_mixtures(model: PipelineModel, df: DataFrame, row_id: str) -> DataFrame:
     """(id, topic, weight): how much of each topic a document holds."""
-    mixed = model.transform(df).select(row_id, vector_to_array("mixture").alias("m"))
-    return mixed.select(row_id, F.posexplode("m").alias("topic", "weight"))
+    mixed = model.transform(df).select(row_id, vector_to_array("mixture").alias("_m"))
+    return mixed.select(row_id, F.posexplode("_m").alias("topic", "weight"))
 
 
 def topic_model(df: DataFrame, row_id: str, tokens: str, k: int = 10, n_words: int = 10, max_iter: int = 10,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from hearsay.functions.columns import ratio
 
@@ -63,26 +63,27 @@ def with_row_id(df: DataFrame, order: Sequence[str], partition_by: Sequence[str]
                 buckets: int = 64) -> DataFrame:
     """Row number over a real order.
 
-    With `partition_by` it counts within each group, meant for groups of
-    bounded size such as one series. Without it the number is global: the
-    first order column (number or time) is cut into value ranges, rows are
-    numbered inside a range, and the counts of the ranges before are added.
+    Global, or within each group of `partition_by`. The first order column
+    (number or time) is cut into value ranges, rows are numbered inside a
+    (group, range) cell, and the counts of the group's ranges before are added:
+    neither the whole table nor a group that holds much of it is sorted in one
+    task.
     """
-    if partition_by:
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*partition_by).orderBy(*order)))
-    lead = F.col(order[0]).cast("double")
+    keys = list(partition_by)
+    timed = isinstance(df.schema[order[0]].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))
+    lead = (F.col(order[0]).cast("timestamp") if timed else F.col(order[0])).cast("double")
     probs = [i / buckets for i in range(1, buckets)]
     cuts = sorted(set(df.select(lead.alias("v")).approxQuantile("v", probs, 0.5 / buckets)))
     edges = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<double>")
     ranged = df.withColumn("_range", F.size(F.filter(edges, lambda e: e < lead)))
-    # One row per range, at most `buckets`: the bound of the broadcast.
-    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    counts = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(*keys, "_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order))
+    # Without groups there are at most `buckets` offsets: the bound of the broadcast.
     return (
         ranged.withColumn("_inside", inside)
-        .join(F.broadcast(offsets), "_range")
+        .join(offsets if keys else F.broadcast(offsets), [*keys, "_range"])
         .withColumn(name, F.col("_before") + F.col("_inside"))
         .drop("_range", "_inside", "_before")
     )
