@@ -32,21 +32,35 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
 
 def join_hot_split(
-    big: DataFrame, dim: DataFrame, keys: Sequence[str], weight: str, share: float = 0.001, how: str = "inner"
+    big: DataFrame, dim: DataFrame, keys: Sequence[str], weight: str, share: float = 0.001, how: str = "inner",
+    salts: int = 64,
 ) -> DataFrame:
-    """Join a skewed fact side to a table with one row per key.
+    """Join a skewed fact side to a table with one row per key, reading the fact side once.
 
     `weight` is the number of fact rows of a key, so at most `1 / share` keys
     can hold more than `share` of the total. Those go out as a broadcast whose
-    size is bounded by that arithmetic; every other key joins by shuffle, in
-    groups no larger than `share` of the rows. No row is dropped or capped.
+    size is bounded by that arithmetic. All other keys join by shuffle, in
+    groups no larger than `share` of the rows; rows already served, and rows
+    with a null key, are scattered over `salts` parts by a hash of the row. No
+    row is dropped or capped.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"unsupported join type {how!r}")
     keys = list(keys)
+    found = [c for c in dim.columns if c not in keys]
     limit = dim.agg((F.sum(weight) * F.lit(share)).alias("limit")).scalar()
-    hot = dim.where(F.col(weight) > limit)
-    cold = dim.where(F.col(weight) <= limit)
-    hot_rows = big.join(F.broadcast(hot), keys, "inner")
-    cold_rows = big.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, how)
-    return hot_rows.unionByName(cold_rows)
+    row = F.struct(*found)
+    hot = dim.where(F.col(weight) > limit).select(*keys, row.alias("_hot"))
+    cold = dim.where(F.col(weight) <= limit).select(*keys, F.lit(0).alias("_salt"), row.alias("_cold"))
+    keyed = F.lit(True)
+    for k in keys:
+        keyed = keyed & F.col(k).isNotNull()
+    if how == "inner":
+        big = big.where(keyed)
+    served = big.join(F.broadcast(hot), keys, "left")
+    scatter = F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int") + 1
+    salted = served.withColumn("_salt", F.when(F.col("_hot").isNull() & keyed, F.lit(0)).otherwise(scatter))
+    joined = salted.join(cold, [*keys, "_salt"], "left").withColumn("_dim", F.coalesce("_hot", "_cold"))
+    if how == "inner":
+        joined = joined.where(F.col("_dim").isNotNull())
+    return joined.select(*big.columns, *[F.col(f"_dim.{c}").alias(c) for c in found])
