@@ -13,7 +13,7 @@ ORDER_SQL = "o AS (SELECT o_orderkey, o_custkey, o_totalprice, CASE o_orderstatu
 DRAW = "('0x' || substr(md5('{seed}-' || {key}), 1, 8))::BIGINT % 10000"
 
 
-@query("m1_features")
+@query("m1_features", "SELECT l_orderkey, l_linenumber, l_quantity AS x0, l_discount AS x1 FROM lineitem")
 def m1(spark, sf):
     from pyspark.ml.functions import vector_to_array
 
@@ -59,6 +59,13 @@ def m3c(spark, sf):
     return model.transform(test).select("key", F.round("prediction", 3).alias("prediction"))
 
 
+@query("m3_linear_model_one_feature", f"WITH {LINES_SQL} SELECT key, round(a + b * x, 2) AS prediction FROM s, c WHERE NOT train")
+def m3d(spark, sf):
+    train, test = L.split(lines(spark, sf), "key")
+    model = L.fit_linear(train, ["l_quantity"], "l_extendedprice")
+    return model.transform(test).select("key", F.round("prediction", 2).alias("prediction"))
+
+
 def classed_events(spark, sf):
     """Events with a three-way class of the value, and an hour feature."""
     e = I.table(spark, sf, "events")

@@ -209,3 +209,92 @@ def z17(spark, sf):
     w = S.over_days(KEYS, "day")
     pairs = filled(spark, sf).select("series", (F.col("n") + 1).alias("a"), (F.lag("n", 7).over(w) + 1).alias("f")).where("f IS NOT NULL")
     return rounded(S.forecast_accuracy(pairs, "f", "a", KEYS))
+
+
+# --- forms with a closed solution, so that SQL can check the same code by value ------
+
+
+@query("z3_pacf_two_lags", f"""WITH {FILLED_SQL}, c AS (SELECT series, day, n - avg(n) OVER (PARTITION BY series) AS d, count(*) OVER (PARTITION BY series) AS cnt FROM filled),
+l AS (SELECT *, lag(d, 1) OVER (PARTITION BY series ORDER BY day) AS d1, lag(d, 2) OVER (PARTITION BY series ORDER BY day) AS d2 FROM c),
+r AS (SELECT series, sum(d * d1) / sum(d * d) AS r1, sum(d * d2) / sum(d * d) AS r2, {S.Z95} / sqrt(any_value(cnt)) AS b FROM l GROUP BY 1)
+SELECT series, 0 AS lag, 1.0::DOUBLE AS pacf, round(b, 6) AS bound95 FROM r UNION ALL SELECT series, 1, round(r1, 6), round(b, 6) FROM r
+UNION ALL SELECT series, 2, round((r2 - r1 * r1) / (1 - r1 * r1), 6), round(b, 6) FROM r""")
+def z3b(spark, sf):
+    return rounded(G.pacf(filled(spark, sf), KEYS, "day", "n", 2))
+
+
+@query("z4_adf_no_lags", f"""WITH {FILLED_SQL}, l AS (SELECT series, n - lag(n) OVER (PARTITION BY series ORDER BY day) AS dy, lag(n) OVER (PARTITION BY series ORDER BY day) AS y1 FROM filled),
+f AS (SELECT series, regr_slope(dy, y1) AS b, regr_syy(dy, y1) * (1 - regr_r2(dy, y1)) AS ssr, regr_sxx(dy, y1) AS sxx, count(y1) AS n FROM l WHERE y1 IS NOT NULL GROUP BY 1)
+SELECT series, round(b / sqrt(ssr / (n - 2) / sxx), 4) AS statistic, 0 AS n_lags, n::BIGINT AS n_obs FROM f""")
+def z4c(spark, sf):
+    out = G.adf(filled(spark, sf), KEYS, "day", "n", 0)
+    return out.select("series", F.round("statistic", 4).alias("statistic"), "n_lags", "n_obs")
+
+
+# Differencing alone has no coefficient to fit: the score is a sum of squares.
+PLAIN = [o for o in SE.ORDERS if o[0] + o[2] + o[3] + o[5] == 0]
+
+
+def _plain_sql(d, big_d):
+    burn = 1 + d + 20 * big_d
+    return f"""SELECT series, '(0, {d}, 0, 0, {big_d}, 0, 20)' AS "order", ln(2 * pi() * avg(w * w)) AS lg, count(*) AS k FROM (SELECT series, i, {
+        {(0, 0): 'n', (1, 0): 'n - n1', (0, 1): 'n - n20', (1, 1): 'n - n1 - n20 + n21'}[d, big_d]} AS w FROM lagged) WHERE i > {burn} GROUP BY 1"""
+
+
+@query("z6_sarima_grid_differences", f"""WITH {FILLED_SQL}, lagged AS (SELECT series, n, row_number() OVER w AS i, lag(n, 1) OVER w AS n1, lag(n, 20) OVER w AS n20, lag(n, 21) OVER w AS n21
+FROM filled WINDOW w AS (PARTITION BY series ORDER BY day)), u AS ({' UNION ALL '.join(_plain_sql(d, b) for d in (0, 1) for b in (0, 1))})
+SELECT series, "order", round(k * (lg + 1) + 2, 4) AS aic, round(k * (lg + 1) + ln(k), 4) AS bic FROM u""")
+def z6b(spark, sf):
+    return rounded(SE.sarima_grid(filled(spark, sf), KEYS, "day", "n", 20, PLAIN).drop("order_spec"), 4)
+
+
+WALK = [(0, 1, 0, 0, 0, 0)]
+
+
+def walk(spark, sf):
+    days = filled(spark, sf)
+    return days, SE.best_order(SE.sarima_grid(days, KEYS, "day", "n", 20, WALK), KEYS)
+
+
+@query("z7_fit_random_walk", f"""WITH {FILLED_SQL} SELECT series, CAST(day AS VARCHAR) AS day, n AS value, lag(n) OVER w AS fitted, n - lag(n) OVER w AS residual
+FROM filled WINDOW w AS (PARTITION BY series ORDER BY day)""")
+def z7b(spark, sf):
+    days, order = walk(spark, sf)
+    return day_text(rounded(SE.fit_best(days, KEYS, "day", "n", order)))
+
+
+@query("z9_forecast_random_walk", f"""WITH {FILLED_SQL}, r AS (SELECT series, day, n, n - lag(n) OVER w AS e, row_number() OVER w AS i FROM filled WINDOW w AS (PARTITION BY series ORDER BY day)),
+f AS (SELECT series, max(day) AS last_day, arg_max(n, day) AS m, sqrt(avg(e * e) FILTER (i > 2)) AS s FROM r GROUP BY 1), h AS (SELECT unnest(generate_series(1, 30)) AS h)
+SELECT series, CAST(CAST(last_day + h::INT AS DATE) AS VARCHAR) AS date, round(m, 4) AS predicted_mean, round(m - {S.Z95} * s * sqrt(h), 4) AS lower_bound,
+round(m + {S.Z95} * s * sqrt(h), 4) AS upper_bound FROM f, h""")
+def z9b(spark, sf):
+    days, order = walk(spark, sf)
+    return day_text(rounded(SE.forecast(days, KEYS, "day", "n", order, steps=30), 4), "date")
+
+
+@query("z10_granger_one_lag", f"""WITH w AS (SELECT o_orderpriority AS series, CAST(o_orderdate AS DATE) AS day, count(*)::DOUBLE AS n, count(*) FILTER (o_orderstatus = 'F')::DOUBLE AS c FROM orders GROUP BY ALL),
+span AS (SELECT series, unnest(generate_series(min(day)::TIMESTAMP, max(day)::TIMESTAMP, INTERVAL 1 DAY))::DATE AS day FROM w GROUP BY 1),
+f AS (SELECT series, day, coalesce(n, 0) AS n, coalesce(c, 0) AS c FROM span LEFT JOIN w USING (series, day)),
+l AS (SELECT series, n, c, lag(n) OVER (PARTITION BY series ORDER BY day) AS n1, lag(c) OVER (PARTITION BY series ORDER BY day) AS c1 FROM f),
+k AS (SELECT series, count(*) AS k, corr(n, n1) AS nn, corr(n, c1) AS nc, corr(c, c1) AS cc, corr(c, n1) AS cn, corr(n1, c1) AS x FROM l WHERE n1 IS NOT NULL GROUP BY 1),
+s AS (SELECT series, k, 1 - nn * nn AS rn, 1 - (nn * nn + nc * nc - 2 * nn * nc * x) / (1 - x * x) AS jn, 1 - cc * cc AS rc, 1 - (cc * cc + cn * cn - 2 * cc * cn * x) / (1 - x * x) AS jc FROM k)
+SELECT series, 'n' AS response, 'closed' AS cause, k * (rn - jn) / jn < 3.841458820694124 AS above FROM s
+UNION ALL SELECT series, 'closed', 'n', k * (rc - jc) / jc < 3.841458820694124 FROM s""")
+def z10b(spark, sf):
+    out = G.granger_matrix(multivariate(spark, sf), KEYS, "day", ["n", "closed"], 1, digits=12)
+    return out.where("response <> cause").select("series", "response", "cause", (F.col("p_value") > 0.05).alias("above"))
+
+
+@query("z13_var_select_one", f"""WITH {FILLED_SQL}, l AS (SELECT series, n AS y, lag(n) OVER (PARTITION BY series ORDER BY day) AS x FROM filled),
+f AS (SELECT series, ln(regr_syy(y, x) * (1 - regr_r2(y, x)) / count(x)) AS ld, count(x)::BIGINT AS n FROM l WHERE x IS NOT NULL GROUP BY 1)
+SELECT series, 1 AS lag_order, round(ld + 4 / n, 6) AS aic, round(ld + ln(n) * 2 / n, 6) AS bic, round((n + 2) / (n - 2) * exp(ld), 6) AS fpe, round(ld + 4 * ln(ln(n)) / n, 6) AS hqic, n FROM f""")
+def z13c(spark, sf):
+    return rounded(G.var_select(filled(spark, sf), KEYS, "day", ["n"], 1))
+
+
+@query("z14_var_forecast_one", f"""WITH RECURSIVE {FILLED_SQL}, l AS (SELECT series, day, n AS y, lag(n) OVER (PARTITION BY series ORDER BY day) AS x FROM filled),
+f AS (SELECT series, regr_slope(y, x) AS b, regr_intercept(y, x) AS a, max(day) AS last_day, arg_max(y, day) AS y FROM l WHERE x IS NOT NULL GROUP BY 1),
+r(series, step, n) AS (SELECT series, 0, y FROM f UNION ALL SELECT r.series, r.step + 1, f.a + f.b * r.n FROM r JOIN f ON f.series = r.series WHERE r.step < 20)
+SELECT r.series, r.step, CAST(CAST(last_day + step AS DATE) AS VARCHAR) AS day, round(r.n, 5) AS n FROM r JOIN f USING (series) WHERE r.step > 0""")
+def z14b(spark, sf):
+    return day_text(rounded(G.var_forecast(filled(spark, sf), KEYS, "day", ["n"], 1, 20), 5))

@@ -121,7 +121,7 @@ def t11(spark, sf):
     return T.top_tfidf_words(tokenised(spark, sf), "doc_id", "words", "lang", 10, digits=5)
 
 
-@query("t12_bag_of_words", f"""WITH {TF}, v AS (SELECT word, row_number() OVER (ORDER BY sum(tf) DESC, word)::INT - 1 AS term_id FROM tf
+@query("t12_bag_of_words", f"""WITH {TF}, v AS (SELECT word, row_number() OVER (ORDER BY sum(tf) DESC, word)::BIGINT - 1 AS term_id FROM tf
 GROUP BY word HAVING count(*) >= 2)
 SELECT doc_id, term_id, word, tf FROM tf JOIN v USING (word)""")
 def t12(spark, sf):

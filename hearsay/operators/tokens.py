@@ -8,12 +8,12 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import CountVectorizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from hearsay.functions import columns as C
 from hearsay.operators.reshape import top_k
 from hearsay.operators.skew import join_hot_split
-from hearsay.operators.windows import top_k_per_group
+from hearsay.operators.windows import top_k_per_group, with_row_id
 from hearsay.session import cut_lineage
 from hearsay.vocab import STOPWORDS, TOPIC_NOISE
 
@@ -119,24 +119,23 @@ def top_tfidf_words(df: DataFrame, row_id: str, tokens: str, label: str, k: int
     return top_k_per_group(scored, [label], "tf_idf", k).select(label, row_id, "word", "tf_idf", "rank")
 
 
-def vocabulary(frequencies: DataFrame, size: int = 1 << 18, min_df: int = 1) -> DataFrame:
-    """(word, df, total, term_id): the most used words, numbered from 0, ties by word.
-
-    The numbering window sees at most `size` rows: the limit comes first.
-    """
+def vocabulary(frequencies: DataFrame, size: int | None = None, min_df: int = 1) -> DataFrame:
+    """(word, df, total, term_id): words numbered from 0 by falling use, ties by word; all of them unless `size` is given."""
     counted = frequencies.groupBy("word").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
-    best = top_k(counted.where(F.col("df") >= min_df), "total", size, ["word"])
-    return best.withColumn("term_id", F.row_number().over(Window.orderBy(F.desc("total"), "word")) - 1)
+    used = counted.where(F.col("df") >= min_df)
+    best = used if size is None else top_k(used, "total", size, ["word"])
+    numbered = with_row_id(best, [F.desc("total"), "word"], name="term_id")
+    return numbered.withColumn("term_id", F.col("term_id") - 1)
 
 
-def bag_of_words(df: DataFrame, row_id: str, tokens: str, vocab_size: int = 1 << 18, min_df: int = 1) -> DataFrame:
+def bag_of_words(df: DataFrame, row_id: str, tokens: str, vocab_size: int | None = None, min_df: int = 1) -> DataFrame:
     """Sparse bags in long form: (row id, term_id, word, tf) over a fitted vocabulary."""
     frequencies = tf(df, row_id, tokens)
     terms = vocabulary(frequencies, vocab_size, min_df).drop("total")
     return join_hot_split(frequencies, terms, ["word"], "df").select(row_id, "term_id", "word", "tf")
 
 
-def fit_topics(df: DataFrame, tokens: str, k: int = 10, max_iter: int = 10, vocab_size: int = 1 << 16,
+def fit_topics(df: DataFrame, tokens: str, k: int = 10, max_iter: int = 10, vocab_size: int = 1 << 18,
                min_df: float = 1.0, seed: int = 17) -> PipelineModel:
     """Vocabulary and topics. The bags are checkpointed once, so the rounds do not tokenise again."""
     bag = CountVectorizer(inputCol=tokens, outputCol="bag", vocabSize=vocab_size, minDF=min_df).fit(df)
@@ -166,7 +165,7 @@ def topic_mixtures(model: PipelineModel, df: DataFrame, row_id: str) -> DataFram
 
 
 def topic_model(df: DataFrame, row_id: str, tokens: str, k: int = 10, n_words: int = 10, max_iter: int = 10,
-                vocab_size: int = 1 << 16) -> tuple[DataFrame, DataFrame]:
+                vocab_size: int = 1 << 18) -> tuple[DataFrame, DataFrame]:
     """Topics with their words, and every document's mixture."""
     model = fit_topics(df, tokens, k, max_iter, vocab_size)
     return topic_words(model, n_words), topic_mixtures(model, df, row_id)

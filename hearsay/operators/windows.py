@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hearsay.functions.columns import ratio
+from hearsay.operators.skew import join_hot_split
+from hearsay.session import cut_lineage
 
 
 def percent_of_total(df: DataFrame, value: str, digits: int = 2, name: str = "percent") -> DataFrame:
@@ -59,31 +61,27 @@ def top_k_per_group(df: DataFrame, group: Sequence[str], by: str, k: int, ties:
     return df.join(kept.drop("_n", "_row"), [*group, by])
 
 
-def with_row_id(df: DataFrame, order: Sequence[str], partition_by: Sequence[str] = (), name: str = "row_id",
-                buckets: int = 64) -> DataFrame:
-    """Row number over a real order.
+def with_row_id(df: DataFrame, order: Sequence[str | Column], partition_by: Sequence[str] = (), name: str = "row_id") -> DataFrame:
+    """Dense row numbers from 1 in a real order, global or within each group.
 
-    Global, or within each group of `partition_by`. The first order column
-    (number or time) is cut into value ranges, rows are numbered inside a
-    (group, range) cell, and the counts of the group's ranges before are added:
-    neither the whole table nor a group that holds much of it is sorted in one
-    task.
+    The rows are range-partitioned and sorted once and that layout is
+    checkpointed, so partition numbers and positions stay what they are. A
+    row's number is its position plus the rows of the partitions before; a
+    group's numbers start after its first row. No table or group is gathered
+    in one task: the window below has one row per partition.
     """
     keys = list(partition_by)
-    timed = isinstance(df.schema[order[0]].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))
-    lead = (F.col(order[0]).cast("timestamp") if timed else F.col(order[0])).cast("double")
-    probs = [i / buckets for i in range(1, buckets)]
-    cuts = sorted(set(df.select(lead.alias("v")).approxQuantile("v", probs, 0.5 / buckets)))
-    edges = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<double>")
-    ranged = df.withColumn("_range", F.size(F.filter(edges, lambda e: e < lead)))
-    counts = ranged.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select(*keys, "_range", F.coalesce(before, F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order))
-    # Without groups there are at most `buckets` offsets: the bound of the broadcast.
-    return (
-        ranged.withColumn("_inside", inside)
-        .join(offsets if keys else F.broadcast(offsets), [*keys, "_range"])
-        .withColumn(name, F.col("_before") + F.col("_inside"))
-        .drop("_range", "_inside", "_before")
-    )
+    fixed = cut_lineage(df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order))
+    part = F.spark_partition_id().alias("_part")
+    position = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = fixed.select("*", part, position.alias("_position"))
+    sizes = fixed.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    numbered = placed.join(F.broadcast(offsets), "_part").select(*df.columns, (F.col("_before") + F.col("_position") + 1).alias(name))
+    if not keys:
+        return numbered
+    grouped = numbered.withColumn("_group", F.to_json(F.struct(*keys)))
+    starts = grouped.groupBy("_group").agg((F.min(name) - 1).alias("_start"), F.count(F.lit(1)).alias("_rows"))
+    joined = join_hot_split(grouped, starts, ["_group"], "_rows")
+    return joined.select(*df.columns, (F.col(name) - F.col("_start")).alias(name))

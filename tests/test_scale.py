@@ -54,6 +54,8 @@ def test_row_ids_are_dense_and_ordered(skewed, groups):
     expected = {}
     for r in sorted(skewed.collect(), key=lambda r: (r.v, r.id)):
         expected.setdefault(r.k if groups else None, []).append(r.id)
+    null_key = skewed.select("id", F.when(F.col("k") != 0, F.col("k")).alias("k"), "v")
+    assert with_row_id(null_key, ["v", "id"], groups).count() == N
     for r in out:
         assert expected[r.k if groups else None][r.row_id - 1] == r.id
     assert len(out) == N
