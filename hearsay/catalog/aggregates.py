@@ -155,7 +155,7 @@ rank() OVER (PARTITION BY event_type ORDER BY round(value) DESC)::BIGINT AS rank
 @query("w2_top_k_per_group_ties", TIES_SQL)
 def w2(spark, sf):
     df = I.table(spark, sf, "events").select("event_type", "event_id", F.round("value").alias("score"))
-    return W.top_k_per_group(df, ["event_type"], "score", 10)
+    return W.top_k_per_group(df, ["event_type"], "score", 10, groups=df)
 
 
 @query("w2_top_k_per_group_rows", """SELECT event_type, event_id, value, rank FROM (SELECT event_type, event_id, value,

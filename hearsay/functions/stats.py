@@ -22,6 +22,11 @@ def normal_cdf(x: float) -> float:
     return 0.5 * math.erfc(-x / math.sqrt(2.0))
 
 
+def default_adf_lags(n: int) -> int:
+    """Usual largest lag order for a series of n values."""
+    return min(math.ceil(12 * (n / 100) ** 0.25), n // 2 - 2)
+
+
 def adf_p_value(tau: float) -> float:
     if tau > ADF_TAU_MAX:
         return 1.0

@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from hearsay.operators.skew import is_small, join_hot_split
+from hearsay.operators.skew import is_small, join_hot_split, salted_join
 
 
 def full_outer_daily(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
@@ -70,9 +70,7 @@ def cohort_activity(log: DataFrame, cohort: DataFrame, author: str = "author", r
     """
     if broadcast_rows and is_small(cohort, broadcast_rows):
         return log.join(F.broadcast(cohort), author, "left_semi").select(*log.columns)
-    parts = cohort.select(author, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
-    salted = log.withColumn("_salt", F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int"))
-    return salted.join(parts, [author, "_salt"], "left_semi").select(*log.columns)
+    return salted_join(log, cohort.select(author), [author], row_id, salts, "left_semi").select(*log.columns)
 
 
 def attach_by_text(df: DataFrame, text: str, compute: Callable[[DataFrame], DataFrame], outputs: Sequence[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hearsay.functions import columns as C
-from hearsay.operators.skew import broadcast_if_small
+from hearsay.operators.skew import is_small, salted_join
 
 
 def spelling_table(terms: Sequence[str] | Mapping[str, Sequence[str]], match: str) -> dict[str, str]:
@@ -55,16 +55,22 @@ def explode_mentions(df: DataFrame, text: str, terms: Sequence[str] | Mapping[st
     return C.explode_rows(df, term_hits(text, terms, match), out, "*")
 
 
-def explode_term_table(df: DataFrame, row_id: str, text: str, terms: DataFrame, longest: int, out: str = "term") -> DataFrame:
+def explode_term_table(df: DataFrame, row_id: str, text: str, terms: DataFrame, longest: int, out: str = "term",
+                       broadcast_rows: int = 200_000) -> DataFrame:
     """As `explode_mentions` for a (spelling, name) table too long to inline.
 
     The n-grams of each text join to the table, which is broadcast when a
-    bounded count shows that it is small; a longer one joins by shuffle.
-    Returns (row id, name), distinct.
+    bounded count shows that it is small; a longer one joins by shuffle, with
+    salted keys, since a common word may be a term. Returns (row id, name),
+    distinct.
     """
     grams = C.ngrams_of_lengths(C.clean_tokens(text, "space"), range(1, longest + 1))
     flat = C.explode_rows(df, F.array_distinct(grams), "spelling", row_id)
-    hits = flat.join(broadcast_if_small(terms.select("spelling", "name")), "spelling")
+    terms = terms.select("spelling", "name")
+    if is_small(terms, broadcast_rows):
+        hits = flat.join(F.broadcast(terms), "spelling")
+    else:
+        hits = salted_join(flat, terms, ["spelling"], row_id)
     return hits.select(row_id, F.col("name").alias(out)).distinct()
 
 

@@ -129,7 +129,7 @@ def adf(df: DataFrame, keys: Sequence[str], day: str, value: str, max_lag: int,
     All lag orders are compared on one common sample; the chosen one is then
     refitted on every row it can use. Both come from the same lagged table: the
     Gram is kept per range of starting rows, so a refit is a sum of Grams.
-    A usual `max_lag` is ceil(12 * (n / 100) ** 0.25).
+    `default_adf_lags` gives the usual `max_lag` for a series length.
     """
     w = over_days(keys, day)
     base = df.select(*keys, day, F.col(value).cast("double").alias("_y"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from hearsay.functions import columns as C
 from hearsay.operators.joins import attach_by_text
+from hearsay.operators.skew import join_hot_split
 from hearsay.vocab import SENTIMENT_CODES
 
 MAX_INLINE_LEXICON = 20_000
@@ -73,7 +74,9 @@ def _score_by_join(texts: DataFrame, text: str, lexicon: DataFrame) -> DataFrame
     words = C.explode_rows(keyed, C.clean_tokens(text), "word", "_text_key")
     counts = words.groupBy("_text_key", "word").agg(F.count(F.lit(1)).alias("_n"))
     weight = F.col("weight") * F.col("_n")
-    summed = counts.join(lexicon.select("word", "weight"), "word").groupBy("_text_key").agg(
+    # Lexicon words in use with the number of texts holding them: the weights of the skew-proof join.
+    used = counts.groupBy("word").agg(F.count(F.lit(1)).alias("_texts")).join(lexicon.select("word", "weight"), "word")
+    summed = join_hot_split(counts, used, ["word"], "_texts").groupBy("_text_key").agg(
         F.sum(F.greatest(weight, F.lit(0.0))).alias("positive_weight"),
         F.sum(F.greatest(-weight, F.lit(0.0))).alias("negative_weight"),
     )

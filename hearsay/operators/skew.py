@@ -31,6 +31,16 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
+def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], row_id: str, salts: int = 16, how: str = "inner") -> DataFrame:
+    """Join with every key split into `salts` parts by row id and the small side repeated for each part.
+
+    For a small side too long to broadcast whose hot keys are not known.
+    """
+    parts = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = big.withColumn("_salt", F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int"))
+    return salted.join(parts, [*keys, "_salt"], how).drop("_salt")
+
+
 def join_hot_split(
     big: DataFrame, dim: DataFrame, keys: Sequence[str], weight: str, share: float = 0.001, how: str = "inner",
     salts: int = 64,

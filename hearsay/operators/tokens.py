@@ -116,7 +116,7 @@ def tf_idf(df: DataFrame, row_id: str, tokens: str, keys: Sequence[str] = (), di
 def top_tfidf_words(df: DataFrame, row_id: str, tokens: str, label: str, k: int = 10, digits: int = 6) -> DataFrame:
     """The k largest single TF-IDF values per label with their words; ties kept."""
     scored = tf_idf(df, row_id, tokens, [label], digits)
-    return top_k_per_group(scored, [label], "tf_idf", k).select(label, row_id, "word", "tf_idf", "rank")
+    return top_k_per_group(scored, [label], "tf_idf", k, groups=df).select(label, row_id, "word", "tf_idf", "rank")
 
 
 def vocabulary(frequencies: DataFrame, size: int | None = None, min_df: int = 1) -> DataFrame:

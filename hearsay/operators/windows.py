@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hearsay.functions.columns import ratio
-from hearsay.operators.skew import join_hot_split
+from hearsay.operators.skew import is_small, join_hot_split
 from hearsay.session import cut_lineage
 
 
@@ -38,7 +38,7 @@ def share_within(df: DataFrame, group: Sequence[str], sub: Sequence[str], value:
 
 
 def top_k_per_group(df: DataFrame, group: Sequence[str], by: str, k: int, ties: str = "rank",
-                    tie_break: Sequence[str] = ()) -> DataFrame:
+                    tie_break: Sequence[str] = (), groups: DataFrame | None = None, max_groups: int = 1000) -> DataFrame:
     """The k largest rows of each group with their rank.
 
     `row` breaks ties by columns and keeps exactly k; Spark limits each group
@@ -46,6 +46,9 @@ def top_k_per_group(df: DataFrame, group: Sequence[str], by: str, k: int, ties:
     k-th: ranks come from the counts of the k largest distinct values, which
     join back by value, so a value shared by very many rows never meets in one
     task. `by` must then be reproducible, for instance a rounded value.
+    `groups` may name a cheap frame holding the group columns: when it has at
+    most `max_groups` distinct groups, the k values of each are broadcast and
+    the rows do not move.
     """
     group = list(group)
     if ties == "row":
@@ -58,7 +61,10 @@ def top_k_per_group(df: DataFrame, group: Sequence[str], by: str, k: int, ties:
     kept = values.withColumn("_row", F.row_number().over(w)).where(F.col("_row") <= k)
     before = F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1))
     kept = kept.withColumn("rank", F.coalesce(before, F.lit(0)) + 1).where(F.col("rank") <= k)
-    return df.join(kept.drop("_n", "_row"), [*group, by])
+    kept = kept.drop("_n", "_row")
+    if groups is not None and is_small(groups.select(*group).distinct(), max_groups):
+        kept = F.broadcast(kept)
+    return df.join(kept, [*group, by])
 
 
 def with_row_id(df: DataFrame, order: Sequence[str | Column], partition_by: Sequence[str] = (), name: str = "row_id") -> DataFrame:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from hearsay.functions.columns import community_or_keyword, total_of
 from hearsay.operators.aggregates import monthly_sum
@@ -30,15 +30,16 @@ def slice_log(comments: DataFrame, posts: DataFrame, community: str, keyword: st
     }
 
 
-def feed_counts(comments: DataFrame, posts: DataFrame, key, name: str, of: str = "id") -> DataFrame:
-    """Rows of each feed per key in one aggregation; null where a feed has no row.
+def feed_counts(comments: DataFrame, posts: DataFrame, key: Column, name: str, of: str | None = None) -> DataFrame:
+    """Rows (or non-null `of` values) of each feed per key in one aggregation; null where a feed has no row.
 
     The feeds are stacked as (key, is_post, counted) and counted side by side:
     one shuffle of pre-aggregated rows where two counts and an outer join would
     take three.
     """
     def narrow(df: DataFrame, post: bool) -> DataFrame:
-        return df.select(key.alias(name), F.lit(post).alias("_post"), F.col(of).isNotNull().cast("bigint").alias("_n"))
+        counted = F.lit(1).cast("bigint") if of is None else F.col(of).isNotNull().cast("bigint")
+        return df.select(key.alias(name), F.lit(post).alias("_post"), counted.alias("_n"))
 
     both = narrow(comments, False).unionAll(narrow(posts, True))
     return both.groupBy(name).agg(
@@ -49,7 +50,7 @@ def feed_counts(comments: DataFrame, posts: DataFrame, key, name: str, of: str =
 
 def community_interest(comments: DataFrame, posts: DataFrame, k: int = 100) -> DataFrame:
     """Where a cohort is active: comments, posts and total per community, the k largest."""
-    counts = feed_counts(comments, posts, F.col("community"), "community", of="community").where(F.col("community").isNotNull())
+    counts = feed_counts(comments, posts, F.col("community"), "community")
     counts = counts.fillna(0, ["comment_count", "submission_count"])
     counts = counts.withColumn("total_activity", total_of("comment_count", "submission_count"))
     return top_k(counts, "total_activity", k, ["community"])
@@ -58,7 +59,7 @@ def community_interest(comments: DataFrame, posts: DataFrame, k: int = 100) -> D
 def daily_counts(comments: DataFrame, posts: DataFrame, community: str) -> DataFrame:
     """(day, comment_count, submission_count) of one community."""
     here = F.col("community") == community
-    return feed_counts(comments.where(here), posts.where(here), F.to_date("ts"), "day")
+    return feed_counts(comments.where(here), posts.where(here), F.to_date("ts"), "day", of="id")
 
 
 def daily_activity(comments: DataFrame, posts: DataFrame, community: str, missing: str = "null") -> DataFrame:

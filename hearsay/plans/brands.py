@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from hearsay.functions import columns as C
 from hearsay.operators import mentions as M
-from hearsay.operators.aggregates import PERSONA_METRICS, author_metrics, co_mention_counts, persona, share_of_total
+from hearsay.operators.aggregates import PERSONA_METRICS, author_metrics, co_mention_counts, persona
 from hearsay.operators.reshape import melt, top_k, top_k_with_other
 from hearsay.operators.rows import drop_sentinels
 from hearsay.operators.sentiment import score_sentiment, sentiment_code
@@ -31,11 +31,15 @@ def share_of_voice(comments: DataFrame, posts: DataFrame, terms: Sequence[str],
                    post_text: str = "title", match: str = "word") -> DataFrame:
     """Mentions of each brand over comments and post titles, with whole percents.
 
-    All brands are counted in one pass over both feeds.
+    All brands are counted in one pass over both feeds; the total is taken
+    from that one row of counts.
     """
     texts = comments.select(F.col(comment_text).alias("text")).unionAll(posts.select(F.col(post_text).alias("text")))
     counted = texts.agg(*[F.count_if(C.mentions("text", t, match)).alias(t) for t in terms])
-    return share_of_total(melt(counted, [], terms, "brand", "total_count"), "total_count", 0)
+    counted = counted.withColumn("_all", sum((F.col(t) for t in terms[1:]), F.col(terms[0])))
+    long = melt(counted, ["_all"], terms, "brand", "total_count")
+    pct = F.bround(F.try_divide(F.col("total_count") * F.lit(100.0), F.col("_all")), 0)
+    return long.select("brand", "total_count", pct.alias("pct"))
 
 
 def product_mentions(df: DataFrame, text: str, vocab: Sequence[str], rules, k: int = 5, compat: bool = False) -> DataFrame:

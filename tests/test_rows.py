@@ -355,3 +355,18 @@ def test_top_words_drop_noise(spark):
     df = spark.createDataFrame([("The skin! thing, skin also 20",), ("glow skin",)], "t string")
     out = [tuple(r) for r in PB.top_words(df, "t", ["glow"], 5).collect()]
     assert out == [("skin", 3)]
+
+
+@pytest.mark.parametrize("limit", [100, 1])
+def test_term_table_by_broadcast_and_by_salted_join(spark, limit):
+    df = spark.createDataFrame([(1, "Cloud Paint and a tin"), (2, "cloudpaint"), (3, "thin paint"), (4, None)], "id int, t string")
+    terms = spark.createDataFrame([("cloud paint", "paint"), ("cloudpaint", "paint"), ("tin", "tin")], "spelling string, name string")
+    out = M.explode_term_table(df, "id", "t", terms, 2, broadcast_rows=limit)
+    assert sorted(map(tuple, out.collect())) == [(1, "paint"), (1, "tin"), (2, "paint")]
+
+
+def test_unknown_community_is_kept(spark, feeds):
+    comments, posts = feeds
+    blank = comments.limit(1).withColumn("community", F.lit(None).cast("string"))
+    out = {r.community: r.total_activity for r in PA.community_interest(comments.unionByName(blank), posts).collect()}
+    assert out == {"x": 6, "y": 2, "z": 1, None: 1}
