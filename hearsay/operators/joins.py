@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from hearsay.operators.skew import is_small, join_hot_split, salted_join
+from hearsay.operators.skew import is_small, join_hot_split
 
 
 def full_outer_daily(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
@@ -58,19 +58,20 @@ def cohort_of(comments: DataFrame, posts: DataFrame, community: str, community_c
     return both.distinct()
 
 
-def cohort_activity(log: DataFrame, cohort: DataFrame, author: str = "author", row_id: str = "id", salts: int = 16,
-                    broadcast_rows: int | None = None) -> DataFrame:
+def cohort_activity(log: DataFrame, cohort: DataFrame, author: str = "author", broadcast_rows: int | None = None) -> DataFrame:
     """All rows of the cohort's authors, wherever posted.
 
     A semi join: the author list never reaches the driver. With
     `broadcast_rows` the cohort is counted, up to that bound, and broadcast if
-    it fits, and the log does not move. Otherwise each author is split into
-    `salts` parts by row id, the small side repeated for each, so one very
-    busy author does not fill one task.
+    it fits, and the log does not move. Otherwise the cohort's authors get
+    their row counts, from a pass over the author column alone, and
+    `join_hot_split` keeps a very busy author out of a single task.
     """
     if broadcast_rows and is_small(cohort, broadcast_rows):
         return log.join(F.broadcast(cohort), author, "left_semi").select(*log.columns)
-    return salted_join(log, cohort.select(author), [author], row_id, salts, "left_semi").select(*log.columns)
+    rows = log.groupBy(author).agg(F.count(F.lit(1)).alias("_rows"))
+    weighted = rows.join(cohort.select(author).distinct(), author, "left_semi")
+    return join_hot_split(log, weighted, [author], "_rows").select(*log.columns)
 
 
 def attach_by_text(df: DataFrame, text: str, compute: Callable[[DataFrame], DataFrame], outputs: Sequence[str]) -> DataFrame:

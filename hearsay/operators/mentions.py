@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hearsay.functions import columns as C
-from hearsay.operators.skew import is_small, salted_join
+from hearsay.operators.skew import is_small, join_hot_split
 
 
 def spelling_table(terms: Sequence[str] | Mapping[str, Sequence[str]], match: str) -> dict[str, str]:
@@ -60,9 +60,9 @@ def explode_term_table(df: DataFrame, row_id: str, text: str, terms: DataFrame,
     """As `explode_mentions` for a (spelling, name) table too long to inline.
 
     The n-grams of each text join to the table, which is broadcast when a
-    bounded count shows that it is small; a longer one joins by shuffle, with
-    salted keys, since a common word may be a term. Returns (row id, name),
-    distinct.
+    bounded count shows that it is small. A longer one joins by shuffle: a
+    common word may be a term, so the spellings in use get their counts and
+    `join_hot_split` takes the hot ones out. Returns (row id, name), distinct.
     """
     grams = C.ngrams_of_lengths(C.clean_tokens(text, "space"), range(1, longest + 1))
     flat = C.explode_rows(df, F.array_distinct(grams), "spelling", row_id)
@@ -70,7 +70,10 @@ def explode_term_table(df: DataFrame, row_id: str, text: str, terms: DataFrame,
     if is_small(terms, broadcast_rows):
         hits = flat.join(F.broadcast(terms), "spelling")
     else:
-        hits = salted_join(flat, terms, ["spelling"], row_id)
+        names = terms.groupBy("spelling").agg(F.collect_set("name").alias("_names"))
+        used = flat.groupBy("spelling").agg(F.count(F.lit(1)).alias("_rows")).join(names, "spelling")
+        found = join_hot_split(flat, used, ["spelling"], "_rows")
+        hits = found.select(row_id, F.explode("_names").alias("name"))
     return hits.select(row_id, F.col("name").alias(out)).distinct()
 
 

@@ -31,19 +31,8 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
-def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], row_id: str, salts: int = 16, how: str = "inner") -> DataFrame:
-    """Join with every key split into `salts` parts by row id and the small side repeated for each part.
-
-    For a small side too long to broadcast whose hot keys are not known.
-    """
-    parts = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int"))
-    return salted.join(parts, [*keys, "_salt"], how).drop("_salt")
-
-
 def join_hot_split(
-    big: DataFrame, dim: DataFrame, keys: Sequence[str], weight: str, share: float = 0.001, how: str = "inner",
-    salts: int = 64,
+    big: DataFrame, dim: DataFrame, keys: Sequence[str], weight: str, share: float = 1e-5, how: str = "inner",
 ) -> DataFrame:
     """Join a skewed fact side to a table with one row per key, reading the fact side once.
 
@@ -51,8 +40,8 @@ def join_hot_split(
     can hold more than `share` of the total. Those go out as a broadcast whose
     size is bounded by that arithmetic. All other keys join by shuffle, in
     groups no larger than `share` of the rows; rows already served, and rows
-    with a null key, are scattered over `salts` parts by a hash of the row. No
-    row is dropped or capped.
+    with a null key, match nothing there and are scattered over all partitions
+    by a hash of the row. No row is dropped or capped.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"unsupported join type {how!r}")
@@ -68,7 +57,8 @@ def join_hot_split(
     if how == "inner":
         big = big.where(keyed)
     served = big.join(F.broadcast(hot), keys, "left")
-    scatter = F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int") + 1
+    hashable = [name for name, kind in big.dtypes if "map<" not in kind]
+    scatter = F.pmod(F.xxhash64(*hashable), F.lit(1 << 30)).cast("int") + 1
     salted = served.withColumn("_salt", F.when(F.col("_hot").isNull() & keyed, F.lit(0)).otherwise(scatter))
     joined = salted.join(cold, [*keys, "_salt"], "left").withColumn("_dim", F.coalesce("_hot", "_cold"))
     if how == "inner":

@@ -144,7 +144,7 @@ def test_community_interest(feeds):
     assert out == [("x", 4, 2, 6), ("y", 2, 0, 2)]
 
 
-def test_cohort_by_salted_and_broadcast_join(feeds):
+def test_cohort_by_hot_split_and_broadcast_join(feeds):
     comments, posts = feeds
     cohort = J.cohort_of(comments, posts, "x", exclude=[vocab.BOT_AUTHOR])
     assert sorted(r.author for r in cohort.collect()) == ["ann", "bob", "cat", "dan"]
@@ -358,7 +358,7 @@ def test_top_words_drop_noise(spark):
 
 
 @pytest.mark.parametrize("limit", [100, 1])
-def test_term_table_by_broadcast_and_by_salted_join(spark, limit):
+def test_term_table_by_broadcast_and_by_shuffle(spark, limit):
     df = spark.createDataFrame([(1, "Cloud Paint and a tin"), (2, "cloudpaint"), (3, "thin paint"), (4, None)], "id int, t string")
     terms = spark.createDataFrame([("cloud paint", "paint"), ("cloudpaint", "paint"), ("tin", "tin")], "spelling string, name string")
     out = M.explode_term_table(df, "id", "t", terms, 2, broadcast_rows=limit)

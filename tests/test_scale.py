@@ -26,7 +26,7 @@ def plan(df):
 
 
 @pytest.mark.parametrize("how", ["inner", "left"])
-@pytest.mark.parametrize("share", [0.001, 0.05, 1.0])
+@pytest.mark.parametrize("share", [1e-5, 0.01, 0.05, 1.0])
 def test_hot_split_equals_plain_join(skewed, how, share):
     dim = skewed.where("k < 300").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("top"))
     out = join_hot_split(skewed, dim, ["k"], "n", share, how)
@@ -63,7 +63,7 @@ def test_row_ids_are_dense_and_ordered(skewed, groups):
 
 def test_cohort_with_a_hot_author(skewed):
     cohort = skewed.where("k in (0, 7)").select("k").distinct()
-    out = J.cohort_activity(skewed, cohort, "k", "id")
+    out = J.cohort_activity(skewed, cohort, "k")
     assert out.count() == skewed.where("k in (0, 7)").count()
 
 
@@ -107,3 +107,9 @@ def test_daily_activity_has_one_shuffle(spark):
 
 def test_cohort_is_a_semi_join(spark):
     assert "LeftSemi" in plan(queries()["j9_cohort_semi_join"](spark, SF))
+
+
+def test_small_cohort_leaves_the_log_in_place(spark, skewed):
+    cohort = skewed.select("k").where("k = 7").distinct()
+    text = plan(J.cohort_activity(skewed, cohort, "k", broadcast_rows=10))
+    assert "BroadcastHashJoin" in text and text.count("Exchange hashpartitioning") == 1
