@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import struct
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -16,7 +16,7 @@ from hearsay.session import ship_package
 
 CAPACITY = 2048
 #: Words whose ids a Python worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long"
 
 
@@ -27,28 +27,84 @@ def default_tokenizer() -> str:
 
 
 class WordEncoder:
-    """Ids of texts for a tokenizer that never joins text across white space.
-
-    Words are encoded once and remembered as bytes of little-endian 32-bit ids;
-    the memory starts anew when it is full, which changes no result.
+    """Ids of texts, as little-endian 32-bit bytes, for a tokenizer that never joins text across white space.
+
+    Each distinct word is encoded once and remembered. A word is a stem and
+    trailing marks, which the tokenizer never joins either; ASCII capitals make
+    no difference to it. New stems of letters are encoded as one text, in which
+    every stem ends with the only token that ends a word; should these not add
+    up, and for all other stems, each is encoded by itself. The memories start
+    anew when full, which changes no result.
     """
 
+    MARKS = b".,!*#$%&;:?"
+
     def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.room = Tokenizer.from_file(path), {}, remembered
-
-    def __call__(self, text: bytes) -> bytes:
-        words = text.split()
-        known = self.known
-        new = [w for w in set(words) if w not in known]
-        if new:
-            if len(known) + len(new) > self.room:
-                self.known = known = {}
-                new = list(set(words))
-            made = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-            known.update((w, struct.pack(f"<{len(e.ids)}I", *e.ids)) for w, e in zip(new, made))
-        return b"".join([known[w] for w in words])
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.tokenizer, self.room = Tokenizer.from_file(path), remembered
+        self.words: dict[bytes, bytes] = {}
+        self.stems: dict[bytes, bytes] = {b"": b""}
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _split(self, word: bytes) -> tuple[bytes, bytes]:
+        stem = word.rstrip(self.MARKS)
+        if len(stem) < len(word) and stem and stem.decode(errors="replace")[-1].isalpha():
+            return stem.lower(), word[len(stem):]
+        return word.lower() if word.isalpha() else word, b""
+
+    def _learn(self, stems: list[bytes]) -> None:
+        letters = [s for s in stems if s.decode().isalpha()]
+        for at in range(0, len(letters), 4096):
+            some = letters[at: at + 4096]
+            ids = self._ids(" ".join(s.decode() for s in some))
+            last = np.flatnonzero(self.ends[ids]) + 1
+            if len(last) == len(some):
+                raw, cuts = ids.tobytes(), [0, *(4 * last).tolist()]
+                self.stems.update((s, raw[i:j]) for s, i, j in zip(some, cuts, cuts[1:]))
+        for s in stems:
+            if s not in self.stems:
+                self.stems[s] = self._ids(s.decode()).tobytes()
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        if len(self.words) > self.room:
+            self.words = {}
+        if len(self.stems) > self.room:
+            self.stems = {b"": b""}
+        split = [t.split() for t in texts]
+        new = {w: self._split(w) for w in set().union(*split) if w not in self.words}
+        self._learn([s for s in {s for pair in new.values() for s in pair} if s not in self.stems])
+        self.words.update((w, self.stems[a] + self.stems[b]) for w, (a, b) in new.items())
+        known = self.words
+        return [b"".join(map(known.__getitem__, words)) for words in split]
+
+
+_encoders: dict[str, WordEncoder] = {}
+
+
+def worker_encoder(path: str) -> WordEncoder:
+    """One encoder for each Python worker, which serves many tasks."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
+
+
+def groups_of(texts: list[bytes], most: int = 1 << 20) -> Iterator[list[bytes]]:
+    """Consecutive texts of about `most` bytes together, so that the words of one group fit in memory."""
+    group, size = [], 0
+    for text in texts:
+        group.append(text)
+        size += len(text)
+        if size >= most:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
 
 
 def cut_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
@@ -58,11 +114,12 @@ def cut_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, capa
     schema = PIECES.format(id=rows.schema["doc_id"].dataType.simpleString())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end, width = WordEncoder(tokenizer), bytes(4), 4 * capacity
+        encode, end, width = worker_encoder(tokenizer), bytes(4), 4 * capacity
         for batch in batches:
             owner, piece, length, crc = [], [], [], []
-            for i, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
-                ids = encode(text or b"") + end
+            texts = [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]
+            for i, ids in enumerate(ids for group in groups_of(texts) for ids in encode(group)):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), width)):
                     part = ids[at: at + width]
                     owner.append(i), piece.append(k), length.append(len(part) // 4), crc.append(zlib.crc32(part))
