@@ -50,7 +50,7 @@ class WordEncoder:
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def _split(self, word: bytes) -> tuple[bytes, bytes]:
         stem = word.rstrip(self.MARKS)
@@ -60,8 +60,8 @@ class WordEncoder:
 
     def _learn(self, stems: list[bytes]) -> None:
         letters = [s for s in stems if s.decode().isalpha()]
-        for at in range(0, len(letters), 4096):
-            some = letters[at: at + 4096]
+        for at in range(0, len(letters), 512):
+            some = letters[at: at + 512]
             ids = self._ids(" ".join(s.decode() for s in some))
             last = np.flatnonzero(self.ends[ids]) + 1
             if len(last) == len(some):

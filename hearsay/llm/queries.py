@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hearsay.llm import exact_dedup, mixing, packing, quality, simhash
+from hearsay.llm import exact_dedup, mixing, packing, quality, rules, simhash, surrogates
 from hearsay.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,3 +50,13 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.train_quality(docs, table(spark, sf_dir, "labels"))
     return quality.score_quality(docs, model).select(
         "doc_id", (quality.fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op6_quality_rules", rules.SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
+@query("op10_private_surrogates")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace_private(table(spark, sf_dir, "documents"), key="corpus-surrogates")
