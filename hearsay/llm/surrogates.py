@@ -23,20 +23,22 @@ SYLLABLES = {"latin": ["ba", "do", "fe", "ga", "ki", "lo", "mu", "ne", "po", "ra
 _UP = r"[\p{Lu}][\p{Ll}]+"
 _ALL_TITLES = "|".join(t for names in TITLES.values() for t in names)
 _ALL_GIVEN = "|".join(n for names in GIVEN.values() for n in names)
+_INITIALS = "".join(sorted({n[0] for names in (*TITLES.values(), *GIVEN.values()) for n in names}))
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
-    "secret": r"(?i:(?<![a-z])(?:token|secret|password|passwd|pwd|api[_\-]?key)[ ]?[=:][ ]?[\"']?[A-Za-z0-9/+_\-]{8,}[\"']?)|(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{16,}|[0-9a-f]{32,64})(?![A-Za-z0-9])",
+    "secret": r"(?=[tspaTSPA])(?i:(?<![a-z])(?:token|secret|password|passwd|pwd|api[_\-]?key)[ ]?[=:][ ]?[\"']?[A-Za-z0-9/+_\-]{8,}[\"']?)|(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9]{16,}|[0-9a-f]{32,64})(?![A-Za-z0-9])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d])(?!\.\d)",
     "card": r"(?<![\d])\d{4}([ \-]?)\d{4}\1\d{4}\1\d{1,7}(?![\d])",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "phone": r"(?<![\d\w+])(?:\+\d{1,3}[ .\-]?)?\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]?\d{3,4}(?!\d)|(?<![\d\w+])\+\d{1,3}(?:[ .\-]?\d{2,4}){2,4}(?!\d)|(?<![\d\w+.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\d.\-])",
-    "person": rf"(?<!\p{{L}})(?:(?:{_ALL_TITLES})\.?[ ]{_UP}(?:[ ]{_UP})?|(?:{_ALL_GIVEN})[ ]{_UP})(?!\p{{L}})",
+    "person": rf"(?=[{_INITIALS}])(?<!\p{{L}})(?:(?:{_ALL_TITLES})\.?[ ]{_UP}(?:[ ]{_UP})?|(?:{_ALL_GIVEN})[ ]{_UP})(?!\p{{L}})",
 }
 # The one capturing group (the separator of a card) keeps its number when it stands first.
 ORDER = ["card", "email", "secret", "ip", "ssn", "phone", "person"]
 ENTITY = "|".join(f"(?:{PATTERNS[k]})" for k in ORDER)
 SECRET_HEAD = r"^(?i:(?:token|secret|password|passwd|pwd|api[_\-]?key)[ ]?[=:][ ]?[\"']?)"
-MAYBE = rf"@|\d\d|\d\.\d|[=:]|(?:{_ALL_TITLES}|{_ALL_GIVEN}) "
+# Every entity holds one of these; most texts hold none.
+MAYBE = rf"[@]|\d\d|\d\.\d|(?=[tspaTSPA])(?i:token|secret|passw|pwd|api)|AKIA|gh[pousr]_|sk-|[0-9a-f]{{32}}|(?=[{_INITIALS}])(?:{_ALL_TITLES}|{_ALL_GIVEN})[. ]"
 
 
 def kind_of(raw: Column) -> Column:
@@ -114,7 +116,10 @@ def _name(canon: Column, gender: Column, stream: Column, attempt: Column) -> Col
 
 def surrogate(key: str, kind: Column, canon: Column, gender: Column, attempt: Column) -> Column:
     """A replacement of the same type and format. From the fourth attempt on it grows, so that small formats don't run out."""
-    stream = _stream(key, kind, canon, attempt)
+    return let(_stream(key, kind, canon, attempt), lambda stream: _surrogate(kind, canon, gender, attempt, stream))
+
+
+def _surrogate(kind: Column, canon: Column, gender: Column, attempt: Column, stream: Column) -> Column:
     longer = F.when(attempt > 3, F.substring(stream, 100, 1 + 4)).otherwise(F.lit(""))
     shaped = _same_shape(canon, stream, canon.rlike("^[0-9a-f]+$"))
     local, domain = F.substring_index(shaped, "@", 1), F.substring_index(shaped, "@", -1)
@@ -181,7 +186,8 @@ def replace_private(
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("_key"))
     hits = F.regexp_extract_all(F.col("text"), F.lit(ENTITY), F.lit(0))
-    found = rows.where(F.col("text").rlike(MAYBE)).select("_key", F.explode(hits).alias("raw"))
+    rows = rows.withColumn("_maybe", F.coalesce(F.col("text").rlike(MAYBE), F.lit(False)))
+    found = rows.where("_maybe").select("_key", F.explode(hits).alias("raw"))
     found = materialise(found.groupBy("_key", "raw").agg(F.count(F.lit(1)).alias("n")), "mentions")
     raws = found.groupBy("raw").agg(F.count(F.lit(1)).alias("weight")).withColumn("kind", kind_of(F.col("raw"))).where("kind IS NOT NULL")
     raws = raws.withColumn("canon", canonical(F.col("kind"), F.col("raw"))).withColumn("gender", gender_of(F.col("raw")))
@@ -194,10 +200,12 @@ def replace_private(
     maps = join_weighted(found, spoken, ["raw"], "weight").groupBy("_key").agg(
         F.map_from_entries(F.collect_list(F.struct("raw", "said"))).alias("_said"), F.array_sort(F.collect_set("kind")).alias("kinds"))
     maps = materialise(maps, "replacements")
-    joined = rows.join(maps, "_key", "left")
+    # Only texts that may hold an entity move, at every size by the same kind of join.
+    clean = rows.where("NOT _maybe").select("doc_id", "text", F.lit(0).cast("long").alias("n_entities"), F.array().cast("array<string>").alias("kinds"))
+    joined = rows.where("_maybe").join(maps.hint("merge"), "_key", "left")
     parts, said = F.split("text", ENTITY, -1), F.regexp_extract_all(F.col("text"), F.lit(ENTITY), F.lit(0))
     new = F.array_join(F.flatten(F.zip_with(parts, said, lambda p, h: F.array(p, F.coalesce(F.element_at(F.col("_said"), h), h, F.lit(""))))), "")
-    return joined.select(
+    return clean.unionByName(joined.select(
         "doc_id", F.when(F.col("_said").isNull(), F.col("text")).otherwise(new).alias("text"),
         F.when(F.col("_said").isNull(), 0).otherwise(F.size(said)).cast("long").alias("n_entities"),
-        F.coalesce("kinds", F.array().cast("array<string>")).alias("kinds"))
+        F.coalesce("kinds", F.array().cast("array<string>")).alias("kinds")))
