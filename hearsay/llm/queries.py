@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hearsay.llm import exact_dedup, mixing, packing, quality, rules, simhash, surrogates
+from hearsay.llm import exact_dedup, language_model, licenses, mixing, packing, quality, rules, simhash, surrogates
 from hearsay.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,3 +60,15 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_private_surrogates")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.replace_private(table(spark, sf_dir, "documents"), key="corpus-surrogates")
+
+
+@query("op2_language_model_scores")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_texts(table(spark, sf_dir, "documents"))
+
+
+@query("op7_license_scans")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files below source and language."""
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan_licenses(docs.select("doc_id", F.concat_ws("/", "source", "lang", "doc_id").alias("path"), "text"))
