@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hearsay.llm import exact_dedup, language_model, licenses, mixing, packing, quality, rules, simhash, surrogates
+from hearsay.llm import exact_dedup, language_model, licenses, mixing, packing, quality, repeats, rules, simhash, surrogates
 from hearsay.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,3 +72,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files below source and language."""
     docs = table(spark, sf_dir, "documents")
     return licenses.scan_licenses(docs.select("doc_id", F.concat_ws("/", "source", "lang", "doc_id").alias("path"), "text"))
+
+
+@query("op9_suffix_array_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
