@@ -15,7 +15,7 @@ from hearsay.session import ship_package
 
 LENGTH, GRAM = 100, 32
 #: Bytes of text that are hashed at once, and strings that are merged by one task.
-BLOCK, BUCKET = 1 << 20, 2000
+BLOCK, BUCKET = 1 << 20, 500
 _RNG = np.random.default_rng(11)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
 _PLACE = np.uint64((1 << 24) - 1)
@@ -109,25 +109,26 @@ def merge_transforms(shards: list[np.ndarray], depth: int = LENGTH) -> tuple[np.
     No suffix is sorted anew. Ends of strings keep their order and stand alone.
     """
     which = np.repeat(np.arange(len(shards), dtype=np.uint8), [len(b) for b in shards])
-    at = np.concatenate([[0], np.cumsum([len(b) for b in shards])[:-1]]).astype(np.int64)
     joined = np.concatenate(shards)
     ends = [int((b == 0).sum()) for b in shards]
     n_ends = sum(ends)
     end_shard = np.repeat(np.arange(len(shards), dtype=np.uint8), ends)
-    block = np.zeros(len(which), np.int64)
+    block = np.zeros(len(which), np.int32)
+    # The letters dealt out are the same in every round, and so are the borders between them.
+    dealt = np.sort(joined)
+    border = np.ones(len(which), bool)
+    border[1:] = dealt[1:] != dealt[:-1]
+    border[: n_ends + 1] = True
+    letters = np.empty(len(which), np.uint8)
     for _ in range(depth):
         # The k-th place of a shard in the interleave reads the k-th byte of its transform.
-        by_shard = np.argsort(which, kind="stable")
-        letters = np.empty(len(which), np.uint8)
-        letters[by_shard] = joined
+        letters[np.concatenate([np.flatnonzero(which == k) for k in range(len(shards))])] = joined
         order = np.argsort(letters, kind="stable")
-        new, source = which[order], block[order]
-        letters = letters[order]
-        new[:n_ends] = end_shard
-        parted = np.ones(len(which), bool)
-        parted[1:] = (letters[1:] != letters[:-1]) | (source[1:] != source[:-1])
-        parted[: n_ends + 1] = True
-        which, block = new, np.cumsum(parted) - 1
+        which, block = which[order], block[order]
+        which[:n_ends] = end_shard
+        parted = border.copy()
+        parted[1:] |= block[1:] != block[:-1]
+        block = np.cumsum(parted, dtype=np.int32)
     return which, block
 
 
@@ -224,15 +225,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = rows.schema["doc_id"].dataType.simpleString()
     every = rows.mapInArrow(_occurrences, f"h long, sid long, doc_id {kind}, rid long, start long, n int")
     shared = every.groupBy("h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("h")
-    runs = materialise(every.join(shared.hint("merge"), "h", "left_semi"), "runs")
+    runs = materialise(every.join(shared.hint("merge"), "h", "left_semi"), "runs", "zstd")
 
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "rid", "start", "n")
-    strings = materialise(runs.groupBy("h", "sid").agg(F.min(place).alias("p"), F.count(F.lit(1)).alias("times")).select("h", "sid", "p.*", "times"), "strings")
+    strings = materialise(runs.groupBy("h", "sid").agg(F.min(place).alias("p"), F.count(F.lit(1)).alias("times")).select("h", "sid", "p.*", "times"), "strings", "zstd")
     again = strings.where("times > 1").select("h", "sid", F.col("rid").alias("_r"), F.col("start").alias("_s"))
     copies = runs.join(again.hint("merge"), ["h", "sid"]).where("rid <> _r OR start <> _s").select("rid", F.col("start").alias("first"), (F.col("start") + F.col("n") - 1 + LENGTH).alias("last"))
 
     several = strings.groupBy("h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("h")
-    contested = materialise(strings.join(several.hint("merge"), "h", "left_semi"), "contested")
+    contested = materialise(strings.join(several.hint("merge"), "h", "left_semi"), "contested", "zstd")
     wanted = contested.groupBy("rid").agg(F.collect_list(F.struct("h", "start", "n")).alias("wanted"))
     held = rows.select("rid", F.col("doc_id"), F.encode("_text", "UTF-8").alias("_bytes")).join(wanted.hint("merge"), "rid").select("rid", "doc_id", "_bytes", F.explode("wanted").alias("x"))
     held = held.select("rid", "doc_id", "x.h", "x.start", F.substring("_bytes", F.col("x.start").cast("int") + 1, F.col("x.n") + LENGTH - 1).alias("bytes"))
@@ -241,6 +242,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                        F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("_rank"))
     windows = held.groupBy("_bucket").applyInArrow(_merge_bucket, "rid long, first long, last long")
 
-    spans = copies.unionByName(windows).groupBy("rid").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
-    return rows.join(materialise(spans, "spans").hint("merge"), "rid", "left").select("doc_id", "_text", "spans").mapInArrow(
+    spans = copies.unionByName(windows).groupBy("rid").agg(F.collect_list(F.struct("first", "last")).alias("spans", "zstd"))
+    return rows.join(materialise(spans, "spans", "zstd").hint("merge"), "rid", "left").select("doc_id", "_text", "spans", "zstd").mapInArrow(
         _cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
