@@ -242,6 +242,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                        F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("_rank"))
     windows = held.groupBy("_bucket").applyInArrow(_merge_bucket, "rid long, first long, last long")
 
-    spans = copies.unionByName(windows).groupBy("rid").agg(F.collect_list(F.struct("first", "last")).alias("spans", "zstd"))
-    return rows.join(materialise(spans, "spans", "zstd").hint("merge"), "rid", "left").select("doc_id", "_text", "spans", "zstd").mapInArrow(
+    spans = copies.unionByName(windows).groupBy("rid").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    return rows.join(materialise(spans, "spans", "zstd").hint("merge"), "rid", "left").select("doc_id", "_text", "spans").mapInArrow(
         _cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
