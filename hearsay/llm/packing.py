@@ -164,8 +164,9 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
 def _pack_rows(rows: pd.DataFrame, part: int, level: int, capacity: int) -> pd.DataFrame:
     """Pack the bins of one partition; a bin that isn't nearly full goes on as one item."""
     rows = rows.sort_values(["sequence_id", "offset"], kind="stable", ignore_index=True)
-    item = (rows["sequence_id"] != rows["sequence_id"].shift()).cumsum().to_numpy() - 1
-    sizes = np.bincount(item, rows["length"].to_numpy()).astype(np.int64) if len(rows) else np.zeros(0, np.int64)
+    ids = rows["sequence_id"].to_numpy()
+    item = np.cumsum(np.concatenate(([0], ids[1:] != ids[:-1])))[: len(ids)]
+    sizes = np.bincount(item, rows["length"].to_numpy()).astype(np.int64)
     where, offset, fill = best_fit(sizes, capacity)
     return rows.assign(
         sequence_id=(np.int64(level) << 56) + (np.int64(part) << 32) + where[item], offset=rows["offset"].to_numpy() + offset[item], fill=fill[where[item]])
