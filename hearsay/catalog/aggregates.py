@@ -158,6 +158,13 @@ def w2(spark, sf):
     return W.top_k_per_group(df, ["event_type"], "score", 10, groups=df)
 
 
+@query("w2_top_k_nullable_group", """SELECT quality, doc_id, n_chars, rank FROM (SELECT quality, doc_id, n_chars,
+rank() OVER (PARTITION BY quality ORDER BY n_chars DESC) AS rank FROM documents LEFT JOIN labels USING (doc_id)) WHERE rank <= 5""")
+def w2c(spark, sf):
+    df = I.table(spark, sf, "documents").join(I.table(spark, sf, "labels"), "doc_id", "left").select("quality", "doc_id", "n_chars")
+    return W.top_k_per_group(df, ["quality"], "n_chars", 5)
+
+
 @query("w2_top_k_per_group_rows", """SELECT event_type, event_id, value, rank FROM (SELECT event_type, event_id, value,
 row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id)::INT AS rank FROM events) WHERE rank <= 10""")
 def w2b(spark, sf):

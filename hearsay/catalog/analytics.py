@@ -137,6 +137,14 @@ def b11b(spark, sf):
     return rounded(PB.product_sentiment(scored_texts(spark, sf), "body", I.PRODUCTS, 5))
 
 
+@query("b11_product_sentiment_top_labels", f"""WITH {SCORED}, {CLEAN_DOCS}, {HITS}, {SHARES}
+SELECT * FROM shares QUALIFY row_number() OVER (PARTITION BY sentiment ORDER BY ratio DESC, product) <= 10""")
+def b11d(spark, sf):
+    scored = scored_texts(spark, sf)
+    tops = [PB.product_sentiment(scored, "body", I.PRODUCTS, 10, label) for label in ("positive", "neutral", "negative")]
+    return rounded(tops[0].unionByName(tops[1]).unionByName(tops[2]))
+
+
 @query("b11_explode_term_table", f"""WITH g AS (SELECT l.doc_id, {I.clean_sql('d.text')} AS t FROM documents d JOIN documents l USING (doc_id)),
 t AS (SELECT DISTINCT p_name AS term FROM part UNION SELECT unnest(['{"', '".join(I.PRODUCTS)}']))
 SELECT DISTINCT doc_id, term FROM g JOIN t ON contains(g.t, ' ' || term || ' ')""")

@@ -163,13 +163,13 @@ def j4(spark, sf):
     return day_text(J.join_on(I.event_days(spark, sf), tops, ["day", "series"]).select("day", "series", "n", "top"))
 
 
-@query("j5_merge_counts_zero_fill", """WITH a AS (SELECT s_nationkey AS k, count(*)::BIGINT AS suppliers FROM supplier WHERE s_acctbal > 5000 GROUP BY 1),
-b AS (SELECT c_nationkey AS k, count(*)::BIGINT AS customers FROM customer WHERE c_acctbal > 9000 GROUP BY 1)
+@query("j5_merge_counts_zero_fill", """WITH a AS (SELECT s_nationkey AS k, count(*)::BIGINT AS suppliers FROM supplier GROUP BY 1),
+b AS (SELECT c_nationkey AS k, count(*)::BIGINT AS customers FROM customer GROUP BY 1)
 SELECT k, coalesce(suppliers, 0)::BIGINT AS suppliers, coalesce(customers, 0)::BIGINT AS customers,
  (coalesce(suppliers, 0) + coalesce(customers, 0))::BIGINT AS total_activity FROM a FULL JOIN b USING (k)""")
 def j5(spark, sf):
-    a = I.table(spark, sf, "supplier").where("s_acctbal > 5000").groupBy(F.col("s_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("suppliers"))
-    b = I.table(spark, sf, "customer").where("c_acctbal > 9000").groupBy(F.col("c_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("customers"))
+    a = I.table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("suppliers"))
+    b = I.table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("customers"))
     return J.merge_counts_zero_fill(a, b, "k")
 
 
@@ -224,6 +224,13 @@ def j12b(spark, sf):
     return W.share_within(I.table(spark, sf, "part"), ["p_brand"], ["p_type"], digits=6, wide_groups=True)
 
 
+@query("j12_share_nullable_group", """WITH c AS (SELECT quality, lang, count(*)::BIGINT AS value FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ALL)
+SELECT quality, lang, value, sum(value) OVER (PARTITION BY quality)::BIGINT AS total_count, round(value / sum(value) OVER (PARTITION BY quality), 6) AS ratio FROM c""")
+def j12c(spark, sf):
+    df = I.table(spark, sf, "documents").join(I.table(spark, sf, "labels"), "doc_id", "left")
+    return W.share_within(df, ["quality"], ["lang"], digits=6, wide_groups=True)
+
+
 @query("j13_forecast_with_interval")
 def j13(spark, sf):
     from hearsay.catalog.series import seasonal_forecast

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hearsay.operators.skew import spread
 from hearsay.vocab import PUNCTUATION
 
 POST_TYPES = ["signup", "purchase"]
@@ -33,8 +32,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    """The text table, spread over the cores when it is one small file."""
-    return spread(table(spark, sf, "documents").select("doc_id", "text", "source", "lang"), "doc_id")
+    """The text table."""
+    return table(spark, sf, "documents").select("doc_id", "text", "source", "lang")
 
 
 def log(spark: SparkSession, sf: str) -> DataFrame:

@@ -75,7 +75,7 @@ def classed_events(spark, sf):
 
 @query("m4_fit_per_group")
 def m4(spark, sf):
-    return L.fit_per_group(classed_events(spark, sf), "event_type", ["view", "signup"], ["k", "hour"], "y", "event_id")
+    return L.fit_per_group(classed_events(spark, sf), "event_type", ["click", "error", "purchase", "signup", "view"], ["k", "hour"], "y", "event_id")
 
 
 def guesses(spark, sf):

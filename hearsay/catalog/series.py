@@ -59,13 +59,13 @@ def z3(spark, sf):
 
 @query("z4_adf")
 def z4(spark, sf):
-    return rounded(G.adf(filled(spark, sf), KEYS, "day", "n", 12))
+    return rounded(G.adf(filled(spark, sf), KEYS, "day", "n"))
 
 
 @query("z4_adf_differenced")
 def z4b(spark, sf):
     diffs = S.difference(filled(spark, sf), KEYS, "day", "n", 1).where(F.col("n_diff").isNotNull())
-    return rounded(G.adf(diffs, KEYS, "day", "n_diff", 12))
+    return rounded(G.adf(diffs, KEYS, "day", "n_diff"))
 
 
 @query("z5_decompose", f"""WITH {FILLED_SQL}, t AS (SELECT series, day, n, CASE WHEN count(n) OVER w = 7 THEN avg(n) OVER w END AS trend,
@@ -76,16 +76,13 @@ def z5(spark, sf):
     return day_text(rounded(S.decompose(filled(spark, sf), KEYS, "day", "n", 7)))
 
 
-SMALL_ORDERS = [o for o in SE.ORDERS if o[0] + o[2] + o[3] + o[5] <= 2]
-
-
 @query("z6_sarima_grid")
 def z6(spark, sf):
     return rounded(SE.sarima_grid(filled(spark, sf), KEYS, "day", "n", 20).drop("order_spec"), 4)
 
 
 def best(spark, sf):
-    return SE.best_order(SE.sarima_grid(filled(spark, sf), KEYS, "day", "n", 20, SMALL_ORDERS), KEYS)
+    return SE.best_order(SE.sarima_grid(filled(spark, sf), KEYS, "day", "n", 20), KEYS)
 
 
 @query("z7_fit_best")

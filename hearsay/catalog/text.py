@@ -131,13 +131,13 @@ def t12(spark, sf):
 @query("t13_topic_words")
 def t13(spark, sf):
     df = T.simple_words(docs(spark, sf), "text")
-    return T.topic_words(T.fit_topics(df, "words", 10, max_iter=5), 10)
+    return T.topic_words(T.fit_topics(df, "words", 10), 10)
 
 
 @query("t13_topic_mixtures")
 def t13b(spark, sf):
     df = T.simple_words(docs(spark, sf), "text")
-    return T.topic_mixtures(T.fit_topics(df, "words", 10, max_iter=5), df, "doc_id")
+    return T.topic_mixtures(T.fit_topics(df, "words", 10), df, "doc_id")
 
 
 FOLD = f"translate(lower(text), '{C.ACCENTED}', '{C.UNACCENTED}')"
@@ -175,7 +175,7 @@ def n1b(spark, sf):
 def n2(spark, sf):
     df = tokenised(spark, sf)
     labelled = df.join(I.table(spark, sf, "labels").select("doc_id", F.col("toxic").cast("double").alias("y")), "doc_id")
-    model = N.train_sentiment(labelled, "words", "y", max_iter=10)
+    model = N.train_sentiment(labelled, "words", "y")
     return N.apply_sentiment(model, df, ["positive", "negative"]).select(
         "doc_id", "sentiment", F.round(N.label_score("sentiment_scores", "negative"), 6).alias("p_negative"))
 

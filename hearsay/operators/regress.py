@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from hearsay.functions.stats import (
-    ADF_CRITICAL, adf_critical, adf_p_value, chi2_tail, durbin_levinson, solve_gram,
+    ADF_CRITICAL, adf_critical, adf_p_value, chi2_tail, default_adf_lags, durbin_levinson, solve_gram,
 )
 from hearsay.operators.series import acf, over_days
 from hearsay.session import ship_package
@@ -123,14 +123,19 @@ def pacf(df: DataFrame, keys: Sequence[str], day: str, value: str, nlags: int =
     return _per_row(rho, solve, f"{_key_schema(df, keys)}, lag int, pacf double, bound95 double")
 
 
-def adf(df: DataFrame, keys: Sequence[str], day: str, value: str, max_lag: int, signif: float = 0.05) -> DataFrame:
+def adf(df: DataFrame, keys: Sequence[str], day: str, value: str, max_lag: int | None = None,
+        signif: float = 0.05) -> DataFrame:
     """Augmented Dickey-Fuller test with a constant; lags chosen by AIC up to `max_lag`.
 
     All lag orders are compared on one common sample; the chosen one is then
     refitted on every row it can use. Both come from the same lagged table: the
     Gram is kept per range of starting rows, so a refit is a sum of Grams.
-    `default_adf_lags` gives the usual `max_lag` for a series length.
+    Without `max_lag` the longest series decides, by `default_adf_lags`. A series
+    that its lags explain without a rest, such as a straight line, has no result.
     """
+    if max_lag is None:
+        longest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"]
+        max_lag = max(0, default_adf_lags(longest or 0))
     w = over_days(keys, day)
     base = df.select(*keys, day, F.col(value).cast("double").alias("_y"))
     first = F.row_number().over(w) == 1
@@ -155,7 +160,7 @@ def adf(df: DataFrame, keys: Sequence[str], day: str, value: str, max_lag: int,
         best = None
         for k in range(max_lag + 1):
             _, ssr, _ = solve_gram(common, list(range(2 + k)), y)
-            if n <= 2 + k or ssr <= 0:
+            if n <= 2 + k or ssr <= 1e-12 * common[y, y]:
                 continue
             aic = n * (math.log(2 * math.pi * ssr / n) + 1) + 2 * (2 + k)
             if best is None or aic < best[0]:
@@ -166,6 +171,8 @@ def adf(df: DataFrame, keys: Sequence[str], day: str, value: str, max_lag: int,
         full = sum(m for order, m in parts.items() if order >= k)
         beta, ssr, inv = solve_gram(full, list(range(2 + k)), y)
         n = int(full[0, 0])
+        if ssr <= 1e-12 * full[y, y]:
+            return []
         tau = beta[1] / math.sqrt(ssr / (n - 2 - k) * inv[1, 1])
         p = adf_p_value(tau)
         return [(*key, tau, p, k, n, *[adf_critical(level, n) for level in ADF_CRITICAL], p <= signif)]

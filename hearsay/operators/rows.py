@@ -95,7 +95,8 @@ def drop_outlier_groups(
     if method == "zscore":
         mean = groups.agg(F.avg(metric)).scalar()
         std = groups.agg(F.stddev_samp(metric)).scalar()
-        return groups.where(F.abs(F.col(metric) - mean) <= F.lit(cut) * std)
+        # One group has no deviation, and nothing to be extreme against.
+        return groups.where((F.abs(F.col(metric) - mean) <= F.lit(cut) * std) | (std.isNull() & F.col(metric).isNotNull()))
     if method == "percentile":
         limit = groups.agg(F.percentile_approx(metric, cut, accuracy)).scalar()
         return groups.where(F.col(metric) <= limit)

@@ -62,8 +62,12 @@ def score_sentiment(df: DataFrame, text: str, lexicon: Mapping[str, float] | Dat
     """Label every text negative, neutral or positive.
 
     A mapping is looked up inside the row, with no shuffle. A (word, weight)
-    table of any size joins to the tokens of the distinct texts.
+    table of any size joins to the tokens of the distinct texts; a mapping too
+    large to inline becomes such a table.
     """
+    if isinstance(lexicon, Mapping) and len(lexicon) > MAX_INLINE_LEXICON:
+        rows = [(w, float(v)) for w, v in lexicon.items()]
+        lexicon = df.sparkSession.createDataFrame(rows, "word string, weight double")
     if isinstance(lexicon, Mapping):
         return score_tokens(df.withColumn("_tokens", C.clean_tokens(text)), "_tokens", lexicon).drop("_tokens")
     return attach_by_text(df, text, lambda texts: _score_by_join(texts, text, lexicon), SCORE_COLUMNS)

@@ -158,7 +158,7 @@ def residual_density(df: DataFrame, keys: Sequence[str], resid: str, points: int
     """Gaussian kernel density at evenly spaced points, Scott's bandwidth.
 
     One aggregation with a sum per grid point; the grid reaches half a range
-    beyond the data on both sides.
+    beyond the data on both sides. A constant series has null densities.
     """
     present = df.where(F.col(resid).isNotNull())
     whole = Window.partitionBy(*keys)
@@ -168,11 +168,11 @@ def residual_density(df: DataFrame, keys: Sequence[str], resid: str, points: int
         ((hi - lo) * 2 / (points - 1)).alias("_step"),
         (F.stddev_samp(resid).over(whole) * F.pow(n.cast("double"), F.lit(-0.2))).alias("_h"),
     )
-    z = [(F.col("_from") + F.col("_step") * i - F.col("_x")) / F.col("_h") for i in range(points)]
+    z = [F.try_divide(F.col("_from") + F.col("_step") * i - F.col("_x"), F.col("_h")) for i in range(points)]
     norm = F.col("_n") * F.col("_h") * F.lit((2 * 3.141592653589793) ** 0.5)
     cells = F.array(*[
         F.struct(F.lit(i).alias("point"), F.first(F.col("_from") + F.col("_step") * i).alias("x"),
-                 F.sum(F.exp(-z[i] * z[i] / 2) / norm).alias("density"))
+                 F.sum(F.try_divide(F.exp(-z[i] * z[i] / 2), norm)).alias("density"))
         for i in range(points)
     ])
     return sized.groupBy(*keys).agg(cells.alias("_c")).select(*keys, F.explode("_c").alias("_c")).select(*keys, "_c.*")

@@ -21,16 +21,6 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if is_small(df, max_rows) else df
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Rebalance a scan that has fewer splits than the cluster has cores.
-
-    For heavy per-row text work on a table of few, large row groups. A scan
-    with enough splits comes back as it is, so big tables are not shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def join_hot_split(
     big: DataFrame, dim: DataFrame, keys: Sequence[str], weight: str, share: float = 1e-5, how: str = "inner",
 ) -> DataFrame:

@@ -41,13 +41,14 @@ def lemmatize(df: DataFrame, col: str, lemmas: Mapping[str, str] | DataFrame, ro
 
     A mapping is applied inside the row. A (form, lemma) table is first cut to
     the forms in use, with their counts, and joined to the exploded tokens by
-    `join_hot_split`; each row's tokens are then put back in order.
+    `join_hot_split`; each row's tokens are then put back in order. Of several
+    lemmas of a form the smallest counts.
     """
     if isinstance(lemmas, Mapping):
         return df.withColumn(out, C.lemmatize_tokens(col, lemmas))
     flat = df.select(row_id, F.posexplode_outer(col).alias("_pos", "form")).where(F.col("form").isNotNull())
     used = word_count(df, col).withColumnRenamed("word", "form")
-    known = used.join(lemmas.select("form", "lemma").dropDuplicates(["form"]), "form", "left")
+    known = used.join(lemmas.groupBy("form").agg(F.min("lemma").alias("lemma")), "form", "left")
     mapped = join_hot_split(flat, known, ["form"], "count")
     word = F.coalesce("lemma", "form")
     back = mapped.groupBy(row_id).agg(F.sort_array(F.collect_list(F.struct("_pos", word.alias("w")))).alias("_l"))
@@ -135,12 +136,16 @@ def bag_of_words(df: DataFrame, row_id: str, tokens: str, vocab_size: int | None
     return join_hot_split(frequencies, terms, ["word"], "df").select(row_id, "term_id", "word", "tf")
 
 
-def fit_topics(df: DataFrame, tokens: str, k: int = 10, max_iter: int = 10, vocab_size: int = 1 << 18,
+#: No limit on a vocabulary.
+ALL_WORDS = (1 << 31) - 1
+
+
+def fit_topics(df: DataFrame, tokens: str, k: int = 10, max_iter: int = 10, vocab_size: int = ALL_WORDS,
                min_df: float = 1.0, seed: int = 17) -> PipelineModel:
-    """Vocabulary and topics. The bags are checkpointed once, so the rounds do not tokenise again."""
+    """Vocabulary and topics; every round reads every text. The bags are checkpointed once, so the rounds do not tokenise again."""
     bag = CountVectorizer(inputCol=tokens, outputCol="bag", vocabSize=vocab_size, minDF=min_df).fit(df)
     bags = cut_lineage(bag.transform(df).select("bag"))
-    lda = LDA(k=k, maxIter=max_iter, seed=seed, featuresCol="bag", optimizer="online", topicDistributionCol="mixture")
+    lda = LDA(k=k, maxIter=max_iter, seed=seed, featuresCol="bag", optimizer="online", subsamplingRate=1.0, topicDistributionCol="mixture")
     return PipelineModel(stages=[bag, lda.fit(bags)])
 
 
@@ -165,7 +170,7 @@ def topic_mixtures(model: PipelineModel, df: DataFrame, row_id: str) -> DataFram
 
 
 def topic_model(df: DataFrame, row_id: str, tokens: str, k: int = 10, n_words: int = 10, max_iter: int = 10,
-                vocab_size: int = 1 << 18) -> tuple[DataFrame, DataFrame]:
+                vocab_size: int = ALL_WORDS) -> tuple[DataFrame, DataFrame]:
     """Topics with their words, and every document's mixture."""
     model = fit_topics(df, tokens, k, max_iter, vocab_size)
     return topic_words(model, n_words), topic_mixtures(model, df, row_id)

@@ -31,12 +31,21 @@ def share_within(df: DataFrame, group: Sequence[str], sub: Sequence[str], value:
     counts = df.groupBy(*group, *sub).agg(measure.alias("value"))
     if wide_groups:
         totals = counts.groupBy(*group).agg(F.sum("value").alias("total_count"))
-        counts = counts.join(totals, group)
+        counts = _join_null_safe(counts, totals, group)
     else:
         counts = counts.withColumn("total_count", F.sum("value").over(Window.partitionBy(*group)))
     return counts.withColumn("ratio", ratio("value", "total_count", digits, scale))
 
 
+def _join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on columns of the same names in which nulls match; the left side's stay."""
+    named = right.select(*[F.col(c).alias(f"_right_{c}") if c in keys else F.col(c) for c in right.columns])
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"_right_{c}"))
+    return left.join(named, same).drop(*[f"_right_{c}" for c in keys])
+
+
 def top_k_per_group(df: DataFrame, group: Sequence[str], by: str, k: int, ties: str = "rank",
                     tie_break: Sequence[str] = (), groups: DataFrame | None = None, max_groups: int = 1000) -> DataFrame:
     """The k largest rows of each group with their rank.
@@ -64,7 +73,7 @@ def top_k_per_group(df: DataFrame, group: Sequence[str], by: str, k: int, ties:
     kept = kept.drop("_n", "_row")
     if groups is not None and is_small(groups.select(*group).distinct(), max_groups):
         kept = F.broadcast(kept)
-    return df.join(kept, [*group, by])
+    return _join_null_safe(df, kept, [*group, by])
 
 
 def with_row_id(df: DataFrame, order: Sequence[str | Column], partition_by: Sequence[str] = (), name: str = "row_id") -> DataFrame:

@@ -31,11 +31,15 @@ def build_session(app: str = "hearsay", **conf: str) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 
-    Only when the session names none (local tests) is a fresh local folder made.
+    Only when the session names none and runs in one process (local tests) is a
+    fresh local folder made; on a cluster that would scatter files over machines.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="hearsay-")
     spark.conf.set("spark.checkpoint.dir", made)
     return made

@@ -24,13 +24,14 @@ def save_slice(
 def save_monthly_slice(df: DataFrame, path: str, ts: str = "ts", mode: str = "errorifexists") -> None:
     """Slice partitioned by calendar month, so later date filters prune folders.
 
-    Rows stay in the tasks they are in: a shuffle on the month would put a busy
-    month on one task. Only the folder layout is by month.
+    Rows are rebalanced by month before the write, so a month is a few files;
+    adaptive execution splits a busy month over several tasks.
     """
-    save_slice(df.withColumn("month", F.date_format(F.col(ts), "yyyy-MM")), path, mode, ["month"])
+    monthly = df.withColumn("month", F.date_format(F.col(ts), "yyyy-MM"))
+    save_slice(monthly.hint("rebalance", "month"), path, mode, ["month"])
 
 
 def save_report(df: DataFrame, path: str, mode: str = "errorifexists", single_file: bool = False) -> None:
     """Report table as CSV with a header. `single_file` is for tables of a few rows."""
-    out = df.coalesce(1) if single_file else df
+    out = df.repartition(1) if single_file else df
     out.write.mode(mode).option("header", True).csv(path)

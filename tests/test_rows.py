@@ -370,3 +370,37 @@ def test_unknown_community_is_kept(spark, feeds):
     blank = comments.limit(1).withColumn("community", F.lit(None).cast("string"))
     out = {r.community: r.total_activity for r in PA.community_interest(comments.unionByName(blank), posts).collect()}
     assert out == {"x": 6, "y": 2, "z": 1, None: 1}
+
+
+def test_null_groups_are_kept(spark):
+    from hearsay.operators import windows as W
+
+    df = spark.createDataFrame([(None, "a", 3), (None, "b", 3), ("g", "a", None), ("g", "b", 1)], "g string, s string, v int")
+    ranked = {(r.g, r.s, r.v, r["rank"]) for r in W.top_k_per_group(df, ["g"], "v", 2).collect()}
+    assert ranked == {(None, "a", 3, 1), (None, "b", 3, 1), ("g", "b", 1, 1), ("g", "a", None, 2)}
+    shares = {(r.g, r.s, r.total_count) for r in W.share_within(df, ["g"], ["s"], wide_groups=True).collect()}
+    assert shares == {(None, "a", 2), (None, "b", 2), ("g", "a", 2), ("g", "b", 2)}
+
+
+def test_a_single_group_is_no_outlier(spark):
+    from hearsay.operators.rows import drop_outlier_groups
+
+    assert drop_outlier_groups(spark.createDataFrame([("a", 5.0)], "g string, v double"), "v").count() == 1
+
+
+def test_repeated_forms_have_one_lemma_at_any_partitioning(spark):
+    from hearsay.operators.tokens import lemmatize
+
+    df = spark.createDataFrame([(1, ["forms"])], "id int, w array<string>")
+    lemmas = spark.createDataFrame([("forms", f"l{i}") for i in range(6)], "form string, lemma string")
+    for n in (1, 3, 5):
+        assert lemmatize(df, "w", lemmas.repartition(n), "id").first()["lemmas"] == ["l0"]
+
+
+def test_a_large_lexicon_joins(spark, monkeypatch):
+    from hearsay.operators import sentiment as N
+
+    monkeypatch.setattr(N, "MAX_INLINE_LEXICON", 1)
+    df = spark.createDataFrame([("good day",), ("bad bad day",)], "t string")
+    got = {r.t: r.sentiment for r in N.score_sentiment(df, "t", {"good": 1.0, "bad": -1.0}).collect()}
+    assert got == {"good day": "positive", "bad bad day": "negative"}

@@ -297,3 +297,18 @@ def test_moving_average_filter_inverts():
     seasonal = ma.copy()
     seasonal[20:] += 0.5 * ma[:-20]
     assert np.allclose(SF.innovations(seasonal, np.array([0, 0.4, 0, 0.5]), 20), e, atol=1e-8)
+
+
+def test_constant_series_and_straight_line(spark):
+    import datetime as dt
+
+    from hearsay.operators.regress import adf
+    from hearsay.operators.series import residual_density
+
+    days = [dt.date(2024, 1, 1) + dt.timedelta(d) for d in range(60)]
+    rows = [("flat", d, 0.0, 2.0 * i) for i, d in enumerate(days)] + [("own", d, float(i % 7), float((i * 37) % 11)) for i, d in enumerate(days)]
+    df = spark.createDataFrame(rows, "series string, day date, e double, v double")
+    density = residual_density(df, ["series"], "e").collect()
+    assert all(r.density is None for r in density if r.series == "flat")
+    assert all(r.density >= 0 for r in density if r.series == "own")
+    assert [r.series for r in adf(df, ["series"], "day", "v").collect()] == ["own"]
