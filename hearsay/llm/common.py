@@ -41,6 +41,13 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Smaller views of the batches, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def add_by_text(
     df: DataFrame, text_col: str, name: str, kind: DataType, work: Callable[[list[bytes]], pa.Array],
 ) -> DataFrame:
@@ -49,7 +56,7 @@ def add_by_text(
     place = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             made = work([x or b"" for x in batch.column(place).cast(pa.binary()).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, name])
 

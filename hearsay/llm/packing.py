@@ -11,12 +11,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from hearsay.llm.common import materialise
+from hearsay.llm.common import materialise, slices
 from hearsay.session import ship_package
 
 CAPACITY = 2048
 #: Words whose ids a Python worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long"
 
 
@@ -72,7 +72,7 @@ class WordEncoder:
                 self.stems[s] = self._ids(s.decode()).tobytes()
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.words) > self.room:
+        if len(self.words) > self.room // 2:
             self.words = {}
         if len(self.stems) > self.room:
             self.stems = {b"": b""}
@@ -115,7 +115,7 @@ def cut_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, capa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end, width = worker_encoder(tokenizer), bytes(4), 4 * capacity
-        for batch in batches:
+        for batch in slices(batches):
             owner, piece, length, crc = [], [], [], []
             texts = [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]
             for i, ids in enumerate(ids for group in groups_of(texts) for ids in encode(group)):
