@@ -16,7 +16,7 @@ from hearsay.session import ship_package
 
 CAPACITY = 2048
 #: Words whose ids a Python worker remembers.
-REMEMBERED = 250_000
+REMEMBERED = 350_000
 PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long"
 
 
@@ -72,7 +72,7 @@ class WordEncoder:
                 self.stems[s] = self._ids(s.decode()).tobytes()
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.words) > self.room // 2:
+        if len(self.words) > self.room:
             self.words = {}
         if len(self.stems) > self.room:
             self.stems = {b"": b""}
