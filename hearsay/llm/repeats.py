@@ -16,6 +16,8 @@ from hearsay.session import ship_package
 LENGTH, GRAM = 100, 32
 #: Bytes of text that are hashed at once, and strings that are merged by one task.
 BLOCK, BUCKET = 1 << 20, 500
+#: Bytes of a letter in the merge of transforms; LENGTH is a multiple of it.
+WIDE = 4
 _RNG = np.random.default_rng(11)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
 _PLACE = np.uint64((1 << 24) - 1)
@@ -80,52 +82,70 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sorted_suffixes(text: np.ndarray) -> np.ndarray:
-    """Suffix array of a shard by doubling; a zero ends each string and sorts by its place."""
-    rank = text.astype(np.int64) * len(text)
-    ends = text == 0
-    rank[ends] = np.flatnonzero(ends)
-    rank = np.unique(rank, return_inverse=True)[1].astype(np.int64)
-    step = 1
-    while True:
+    """Suffix array of a shard, in order of LENGTH bytes or more, by doubling; a zero ends each string and sorts by its place."""
+    place = np.arange(len(text))
+    key, ended = np.zeros(len(text), np.int64), np.zeros(len(text), bool)
+    step = 7
+    for k in range(step):
+        key = key << 8 | np.where(ended, 0, text[(place + k) % len(text)])
+        ended |= text[(place + k) % len(text)] == 0
+    rank = np.empty(len(text), np.int64)
+    order = np.argsort(key, kind="stable")
+    # Equal starts that hold an end are told apart by its place, in which order the stable sort left them.
+    rank[order] = np.cumsum(np.concatenate(([False], (key[order][1:] != key[order][:-1]) | ended[order][1:])))
+    while step < LENGTH and rank[order[-1]] < len(text) - 1:
         ahead = np.zeros(len(text), np.int64)
         ahead[:-step or None] = rank[step:] + 1
         pair = rank * (len(text) + 2) + ahead
         order = np.argsort(pair, kind="stable")
-        fresh = np.concatenate(([0], np.cumsum(pair[order][1:] != pair[order][:-1])))
-        rank[order] = fresh
-        if fresh[-1] == len(text) - 1 or step >= LENGTH:
-            return order
+        rank[order] = np.concatenate(([0], np.cumsum(pair[order][1:] != pair[order][:-1])))
         step *= 2
+    return order
+
+
+def wide_transform(text: np.ndarray, suffixes: np.ndarray) -> np.ndarray:
+    """Transform of a shard in letters of WIDE bytes: those before each suffix, the nearest in the lowest place."""
+    letters = np.zeros(len(text), np.uint32)
+    for k in range(WIDE):
+        # Bytes 0 to 255 and the end need 257 values; 0xFF never occurs in UTF-8, so 255 suffices.
+        letters |= text[suffixes - k - 1].astype(np.uint32) << np.uint32(8 * k)
+    return letters
 
 
 def merge_transforms(shards: list[np.ndarray], depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave of the transforms of shards, and the block of each place, for suffixes in order of `depth` bytes.
+    """Interleave of the wide transforms of shards, and the block of each place, for suffixes in order of `depth` bytes.
 
     It starts with the shards one after the other. Each round deals the places
-    out by the byte before them, keeping their order: suffixes sorted by p bytes
-    become sorted by p + 1. Two neighbours stay in one block while they had the
-    same byte and came from one block; the round that parts them is their common
-    prefix, so the blocks left after `depth` rounds are the repeated intervals.
-    No suffix is sorted anew. Ends of strings keep their order and stand alone.
+    out by the WIDE bytes before them, keeping their order: suffixes sorted by p
+    bytes become sorted by p + WIDE. Two neighbours stay in one block while they
+    had the same letter and came from one block; the round that parts them is
+    their common prefix in steps of WIDE, so the blocks left after `depth` bytes
+    are the repeated intervals. No suffix is sorted anew. Letters that hold the
+    end of a string keep their order and stand alone.
     """
     which = np.repeat(np.arange(len(shards), dtype=np.uint8), [len(b) for b in shards])
-    joined = np.concatenate(shards)
-    ends = [int((b == 0).sum()) for b in shards]
-    n_ends = sum(ends)
-    end_shard = np.repeat(np.arange(len(shards), dtype=np.uint8), ends)
+    found, joined = np.unique(np.concatenate(shards), return_inverse=True)
+    ended = np.zeros(len(found), bool)
+    for k in range(WIDE):
+        ended |= (found >> np.uint32(8 * k)) & np.uint32(255) == 0
+    # Numbers of 16 bits are dealt out by counting; a bucket with more letters is sorted.
+    joined = joined.astype(np.uint16 if len(found) <= 1 << 16 else np.int64)
     block = np.zeros(len(which), np.int32)
     # The letters dealt out are the same in every round, and so are the borders between them.
-    dealt = np.sort(joined)
+    order = np.argsort(joined, kind="stable")
+    dealt = joined[order]
+    alone = np.flatnonzero(ended[dealt])
+    alone_shard = which[order][alone]
     border = np.ones(len(which), bool)
     border[1:] = dealt[1:] != dealt[:-1]
-    border[: n_ends + 1] = True
-    letters = np.empty(len(which), np.uint8)
-    for _ in range(depth):
-        # The k-th place of a shard in the interleave reads the k-th byte of its transform.
-        letters[np.concatenate([np.flatnonzero(which == k) for k in range(len(shards))])] = joined
+    border[alone] = True
+    letters = np.empty_like(joined)
+    for _ in range(-(-depth // WIDE)):
+        # The k-th place of a shard in the interleave reads the k-th letter of its transform.
+        letters[np.argsort(which, kind="stable")] = joined
         order = np.argsort(letters, kind="stable")
         which, block = which[order], block[order]
-        which[:n_ends] = end_shard
+        which[alone] = alone_shard
         parted = border.copy()
         parted[1:] |= block[1:] != block[:-1]
         block = np.cumsum(parted, dtype=np.int32)
@@ -144,8 +164,7 @@ def covered_windows(strings: list[bytes], order: np.ndarray, shard_size: int = 2
         part = strings[low: low + step]
         text = np.concatenate([np.append(np.frombuffer(s, np.uint8).astype(np.int64) + 1, 0) for s in part])
         suffixes = sorted_suffixes(text)
-        # Bytes 0 to 255 and the end need 257 letters; 0xFF never occurs in UTF-8, so 255 suffices.
-        transforms.append(text[suffixes - 1].astype(np.uint8))
+        transforms.append(wide_transform(text, suffixes))
         sizes = np.array([len(s) + 1 for s in part])
         begin = np.concatenate(([0], np.cumsum(sizes)[:-1]))
         own = np.repeat(np.arange(len(part)), sizes)
