@@ -58,20 +58,21 @@ def cohort_of(comments: DataFrame, posts: DataFrame, community: str, community_c
     return both.distinct()
 
 
-def cohort_activity(log: DataFrame, cohort: DataFrame, author: str = "author", broadcast_rows: int | None = None) -> DataFrame:
+def cohort_activity(log: DataFrame, cohort: DataFrame, author: str = "author", broadcast_rows: int | None = 200_000) -> DataFrame:
     """All rows of the cohort's authors, wherever posted.
 
-    A semi join: the author list never reaches the driver. With
-    `broadcast_rows` the cohort is counted, up to that bound, and broadcast if
-    it fits, and the log does not move. Otherwise the cohort's authors get
-    their row counts, from a pass over the author column alone, and
-    `join_hot_split` keeps a very busy author out of a single task.
+    A semi join: the author list never reaches the driver. The cohort is
+    counted, up to `broadcast_rows`, and broadcast if it fits; the log does not
+    move then. Otherwise, or with None, all authors get their row counts, from a
+    pass over the author column alone, and `join_hot_split` decides rows of busy
+    authors, in the cohort or not, where they are.
     """
     if broadcast_rows and is_small(cohort, broadcast_rows):
         return log.join(F.broadcast(cohort), author, "left_semi").select(*log.columns)
     rows = log.groupBy(author).agg(F.count(F.lit(1)).alias("_rows"))
-    weighted = rows.join(cohort.select(author).distinct(), author, "left_semi")
-    return join_hot_split(log, weighted, [author], "_rows").select(*log.columns)
+    members = cohort.select(author, F.lit(True).alias("_member")).distinct()
+    weighted = rows.join(members, author, "left")
+    return join_hot_split(log, weighted, [author], "_rows").where("_member").select(*log.columns)
 
 
 def attach_by_text(df: DataFrame, text: str, compute: Callable[[DataFrame], DataFrame], outputs: Sequence[str]) -> DataFrame:

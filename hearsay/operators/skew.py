@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from hearsay.session import cut_lineage
+
 
 def is_small(df: DataFrame, max_rows: int) -> bool:
     """A count that stops at `max_rows + 1`: the check behind a broadcast hint."""
@@ -24,33 +26,34 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
 def join_hot_split(
     big: DataFrame, dim: DataFrame, keys: Sequence[str], weight: str, share: float = 1e-5, how: str = "inner",
 ) -> DataFrame:
-    """Join a skewed fact side to a table with one row per key, reading the fact side once.
+    """Join a skewed fact side to a table with one row per key; rows of hot keys stay where they are.
 
     `weight` is the number of fact rows of a key, so at most `1 / share` keys
     can hold more than `share` of the total. Those go out as a broadcast whose
-    size is bounded by that arithmetic. All other keys join by shuffle, in
-    groups no larger than `share` of the rows; rows already served, and rows
-    with a null key, match nothing there and are scattered over all partitions
-    by a hash of the row. No row is dropped or capped.
+    size is bounded by that arithmetic, and their rows don't move, be they all
+    the same. All other keys join by shuffle, in groups no larger than `share`
+    of the rows. Rows with a null key match nothing and don't move either. No
+    row is dropped or capped.
+
+    `dim` is computed once, when called, and checkpointed. `big` is read once
+    for the hot keys and once for the others, each time only the columns in use:
+    pass a scan or a result that is cheap to read again.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"unsupported join type {how!r}")
     keys = list(keys)
     found = [c for c in dim.columns if c not in keys]
+    dim = cut_lineage(dim)
     limit = dim.agg((F.sum(weight) * F.lit(share)).alias("limit")).scalar()
-    row = F.struct(*found)
-    hot = dim.where(F.col(weight) > limit).select(*keys, row.alias("_hot"))
-    cold = dim.where(F.col(weight) <= limit).select(*keys, F.lit(0).alias("_salt"), row.alias("_cold"))
+    hot, cold = dim.where(F.col(weight) > limit), dim.where(F.col(weight) <= limit)
     keyed = F.lit(True)
     for k in keys:
         keyed = keyed & F.col(k).isNotNull()
+    columns = [*big.columns, *found]
+    served = F.broadcast(hot.select(*keys, F.lit(True).alias("_served")))
+    others = big.where(keyed).join(served, keys, "left").where(F.col("_served").isNull()).drop("_served")
+    joined = big.join(F.broadcast(hot), keys).select(*columns).unionByName(others.join(cold, keys, how).select(*columns))
     if how == "inner":
-        big = big.where(keyed)
-    served = big.join(F.broadcast(hot), keys, "left")
-    hashable = [name for name, kind in big.dtypes if "map<" not in kind]
-    scatter = F.pmod(F.xxhash64(*hashable), F.lit(1 << 30)).cast("int") + 1
-    salted = served.withColumn("_salt", F.when(F.col("_hot").isNull() & keyed, F.lit(0)).otherwise(scatter))
-    joined = salted.join(cold, [*keys, "_salt"], "left").withColumn("_dim", F.coalesce("_hot", "_cold"))
-    if how == "inner":
-        joined = joined.where(F.col("_dim").isNotNull())
-    return joined.select(*big.columns, *[F.col(f"_dim.{c}").alias(c) for c in found])
+        return joined
+    blanks = [F.lit(None).cast(dim.schema[c].dataType).alias(c) for c in found]
+    return joined.unionByName(big.where(~keyed).select("*", *blanks))

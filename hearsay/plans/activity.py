@@ -14,14 +14,15 @@ from hearsay.operators.aggregates import monthly_sum
 from hearsay.operators.joins import cohort_activity, cohort_of
 from hearsay.operators.reshape import top_k
 from hearsay.operators.rows import drop_sentinels
+from hearsay.session import cut_lineage
 from hearsay.vocab import BOT_AUTHOR, REMOVED
 
 
 def slice_log(comments: DataFrame, posts: DataFrame, community: str, keyword: str, competitors: Sequence[str],
-              cohort_broadcast_rows: int | None = None) -> dict[str, tuple[DataFrame, DataFrame]]:
-    """Brand, competitor and cohort slices of both feeds, all lazy."""
+              cohort_broadcast_rows: int | None = 200_000) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """Brand, competitor and cohort slices of both feeds. The cohort is found once, when called; the slices are lazy."""
     brand = community_or_keyword("community", "body", community, keyword)
-    cohort = cohort_of(comments, posts, community, exclude=[BOT_AUTHOR])
+    cohort = cut_lineage(cohort_of(comments, posts, community, exclude=[BOT_AUTHOR]))
     rivals = F.col("community").isin(list(competitors))
     return {
         "brand": (comments.where(brand), posts.where(brand)),

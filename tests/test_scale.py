@@ -67,6 +67,32 @@ def test_cohort_with_a_hot_author(skewed):
     assert out.count() == skewed.where("k in (0, 7)").count()
 
 
+@pytest.mark.parametrize("broadcast_rows", [None, 1, 10])
+def test_cohort_with_busy_authors_in_and_out(spark, broadcast_rows):
+    """The log holds null authors; authors 0 and 2 are busy, and 2 isn't in the cohort."""
+    author = F.when(F.col("id") % 3 == 0, 0).when(F.col("id") % 3 == 1, 2).when(F.col("id") % 50 != 0, F.col("id") % 400)
+    log = spark.range(N).select("id", author.alias("k"), F.create_map(F.lit("a"), "id").alias("m"))
+    cohort = spark.createDataFrame([(0,), (5,), (7,), (9999,)], "k long")
+    got = Counter(r.id for r in J.cohort_activity(log, cohort, "k", broadcast_rows).collect())
+    assert got == Counter(r.id for r in log.select("id", "k").collect() if r.k in (0, 5, 7))
+
+
+def test_equal_rows_of_a_hot_key_stay_spread(spark):
+    rows = spark.range(0, 20_000, 1, 8).select(F.when(F.col("id") % 10 > 0, "same").otherwise(F.col("id").cast("string")).alias("text"))
+    out = J.attach_by_text(rows, "text", lambda d: d.withColumn("n", F.length("text")), ["n"])
+    sizes = [r["count"] for r in out.where("text = 'same'").groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 18_000 and max(sizes) <= 2 * 18_000 / 8
+
+
+def test_large_cohort_reads_only_the_columns_in_use(spark):
+    log = spark.read.parquet(f"{SF}/events.parquet").select("event_id", "user_id", "event_type", "ts", "value", "props")
+    cohort = log.where("event_type = 'purchase'").select("user_id").distinct()
+    text = plan(J.cohort_activity(log, cohort, "user_id", None).select("event_id", "user_id"))
+    assert "Scan parquet" in text
+    for schema in text.split("ReadSchema: ")[1:]:
+        assert not {"props", "ts", "value"} & {f.split(":")[0] for f in schema.split(">")[0].removeprefix("struct<").split(",")}
+
+
 def test_broadcast_only_below_the_checked_size(spark):
     small = spark.range(10)
     assert "broadcast" in broadcast_if_small(small, 10)._jdf.queryExecution().logical().toString().lower()
