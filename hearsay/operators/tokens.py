@@ -14,7 +14,7 @@ from hearsay.functions import columns as C
 from hearsay.operators.reshape import top_k
 from hearsay.operators.skew import join_hot_split
 from hearsay.operators.windows import top_k_per_group, with_row_id
-from hearsay.session import cut_lineage
+from hearsay.session import cut_lineage, write_table
 from hearsay.vocab import STOPWORDS, TOPIC_NOISE
 
 
@@ -96,27 +96,33 @@ def idf(df: DataFrame, tokens: str) -> DataFrame:
     A document is one row, so its words are made distinct inside the row; only
     counts per word are shuffled.
     """
-    n_docs = df.agg(F.count(F.lit(1))).scalar()
     words = C.explode_rows(df, F.array_distinct(tokens), "word")
-    counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    return _with_idf(words.groupBy("word").agg(F.count(F.lit(1)).alias("df")), df)
+
+
+def _with_idf(counted: DataFrame, docs: DataFrame) -> DataFrame:
+    n_docs = docs.agg(F.count(F.lit(1))).scalar()
     return counted.withColumn("idf", F.log((n_docs + 1) / (F.col("df") + 1)))
 
 
 def tf_idf(df: DataFrame, row_id: str, tokens: str, keys: Sequence[str] = (), digits: int | None = None) -> DataFrame:
     """TF-IDF per (document, word), keeping the word itself.
 
-    A word found in nearly every document is a hot join key; its document
-    frequency is known, so `join_hot_split` takes the few hottest words out.
+    The texts are tokenised and counted once, when called, into a written
+    table; document frequencies come from that table. A word found in nearly
+    every document is a hot join key; its document frequency is known, so
+    `join_hot_split` takes the few hottest words out. `row_id` tells documents apart.
     """
-    frequencies = tf(df, row_id, tokens, keys)
-    joined = join_hot_split(frequencies, idf(df, tokens), ["word"], "df")
+    frequencies = write_table(tf(df, row_id, tokens, keys), "tf")
+    counted = frequencies.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    joined = join_hot_split(frequencies, _with_idf(counted, df), ["word"], "df")
     value = F.col("tf") * F.col("idf")
     return joined.withColumn("tf_idf", value if digits is None else F.round(value, digits))
 
 
 def top_tfidf_words(df: DataFrame, row_id: str, tokens: str, label: str, k: int = 10, digits: int = 6) -> DataFrame:
-    """The k largest single TF-IDF values per label with their words; ties kept."""
-    scored = tf_idf(df, row_id, tokens, [label], digits)
+    """The k largest single TF-IDF values per label with their words; ties kept. The scores are written, since they are read twice."""
+    scored = write_table(tf_idf(df, row_id, tokens, [label], digits), "tf-idf")
     return top_k_per_group(scored, [label], "tf_idf", k, groups=df).select(label, row_id, "word", "tf_idf", "rank")
 
 
@@ -131,7 +137,7 @@ def vocabulary(frequencies: DataFrame, size: int | None = None, min_df: int = 1)
 
 def bag_of_words(df: DataFrame, row_id: str, tokens: str, vocab_size: int | None = None, min_df: int = 1) -> DataFrame:
     """Sparse bags in long form: (row id, term_id, word, tf) over a fitted vocabulary."""
-    frequencies = tf(df, row_id, tokens)
+    frequencies = write_table(tf(df, row_id, tokens), "tf")
     terms = vocabulary(frequencies, vocab_size, min_df).drop("total")
     return join_hot_split(frequencies, terms, ["word"], "df").select(row_id, "term_id", "word", "tf")
 

@@ -58,6 +58,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def write_table(df: DataFrame, label: str) -> DataFrame:
+    """A Parquet table in the shared folder, for results that are read several times, each time a few columns."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _shipped: set[str] = set()
 
 
