@@ -76,9 +76,12 @@ def z5(spark, sf):
     return day_text(rounded(S.decompose(filled(spark, sf), KEYS, "day", "n", 7)))
 
 
+SCORES = ["series", "order", "aic", "bic"]
+
+
 @query("z6_sarima_grid")
 def z6(spark, sf):
-    return rounded(SE.sarima_grid(filled(spark, sf), KEYS, "day", "n", 20).drop("order_spec"), 4)
+    return rounded(SE.sarima_grid(filled(spark, sf), KEYS, "day", "n", 20).select(*SCORES), 4)
 
 
 def best(spark, sf):
@@ -242,7 +245,7 @@ def _plain_sql(d, big_d):
 FROM filled WINDOW w AS (PARTITION BY series ORDER BY day)), u AS ({' UNION ALL '.join(_plain_sql(d, b) for d in (0, 1) for b in (0, 1))})
 SELECT series, "order", round(k * (lg + 1) + 2, 4) AS aic, round(k * (lg + 1) + ln(k), 4) AS bic FROM u""")
 def z6b(spark, sf):
-    return rounded(SE.sarima_grid(filled(spark, sf), KEYS, "day", "n", 20, PLAIN).drop("order_spec"), 4)
+    return rounded(SE.sarima_grid(filled(spark, sf), KEYS, "day", "n", 20, PLAIN).select(*SCORES), 4)
 
 
 WALK = [(0, 1, 0, 0, 0, 0)]

@@ -1,94 +1,99 @@
-"""Conditional least squares for one seasonal ARIMA order on one series.
+"""Seasonal ARIMA on finished cross-products: conditional least squares and the forecast recursion.
 
 (1 - phi B)(1 - Phi B^s) w = (1 + theta B)(1 + Theta B^s) e, with w the
-differenced series and each of p, q, P, Q either 0 or 1. Values before the
+differenced series and each of p, q, P, Q either 0 or 1. Solved for e, the model
+is one row of weights on w and its lags, so the squared residuals of any
+coefficients are a quadratic form in the Gram of those lags. Values before the
 first are taken as zero. Coefficients stay inside the unit interval.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 
 EDGE = 0.999
 
 
-def difference(y: np.ndarray, d: int, seasonal: int, period: int) -> np.ndarray:
-    for _ in range(d):
-        y = np.diff(y)
-    for _ in range(seasonal):
-        y = y[period:] - y[:-period]
-    return y
+def reach(period: int, near: int = 9, seasons: int = 6) -> list[int]:
+    """The lags a moving average is expanded to: up to `near` days after each of `seasons` seasons."""
+    return sorted({i + period * j for i in range(near + 1) for j in range(seasons + 1)})
+
+
+def burn_in(order: Sequence[int], period: int) -> int:
+    """Leading differenced values a state-space fit leaves out of the likelihood."""
+    p, _, q, big_p, _, big_q = order
+    return max(p + period * big_p, q + period * big_q + 1)
+
 
+def weights(coef: Sequence[float], lags: Sequence[int], period: int) -> np.ndarray:
+    """Weights of w at each of `lags` in e, for the coefficients (phi, theta, Phi, Theta)."""
+    top = max(lags) + 1
+
+    def ratio(ar: float, ma: float, step: int) -> np.ndarray:
+        inverse = np.zeros(top)
+        inverse[::step] = (-ma) ** np.arange(len(inverse[::step]))
+        shifted = np.concatenate((np.zeros(step), inverse))[:top]
+        return inverse - ar * shifted
 
-def innovations(w: np.ndarray, coef: np.ndarray, period: int) -> np.ndarray:
-    """Residuals of the model with coefficients (phi, theta, Phi, Theta)."""
     phi, theta, big_phi, big_theta = coef
-    u = w.copy()
-    u[1:] -= phi * w[:-1]
-    e = u.copy()
-    e[period:] -= big_phi * u[:-period]
-    if theta:
-        reach = min(len(e), int(math.log(1e-12) / math.log(min(abs(theta), EDGE))) + 2)
-        e = np.convolve(e, (-theta) ** np.arange(reach))[: len(e)]
-    if big_theta:
-        for start in range(period, len(e), period):
-            block = e[start:start + period]
-            block -= big_theta * e[start - period:start - period + len(block)]
-    return e
-
-
-def burn_in(order: tuple[int, ...], period: int) -> int:
-    """Leading observations a state-space fit leaves out of the likelihood."""
-    p, d, q, big_p, big_d, big_q = order
-    return max(p + period * big_p, q + period * big_q + 1) + d + period * big_d
-
-
-def fit(y: np.ndarray, order: tuple[int, ...], period: int, rounds: int = 60) -> dict | None:
-    """Levenberg-Marquardt fit; None when the series is too short for the order."""
-    p, d, q, big_p, big_d, big_q = order
-    w = difference(y, d, big_d, period)
-    n = len(y) - burn_in(order, period)
+    return np.convolve(ratio(phi, theta, 1), ratio(big_phi, big_theta, period))[:top][list(lags)]
+
+
+def fit(gram: np.ndarray, n: int, order: Sequence[int], lags: Sequence[int], period: int, rounds: int = 200) -> dict | None:
+    """Levenberg-Marquardt within the bounds on the Gram of w at `lags`, lag 0 first; None without enough days or without a rest."""
+    p, _, q, big_p, _, big_q = order
     free = np.array([p, q, big_p, big_q], bool)
     k = int(free.sum())
-    if n <= k + 1 or len(w) <= period:
+    if n <= k + 1:
         return None
 
-    def residuals(z: np.ndarray) -> np.ndarray:
-        coef = np.zeros(4)
-        coef[free] = EDGE * np.tanh(z)
-        return innovations(w, coef, period)[-n:]
+    coef = np.zeros(4)
+
+    def moved(step: np.ndarray) -> np.ndarray:
+        out = coef.copy()
+        out[free] = np.clip(coef[free] + step, -EDGE, EDGE)
+        return out
 
-    z = np.zeros(k)
-    r = residuals(z)
-    ssr, damping = float(r @ r), 1e-3
+    v = weights(coef, lags, period)
+    ssr, damping, converged = float(v @ gram @ v), 1e-3, not k
+    if not ssr > 1e-12 * gram[0, 0]:
+        return None
     for _ in range(rounds if k else 0):
-        jacobian = np.column_stack([(residuals(z + 1e-5 * unit) - r) / 1e-5 for unit in np.eye(k)])
-        normal, gradient = jacobian.T @ jacobian, jacobian.T @ r
-        improved = False
-        for _ in range(8):
-            step = np.linalg.solve(normal + damping * np.diag(np.diag(normal) + 1e-9), -gradient)
-            trial = residuals(z + step)
-            if float(trial @ trial) < ssr:
-                improved = True
+        raised = [coef + 1e-6 * unit for unit in np.eye(4)[free]]
+        lowered = [coef - 1e-6 * unit for unit in np.eye(4)[free]]
+        slope = np.column_stack([(weights(a, lags, period) - weights(b, lags, period)) / 2e-6 for a, b in zip(raised, lowered)])
+        normal, gradient = slope.T @ gram @ slope, slope.T @ (gram @ v)
+        # A coefficient at the edge that would leave the interval stays there for this round.
+        go = ~((coef[free] >= EDGE) & (gradient < 0) | (coef[free] <= -EDGE) & (gradient > 0))
+        step = np.zeros(k)
+        for _ in range(12 if go.any() else 0):
+            own = normal[np.ix_(go, go)]
+            step[go] = np.linalg.solve(own + damping * np.diag(np.diag(own) + 1e-9), -gradient[go])
+            trial = moved(step)
+            row = weights(trial, lags, period)
+            after = float(row @ gram @ row)
+            if after < ssr:
                 break
             damping *= 10
-        if not improved:
+        else:
+            converged = True  # no direction lowers the sum any more
             break
-        gain = ssr - float(trial @ trial)
-        z, r, ssr, damping = z + step, trial, float(trial @ trial), max(damping / 10, 1e-9)
-        if gain < 1e-8 * ssr:
+        gain = ssr - after
+        coef, v, ssr, damping = trial, row, after, max(damping / 10, 1e-12)
+        if gain < 1e-13 * ssr:
+            converged = True
             break
-    if not (ssr > 0 and math.isfinite(ssr)):
+    if not ssr > 1e-12 * gram[0, 0]:
         return None
-    coef = np.zeros(4)
-    coef[free] = EDGE * np.tanh(z)
     fit_term = n * (math.log(2 * math.pi * ssr / n) + 1)
-    return {"aic": fit_term + 2 * (k + 1), "bic": fit_term + math.log(n) * (k + 1), "sigma2": ssr / n, "coef": coef, "n": n}
+    return {"aic": fit_term + 2 * (k + 1), "bic": fit_term + math.log(n) * (k + 1), "sigma2": ssr / n, "coef": coef,
+            "weights": v, "converged": converged}
 
 
-def _lag_polynomials(order: tuple[int, ...], coef: np.ndarray, period: int) -> tuple[np.ndarray, np.ndarray]:
+def _lag_polynomials(order: Sequence[int], coef: Sequence[float], period: int) -> tuple[np.ndarray, np.ndarray]:
     """Full autoregressive (with differencing) and moving-average polynomials in B."""
     _, d, _, _, big_d, _ = order
     phi, theta, big_phi, big_theta = coef
@@ -106,19 +111,15 @@ def _lag_polynomials(order: tuple[int, ...], coef: np.ndarray, period: int) -> t
     return ar, np.convolve(at(1, theta), at(period, big_theta))
 
 
-def aligned_residuals(y: np.ndarray, order: tuple[int, ...], coef: np.ndarray, period: int) -> np.ndarray:
-    """Residual per observation; the rows lost to differencing are NaN."""
-    w = difference(y, order[1], order[4], period)
-    e = np.full(len(y), np.nan)
-    e[len(y) - len(w):] = innovations(w, coef, period)
-    return e
-
+def forecast(values: Sequence[float], shocks: Sequence[float], order: Sequence[int], coef: Sequence[float], sigma2: float,
+             period: int, steps: int, z: float = 1.959963984540054) -> list[tuple[float, float, float]]:
+    """Mean, lower and upper bound per step; the variance sums squared psi weights.
 
-def forecast(y: np.ndarray, order: tuple[int, ...], fitted: dict, period: int, steps: int, z: float = 1.959963984540054):
-    """Mean, lower and upper bound per step; the variance sums squared psi weights."""
-    ar, ma = _lag_polynomials(order, fitted["coef"], period)
-    e = np.nan_to_num(aligned_residuals(y, order, fitted["coef"], period))
-    values, shocks = list(y), list(e)
+    `values` and `shocks` end with the last day and reach back as far as the
+    order's lags; earlier ones count as zero.
+    """
+    ar, ma = _lag_polynomials(order, coef, period)
+    values, shocks = list(values), list(shocks)
     psi = np.zeros(steps)
     out = []
     for h in range(steps):
@@ -127,6 +128,6 @@ def forecast(y: np.ndarray, order: tuple[int, ...], fitted: dict, period: int, s
         values.append(mean)
         shocks.append(0.0)
         psi[h] = (ma[h] if h < len(ma) else 0.0) - sum(ar[i] * psi[h - i] for i in range(1, min(h, len(ar) - 1) + 1))
-        half = z * math.sqrt(fitted["sigma2"] * float(psi[: h + 1] @ psi[: h + 1]))
-        out.append((mean, mean - half, mean + half))
+        half = z * math.sqrt(sigma2 * float(psi[: h + 1] @ psi[: h + 1]))
+        out.append((float(mean), float(mean - half), float(mean + half)))
     return out

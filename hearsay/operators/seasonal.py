@@ -1,60 +1,90 @@
 """Seasonal ARIMA order search, refit and forecast, many series at once.
 
-A daily series is at most a few tens of thousands of numbers, so each is
-carried as one array. Every (series, order) pair is a row of its own; Spark
-spreads those rows over the cluster and a fit is a short numeric helper.
+Differences, lags and residuals are window expressions. Spark sums one Gram of
+the lagged values per series and pair of differences; the fits of all orders are
+conditional least squares on that finished matrix.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
+from functools import reduce
 from itertools import product
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hearsay.functions import seasonal as S
-from hearsay.session import ship_package
+from hearsay.operators.regress import _key_schema, _matrix, _per_row, gram
+from hearsay.operators.series import over_days
 
 ORDERS = list(product((0, 1), repeat=6))
+FORM = ["_d", "_sd"]
 
 
-def _arrays(df: DataFrame, keys: Sequence[str], day: str, value: str) -> DataFrame:
-    """One row per series: last day and values in day order. Days must be complete and non-null."""
-    ship_package(df.sparkSession)
-    ordered = F.sort_array(F.collect_list(F.struct(F.col(day).alias("d"), F.col(value).cast("double").alias("v"))))
-    return df.groupBy(*keys).agg(ordered.alias("_s")).select(*keys, F.col("_s.d").alias("_days"), F.col("_s.v").alias("_values"))
+def _attach(rows: DataFrame, few: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Join that keeps null keys."""
+    named = few.select(*[F.col(k).alias(f"_on{i}") for i, k in enumerate(on)], *[c for c in few.columns if c not in on])
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_on{i}")) for i, k in enumerate(on)])
+    return rows.join(named, same).drop(*[f"_on{i}" for i in range(len(on))])
 
 
-def _order_label(order: Sequence[int], period: int) -> str:
-    return "(" + ", ".join(map(str, [*order, period])) + ")"
+def _differenced(df: DataFrame, keys: Sequence[str], day: str, value: str, period: int) -> DataFrame:
+    """Every day once for each pair of plain (`_d`) and seasonal (`_sd`) differences.
 
+    `_w` is the differenced value, `_t` its place in the differenced series,
+    negative on the days that differencing loses.
+    """
+    w, y = over_days(keys, day), F.col(value).cast("double")
+    forms = []
+    for d, sd in product((0, 1), repeat=2):
+        out = y - F.lag(y, 1).over(w) if d else y
+        if sd:
+            out = out - (F.lag(y, period).over(w) - F.lag(y, period + 1).over(w) if d else F.lag(y, period).over(w))
+        forms.append(F.struct(F.lit(d).alias("_d"), F.lit(sd).alias("_sd"), F.lit(d + period * sd).alias("_lost"), out.alias("_w")))
+    rows = df.select(*keys, day, y.alias("_y"), F.row_number().over(w).alias("_n"), F.array(*forms).alias("_f"))
+    rows = rows.withColumn("_f", F.explode("_f"))
+    return rows.select(*keys, day, "_y", "_f._d", "_f._sd", "_f._w", (F.col("_n") - 1 - F.col("_f._lost")).alias("_t"))
 
-def _key_schema(df: DataFrame, keys: Sequence[str]) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
 
+def _with_past(df: DataFrame, keys: Sequence[str], day: str, value: str, period: int, lags: Sequence[int]) -> tuple[DataFrame, list[str]]:
+    """The differenced series and a column for each lag; a value before the series is zero."""
+    if period < 2:
+        raise ValueError("a season has two days or more")
+    rows, w = _differenced(df, keys, day, value, period), over_days([*keys, *FORM], day)
+    past = [F.when(F.col("_t") < lag, 0.0).otherwise(F.lag("_w", lag).over(w)).alias(f"_p{lag}") for lag in lags if lag]
+    return rows.select("*", F.col("_w").alias("_p0"), *past), [f"_p{lag}" for lag in lags]
 
-def sarima_grid(df: DataFrame, keys: Sequence[str], day: str, value: str, period: int = 20,
-                orders: Sequence[tuple[int, ...]] = tuple(ORDERS)) -> DataFrame:
-    """AIC and BIC of every order (p, d, q, P, D, Q) per series; fits that fail are left out."""
-    keys = list(keys)
-    listed = F.array(*[F.array(*[F.lit(x) for x in o]) for o in orders])
-    tasks = _arrays(df, keys, day, value).select(*keys, "_values", F.explode(listed).alias("order_spec"))
-    tasks = tasks.repartition(*keys, "order_spec")
-    names, at = [*keys, "order", "aic", "bic", "order_spec"], len(keys)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                order = tuple(int(x) for x in row[-1])
-                fitted = S.fit(np.asarray(row[at], float), order, period)
-                if fitted:
-                    out.append((*row[: len(keys)], _order_label(order, period), fitted["aic"], fitted["bic"], list(order)))
-            yield pd.DataFrame(out, columns=names)
-
-    return tasks.mapInPandas(run, f"{_key_schema(df, keys)}, `order` string, aic double, bic double, order_spec array<int>")
+def sarima_grid(df: DataFrame, keys: Sequence[str], day: str, value: str, period: int = 20,
+                orders: Sequence[tuple[int, ...]] = tuple(ORDERS), lags: Sequence[int] | None = None) -> DataFrame:
+    """AIC, BIC, coefficients, variance and weights of every order (p, d, q, P, D, Q) per series.
+
+    Days must be complete. A day that is null, or has a null among its lags, is
+    left out of the sums. Orders with the same differences are compared on the
+    same days, those after the longest burn-in of all `orders`; without enough
+    days, or without a rest to explain, an order is left out. `lags`, from 0 on,
+    say how far moving averages are expanded (`functions.seasonal.reach`).
+    """
+    keys, orders, lags = list(keys), [tuple(o) for o in orders], sorted(lags or S.reach(period))
+    rows, past = _with_past(df, keys, day, value, period, lags)
+    first = max(S.burn_in(o, period) for o in orders)
+    grams = gram(rows.where(F.col("_t") >= first), [*keys, *FORM], past)
+
+    def solve(row):
+        whole, out = _matrix(row.gram), []
+        for order in orders:
+            if (order[1], order[4]) != (row[len(keys)], row[len(keys) + 1]):
+                continue
+            fitted = S.fit(whole[1:, 1:], int(whole[0, 0]), order, lags, period)
+            if fitted:
+                label = "(" + ", ".join(map(str, [*order, period])) + ")"
+                out.append((*row[: len(keys)], label, fitted["aic"], fitted["bic"], list(order), fitted["coef"].tolist(),
+                            fitted["sigma2"], fitted["weights"].tolist(), fitted["converged"]))
+        return out
+
+    return _per_row(grams, solve, f"{_key_schema(df, keys)}, `order` string, aic double, bic double, order_spec array<int>, "
+                                  "coefficients array<double>, sigma2 double, weights array<double>, converged boolean")
 
 
 def best_order(grid: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -63,48 +93,47 @@ def best_order(grid: DataFrame, keys: Sequence[str]) -> DataFrame:
     return grid.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r")
 
 
-def _with_order(df, keys, day, value, best):
-    return _arrays(df, keys, day, value).join(best.select(*keys, "order_spec"), list(keys))
+def _chosen(df, keys, day, value, best, period, lags):
+    """The days of each series under its chosen order, with `_e`, the residual."""
+    rows, past = _with_past(df, keys, day, value, period, sorted(lags or S.reach(period)))
+    best = best.select(*keys, F.col("order_spec")[1].alias("_d"), F.col("order_spec")[4].alias("_sd"),
+                       "order_spec", "coefficients", "sigma2", "weights")
+    rows = _attach(rows, best, [*keys, *FORM])
+    products = F.zip_with(F.array(*past), "weights", lambda x, b: x * b)
+    residual = F.aggregate(products, F.lit(0.0), lambda total, v: total + v)
+    return rows.select(*keys, day, "_y", "_t", F.when(F.col("_t") >= 0, residual).alias("_e"), "order_spec", "coefficients", "sigma2")
 
 
-def fit_best(df: DataFrame, keys: Sequence[str], day: str, value: str, best: DataFrame, period: int = 20) -> DataFrame:
-    """Refit each series' chosen order: (keys, day, value, fitted, residual); no residual on rows lost to differencing."""
-    keys = list(keys)
-    rows, at = _with_order(df, keys, day, value, best), len(keys) + 1
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                order, y = tuple(int(x) for x in row[-1]), np.asarray(row[at], float)
-                fitted = S.fit(y, order, period)
-                if fitted is None:
-                    continue
-                e = S.aligned_residuals(y, order, fitted["coef"], period)
-                part = pd.DataFrame({"day": list(row[at - 1]), "value": y, "fitted": y - e, "residual": e})
-                for i, k in enumerate(keys):
-                    part.insert(i, k, row[i])
-                yield part.astype({"fitted": object, "residual": object}).where(part.notna(), None)
+def fit_best(df: DataFrame, keys: Sequence[str], day: str, value: str, best: DataFrame, period: int = 20,
+             lags: Sequence[int] | None = None) -> DataFrame:
+    """Each series under its chosen order, a row of `sarima_grid` with the same lags: (keys, day, value, fitted, residual).
 
-    return rows.mapInPandas(run, f"{_key_schema(df, keys)}, day date, value double, fitted double, residual double")
+    There is no residual on rows lost to differencing.
+    """
+    rows = _chosen(df, list(keys), day, value, best, period, lags)
+    return rows.select(*keys, F.col(day).alias("day"), F.col("_y").alias("value"), (F.col("_y") - F.col("_e")).alias("fitted"),
+                       F.col("_e").alias("residual"))
 
 
 def forecast(df: DataFrame, keys: Sequence[str], day: str, value: str, best: DataFrame, period: int = 20,
-             steps: int = 30) -> DataFrame:
-    """Forecast with 95 percent bounds: (keys, date, predicted_mean, lower_bound, upper_bound)."""
+             steps: int = 30, lags: Sequence[int] | None = None) -> DataFrame:
+    """Forecast with 95 percent bounds: (keys, date, predicted_mean, lower_bound, upper_bound).
+
+    The recursion sees the last 2 * period + 2 days; a series with a null value
+    or residual among them has no forecast.
+    """
     keys = list(keys)
-    rows, at = _with_order(df, keys, day, value, best), len(keys) + 1
-    names = [*keys, "date", "predicted_mean", "lower_bound", "upper_bound"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                order, y = tuple(int(x) for x in row[-1]), np.asarray(row[at], float)
-                fitted = S.fit(y, order, period)
-                if fitted is None:
-                    continue
-                for h, bounds in enumerate(S.forecast(y, order, fitted, period, steps), 1):
-                    out.append((*row[: len(keys)], row[at - 1][-1] + pd.Timedelta(days=h), *bounds))
-            yield pd.DataFrame(out, columns=names)
-
-    return rows.mapInPandas(run, f"{_key_schema(df, keys)}, date date, predicted_mean double, lower_bound double, upper_bound double")
+    rows = _chosen(df, keys, day, value, best, period, lags)
+    rows = rows.withColumn("_r", F.row_number().over(over_days(keys, F.desc(day)))).where(F.col("_r") <= 2 * period + 2)
+    shock = F.when(F.col("_t") < 0, 0.0).otherwise(F.col("_e"))
+    recent = rows.groupBy(*keys, "order_spec", "coefficients", "sigma2").agg(
+        F.max(day).alias("last_day"), F.sort_array(F.collect_list(F.struct(F.col(day).alias("_day"), "_y", shock.alias("_e")))).alias("_s"))
+    recent = recent.select(*keys, "last_day", "order_spec", "coefficients", "sigma2",
+                           F.col("_s._y").alias("past_values"), F.col("_s._e").alias("past_shocks"))
+    recent = recent.where(~F.exists("past_values", lambda x: x.isNull()) & ~F.exists("past_shocks", lambda x: x.isNull()))
+
+    def ahead(row):
+        made = S.forecast(row.past_values, row.past_shocks, row.order_spec, row.coefficients, row.sigma2, period, steps)
+        return [(*row[: len(keys)], row.last_day + pd.Timedelta(days=h), *bounds) for h, bounds in enumerate(made, 1)]
+
+    return _per_row(recent, ahead, f"{_key_schema(df, keys)}, date date, predicted_mean double, lower_bound double, upper_bound double")
