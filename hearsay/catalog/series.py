@@ -52,7 +52,15 @@ def z2(spark, sf):
     return rounded(S.acf(filled(spark, sf), KEYS, "day", "n", LAGS))
 
 
-@query("z3_pacf")
+@query("z3_pacf", f"""WITH RECURSIVE {FILLED_SQL}, c AS (SELECT series, day, n - avg(n) OVER (PARTITION BY series) AS d, count(*) OVER (PARTITION BY series) AS cnt FROM filled),
+p AS (SELECT series, cnt, d, k, d * lag(d, k::INT) OVER (PARTITION BY series, k ORDER BY day) AS prod FROM c, (SELECT unnest(generate_series(0, {LAGS})) AS k)),
+a AS (SELECT series, k::INT AS k, sum(prod) / sum(d * d) AS r, any_value(cnt) AS cnt FROM p GROUP BY ALL),
+rho AS (SELECT series, list(r ORDER BY k) AS rho, any_value(cnt) AS cnt FROM a GROUP BY 1),
+dl(series, k, phi, pacf) AS (SELECT series, 0, []::DOUBLE[], 1.0::DOUBLE FROM rho UNION ALL
+ SELECT series, k + 1, list_append(list_transform(range(1, k + 1), lambda j: phi[j] - top * phi[k - j + 1]), top), top FROM (
+  SELECT dl.series, dl.k, dl.phi, (rho[k + 2] - coalesce(list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * rho[k + 2 - j])), 0))
+   / (1 - coalesce(list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * rho[j + 1])), 0)) AS top FROM dl JOIN rho ON rho.series = dl.series WHERE dl.k < {LAGS}))
+SELECT dl.series, k AS lag, round(pacf, 6) AS pacf, round({S.Z95} / sqrt(cnt), 6) AS bound95 FROM dl JOIN rho ON rho.series = dl.series""")
 def z3(spark, sf):
     return rounded(G.pacf(filled(spark, sf), KEYS, "day", "n", LAGS))
 
@@ -187,19 +195,23 @@ def z15b(spark, sf):
     return rounded(S.durbin_watson(resid, [*KEYS, "response"], "day", "residual"))
 
 
-@query("z16_var_forecast_levels")
-def z16(spark, sf):
+def levels_ahead(days, cols, order):
     """Second differences of the training part, forecast, and brought back to levels."""
-    train, _ = S.tail_split(multivariate(spark, sf), KEYS, "day", 20)
+    train, _ = S.tail_split(days, KEYS, "day", 20)
     diffs = train
-    for v in VARS:
+    for v in cols:
         diffs = S.difference(diffs, KEYS, "day", v, 2, f"{v}_2d")
     diffs = diffs.where(F.col("n_2d").isNotNull())
-    ahead = G.var_forecast(diffs, KEYS, "day", [f"{v}_2d" for v in VARS], 13, 20)
+    ahead = G.var_forecast(diffs, KEYS, "day", [f"{v}_2d" for v in cols], order, 20)
     level = partial(S.undifference, keys=KEYS, day="day", order=2)
-    for v in VARS:
+    for v in cols:
         ahead = level(ahead, S.last_values(train, KEYS, "day", v), value=f"{v}_2d", out=f"{v}_forecast")
-    return day_text(rounded(ahead.select("series", "day", *[f"{v}_forecast" for v in VARS]), 4))
+    return day_text(rounded(ahead.select("series", "day", *[f"{v}_forecast" for v in cols]), 4))
+
+
+@query("z16_var_forecast_levels")
+def z16(spark, sf):
+    return levels_ahead(multivariate(spark, sf), VARS, 13)
 
 
 @query("z17_forecast_accuracy", f"""WITH {FILLED_SQL}, p AS (SELECT series, n + 1 AS a, lag(n, 7) OVER (PARTITION BY series ORDER BY day) + 1 AS f FROM filled), q AS (SELECT * FROM p WHERE f IS NOT NULL)
@@ -298,3 +310,123 @@ r(series, step, n) AS (SELECT series, 0, y FROM f UNION ALL SELECT r.series, r.s
 SELECT r.series, r.step, CAST(CAST(last_day + step AS DATE) AS VARCHAR) AS day, round(r.n, 5) AS n FROM r JOIN f USING (series) WHERE r.step > 0""")
 def z14b(spark, sf):
     return day_text(rounded(G.var_forecast(filled(spark, sf), KEYS, "day", ["n"], 1, 20), 5))
+
+
+# Two columns and one lag: the coefficients and the covariance of the rest from covariances.
+PAIR = ["n", "closed"]
+PAIR_SQL = """w AS (SELECT o_orderpriority AS series, CAST(o_orderdate AS DATE) AS day, count(*)::DOUBLE AS n, count(*) FILTER (o_orderstatus = 'F')::DOUBLE AS closed FROM orders GROUP BY ALL),
+span AS (SELECT series, unnest(generate_series(min(day)::TIMESTAMP, max(day)::TIMESTAMP, INTERVAL 1 DAY))::DATE AS day FROM w GROUP BY 1),
+pair AS (SELECT series, day, coalesce(n, 0) AS n, coalesce(closed, 0) AS closed FROM span LEFT JOIN w USING (series, day)),
+l AS (SELECT series, day, n, closed, lag(n) OVER o AS n1, lag(closed) OVER o AS c1 FROM pair WINDOW o AS (PARTITION BY series ORDER BY day)),
+v AS (SELECT series, count(*)::BIGINT AS k, avg(n) AS mn, avg(closed) AS mc, avg(n1) AS mn1, avg(c1) AS mc1, var_pop(n1) AS a, var_pop(c1) AS b, covar_pop(n1, c1) AS x,
+ covar_pop(n, n1) AS nn, covar_pop(n, c1) AS nc, covar_pop(closed, n1) AS cn, covar_pop(closed, c1) AS cc, var_pop(n) AS vn, var_pop(closed) AS vc, covar_pop(n, closed) AS vx FROM l WHERE n1 IS NOT NULL GROUP BY 1),
+g AS (SELECT *, (nn * b - nc * x) / (a * b - x * x) AS n_n, (nc * a - nn * x) / (a * b - x * x) AS n_c, (cn * b - cc * x) / (a * b - x * x) AS c_n, (cc * a - cn * x) / (a * b - x * x) AS c_c FROM v),
+fit AS (SELECT *, mn - n_n * mn1 - n_c * mc1 AS n_0, mc - c_n * mn1 - c_c * mc1 AS c_0, vn - n_n * nn - n_c * nc AS s_n, vc - c_n * cn - c_c * cc AS s_c, vx - n_n * cn - n_c * cc AS s_x FROM g)"""
+
+
+@query("z10_granger_statistics", f"""WITH {PAIR_SQL} SELECT series, 'n' AS response, 'closed' AS cause, 1 AS lag, round(k * (vn - nn * nn / a - s_n) / s_n, 5) AS statistic FROM fit
+UNION ALL SELECT series, 'closed', 'n', 1, round(k * (vc - cc * cc / b - s_c) / s_c, 5) FROM fit""")
+def z10c(spark, sf):
+    return rounded(G.granger_tests(multivariate(spark, sf), KEYS, "day", PAIR, 1).drop("p_value"), 5)
+
+
+@query("z11_lag_ols_pair", f"""WITH {PAIR_SQL} SELECT series, term, round(c, 5) AS coefficient, round(k * s_n, 3) AS ssr, k AS n
+FROM fit, LATERAL (VALUES ('const', n_0), ('n_lag1', n_n), ('closed_lag1', n_c)) AS t(term, c)""")
+def z11d(spark, sf):
+    out = G.lag_ols(multivariate(spark, sf), KEYS, "day", "n", PAIR, 1)
+    return out.withColumns({"coefficient": F.round("coefficient", 5), "ssr": F.round("ssr", 3)})
+
+
+@query("z13_var_select_pair", f"""WITH {PAIR_SQL}, d AS (SELECT series, k, ln(s_n * s_c - s_x * s_x) AS ld FROM fit)
+SELECT series, 1 AS lag_order, round(ld + 12 / k, 6) AS aic, round(ld + ln(k) * 6 / k, 6) AS bic, round(pow((k + 3) / (k - 3), 2) * exp(ld), 6) AS fpe,
+round(ld + 12 * ln(ln(k)) / k, 6) AS hqic, k AS n FROM d""")
+def z13d(spark, sf):
+    return rounded(G.var_select(multivariate(spark, sf), KEYS, "day", PAIR, 1))
+
+
+@query("z14_var_forecast_pair", f"""WITH RECURSIVE {PAIR_SQL}, e AS (SELECT series, max(day) AS last_day, arg_max(n, day) AS n, arg_max(closed, day) AS c FROM l GROUP BY 1),
+r(series, step, n, c) AS (SELECT series, 0, n, c FROM e UNION ALL
+ SELECT r.series, r.step + 1, n_0 + n_n * r.n + n_c * r.c, c_0 + c_n * r.n + c_c * r.c FROM r JOIN fit ON fit.series = r.series WHERE r.step < 20)
+SELECT r.series, step, CAST(CAST(last_day + step AS DATE) AS VARCHAR) AS day, round(r.n, 5) AS n, round(r.c, 5) AS closed FROM r JOIN e ON e.series = r.series WHERE step > 0""")
+def z14c(spark, sf):
+    return day_text(rounded(G.var_forecast(multivariate(spark, sf), KEYS, "day", PAIR, 1, 20), 5))
+
+
+@query("z15_durbin_watson_pair", f"""WITH {PAIR_SQL}, e AS (SELECT l.series, day, l.n - n_0 - n_n * n1 - n_c * c1 AS n, closed - c_0 - c_n * n1 - c_c * c1 AS c FROM l JOIN fit USING (series) WHERE n1 IS NOT NULL),
+s AS (SELECT *, n - lag(n) OVER o AS dn, c - lag(c) OVER o AS dc FROM e WINDOW o AS (PARTITION BY series ORDER BY day))
+SELECT series, 'n' AS response, round(sum(dn * dn) / sum(n * n), 6) AS durbin_watson FROM s GROUP BY 1 UNION ALL SELECT series, 'closed', round(sum(dc * dc) / sum(c * c), 6) FROM s GROUP BY 1""")
+def z15c(spark, sf):
+    resid = G.var_residuals(multivariate(spark, sf), KEYS, "day", PAIR, 1)
+    return rounded(S.durbin_watson(resid, [*KEYS, "response"], "day", "residual"))
+
+
+@query("z16_var_forecast_levels_one", f"""WITH RECURSIVE {TAIL_SQL}, tr AS (SELECT series, day, n, n - lag(n) OVER o AS s, n - 2 * lag(n) OVER o + lag(n, 2) OVER o AS y
+ FROM (SELECT series, day, n FROM r WHERE r > 20) WINDOW o AS (PARTITION BY series ORDER BY day)),
+p AS (SELECT *, lag(y) OVER (PARTITION BY series ORDER BY day) AS x FROM tr),
+f AS (SELECT series, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM p WHERE x IS NOT NULL GROUP BY 1),
+e AS (SELECT series, max(day) AS last_day, arg_max(y, day) AS y, arg_max(s, day) AS s, arg_max(n, day) AS n FROM tr GROUP BY 1),
+q(series, step, y, s, n) AS (SELECT series, 0, y, s, n FROM e UNION ALL
+ SELECT q.series, q.step + 1, a + b * q.y, q.s + a + b * q.y, q.n + q.s + a + b * q.y FROM q JOIN f ON f.series = q.series WHERE q.step < 20)
+SELECT q.series, CAST(CAST(last_day + step AS DATE) AS VARCHAR) AS day, round(q.n, 4) AS n_forecast FROM q JOIN e ON e.series = q.series WHERE step > 0""")
+def z16b(spark, sf):
+    return levels_ahead(filled(spark, sf), ["n"], 1)
+
+
+# At most one lagged difference: the order is chosen on the rows both can use, then refitted on all its own.
+@query("z4_adf_one_lag", f"""WITH {FILLED_SQL}, s AS (SELECT series, day, lag(n) OVER o AS y1, n - lag(n) OVER o AS dy FROM filled WINDOW o AS (PARTITION BY series ORDER BY day)),
+l AS (SELECT *, lag(dy) OVER (PARTITION BY series ORDER BY day) AS d1 FROM s),
+both_fits AS (SELECT series, count(*) AS n, regr_syy(dy, y1) AS syy, regr_sxx(dy, y1) AS s1, corr(dy, y1) AS r1, corr(dy, d1) AS r2, corr(y1, d1) AS x FROM l WHERE d1 IS NOT NULL GROUP BY 1),
+one AS (SELECT *, syy * (1 - r1 * r1) AS ssr0, syy * (1 - (r1 * r1 + r2 * r2 - 2 * r1 * r2 * x) / (1 - x * x)) AS ssr1, sqrt(syy / s1) * (r1 - r2 * x) / (1 - x * x) AS b1 FROM both_fits),
+none AS (SELECT series, count(*) AS n, regr_slope(dy, y1) AS b, regr_sxx(dy, y1) AS sxx, regr_syy(dy, y1) * (1 - regr_r2(dy, y1)) AS ssr FROM l WHERE y1 IS NOT NULL GROUP BY 1)
+SELECT one.series, CASE WHEN one.n * ln(ssr1) + 2 < one.n * ln(ssr0) THEN round(b1 / sqrt(ssr1 / (one.n - 3) / (s1 * (1 - x * x))), 4) ELSE round(b / sqrt(ssr / (none.n - 2) / sxx), 4) END AS statistic,
+CASE WHEN one.n * ln(ssr1) + 2 < one.n * ln(ssr0) THEN 1 ELSE 0 END AS n_lags, (CASE WHEN one.n * ln(ssr1) + 2 < one.n * ln(ssr0) THEN one.n ELSE none.n END)::BIGINT AS n_obs
+FROM one JOIN none USING (series)""")
+def z4d(spark, sf):
+    out = G.adf(filled(spark, sf), KEYS, "day", "n", 1)
+    return out.select("series", F.round("statistic", 4).alias("statistic"), "n_lags", "n_obs")
+
+
+# One coefficient: least squares on the lagged difference. A moving average expanded to one lag has the same sum.
+ONE = [(p, d, 1 - p, 0, big_d, 0) for p in (0, 1) for d in (0, 1) for big_d in (0, 1)]
+DIFFED_SQL = """lagged AS (SELECT series, day, n, row_number() OVER w AS i, lag(n, 1) OVER w AS n1, lag(n, 20) OVER w AS n20, lag(n, 21) OVER w AS n21
+FROM filled WINDOW w AS (PARTITION BY series ORDER BY day)), forms AS (SELECT series, day, 0 AS d, 0 AS sd, n AS w FROM lagged UNION ALL SELECT series, day, 1, 0, n - n1 FROM lagged WHERE i > 1
+UNION ALL SELECT series, day, 0, 1, n - n20 FROM lagged WHERE i > 20 UNION ALL SELECT series, day, 1, 1, n - n1 - n20 + n21 FROM lagged WHERE i > 21),
+steps AS (SELECT *, row_number() OVER o AS t, lag(w) OVER o AS w1 FROM forms WINDOW o AS (PARTITION BY series, d, sd ORDER BY day))"""
+
+
+@query("z6_sarima_grid_one_coefficient", f"""WITH {FILLED_SQL}, {DIFFED_SQL}, f AS (SELECT series, d, sd, count(*) AS k, sum(w * w) - pow(sum(w * w1), 2) / sum(w1 * w1) AS ssr FROM steps WHERE t > 2 GROUP BY ALL),
+u AS (SELECT *, k * (ln(2 * pi() * ssr / k) + 1) AS lg FROM f)
+SELECT series, '(' || p || ', ' || d || ', ' || (1 - p) || ', 0, ' || sd || ', 0, 20)' AS "order", round(lg + 4, 4) AS aic, round(lg + 2 * ln(k), 4) AS bic FROM u, (VALUES (0), (1)) AS t(p)""")
+def z6c(spark, sf):
+    return rounded(SE.sarima_grid(filled(spark, sf), KEYS, "day", "n", 20, ONE, [0, 1]).select(*SCORES), 4)
+
+
+AR_SQL = f"""{FILLED_SQL}, {DIFFED_SQL}, ar AS (SELECT series, sum(w * w1) / sum(w1 * w1) AS b, sqrt((sum(w * w) - pow(sum(w * w1), 2) / sum(w1 * w1)) / count(*)) AS s
+FROM steps WHERE d = 1 AND sd = 0 AND t > 1 GROUP BY 1)"""
+
+
+def ar_best(spark, sf):
+    days = filled(spark, sf)
+    return days, SE.best_order(SE.sarima_grid(days, KEYS, "day", "n", 20, [(1, 1, 0, 0, 0, 0)]), KEYS)
+
+
+@query("z7_fit_autoregression", f"""WITH {AR_SQL} SELECT series, CAST(day AS VARCHAR) AS day, n AS value, round(n - (w - b * coalesce(w1, 0)), 4) AS fitted, round(w - b * coalesce(w1, 0), 4) AS residual
+FROM filled LEFT JOIN (SELECT * FROM steps WHERE d = 1 AND sd = 0) USING (series, day) JOIN ar USING (series)""")
+def z7c(spark, sf):
+    days, order = ar_best(spark, sf)
+    return day_text(rounded(SE.fit_best(days, KEYS, "day", "n", order), 4))
+
+
+AHEAD_SQL = f"""WITH {AR_SQL}, e AS (SELECT series, max(day) AS last_day, arg_max(n, day) AS n FROM filled GROUP BY 1), x AS (SELECT series, arg_max(w, day) AS w FROM steps WHERE d = 1 AND sd = 0 GROUP BY 1),
+h AS (SELECT unnest(generate_series(1, 30)) AS h),
+a AS (SELECT series, last_day, h, n + w * b * (1 - pow(b, h)) / (1 - b) AS m, s * sqrt(sum(pow((1 - pow(b, h)) / (1 - b), 2)) OVER (PARTITION BY series ORDER BY h)) AS sd FROM e JOIN x USING (series) JOIN ar USING (series), h)
+SELECT series, CAST(CAST(last_day + h::INT AS DATE) AS VARCHAR) AS date, round(m, 4) AS predicted_mean, round(m - {S.Z95} * sd, 4) AS lower_bound, round(m + {S.Z95} * sd, 4) AS upper_bound FROM a"""
+
+
+@query("z9_forecast_autoregression", AHEAD_SQL)
+def ar_forecast(spark, sf):
+    days, order = ar_best(spark, sf)
+    return day_text(rounded(SE.forecast(days, KEYS, "day", "n", order, steps=30), 4), "date")
+
+
+query("j13_forecast_autoregression", AHEAD_SQL)(ar_forecast)

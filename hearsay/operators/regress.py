@@ -182,13 +182,13 @@ def adf(df: DataFrame, keys: Sequence[str], day: str, value: str, max_lag: int |
     return _per_row(rows, solve, schema)
 
 
-def granger_matrix(df: DataFrame, keys: Sequence[str], day: str, cols: Sequence[str], max_lag: int = 12,
-                   digits: int = 4) -> DataFrame:
-    """For each ordered pair, the smallest chi-square p-value over lags 1..max_lag.
+def granger_tests(df: DataFrame, keys: Sequence[str], day: str, cols: Sequence[str], max_lag: int = 12) -> DataFrame:
+    """Chi-square statistic and p-value for each ordered pair of columns and each lag 1..max_lag.
 
     One Gram over the lags of all columns serves every pair and every lag: the
     restricted and the full regression are sub-matrices of it. Lag k may use
     rows from k on, so Grams are kept per range of starting rows and added.
+    A lag with too few rows, or a full regression without a rest, has no result.
     """
     lagged = with_lags(df.select(*keys, day, *[F.col(c).cast("double").alias(c) for c in cols]), keys, day, cols, max_lag, 0.0)
     names = [f"{c}_lag{i}" for c in cols for i in range(1, max_lag + 1)]
@@ -201,12 +201,13 @@ def granger_matrix(df: DataFrame, keys: Sequence[str], day: str, cols: Sequence[
     def solve(row):
         key = tuple(row[: len(keys)])
         parts = {int(p["_order"]): _matrix(p["gram"]) for p in row.parts}
-        best = {}
+        out = []
         for k in range(1, max_lag + 1):
-            full = sum(m for order, m in parts.items() if order >= k)
-            n = full[0, 0]
-            if n <= 2 * k + 1:
+            found = [m for order, m in parts.items() if order >= k]
+            full = sum(found) if found else None
+            if full is None or full[0, 0] <= 2 * k + 1:
                 continue
+            n = full[0, 0]
             for y in cols:
                 own = [0, *range(at[y], at[y] + k)]
                 _, restricted, _ = solve_gram(full, own, y_at[y])
@@ -214,12 +215,21 @@ def granger_matrix(df: DataFrame, keys: Sequence[str], day: str, cols: Sequence[
                     if x == y:
                         continue
                     _, joint, _ = solve_gram(full, [*own, *range(at[x], at[x] + k)], y_at[y])
-                    stat = n * (restricted - joint) / joint if joint > 0 else math.inf
-                    p = round(chi2_tail(stat, k), digits) if math.isfinite(stat) else 0.0
-                    best[y, x] = min(best.get((y, x), 1.0), p)
-        return [(*key, y, x, 1.0 if x == y else best.get((y, x))) for y in cols for x in cols]
+                    stat = float(n * (restricted - joint) / joint) if joint > 0 else math.inf
+                    out.append((*key, y, x, k, stat, chi2_tail(stat, k) if math.isfinite(stat) else 0.0))
+        return out
+
+    return _per_row(rows, solve, f"{_key_schema(df, keys)}, response string, cause string, lag int, statistic double, p_value double")
+
 
-    return _per_row(rows, solve, f"{_key_schema(df, keys)}, response string, cause string, p_value double")
+def granger_matrix(df: DataFrame, keys: Sequence[str], day: str, cols: Sequence[str], max_lag: int = 12,
+                   digits: int = 4) -> DataFrame:
+    """For each ordered pair, the smallest chi-square p-value over lags 1..max_lag; 1 for a column and itself."""
+    tests = granger_tests(df, keys, day, cols, max_lag)
+    pairs = tests.groupBy(*keys, "response", "cause").agg(F.min(F.round("p_value", digits)).alias("p_value"))
+    own = F.explode(F.array(*[F.lit(c) for c in cols]))
+    same = df.select(*keys).distinct().select(*keys, own.alias("response"))
+    return pairs.unionByName(same.select(*keys, "response", F.col("response").alias("cause"), F.lit(1.0).alias("p_value")))
 
 
 def _var_design(df, keys, day, cols, lags):
