@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from hearsay import vocab
 from hearsay.catalog import inputs as I
 from hearsay.catalog.registry import query
 from hearsay.functions import columns as C
@@ -62,6 +63,22 @@ def x5(spark, sf):
     return texts(spark, sf).select("doc_id", F.md5(C.normalize_terms(F.lower("text"), I.RULES)).alias("v"))
 
 
+def _all_rules(expr: str, rules) -> str:
+    """As _single_pass, with accented letters as letters; twice, since neighbours share the mark between them."""
+    pairs = sorted(dict(rules).items(), key=lambda p: (-len(p[0]), p[0]))
+    for i, (pattern, _) in enumerate(pairs):
+        for _ in range(2):
+            expr = f"regexp_replace({expr}, '(^|[^\\p{{L}}\\p{{N}}_]){pattern.replace('.', '[.]')}([^\\p{{L}}\\p{{N}}_]|$)', '\\1' || chr({0xE000 + i}) || '\\2', 'g')"
+    for i, (_, target) in enumerate(pairs):
+        expr = f"replace({expr}, chr({0xE000 + i}), '{target}')"
+    return expr
+
+
+@query("x5_normalize_terms_all_rules", f"SELECT doc_id, md5({_all_rules('lower(text)', vocab.WHOLE_WORD_RULES)}) AS v FROM documents")
+def x5c(spark, sf):
+    return texts(spark, sf).select("doc_id", F.md5(C.normalize_terms(F.lower("text"), vocab.WHOLE_WORD_RULES)).alias("v"))
+
+
 @query("x5_normalize_terms_chain", f"SELECT doc_id, md5({_chain('lower(text)', I.RULES)}) AS v FROM documents")
 def x5b(spark, sf):
     return texts(spark, sf).select("doc_id", F.md5(C.normalize_terms(F.lower("text"), I.RULES, compat=True)).alias("v"))

@@ -26,6 +26,22 @@ def s1b(spark, sf):
     return df.withColumn("body", F.md5("body"))
 
 
+@query("s1_read_activity_feeds", f"""WITH {I.AUTHORED_SQL}, k AS (SELECT 'comment' AS kind UNION ALL SELECT 'post')
+SELECT doc_id::VARCHAR AS id, author, community, CAST(ts AS VARCHAR)[1:19] AS ts, floor(score)::BIGINT AS score,
+md5(CASE kind WHEN 'post' THEN concat_ws(' ', community, body) ELSE body END) AS body, kind FROM authored, k""")
+def s1c(spark, sf):
+    """Both feeds written with the columns at hand, read back under their declared schemas and brought to one shape."""
+    rows = I.authored(spark, sf).select(
+        F.col("doc_id").cast("string").alias("id"), "author", F.col("community").alias("subreddit"), "body",
+        F.floor("score").cast("bigint").alias("score"), F.unix_timestamp("ts").alias("created_utc"))
+    feeds = []
+    for kind, feed in (("comment", rows), ("post", rows.withColumnsRenamed({"body": "selftext"}).withColumn("title", F.col("subreddit")))):
+        path = scratch_path(spark, f"{kind}s")
+        feed.write.parquet(path)
+        feeds.append(activity.normalize_activity(activity.read_activity(spark, path, kind), kind))
+    return activity.stack_chunks(*feeds).withColumns({"ts": F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), "body": F.md5("body")})
+
+
 @query("s2_read_daily_series", f"WITH {I.WIDE_SQL} SELECT CAST(Date AS VARCHAR) AS Date, click, view, error, signup, purchase FROM wide")
 def s2(spark, sf):
     path = scratch_path(spark, "series")

@@ -93,10 +93,11 @@ def normalize_terms(
 ) -> Column:
     """Rename product names inside a text.
 
-    The default matches whole words, longest pattern first, and never rewrites
-    its own output: each match becomes a private-use mark and the marks become
-    the targets at the end. `compat` applies the rules as an ordered chain of
-    plain replacements, each seeing the output of the ones before.
+    The default matches whole words from left to right, the longest pattern
+    first, and never rewrites its own output: one alternation cuts the text into
+    matches and what lies between them, however many rules there are. `compat`
+    applies the rules as an ordered chain of plain replacements, each seeing the
+    output of the ones before.
     """
     pairs = list(rules.items()) if isinstance(rules, Mapping) else list(rules)
     c = as_col(c)
@@ -105,13 +106,13 @@ def normalize_terms(
             c = F.regexp_replace(c, pattern, target)
         return c
     pairs = sorted(dict(pairs).items(), key=lambda p: (-len(p[0]), p[0]))
-    marks = {}
-    for i, (pattern, target) in enumerate(pairs):
-        marks[chr(0xE000 + i)] = target
-        c = F.regexp_replace(c, whole_word(pattern), chr(0xE000 + i))
-    for mark, target in marks.items():
-        c = F.replace(c, F.lit(mark), F.lit(target))
-    return c
+    if not pairs:
+        return c
+    any_term = rf"(?<![\p{{L}}\p{{N}}_])({'|'.join(_quote(pattern) for pattern, _ in pairs)})(?![\p{{L}}\p{{N}}_])"
+    targets = F.create_map(*[F.lit(x) for pair in pairs for x in pair])
+    found = F.transform(F.regexp_extract_all(c, F.lit(any_term), 1), lambda term: targets[term])
+    between = F.split(c, any_term)
+    return F.array_join(F.zip_with(between, found, lambda text, target: F.concat(text, F.coalesce(target, F.lit("")))), "")
 
 
 def whole_word(term: str) -> str:

@@ -55,6 +55,13 @@ def test_word_lists_have_expected_sizes():
     assert len(vocab.RENAME_RULES) == 60
 
 
+def test_rename_takes_the_leftmost_then_the_longest(spark):
+    rules = [("a b", "X"), ("b c d", "Y"), ("b c", "Z"), ("X", "no"), ("c++", "cpp")]
+    for text, want in [("a b c d", "X c d"), ("q b c d b c", "q Y Z"), ("b cd b", "b cd b"), ("a b", "X"), ("a c++", "a cpp"), ("", ""), (None, None)]:
+        assert one(spark, text, C.normalize_terms("t", rules)) == want
+    assert one(spark, "as is", C.normalize_terms("t", [])) == "as is"
+
+
 def test_rename_chain_and_single_pass(spark):
     rules = vocab.RENAME_RULES
     assert one(spark, "flick", C.normalize_terms("t", rules, compat=True)) == "brow eyeliner"
