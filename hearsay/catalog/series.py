@@ -394,9 +394,9 @@ UNION ALL SELECT series, day, 0, 1, n - n20 FROM lagged WHERE i > 20 UNION ALL S
 steps AS (SELECT *, row_number() OVER o AS t, lag(w) OVER o AS w1 FROM forms WINDOW o AS (PARTITION BY series, d, sd ORDER BY day))"""
 
 
-@query("z6_sarima_grid_one_coefficient", f"""WITH {FILLED_SQL}, {DIFFED_SQL}, f AS (SELECT series, d, sd, count(*) AS k, sum(w * w) - pow(sum(w * w1), 2) / sum(w1 * w1) AS ssr FROM steps WHERE t > 2 GROUP BY ALL),
+@query("z6_sarima_grid_one_coefficient", f"""WITH {FILLED_SQL}, {DIFFED_SQL}, f AS (SELECT series, d, sd, p, count(*) AS k, sum(w * w) - pow(sum(w * w1), 2) / sum(w1 * w1) AS ssr FROM steps, (VALUES (0), (1)) AS o(p) WHERE t > 2 - p GROUP BY ALL),
 u AS (SELECT *, k * (ln(2 * pi() * ssr / k) + 1) AS lg FROM f)
-SELECT series, '(' || p || ', ' || d || ', ' || (1 - p) || ', 0, ' || sd || ', 0, 20)' AS "order", round(lg + 4, 4) AS aic, round(lg + 2 * ln(k), 4) AS bic FROM u, (VALUES (0), (1)) AS t(p)""")
+SELECT series, '(' || p || ', ' || d || ', ' || (1 - p) || ', 0, ' || sd || ', 0, 20)' AS "order", round(lg + 4, 4) AS aic, round(lg + 2 * ln(k), 4) AS bic FROM u""")
 def z6c(spark, sf):
     return rounded(SE.sarima_grid(filled(spark, sf), KEYS, "day", "n", 20, ONE, [0, 1]).select(*SCORES), 4)
 

@@ -61,21 +61,28 @@ def sarima_grid(df: DataFrame, keys: Sequence[str], day: str, value: str, period
     """AIC, BIC, coefficients, variance and weights of every order (p, d, q, P, D, Q) per series.
 
     Days must be complete. A day that is null, or has a null among its lags, is
-    left out of the sums. Orders with the same differences are compared on the
-    same days, those after the longest burn-in of all `orders`; without enough
-    days, or without a rest to explain, an order is left out. `lags`, from 0 on,
+    left out of the sums. Each order is fitted on the days after its burn-in, as
+    by a state-space fit, so Grams are kept per range of starting days and added;
+    without enough days, or without a rest to explain, an order is left out. `lags`, from 0 on,
     say how far moving averages are expanded (`functions.seasonal.reach`).
     """
     keys, orders, lags = list(keys), [tuple(o) for o in orders], sorted(lags or S.reach(period))
     rows, past = _with_past(df, keys, day, value, period, lags)
-    first = max(S.burn_in(o, period) for o in orders)
-    grams = gram(rows.where(F.col("_t") >= first), [*keys, *FORM], past)
+    starts = sorted({S.burn_in(o, period) for o in orders})
+    ranged = rows.where(F.col("_t") >= starts[0]).withColumn("_from", F.greatest(
+        F.lit(0), *[F.when(F.col("_t") >= start, start).otherwise(0) for start in starts]))
+    grams = gram(ranged, [*keys, *FORM, "_from"], past)
+    grams = grams.groupBy(*keys, *FORM).agg(F.collect_list(F.struct("_from", "gram")).alias("parts"))
 
     def solve(row):
-        whole, out = _matrix(row.gram), []
+        parts, out = [(p["_from"], _matrix(p["gram"])) for p in row.parts], []
         for order in orders:
             if (order[1], order[4]) != (row[len(keys)], row[len(keys) + 1]):
                 continue
+            usable = [m for start, m in parts if start >= S.burn_in(order, period)]
+            if not usable:
+                continue
+            whole = sum(usable)
             fitted = S.fit(whole[1:, 1:], int(whole[0, 0]), order, lags, period)
             if fitted:
                 label = "(" + ", ".join(map(str, [*order, period])) + ")"
