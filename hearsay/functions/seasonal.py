@@ -3,8 +3,10 @@
 (1 - phi B)(1 - Phi B^s) w = (1 + theta B)(1 + Theta B^s) e, with w the
 differenced series and each of p, q, P, Q either 0 or 1. Solved for e, the model
 is one row of weights on w and its lags, so the squared residuals of any
-coefficients are a quadratic form in the Gram of those lags. Values before the
-first are taken as zero. Coefficients stay inside the unit interval.
+coefficients are a quadratic form in the Gram of those lags. Over a few lags that
+gives starting values (`fit`); `next_trial` moves on from the Gram of the residuals
+of the whole recursion and their slopes. Values before the first are taken as
+zero. Coefficients stay inside the unit interval.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ EDGE = 0.999
 
 
 def reach(period: int, near: int = 9, seasons: int = 6) -> list[int]:
-    """The lags a moving average is expanded to: up to `near` days after each of `seasons` seasons."""
+    """The lags a moving average is expanded to for starting values: up to `near` days after each of `seasons` seasons."""
     return sorted({i + period * j for i in range(near + 1) for j in range(seasons + 1)})
 
 
@@ -88,9 +90,85 @@ def fit(gram: np.ndarray, n: int, order: Sequence[int], lags: Sequence[int], per
             break
     if not ssr > 1e-12 * gram[0, 0]:
         return None
+    return scores(ssr, n, order) | {"coef": coef, "weights": v, "converged": converged}
+
+
+def recursion_grams(x: np.ndarray, coefs: np.ndarray, burn: np.ndarray, period: int) -> np.ndarray:
+    """Per row of `coefs`, the summed products of the residual and its slopes by phi, theta, Phi and Theta, by the whole recursion.
+
+    `x` has a row per day: the value and those 1, `period` and `period` + 1 days
+    before. A day of NaN has no residual: it counts as zero for later days and
+    not in the sums, which start after `burn` days.
+    """
+    phi, theta, big_phi, big_theta = np.asarray(coefs, float).T
+    past = np.zeros((len(x), len(phi), 5))
+    none = np.zeros((len(phi), 5))
+    back = np.column_stack((theta, big_theta, theta * big_theta))[:, :, None]
+    known = ~np.isnan(x).any(axis=1)
+    own = np.zeros_like(past)
+    day = np.where(known[:, None], x, 0.0)[:, :, None]
+    own[:, :, 0] = day[:, 0] - phi * day[:, 1] - big_phi * day[:, 2] + phi * big_phi * day[:, 3]
+    own[:, :, 1] = big_phi * day[:, 3] - day[:, 1]
+    own[:, :, 3] = phi * day[:, 3] - day[:, 2]
+    for t in np.flatnonzero(known):
+        a, b, c = (past[t - lag] if t >= lag else none for lag in (1, period, period + 1))
+        made = own[t] - back[:, 0] * a - back[:, 1] * b - back[:, 2] * c
+        made[:, 2] -= a[:, 0] + big_theta * c[:, 0]
+        made[:, 4] -= b[:, 0] + theta * c[:, 0]
+        past[t] = made
+    return np.stack([past[n:, i].T @ past[n:, i] for i, n in enumerate(burn)])
+
+
+def fit_whole(x: np.ndarray, tasks: Sequence[tuple[Sequence[int], Sequence[float]]], period: int, rounds: int = 200) -> list[dict | None]:
+    """The fit of each (order, starting coefficients) by the whole recursion over `x`; None without enough days or without a rest."""
+    burn = np.array([burn_in(order, period) for order, _ in tasks])
+    used = [x[n:][~np.isnan(x[n:]).any(axis=1), 0] for n in burn]
+    trials, held = [np.asarray(start, float) for _, start in tasks], [None] * len(tasks)
+    go = [i for i, (order, _) in enumerate(tasks) if len(used[i]) > 1 + order[0] + order[2] + order[3] + order[5]]
+    for _ in range(rounds):
+        if not go:
+            break
+        for i, seen in zip(go, recursion_grams(x, np.array([trials[i] for i in go]), burn[go], period)):
+            held[i] = next_trial(trials[i], seen, tasks[i][0], held[i])
+            trials[i] = held[i]["trial"]
+        go = [i for i in go if not held[i]["converged"]]
+    return [scores(h["gram"][0, 0], len(w), order) | {"coef": h["coef"], "converged": h["converged"]}
+            if h and h["gram"][0, 0] > 1e-12 * float(w @ w) else None for h, w, (order, _) in zip(held, used, tasks)]
+
+
+def next_trial(trial: Sequence[float], seen: np.ndarray, order: Sequence[int], held: dict | None) -> dict:
+    """One Levenberg-Marquardt round: take or drop `trial`, whose residuals and slopes have the Gram `seen`, and name the next.
+
+    `held` is the last result, None at first. `converged` means that no step
+    promises a gain; then `coef` stays.
+    """
+    free = np.array([order[0], order[2], order[3], order[5]], bool)
+    if held is None or seen[0, 0] < held["gram"][0, 0]:
+        held = {"coef": np.array(trial, float), "gram": seen, "damping": max(held["damping"] / 10, 1e-12) if held else 1e-3}
+    else:
+        held = {"coef": np.array(held["coef"], float), "gram": held["gram"], "damping": held["damping"] * 10}
+    ssr, coef = held["gram"][0, 0], held["coef"]
+    held |= {"trial": coef, "converged": True}
+    if not free.any() or not ssr > 0:
+        return held
+    normal, gradient = held["gram"][1:, 1:], held["gram"][1:, 0]
+    go = free & ~((coef >= EDGE) & (gradient < 0) | (coef <= -EDGE) & (gradient > 0))
+    if not go.any():
+        return held
+    own, step = normal[np.ix_(go, go)], np.zeros(4)
+    step[go] = np.linalg.solve(own + held["damping"] * np.diag(np.diag(own) + 1e-9), -gradient[go])
+    held["trial"] = np.clip(coef + step, -EDGE, EDGE)
+    step = held["trial"] - coef
+    promised = -(2 * gradient @ step + step @ normal @ step)
+    held["converged"] = bool(promised < 1e-11 * ssr and held["damping"] < 1e3 or held["damping"] > 1e12 or not step.any())
+    return held
+
+
+def scores(ssr: float, n: int, order: Sequence[int]) -> dict:
+    """AIC, BIC and variance of a fit to n days."""
+    k = 1 + order[0] + order[2] + order[3] + order[5]
     fit_term = n * (math.log(2 * math.pi * ssr / n) + 1)
-    return {"aic": fit_term + 2 * (k + 1), "bic": fit_term + math.log(n) * (k + 1), "sigma2": ssr / n, "coef": coef,
-            "weights": v, "converged": converged}
+    return {"aic": fit_term + 2 * k, "bic": fit_term + math.log(n) * k, "sigma2": ssr / n}
 
 
 def _lag_polynomials(order: Sequence[int], coef: Sequence[float], period: int) -> tuple[np.ndarray, np.ndarray]:

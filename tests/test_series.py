@@ -337,6 +337,27 @@ def test_seasonal_fit_is_the_least_squares_of_the_plain_recursion(spark, order):
     assert [r.residual for r in out if r.residual is not None] == pytest.approx(list(filtered(w, row.coefficients, period)), abs=1e-6)
 
 
+@pytest.mark.parametrize("order", [(0, 1, 1, 0, 0, 0), (0, 1, 1, 0, 1, 1)])
+def test_moving_averages_near_the_edge_use_the_whole_recursion(spark, order):
+    y, period = np.random.default_rng(31).normal(size=400), 20
+    df = frame(spark, ["v"], a=y)
+    best = SE.sarima_grid(df, ["s"], "day", "v", period, [order])
+    row = best.first()
+    w = np.diff(y)
+    w = w[period:] - w[:-period] if order[4] else w
+    first = SF.burn_in(order, period)
+
+    def ssr(coef):
+        return float((filtered(w, coef, period)[first:] ** 2).sum())
+
+    assert row.sigma2 * (len(w) - first) == pytest.approx(ssr(row.coefficients))
+    grid = [(0, a, 0, b) for a in np.arange(-0.99, 0, 0.03) for b in ((0.0,) if not order[5] else np.arange(-0.99, 0, 0.11))]
+    assert ssr(row.coefficients) <= min(map(ssr, grid)) * (1 + 1e-9)
+    assert row.coefficients[1] < -0.9
+    out = SE.fit_best(df, ["s"], "day", "v", best, period).orderBy("day").collect()
+    assert [r.residual for r in out if r.residual is not None] == pytest.approx(list(filtered(w, row.coefficients, period)), abs=1e-6)
+
+
 def test_seasonal_search_keeps_null_keys_and_survives_nulls_and_short_series(spark):
     y = list(seasonal_series(200))
     y[60] = None
