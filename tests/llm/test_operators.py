@@ -248,6 +248,15 @@ def test_boilerplate_is_removed_and_copies_are_not(spark):
     assert all(got[100 + i].n_removed_words == 0 and got[100 + i].kept for i in range(30))
 
 
+def test_boilerplate_of_many_lines_is_counted_per_document(spark):
+    template = "\n".join(f"menu entry {k} of the site" for k in range(30))
+    own = lambda i: "\n".join(f"own{i} word{i}x{k}" for k in range(3))
+    rows = [(i, f"{template}\n{own(i)}", "h") for i in range(20)] + [(100 + i, f"{own(100 + i)} " + " ".join(f"c{i}x{k}" for k in range(60)), "h") for i in range(200)]
+    got = {r.doc_id: r for r in rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(got[i].n_removed_lines == 30 and not got[i].kept for i in range(20))
+    assert all(got[100 + i].n_removed_lines == 0 for i in range(200))
+
+
 # 7 -------------------------------------------------------------------------------------------------------------------
 
 def test_licenses(spark, odd, none):
