@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from hearsay.llm import exact_dedup, language_model, licenses, mixing, packing, quality, repeats, rules, simhash, surrogates
+from hearsay.llm import (
+    exact_dedup, hard_negatives, language_model, licenses, mixing, packing, quality, repeats, rules, simhash, surrogates, top_search, vector_codes,
+)
 from hearsay.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,3 +79,19 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_suffix_array_dedup")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op11_top_search", top_search.SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query("op12_hard_negatives", hard_negatives.SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
+@query("op13_vector_codes", vector_codes.SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress_vectors(table(spark, sf_dir, "embeddings"))
