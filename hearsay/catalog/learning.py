@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from hearsay.catalog import inputs as I
 from hearsay.catalog.aggregates import rounded
 from hearsay.catalog.registry import query
-from hearsay.operators import learn as L
+from hearsay.operators import learn as L, trees as T
 
 ORDER_SQL = "o AS (SELECT o_orderkey, o_custkey, o_totalprice, CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS y FROM orders)"
 DRAW = "('0x' || substr(md5('{seed}-' || {key}), 1, 8))::BIGINT % 10000"
@@ -86,7 +86,66 @@ def classed_events(spark, sf):
 
 @query("m4_fit_per_group")
 def m4(spark, sf):
-    return L.fit_per_group(classed_events(spark, sf), "event_type", ["click", "error", "purchase", "signup", "view"], ["k", "hour"], "y", "event_id")
+    return L.fit_per_group(classed_events(spark, sf), "event_type", None, ["k", "hour"], "y", "event_id")
+
+
+CUTS = {"k": [float(c) for c in range(0, 100, 5)], "hour": [float(c) for c in range(23)]}
+CLASSES = [0.0, 1.0, 2.0]
+
+
+def tree_sql(depth: int, group: str, train: str = "true", classes: list[float] | None = CLASSES) -> str:
+    """Ending in `node`, every row's leaf, and `leaf`, the leaves' sums: trees over the fixed cuts, one per group, level by level."""
+    sums = [f"sum((y = {c})::INT)::DOUBLE" for c in classes] if classes else ["count(*)::DOUBLE", "sum(y)", "sum(y * y)"]
+    size = "+".join("{s}%d" % i for i in range(len(sums))) if classes else "{s}0"
+    impure = (f"({size} - coalesce(({'+'.join('{s}%d*{s}%d' % (i, i) for i in range(len(sums)))}) / nullif({size}, 0), 0))" if classes
+              else "({s}2 - coalesce({s}1*{s}1 / nullif({s}0, 0), 0))")
+    parts = [f"""e AS (SELECT event_id, {group} AS g, hour(ts)::DOUBLE AS hour, nullif(regexp_extract(props, '([0-9]+)', 1), '')::DOUBLE AS k, value,
+    CASE WHEN value < 20 THEN 0.0 WHEN value < 60 THEN 1.0 ELSE 2.0 END::DOUBLE AS y FROM events),
+n0 AS (SELECT *, 1 AS node, {train} AS train FROM e WHERE k IS NOT NULL AND hour IS NOT NULL),
+cuts AS (SELECT 0 AS f, unnest([{', '.join(map(str, CUTS['k']))}]) AS c UNION ALL SELECT 1, unnest([{', '.join(map(str, CUTS['hour']))}]))"""]
+    for d in range(depth):
+        every = ", ".join(f"{s} AS a{i}" for i, s in enumerate(sums))
+        left = ", ".join(f"coalesce(sum(l{i}) FILTER (x <= c), 0) AS l{i}" for i in range(len(sums)))
+        each = ", ".join(f"{s} AS l{i}" for i, s in enumerate(sums))
+        right = {f"r{i}": f"(a{i} - l{i})" for i in range(len(sums))}
+        spelled = lambda text, s: text.replace("{s}", s)
+        rights, right_size = spelled(impure, "r"), spelled(size, "r")
+        for name, value in right.items():
+            rights, right_size = rights.replace(name, value), right_size.replace(name, value)
+        parts.append(f"""h{d} AS (SELECT g, node, f, x, {each} FROM (SELECT g, node, y, 0 AS f, k AS x FROM n{d} WHERE train UNION ALL SELECT g, node, y, 1, hour FROM n{d} WHERE train)
+    GROUP BY g, node, f, x),
+t{d} AS (SELECT g, node, {every} FROM n{d} WHERE train GROUP BY g, node),
+s{d} AS (SELECT g, node, f, c, {left} FROM h{d} JOIN cuts USING (f) GROUP BY g, node, f, c),
+b{d} AS (SELECT g, node, f, c, round(1 - ({spelled(impure, 'l')} + {rights}) / nullif({spelled(impure, 'a')}, 0), 9) AS gain FROM s{d} JOIN t{d} USING (g, node)
+    WHERE ({spelled(size, 'l')}) >= 1 AND ({right_size}) >= 1 AND gain > 0 QUALIFY row_number() OVER (PARTITION BY g, node ORDER BY gain DESC, f, c) = 1),
+n{d + 1} AS (SELECT n.* REPLACE (CASE WHEN b.c IS NULL THEN n.node ELSE 2 * n.node + (CASE b.f WHEN 0 THEN n.k ELSE n.hour END > b.c)::INT END AS node)
+    FROM n{d} n LEFT JOIN b{d} b ON n.g = b.g AND n.node = b.node AND n.node >= {2 ** d})""")
+    parts.append(f"node AS (SELECT * FROM n{depth}), leaf AS (SELECT g, node, {', '.join(f'{s} AS a{i}' for i, s in enumerate(sums))} FROM node WHERE train GROUP BY g, node)")
+    return ",\n".join(parts)
+
+
+CLASS = "CASE WHEN a0 >= a1 AND a0 >= a2 THEN 0.0 WHEN a1 >= a2 THEN 1.0 ELSE 2.0 END::DOUBLE"
+
+
+@query("m4_tree_per_group", f"WITH {tree_sql(3, 'event_type')} SELECT event_id, event_type, {CLASS} AS prediction, round(a1 / (a0 + a1 + a2), 9) AS share FROM node "
+       "JOIN leaf USING (g, node) JOIN events USING (event_id)")
+def m4b(spark, sf):
+    """A tree of depth 3 for every kind of event, all in one job per level."""
+    events = classed_events(spark, sf)
+    forest = T.grow_forest(events, ["k", "hour"], "y", ["event_type"], depth=3, classes=CLASSES, cuts=CUTS)
+    out = T.predict_forest(forest, events, scores="shares").where("prediction IS NOT NULL")
+    return out.select("event_id", "event_type", "prediction", F.round(F.get("shares", F.lit(1)), 9).alias("share"))
+
+
+USERS = "'u' || (user_id % 500)"
+
+
+@query("m4_regression_tree_of_many_groups", f"WITH {tree_sql(2, USERS, classes=None)} SELECT event_id, round(a1 / a0, 6) AS prediction FROM node JOIN leaf USING (g, node)")
+def m4c(spark, sf):
+    """A regression tree of depth 2 for each of several hundred groups of users."""
+    events = classed_events(spark, sf).join(I.table(spark, sf, "events").select("event_id", F.concat(F.lit("u"), F.col("user_id") % 500).alias("g")), "event_id")
+    forest = T.grow_forest(events, ["k", "hour"], "y", ["g"], depth=2, cuts=CUTS)
+    return T.predict_forest(forest, events).where("prediction IS NOT NULL").select("event_id", F.round("prediction", 6).alias("prediction"))
 
 
 def guesses(spark, sf):
@@ -122,6 +181,24 @@ def m7(spark, sf):
     return rounded(L.classification_report(guesses(spark, sf)))
 
 
+TRAIN = DRAW.format(seed=123, key="event_id") + " < 8000"
+STUMPS = {"stump": {"depth": 1, "cuts": CUTS}, "tree of depth 3": {"depth": 3, "cuts": CUTS}}
+
+
+@query("m8_compare_trees", " UNION ALL ".join(f"""SELECT * FROM (WITH {tree_sql(d, "''", TRAIN)} SELECT '{name}' AS model, round(avg((y = {CLASS})::INT), 6) AS accuracy
+FROM node JOIN leaf USING (g, node) WHERE NOT train)""" for d, name in ((1, "stump"), (3, "tree of depth 3"))))
+def m8c(spark, sf):
+    train, test = L.split(classed_events(spark, sf), "event_id", seed=123)
+    return rounded(L.compare_trees(train, test, ["k", "hour"], "y", "event_id", STUMPS))
+
+
+@query("m8_compare_regression_trees", " UNION ALL ".join(f"""SELECT * FROM (WITH {tree_sql(d, "''", TRAIN, None)} SELECT '{name}' AS model, round(sqrt(avg((y - a1 / a0) * (y - a1 / a0))), 6) AS rmse
+FROM node JOIN leaf USING (g, node) WHERE NOT train)""" for d, name in ((1, "stump"), (3, "tree of depth 3"))))
+def m8d(spark, sf):
+    train, test = L.split(classed_events(spark, sf), "event_id", seed=123)
+    return rounded(L.compare_trees(train, test, ["k", "hour"], "y", "event_id", STUMPS, "rmse"))
+
+
 @query("m8_compare_classifiers")
 def m8(spark, sf):
     train, test = L.split(classed_events(spark, sf), "event_id", seed=123)

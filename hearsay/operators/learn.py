@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from hearsay.operators.trees import grow_forest, predict_forest
 
 
 def features(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataFrame:
@@ -66,23 +69,49 @@ def _pipeline(estimator: Estimator, cols: Sequence[str]) -> Pipeline:
     ])
 
 
-def fit_per_group(df: DataFrame, group: str, values: Sequence, cols: Sequence[str], label: str, key: str,
-                  train: float = 0.8, seed: int = 123) -> DataFrame:
-    """A forest per named group; predictions on each group's test part, stacked.
+def label_classes(df: DataFrame, label: str, most: int = 100) -> list[float]:
+    """The distinct labels in order; more than `most` of them are no classes."""
+    found = df.select(F.col(label).cast("double").alias("c")).where("c IS NOT NULL").distinct().orderBy("c").limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"{label} has more than {most} values")
+    return [r["c"] for r in found]
+
+
+def fit_per_group(df: DataFrame, group: str, values: Sequence | None, cols: Sequence[str], label: str, key: str,
+                  train: float = 0.8, seed: int = 123, trees: int = 20, depth: int = 5) -> DataFrame:
+    """A forest per group; predictions on each group's test part.
 
-    The groups are named by the caller (a handful of brands); each fit is its
-    own distributed job.
+    All groups, or those in `values`, grow together: one job per level, however
+    many groups there are. Rows that `grow_forest` leaves out of training get a
+    prediction when their features are whole; a group without training rows has none.
     """
+    part = df.where(F.col(group).isNotNull()) if values is None else df.where(F.col(group).isin(list(values)))
+    fit_rows, test_rows = split(part, key, train, seed)
+    forest = grow_forest(fit_rows, cols, label, [group], key, trees=trees, depth=depth, classes=label_classes(fit_rows, label),
+                         subset=math.ceil(math.sqrt(len(cols))), seed=seed)
+    scored = predict_forest(forest, test_rows).where("prediction IS NOT NULL")
+    return scored.select(group, key, F.col(label).cast("double").alias("label"), "prediction")
+
+
+def compare_trees(train: DataFrame, test: DataFrame, cols: Sequence[str], label: str, key: str, settings: Mapping[str, Mapping],
+                  metric: str = "accuracy") -> DataFrame:
+    """One row per named setting of `grow_forest` with its accuracy or RMSE on the test part."""
+    if metric not in ("accuracy", "rmse"):
+        raise ValueError(f"unknown metric {metric!r}")
+    classes = label_classes(train, label) if metric == "accuracy" else None
     out = None
-    for value in values:
-        part = df.where(F.col(group) == value)
-        fit_rows, test_rows = split(part, key, train, seed)
-        scored = fit_forest(fit_rows, cols, label, seed).transform(test_rows)
-        scored = scored.select(group, key, F.col(label).cast("double").alias("label"), "prediction")
-        out = scored if out is None else out.unionByName(scored)
+    for name, setting in settings.items():
+        scored = predict_forest(grow_forest(train, cols, label, row_key=key, classes=classes, **setting), test).where("prediction IS NOT NULL")
+        row = scored.agg(_metric(label, metric)).select(F.lit(name).alias("model"), metric)
+        out = row if out is None else out.unionByName(row)
     return out
 
 
+def _metric(label: str, metric: str) -> Column:
+    err = F.col("prediction") - F.col(label).cast("double")
+    return (F.avg((err == 0).cast("double")) if metric == "accuracy" else F.sqrt(F.avg(err * err))).alias(metric)
+
+
 def accuracy(pred: DataFrame, label: str = "label", prediction: str = "prediction", keys: Sequence[str] = ()) -> DataFrame:
     hit = (F.col(label) == F.col(prediction)).cast("double")
     return pred.groupBy(*keys).agg(F.avg(hit).alias("accuracy"))
@@ -161,8 +190,6 @@ def compare_models(train: DataFrame, test: DataFrame, cols: Sequence[str], label
     out = None
     for name, estimator in models.items():
         scored = _pipeline(estimator, cols).fit(train).transform(test)
-        err = F.col("prediction") - F.col(label).cast("double")
-        value = F.avg((err == 0).cast("double")) if metric == "accuracy" else F.sqrt(F.avg(err * err))
-        row = scored.agg(value.alias(metric)).select(F.lit(name).alias("model"), metric)
+        row = scored.agg(_metric(label, metric)).select(F.lit(name).alias("model"), metric)
         out = row if out is None else out.unionByName(row)
     return out

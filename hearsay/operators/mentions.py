@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hearsay.functions import columns as C
+from hearsay.operators.bloom import bloom_filter
 from hearsay.operators.skew import is_small, join_hot_split
 
 
@@ -60,9 +61,11 @@ def explode_term_table(df: DataFrame, row_id: str, text: str, terms: DataFrame,
     """As `explode_mentions` for a (spelling, name) table too long to inline.
 
     The n-grams of each text join to the table, which is broadcast when a
-    bounded count shows that it is small. A longer one joins by shuffle: a
-    common word may be a term, so the spellings in use get their counts and
-    `join_hot_split` takes the hot ones out. Returns (row id, name), distinct.
+    bounded count shows that it is small. A longer one joins by shuffle, but only
+    n-grams that a Bloom filter of the spellings lets through are counted and
+    moved: nearly all others are no term. A common word may be one, so the
+    spellings in use get their counts and `join_hot_split` spreads the hot ones.
+    Returns (row id, name), distinct.
     """
     grams = C.ngrams_of_lengths(C.clean_tokens(text, "space"), range(1, longest + 1))
     flat = C.explode_rows(df, F.array_distinct(grams), "spelling", row_id)
@@ -71,6 +74,7 @@ def explode_term_table(df: DataFrame, row_id: str, text: str, terms: DataFrame,
         hits = flat.join(F.broadcast(terms), "spelling")
     else:
         names = terms.groupBy("spelling").agg(F.collect_set("name").alias("_names"))
+        flat = flat.where(bloom_filter(names, "spelling").might_hold("spelling"))
         used = flat.groupBy("spelling").agg(F.count(F.lit(1)).alias("_rows")).join(names, "spelling")
         found = join_hot_split(flat, used, ["spelling"], "_rows")
         hits = found.select(row_id, F.explode("_names").alias("name"))

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hearsay.functions.columns import as_col, community_or_keyword
+from hearsay.operators.bloom import bloom_filter
+from hearsay.operators.skew import is_small
 from hearsay.vocab import BOT_AUTHOR, DELETED, REMOVED
 
 
@@ -71,11 +73,17 @@ def drop_sentinels(df: DataFrame, sentinels: Mapping[str, Sequence[str]] = SENTI
     return df
 
 
-def exact_vocab_match(df: DataFrame, col: str, vocab: Sequence[str] | DataFrame) -> DataFrame:
-    """Rows whose whole text is a vocabulary term."""
+def exact_vocab_match(df: DataFrame, col: str, vocab: Sequence[str] | DataFrame, broadcast_rows: int = 200_000) -> DataFrame:
+    """Rows whose whole text is a vocabulary term.
+
+    A table of terms is broadcast when a bounded count shows that it is small;
+    of a larger one a Bloom filter decides which rows move to the join at all.
+    """
     if isinstance(vocab, DataFrame):
         terms = vocab.select(F.col(vocab.columns[0]).alias(col)).distinct()
-        return df.join(terms, col, "left_semi")
+        if is_small(terms, broadcast_rows):
+            return df.join(F.broadcast(terms), col, "left_semi")
+        return df.where(bloom_filter(terms, col).might_hold(col)).join(terms, col, "left_semi")
     return df.where(F.col(col).isin(list(vocab)))
 
 

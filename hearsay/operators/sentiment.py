@@ -11,8 +11,10 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hearsay.functions import columns as C
+from hearsay.operators.bloom import bloom_filter
 from hearsay.operators.joins import attach_by_text
 from hearsay.operators.skew import join_hot_split
+from hearsay.session import write_table
 from hearsay.vocab import SENTIMENT_CODES
 
 MAX_INLINE_LEXICON = 20_000
@@ -62,8 +64,9 @@ def score_sentiment(df: DataFrame, text: str, lexicon: Mapping[str, float] | Dat
     """Label every text negative, neutral or positive.
 
     A mapping is looked up inside the row, with no shuffle. A (word, weight)
-    table of any size joins to the tokens of the distinct texts; a mapping too
-    large to inline becomes such a table.
+    table of any size joins to the tokens of the distinct texts that a Bloom
+    filter of its words lets through, counted once into a written table; a
+    mapping too large to inline becomes such a table.
     """
     if isinstance(lexicon, Mapping) and len(lexicon) > MAX_INLINE_LEXICON:
         rows = [(w, float(v)) for w, v in lexicon.items()]
@@ -75,8 +78,9 @@ def score_sentiment(df: DataFrame, text: str, lexicon: Mapping[str, float] | Dat
 
 def _score_by_join(texts: DataFrame, text: str, lexicon: DataFrame) -> DataFrame:
     keyed = texts.withColumn("_text_key", F.sha2(text, 256))
-    words = C.explode_rows(keyed, C.clean_tokens(text), "word", "_text_key")
-    counts = words.groupBy("_text_key", "word").agg(F.count(F.lit(1)).alias("_n"))
+    held = bloom_filter(lexicon, "word")
+    words = C.explode_rows(keyed, C.clean_tokens(text), "word", "_text_key").where(held.might_hold("word"))
+    counts = write_table(words.groupBy("_text_key", "word").agg(F.count(F.lit(1)).alias("_n")), "lexicon-counts")
     weight = F.col("weight") * F.col("_n")
     # Lexicon words in use with the number of texts holding them: the weights of the skew-proof join.
     used = counts.groupBy("word").agg(F.count(F.lit(1)).alias("_texts")).join(lexicon.select("word", "weight"), "word")

@@ -24,36 +24,39 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
 
 
 def join_hot_split(
-    big: DataFrame, dim: DataFrame, keys: Sequence[str], weight: str, share: float = 1e-5, how: str = "inner",
+    big: DataFrame, dim: DataFrame, keys: Sequence[str], weight: str, share: float = 1e-4, how: str = "inner",
 ) -> DataFrame:
-    """Join a skewed fact side to a table with one row per key; rows of hot keys stay where they are.
-
-    `weight` is the number of fact rows of a key, so at most `1 / share` keys
-    can hold more than `share` of the total. Those go out as a broadcast whose
-    size is bounded by that arithmetic, and their rows don't move, be they all
-    the same. All other keys join by shuffle, in groups no larger than `share`
-    of the rows. Rows with a null key match nothing and don't move either. No
-    row is dropped or capped.
-
-    `dim` is computed once, when called, and checkpointed. `big` is read once
-    for the hot keys and once for the others, each time only the columns in use:
-    pass a scan or a result that is cheap to read again.
+    """Join a skewed fact side, read once, to a table with one row per key.
+
+    `weight` is the number of fact rows of a key. A table of at most `1 / share`
+    rows is broadcast, and the fact side doesn't move. Of a larger one, the keys
+    above `share` of all rows, at most `1 / share`, are cut: their row is copied
+    once per `share` of the fact rows, and their fact rows are numbered round
+    over the copies by position, so identical rows spread as well. One broadcast
+    of the hot keys and their numbers of copies tells the fact rows apart; all
+    rows then join in groups no larger than `share` of the total. Rows with a
+    null key match nothing and are spread likewise. No row is dropped or capped.
+
+    `dim` is computed once, when called, and checkpointed. Which copy a row
+    meets makes no difference, but its place must be the same when a task runs
+    again: pass a scan or what is computed row by row from one.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"unsupported join type {how!r}")
-    keys = list(keys)
+    keys, most = list(keys), int(1 / share)
     found = [c for c in dim.columns if c not in keys]
     dim = cut_lineage(dim)
+    columns = [*big.columns, *found]
+    if is_small(dim, most):
+        return big.join(F.broadcast(dim), keys, how).select(*columns)
     limit = dim.agg((F.sum(weight) * F.lit(share)).alias("limit")).scalar()
-    hot, cold = dim.where(F.col(weight) > limit), dim.where(F.col(weight) <= limit)
-    keyed = F.lit(True)
+    copies = F.greatest(F.ceil(F.col(weight) / limit), F.lit(1)).cast("int")
+    hot = dim.where(F.col(weight) > limit).select(*keys, copies.alias("_copies_"))
+    place = F.monotonically_increasing_id()
+    unkeyed = F.lit(False)
     for k in keys:
-        keyed = keyed & F.col(k).isNotNull()
-    columns = [*big.columns, *found]
-    served = F.broadcast(hot.select(*keys, F.lit(True).alias("_served")))
-    others = big.where(keyed).join(served, keys, "left").where(F.col("_served").isNull()).drop("_served")
-    joined = big.join(F.broadcast(hot), keys).select(*columns).unionByName(others.join(cold, keys, how).select(*columns))
-    if how == "inner":
-        return joined
-    blanks = [F.lit(None).cast(dim.schema[c].dataType).alias(c) for c in found]
-    return joined.unionByName(big.where(~keyed).select("*", *blanks))
+        unkeyed = unkeyed | F.col(k).isNull()
+    cut = F.when(unkeyed, F.pmod(place, F.lit(most))).otherwise(F.coalesce(F.pmod(place, F.col("_copies_")), F.lit(0)))
+    salted = big.join(F.broadcast(hot), keys, "left").withColumn("_copy_", cut.cast("int")).drop("_copies_")
+    copied = dim.withColumn("_copy_", F.explode(F.sequence(F.lit(0), copies - 1)))
+    return salted.join(copied, [*keys, "_copy_"], how).select(*columns)

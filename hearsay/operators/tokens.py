@@ -11,6 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hearsay.functions import columns as C
+from hearsay.operators.bloom import bloom_filter
 from hearsay.operators.reshape import top_k
 from hearsay.operators.skew import join_hot_split
 from hearsay.operators.windows import top_k_per_group, with_row_id
@@ -39,21 +40,22 @@ def stem_counts(counts: DataFrame, word: str = "word", count: str = "count") ->
 def lemmatize(df: DataFrame, col: str, lemmas: Mapping[str, str] | DataFrame, row_id: str, out: str = "lemmas") -> DataFrame:
     """Replace word forms by lemmas, keeping token order.
 
-    A mapping is applied inside the row. A (form, lemma) table is first cut to
-    the forms in use, with their counts, and joined to the exploded tokens by
-    `join_hot_split`; each row's tokens are then put back in order. Of several
-    lemmas of a form the smallest counts.
+    A mapping is applied inside the row. Of a (form, lemma) table, the tokens
+    that a Bloom filter of its forms lets through are counted and joined to it by
+    `join_hot_split`; only these move, and each row gets its lemmas by position.
+    Of several lemmas of a form the smallest counts. Null tokens go, and a row
+    without an id keeps its forms.
     """
     if isinstance(lemmas, Mapping):
         return df.withColumn(out, C.lemmatize_tokens(col, lemmas))
-    flat = df.select(row_id, F.posexplode_outer(col).alias("_pos", "form")).where(F.col("form").isNotNull())
-    used = word_count(df, col).withColumnRenamed("word", "form")
-    known = used.join(lemmas.groupBy("form").agg(F.min("lemma").alias("lemma")), "form", "left")
-    mapped = join_hot_split(flat, known, ["form"], "count")
-    word = F.coalesce("lemma", "form")
-    back = mapped.groupBy(row_id).agg(F.sort_array(F.collect_list(F.struct("_pos", word.alias("w")))).alias("_l"))
+    changed = lemmas.groupBy("form").agg(F.min("lemma").alias("lemma")).where("form <> lemma")
+    flat = df.select(row_id, F.posexplode(col).alias("_pos", "form")).where(bloom_filter(changed, "form").might_hold("form"))
+    used = flat.groupBy("form").agg(F.count(F.lit(1)).alias("count")).join(changed, "form")
+    mapped = join_hot_split(flat, used, ["form"], "count")
+    back = mapped.groupBy(row_id).agg(F.map_from_entries(F.collect_list(F.struct("_pos", "lemma"))).alias("_l"))
+    words = F.transform(col, lambda w, i: F.when(w.isNotNull(), F.coalesce(F.element_at("_l", i), w)))
     merged = df.join(back, row_id, "left")
-    return merged.withColumn(out, F.coalesce(F.col("_l.w"), F.array().cast("array<string>"))).drop("_l")
+    return merged.withColumn(out, F.coalesce(F.array_compact(words), F.array().cast("array<string>"))).drop("_l")
 
 
 def clean_text(df: DataFrame, col: str, lemmas: Mapping[str, str] | None = None,

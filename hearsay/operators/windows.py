@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -53,8 +54,9 @@ def top_k_per_group(df: DataFrame, group: Sequence[str], by: str, k: int, ties:
     `row` breaks ties by columns and keeps exactly k; Spark limits each group
     on the map side before the shuffle. `rank` keeps every row tied with the
     k-th: ranks come from the counts of the k largest distinct values, which
-    join back by value, so a value shared by very many rows never meets in one
-    task. `by` must then be reproducible, for instance a rounded value.
+    join back by value with `join_hot_split`, so a value shared by very many rows
+    never meets in one task. `by` must then be reproducible, for instance a
+    rounded value, and `df` a scan or computed row by row from one.
     `groups` may name a cheap frame holding the group columns: when it has at
     most `max_groups` distinct groups, the k values of each are broadcast and
     the rows do not move.
@@ -70,10 +72,14 @@ def top_k_per_group(df: DataFrame, group: Sequence[str], by: str, k: int, ties:
     kept = values.withColumn("_row", F.row_number().over(w)).where(F.col("_row") <= k)
     before = F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1))
     kept = kept.withColumn("rank", F.coalesce(before, F.lit(0)) + 1).where(F.col("rank") <= k)
-    kept = kept.drop("_n", "_row")
+    kept = kept.drop("_row")
     if groups is not None and is_small(groups.select(*group).distinct(), max_groups):
-        kept = F.broadcast(kept)
-    return _join_null_safe(df, kept, [*group, by])
+        return _join_null_safe(df, F.broadcast(kept.drop("_n")), [*group, by])
+    keys = [*group, by]
+    sides = kept.select(F.xxhash64(*keys).alias("_hash"), "rank", "_n", *[F.col(c).alias(f"_right_{c}") for c in keys])
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_right_{c}")) for c in keys])
+    joined = join_hot_split(df.withColumn("_hash", F.xxhash64(*keys)), sides, ["_hash"], "_n")
+    return joined.where(same).select(*df.columns, "rank")
 
 
 def with_row_id(df: DataFrame, order: Sequence[str | Column], partition_by: Sequence[str] = (), name: str = "row_id") -> DataFrame:

@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
-from hearsay.operators import joins as J, tokens as T
+from hearsay.functions import columns as C
+from hearsay.operators import joins as J, mentions as M, rows as R, sentiment as S, tokens as T
+from hearsay.operators.bloom import bloom_filter
 from hearsay.operators.skew import broadcast_if_small, join_hot_split
 from hearsay.operators.windows import top_k_per_group, with_row_id
 
@@ -139,3 +141,87 @@ def test_small_cohort_leaves_the_log_in_place(spark, skewed):
     cohort = skewed.select("k").where("k = 7").distinct()
     text = plan(J.cohort_activity(skewed, cohort, "k", broadcast_rows=10))
     assert "BroadcastHashJoin" in text and text.count("Exchange hashpartitioning") == 1
+
+
+@pytest.fixture
+def shuffled(spark):
+    """Spark's own broadcasts off, so that a plan shows what the operator does."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield spark
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_hot_split_reads_the_fact_side_once_and_spreads_identical_rows(shuffled, tmp_path):
+    spark = shuffled
+    path = str(tmp_path / "facts")
+    key = F.when(F.col("id") % 10 > 0, F.lit(-1)).when(F.col("id") % 100 > 0, F.col("id"))
+    spark.range(0, 40_000, 1, 8).select(key.alias("k"), F.lit("same").alias("v")).write.parquet(path)
+    facts = spark.read.parquet(path)
+    dim = facts.where("k IS NOT NULL").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("top"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for how in ("inner", "left"):
+            out = join_hot_split(facts, dim, ["k"], "n", 1e-3, how)
+            assert plan(out).count("FileScan parquet") == 1
+            sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+            assert sum(sizes) == (39_600 if how == "inner" else 40_000) and max(sizes) < 1.5 * sum(sizes) / 8
+            assert out.where("k = -1 AND top = 'same' AND n = 36000").count() == 36_000
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_hot_split_beyond_the_broadcast_equals_plain_join(shuffled, skewed, how):
+    rows = skewed.withColumn("k", F.when(F.col("id") % 11 != 0, F.col("k")))
+    dim = skewed.where("k < 300").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("v").alias("top"))
+    out = join_hot_split(rows, dim, ["k"], "n", 0.01, how)
+    assert Counter(map(tuple, out.collect())) == Counter(map(tuple, rows.join(dim, "k", how).select(out.columns).collect()))
+
+
+@pytest.mark.parametrize("values", [0, 1, 5000])
+def test_bloom_filter_holds_its_keys_and_few_others(spark, values):
+    keys = spark.range(values).select(F.concat(F.lit("w"), "id").alias("w")).unionAll(spark.createDataFrame([(None,)], "w string"))
+    held = bloom_filter(keys, "w")
+    asked = spark.range(20_000).select("id", F.concat(F.lit("w"), "id").alias("w")).withColumn("hit", held.might_hold("w"))
+    assert asked.where(f"id < {values} AND NOT hit").count() == 0
+    assert asked.where(f"id >= {values} AND hit").count() < 0.03 * 20_000
+    assert spark.createDataFrame([(None,)], "w string").where(held.might_hold("w")).count() == 0
+
+
+def test_bloom_filter_beyond_its_size_lets_more_through_but_misses_nothing(spark):
+    keys = spark.range(3000)
+    held = bloom_filter(keys, "id", most_bits=256)
+    assert held.bits == 256 and keys.where(held.might_hold("id")).count() == 3000
+
+
+def test_term_table_moves_little_more_than_its_hits(shuffled):
+    """With broadcasts off, n-grams are asked before the first exchange."""
+    spark = shuffled
+    texts = spark.range(400).select("id", F.concat_ws(" ", F.expr("transform(sequence(1, 60), x -> concat('w', id * 60 + x))"), F.lit("lip gloss")).alias("t"))
+    terms = spark.createDataFrame([("lip gloss", "gloss"), ("w77", "seventy-seven"), ("w99999999", "never")], "spelling string, name string")
+    out = M.explode_term_table(texts, "id", "t", terms, 2, broadcast_rows=0)
+    assert Counter((r.id, r.term) for r in out.collect()) == Counter([*((i, "gloss") for i in range(400)), (1, "seventy-seven")])
+    grams = C.explode_rows(texts, F.array_distinct(C.ngrams_of_lengths(C.clean_tokens("t", "space"), [1, 2])), "g", "id")
+    assert grams.count() > 40_000 and grams.where(bloom_filter(terms, "spelling").might_hold("g")).count() < 2000
+    assert "getbit" in plan(out)
+
+
+def test_long_vocabularies_lexicons_and_lemma_tables_equal_the_short_ones(shuffled):
+    spark = shuffled
+    df = spark.createDataFrame([(1, "good bad fine", ["running", None, "mice"]), (2, None, None), (3, "bad", []), (None, "fine", ["mice"]), (4, "good", ["cat"])], "id int, t string, w array<string>")
+    vocab = spark.createDataFrame([("bad",), ("good",), (None,)], "v string")
+    assert sorted(r.id for r in R.exact_vocab_match(df, "t", vocab, broadcast_rows=0).collect()) == [3, 4]
+    lemmas = spark.createDataFrame([("mice", "mouse"), ("running", "run"), ("cat", "cat"), ("dog", None)], "form string, lemma string")
+    got = {(r.id, tuple(r.lemmas)) for r in T.lemmatize(df, "w", lemmas, "id").collect()}
+    assert got == {(1, ("run", "mouse")), (2, ()), (3, ()), (None, ("mice",)), (4, ("cat",))}
+    lexicon = {"good": 2.0, "bad": -1.0, "worse": -3.0}
+    table = spark.createDataFrame(list(lexicon.items()), "word string, weight double")
+    short, long = (sorted(map(str, S.score_sentiment(df.drop("w"), "t", x).where("t IS NOT NULL").collect())) for x in (lexicon, table))
+    assert short == long
+
+
+def test_rank_by_shuffle_keeps_nulls_and_ties(shuffled, skewed):
+    df = skewed.select("id", F.when(F.col("id") % 5 > 0, F.col("id") % 2).alias("g"), F.when(F.col("id") % 4 > 0, F.col("k").cast("double")).alias("x"))
+    want = Counter(map(tuple, top_k_per_group(df, ["g"], "x", 3, groups=df).collect()))
+    assert Counter(map(tuple, top_k_per_group(df, ["g"], "x", 3).collect())) == want
