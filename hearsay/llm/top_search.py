@@ -37,7 +37,7 @@ NONE = -(1 << 62)
 
 
 def lengthened(ints: np.ndarray, top: float) -> np.ndarray:
-    """With the component that gives all vectors the squared length `top`; a longer one, a query's, gets zero."""
+    """With the component that gives all vectors the squared length `top`; a query has zero there."""
     x = ints.astype(np.float64)
     return np.column_stack([x, np.sqrt(np.maximum(0, top - (x * x).sum(1)))])
 
@@ -149,7 +149,7 @@ def top_k(
 
     def pack_queries(batch: pa.RecordBatch) -> dict:
         ints, best = matrix(batch.column("ints"), width), np.asarray(batch.column("best"))
-        gaps = distances(lengthened(ints, top), points)
+        gaps = distances(np.pad(ints.astype(np.float64), ((0, 0), (0, 1))), points)
         squared = (ints.astype(np.float64) ** 2).sum(1) + top
         reach = np.sqrt(np.maximum(0, np.where(best > NONE, squared - 2.0 * best, 4 * squared) + SLACK * squared))
         return {"reach": float(reach.max()), "near": gaps.min(0).tolist(), "far": gaps.max(0).tolist(), "ints": ints.tobytes(),
