@@ -8,7 +8,7 @@ from hearsay.catalog import inputs as I
 from hearsay.catalog.aggregates import rounded
 from hearsay.catalog.registry import query
 from hearsay.functions import columns as C
-from hearsay.operators import sentiment as N, tokens as T
+from hearsay.operators import sentiment as N, tokens as T, topics as P
 from hearsay.vocab import STOPWORDS, TOPIC_NOISE
 
 
@@ -130,19 +130,65 @@ def t12(spark, sf):
 
 @query("t13_topic_words")
 def t13(spark, sf):
-    df = T.simple_words(docs(spark, sf), "text")
-    return T.topic_words(T.fit_topics(df, "words", 10), 10)
+    return P.topic_words(P.fit_topics(T.simple_words(docs(spark, sf), "text"), "doc_id", "words", 10), 10)
 
 
 @query("t13_topic_mixtures")
 def t13b(spark, sf):
-    df = T.simple_words(docs(spark, sf), "text")
-    return T.topic_mixtures(T.fit_topics(df, "words", 10), df, "doc_id")
+    return P.topic_mixtures(P.fit_topics(T.simple_words(docs(spark, sf), "text"), "doc_id", "words", 10))
 
 
 FOLD = f"translate(lower(text), '{C.ACCENTED}', '{C.UNACCENTED}')"
 
 
+TOPICS = 3
+
+
+def digamma_sql(x: str) -> str:
+    y = f"({x} + 6)"
+    square = f"(1 / ({y} * {y}))"
+    return (f"(ln({y}) - 0.5 / {y} - {square} * (1.0::DOUBLE / 12 - {square} * (1.0::DOUBLE / 120 - {square} * (1.0::DOUBLE / 252 - {square} / 240)))"
+            f" - ({' + '.join(f'1 / ({x} + {i})' for i in range(6))}))")
+
+
+def topics_sql(rounds: int, a: float = 1 / TOPICS) -> str:
+    """Rounds of the variational updates in plain SQL, ending in `w`, the words' weights, and `d`, the documents'."""
+    ks = range(TOPICS)
+    each = lambda text: ", ".join(text.replace("#", str(t)) for t in ks)
+    start = ", ".join(f"0.5 + ('0x' || substr(md5('17-{t}-' || word), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS g{t}" for t in ks)
+    parts = [f"""r AS (SELECT doc_id, unnest(regexp_extract_all({FOLD}, '[\\p{{L}}_]+')) AS word FROM documents),
+c AS MATERIALIZED (SELECT doc_id, word, count(*)::DOUBLE AS tf FROM r WHERE length(word) BETWEEN 2 AND 15 AND word NOT LIKE '\\_%' ESCAPE '\\'
+AND word NOT IN ({I.sql_list([*STOPWORDS, *TOPIC_NOISE])}) GROUP BY ALL),
+w0 AS MATERIALIZED (SELECT word, {start} FROM (SELECT DISTINCT word FROM c)),
+d0 AS (SELECT DISTINCT doc_id, {each(f'{a}::DOUBLE AS g#')} FROM c)"""]
+    for r in range(rounds):
+        b = each(f"exp({digamma_sql('g#')} - (SELECT {digamma_sql('s')} FROM (SELECT sum(g#) AS s FROM w{r}))) AS b#")
+        whole = "(" + " + ".join(f"g{t}" for t in ks) + ")"
+        e = each(f"exp({digamma_sql('g#')} - {digamma_sql(whole)}) AS e#")
+        both = " + ".join(f"e{t} * b{t}" for t in ks)
+        parts.append(f"""p{r} AS MATERIALIZED (SELECT doc_id, word, {each(f'tf * e# * b# / ({both}) AS p#')} FROM c JOIN (SELECT word, {b} FROM w{r}) USING (word) JOIN (SELECT doc_id, {e} FROM d{r}) USING (doc_id)),
+w{r + 1} AS MATERIALIZED (SELECT word, {each(f'{a}::DOUBLE + sum(p#) AS g#')} FROM p{r} GROUP BY word),
+d{r + 1} AS (SELECT doc_id, {each(f'{a}::DOUBLE + sum(p#) AS g#')} FROM p{r} GROUP BY doc_id)""")
+    return ",\n".join([*parts, f"w AS (SELECT * FROM w{rounds}), d AS (SELECT * FROM d{rounds})"])
+
+
+def few_topics(spark, sf):
+    return P.fit_topics(T.simple_words(docs(spark, sf), "text"), "doc_id", "words", TOPICS, rounds=3)
+
+
+@query("t13_topic_words_three_rounds", f"WITH {topics_sql(3)}, f AS (" + " UNION ALL ".join(f"SELECT {t} AS topic, word, g{t} / (SELECT sum(g{t}) FROM w) AS weight FROM w" for t in range(TOPICS))
+       + ") SELECT topic, (row_number() OVER (PARTITION BY topic ORDER BY weight DESC, word))::INT AS rank, word, round(weight, 9) AS weight FROM f QUALIFY rank <= 10")
+def t13c(spark, sf):
+    """A small form of the same fit: three topics, three rounds."""
+    return P.topic_words(few_topics(spark, sf), 10).withColumn("weight", F.round("weight", 9))
+
+
+@query("t13_topic_mixtures_three_rounds", f"WITH {topics_sql(3)} " + " UNION ALL ".join(
+    f"SELECT doc_id, {t} AS topic, round(coalesce(g{t} / ({' + '.join(f'g{i}' for i in range(TOPICS))}), {1 / TOPICS}), 8) AS weight FROM documents LEFT JOIN d USING (doc_id)" for t in range(TOPICS)))
+def t13d(spark, sf):
+    return P.topic_mixtures(few_topics(spark, sf)).withColumn("weight", F.round("weight", 8))
+
+
 @query("t14_simple_tokens", f"""WITH r AS (SELECT unnest(regexp_extract_all({FOLD}, '[\\p{{L}}_]+')) AS word FROM documents)
 SELECT word, count(*)::BIGINT AS count FROM r WHERE length(word) BETWEEN 2 AND 15 AND word NOT LIKE '\\_%' ESCAPE '\\'
 AND word NOT IN ({I.sql_list([*STOPWORDS, *TOPIC_NOISE])}) GROUP BY 1""")

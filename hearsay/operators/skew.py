@@ -24,7 +24,7 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
 
 
 def join_hot_split(
-    big: DataFrame, dim: DataFrame, keys: Sequence[str], weight: str, share: float = 1e-4, how: str = "inner",
+    big: DataFrame, dim: DataFrame, keys: Sequence[str], weight: str, share: float = 1e-4, how: str = "inner", written: bool = False,
 ) -> DataFrame:
     """Join a skewed fact side, read once, to a table with one row per key.
 
@@ -37,7 +37,8 @@ def join_hot_split(
     rows then join in groups no larger than `share` of the total. Rows with a
     null key match nothing and are spread likewise. No row is dropped or capped.
 
-    `dim` is computed once, when called, and checkpointed. Which copy a row
+    `dim` is computed once, when called, and checkpointed, unless it is `written`
+    to a table already. Which copy a row
     meets makes no difference, but its place must be the same when a task runs
     again: pass a scan or what is computed row by row from one.
     """
@@ -45,7 +46,7 @@ def join_hot_split(
         raise ValueError(f"unsupported join type {how!r}")
     keys, most = list(keys), int(1 / share)
     found = [c for c in dim.columns if c not in keys]
-    dim = cut_lineage(dim)
+    dim = dim if written else cut_lineage(dim)
     columns = [*big.columns, *found]
     if is_small(dim, most):
         return big.join(F.broadcast(dim), keys, how).select(*columns)

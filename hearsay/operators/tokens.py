@@ -4,18 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hearsay.functions import columns as C
 from hearsay.operators.bloom import bloom_filter
 from hearsay.operators.reshape import top_k
 from hearsay.operators.skew import join_hot_split
+from hearsay.operators.topics import fit_topics, topic_mixtures, topic_words
 from hearsay.operators.windows import top_k_per_group, with_row_id
-from hearsay.session import cut_lineage, write_table
+from hearsay.session import write_table
 from hearsay.vocab import STOPWORDS, TOPIC_NOISE
 
 
@@ -144,41 +141,7 @@ def bag_of_words(df: DataFrame, row_id: str, tokens: str, vocab_size: int | None
     return join_hot_split(frequencies, terms, ["word"], "df").select(row_id, "term_id", "word", "tf")
 
 
-#: No limit on a vocabulary.
-ALL_WORDS = (1 << 31) - 1
-
-
-def fit_topics(df: DataFrame, tokens: str, k: int = 10, max_iter: int = 10, vocab_size: int = ALL_WORDS,
-               min_df: float = 1.0, seed: int = 17) -> PipelineModel:
-    """Vocabulary and topics; every round reads every text. The bags are checkpointed once, so the rounds do not tokenise again."""
-    bag = CountVectorizer(inputCol=tokens, outputCol="bag", vocabSize=vocab_size, minDF=min_df).fit(df)
-    bags = cut_lineage(bag.transform(df).select("bag"))
-    lda = LDA(k=k, maxIter=max_iter, seed=seed, featuresCol="bag", optimizer="online", subsamplingRate=1.0, topicDistributionCol="mixture")
-    return PipelineModel(stages=[bag, lda.fit(bags)])
-
-
-def topic_words(model: PipelineModel, n_words: int = 10) -> DataFrame:
-    """(topic, rank, word, weight): the top words of each topic."""
-    bag, lda = model.stages
-    described = lda.describeTopics(n_words)
-    vocabulary = C.string_array(bag.vocabulary) if len(bag.vocabulary) <= 1000 else None
-    flat = described.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("pos", "t"))
-    flat = flat.select("topic", (F.col("pos") + 1).alias("rank"), F.col("t.termIndices").alias("index"),
-                       F.col("t.termWeights").alias("weight"))
-    if vocabulary is not None:
-        return flat.select("topic", "rank", F.get(vocabulary, F.col("index")).alias("word"), "weight")
-    words = described.sparkSession.createDataFrame(list(enumerate(bag.vocabulary)), "index int, word string")
-    return flat.join(words, "index").select("topic", "rank", "word", "weight")
-
-
-def topic_mixtures(model: PipelineModel, df: DataFrame, row_id: str) -> DataFrame:
-    """(id, topic, weight): how much of each topic a document holds."""
-    mixed = model.transform(df).select(row_id, vector_to_array("mixture").alias("_m"))
-    return mixed.select(row_id, F.posexplode("_m").alias("topic", "weight"))
-
-
-def topic_model(df: DataFrame, row_id: str, tokens: str, k: int = 10, n_words: int = 10, max_iter: int = 10,
-                vocab_size: int = ALL_WORDS) -> tuple[DataFrame, DataFrame]:
+def topic_model(df: DataFrame, row_id: str, tokens: str, k: int = 10, n_words: int = 10, rounds: int = 10) -> tuple[DataFrame, DataFrame]:
     """Topics with their words, and every document's mixture."""
-    model = fit_topics(df, tokens, k, max_iter, vocab_size)
-    return topic_words(model, n_words), topic_mixtures(model, df, row_id)
+    topics = fit_topics(df, row_id, tokens, k, rounds)
+    return topic_words(topics, n_words), topic_mixtures(topics)
