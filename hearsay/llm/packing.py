@@ -30,8 +30,9 @@ class WordEncoder:
     """Ids of texts, as little-endian 32-bit bytes, for a tokenizer that never joins text across white space.
 
     Each distinct word is encoded once and remembered. A word is a stem and
-    trailing marks, which the tokenizer never joins either; ASCII capitals make
-    no difference to it. New stems of letters are encoded as one text, in which
+    trailing marks, which the tokenizer never joins either where the stem's
+    normal form ends in a letter (it joins them to a combining mark); ASCII
+    capitals make no difference to it. New stems of letters are encoded as one text, in which
     every stem ends with the only token that ends a word; should these not add
     up, and for all other stems, each is encoded by itself. The memories start
     anew when full, which changes no result.
@@ -52,14 +53,17 @@ class WordEncoder:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
+    def _normal(self, text: str) -> str:
+        return text if text.isascii() or self.tokenizer.normalizer is None else self.tokenizer.normalizer.normalize_str(text)
+
     def _split(self, word: bytes) -> tuple[bytes, bytes]:
         stem = word.rstrip(self.MARKS)
-        if len(stem) < len(word) and stem and stem.decode(errors="replace")[-1].isalpha():
+        if len(stem) < len(word) and stem and self._normal(stem.decode(errors="replace"))[-1:].isalpha():
             return stem.lower(), word[len(stem):]
         return word.lower() if word.isalpha() else word, b""
 
     def _learn(self, stems: list[bytes]) -> None:
-        letters = [s for s in stems if s.decode().isalpha()]
+        letters = [s for s in stems if self._normal(s.decode()).isalpha()]
         for at in range(0, len(letters), 512):
             some = letters[at: at + 512]
             ids = self._ids(" ".join(s.decode() for s in some))

@@ -99,10 +99,9 @@ base AS (SELECT d.rid, doc_id, host, CAST(len(w) AS BIGINT) AS n_words, CAST(len
   CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
   CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words FROM d LEFT JOIN rep USING (rid)),
 ln AS (SELECT rid, host, regexp_replace(trim(lower(x), E' \t\x0b\x0c\r'), '[\x20\x09-\x0D]+', ' ', 'g') AS p FROM (SELECT rid, host, unnest(lines) AS x FROM d)),
-own AS (SELECT DISTINCT rid, host, p, md5(p) AS m FROM ln),
-rk AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY m) AS k FROM own),
-two AS (SELECT rid, max(CASE WHEN k = 1 THEN m END) AS a, max(CASE WHEN k = 2 THEN m END) AS b FROM rk GROUP BY rid),
-cnt AS (SELECT host, p, count(DISTINCT coalesce(CASE WHEN m = a THEN b ELSE a END, '')) AS docs FROM own JOIN two USING (rid) GROUP BY host, p),
+own AS (SELECT DISTINCT rid, host, p FROM ln),
+sig AS (SELECT rid, md5(string_agg(p, chr(10) ORDER BY p)) AS s FROM own GROUP BY rid),
+cnt AS (SELECT host, p, count(DISTINCT s) AS docs FROM own JOIN sig USING (rid) GROUP BY host, p),
 hosts AS (SELECT host, count(*) AS n FROM d GROUP BY host),
 common AS (SELECT cnt.host, p FROM cnt JOIN hosts ON cnt.host IS NOT DISTINCT FROM hosts.host WHERE docs > 10 AND docs > n * 0.01),
 gone AS (SELECT rid, count(*) AS nl, sum(len(string_split(ln.p, ' '))) AS nw FROM ln JOIN common c ON ln.host IS NOT DISTINCT FROM c.host AND ln.p = c.p GROUP BY rid)

@@ -195,6 +195,23 @@ def test_packing(spark, odd, none):
     assert packing.pack_documents(none).count() == 0
 
 
+def test_ids_of_all_letters_before_marks_and_of_odd_texts():
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    whole = Tokenizer.from_file(path)
+    ids = lambda texts: [np.array(e.ids, "<u4").tobytes() for e in whole.encode_batch(texts, add_special_tokens=False)]
+    letters = [chr(c) for c in range(0x30000) if chr(c).isalpha()]
+    turned = [c for c in letters if not whole.normalizer.normalize_str(c)[-1].isalpha()]
+    assert len(turned) > 40 and "İ" in turned
+    texts = [f"ab{c}." for c in letters] + [f"{c}{m} {c}{m}{m}x" for c in [*turned, *"aZéß"] for m in packing.WordEncoder.MARKS.decode()]
+    assert packing.WordEncoder(path)([t.encode() for t in texts]) == ids(texts)
+    rng = np.random.default_rng(8)
+    pool = [*"abcXYZ09.,!*#$%&;:?'-() \n\t", *turned, "\u0301", "\u0307", "\u00a0", "\u200d", "ﬁ", "中", "😀", "'s", "'ll", "é"]
+    texts = ["".join(rng.choice(pool, rng.integers(1, 40))) for _ in range(4000)]
+    assert packing.WordEncoder(path, remembered=50)([t.encode() for t in texts]) == ids(texts)
+
+
 def test_merge_rounds(spark):
     pieces = spark.range(3000).selectExpr("id as doc_id", "cast(1 + (id * 7919) % 1500 as long) as length").repartition(12)
     got = packing.pack(pieces, fan_in=3).collect()
@@ -252,9 +269,27 @@ def test_boilerplate_of_many_lines_is_counted_per_document(spark):
     template = "\n".join(f"menu entry {k} of the site" for k in range(30))
     own = lambda i: "\n".join(f"own{i} word{i}x{k}" for k in range(3))
     rows = [(i, f"{template}\n{own(i)}", "h") for i in range(20)] + [(100 + i, f"{own(100 + i)} " + " ".join(f"c{i}x{k}" for k in range(60)), "h") for i in range(200)]
-    got = {r.doc_id: r for r in rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in rules.quality_rules(docs).collect()}
     assert all(got[i].n_removed_lines == 30 and not got[i].kept for i in range(20))
     assert all(got[100 + i].n_removed_lines == 0 for i in range(200))
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    assert compare(rules.quality_rules(docs), con, rules.SQL) is None
+    # A rule that counted documents by their smallest line would see these 20 as fewer than 11, and remove nothing.
+    smallest = {min(hashlib.md5(p.encode()).hexdigest() for p in text.split("\n")) for _, text, _ in rows[:20]}
+    assert len(smallest) <= 10
+
+
+def test_null_hosts_and_repeated_ids_keep_their_counts(spark):
+    line = "the same footer on every page of it"
+    rows = [(i % 7, " ".join(f"n{i}w{k}" for k in range(60)) + f"\n{line}", None) for i in range(30)] + [(None, None, None), (0, "", "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = rules.quality_rules(docs).collect()
+    assert len(got) == 32 and sorted(r.n_removed_lines for r in got) == [0, 0] + [1] * 30
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    assert compare(rules.quality_rules(docs), con, rules.SQL) is None
 
 
 # 7 -------------------------------------------------------------------------------------------------------------------
