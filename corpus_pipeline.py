@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import DataFrame, SparkSession
 
-from hearsay.llm import exact_dedup, mixing, packing, quality, simhash
+from hearsay.llm import exact_dedup, mixing, packing, quality, similar_texts
 from hearsay.llm.common import table
 from hearsay.session import scratch_path
 
@@ -19,7 +18,8 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def far_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.drop_near_copies(docs)
+    """Texts whose five-word shingles have a similarity of 0.8 or more are near copies; one of each group stays."""
+    return similar_texts.drop_similar(docs)
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
