@@ -53,17 +53,19 @@ class WordEncoder:
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _normal(self, text: str) -> str:
-        return text if text.isascii() or self.tokenizer.normalizer is None else self.tokenizer.normalizer.normalize_str(text)
+    def _normal(self, word: bytes) -> bytes | str:
+        if word.isascii() or self.tokenizer.normalizer is None:
+            return word
+        return self.tokenizer.normalizer.normalize_str(word.decode(errors="replace"))
 
     def _split(self, word: bytes) -> tuple[bytes, bytes]:
         stem = word.rstrip(self.MARKS)
-        if len(stem) < len(word) and stem and self._normal(stem.decode(errors="replace"))[-1:].isalpha():
+        if len(stem) < len(word) and stem and self._normal(stem)[-1:].isalpha():
             return stem.lower(), word[len(stem):]
         return word.lower() if word.isalpha() else word, b""
 
     def _learn(self, stems: list[bytes]) -> None:
-        letters = [s for s in stems if self._normal(s.decode()).isalpha()]
+        letters = [s for s in stems if self._normal(s).isalpha()]
         for at in range(0, len(letters), 512):
             some = letters[at: at + 512]
             ids = self._ids(" ".join(s.decode() for s in some))
