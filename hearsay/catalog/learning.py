@@ -52,13 +52,6 @@ def m3b(spark, sf):
     return out.withColumns({"slope": F.round("slope", 4), "intercept": F.round("intercept", 3), "r2_train": F.round("r2_train", 6)})
 
 
-@query("m3_linear_model")
-def m3c(spark, sf):
-    train, test = L.split(lines(spark, sf), "key")
-    model = L.fit_linear(train, ["l_quantity", "l_discount"], "l_extendedprice")
-    return model.transform(test).select("key", F.round("prediction", 3).alias("prediction"))
-
-
 @query("m3_linear_model_one_feature", f"WITH {LINES_SQL} SELECT key, round(a + b * x, 2) AS prediction FROM s, c WHERE NOT train")
 def m3d(spark, sf):
     train, test = L.split(lines(spark, sf), "key")
@@ -66,17 +59,27 @@ def m3d(spark, sf):
     return model.transform(test).select("key", F.round("prediction", 2).alias("prediction"))
 
 
-@query("m3_linear_model_two_features", f"""WITH l AS (SELECT l_orderkey || '/' || l_linenumber AS key, l_quantity::DOUBLE AS x, l_discount::DOUBLE AS z, l_extendedprice::DOUBLE AS y FROM lineitem),
+TWO_FEATURES_SQL = f"""WITH l AS (SELECT l_orderkey || '/' || l_linenumber AS key, l_quantity::DOUBLE AS x, l_discount::DOUBLE AS z, l_extendedprice::DOUBLE AS y FROM lineitem),
 s AS (SELECT *, {DRAW.format(seed=1, key='key')} < 8000 AS train FROM l),
 v AS (SELECT avg(y) AS my, avg(x) AS mx, avg(z) AS mz, var_pop(x) AS a, var_pop(z) AS b, covar_pop(x, z) AS c, covar_pop(y, x) AS yx, covar_pop(y, z) AS yz FROM s WHERE train),
 f AS (SELECT *, (yx * b - yz * c) / (a * b - c * c) AS bx, (yz * a - yx * c) / (a * b - c * c) AS bz FROM v)
-SELECT key, round(my + bx * (x - mx) + bz * (z - mz), 2) AS prediction FROM s, f WHERE NOT train""")
+SELECT key, round(my + bx * (x - mx) + bz * (z - mz), 2) AS prediction FROM s, f WHERE NOT train"""
+
+
+@query("m3_linear_model_two_features", TWO_FEATURES_SQL)
 def m3e(spark, sf):
     train, test = L.split(lines(spark, sf), "key")
     model = L.fit_linear(train, ["l_quantity", "l_discount"], "l_extendedprice")
     return model.transform(test).select("key", F.round("prediction", 2).alias("prediction"))
 
 
+@query("m3_linear_model", TWO_FEATURES_SQL.replace(", 2) AS prediction", ", 3) AS prediction"))
+def m3c(spark, sf):
+    train, test = L.split(lines(spark, sf), "key")
+    model = L.fit_linear(train, ["l_quantity", "l_discount"], "l_extendedprice")
+    return model.transform(test).select("key", F.round("prediction", 3).alias("prediction"))
+
+
 def classed_events(spark, sf):
     """Events with a three-way class of the value, and an hour feature."""
     e = I.table(spark, sf, "events")

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from hearsay.catalog import inputs as I
 from hearsay.catalog.aggregates import GAPS_SQL, full_order_days, rounded
 from hearsay.catalog.filters import day_text
 from hearsay.catalog.registry import query
+from hearsay.catalog import least_squares_sql as Q
+from hearsay.functions.stats import ADF_CRITICAL, ADF_LARGE_P, ADF_SMALL_P, ADF_TAU_MAX, ADF_TAU_MIN, ADF_TAU_STAR
 from hearsay.operators import regress as G, seasonal as SE, series as S
+from hearsay.session import write_table
 
 KEYS = ["series"]
 FILLED_SQL = f"{GAPS_SQL}, filled AS (SELECT series, day, coalesce(n, 0.0) AS n FROM full_days)"
@@ -32,6 +35,9 @@ def multivariate(spark, sf):
 
 
 VARS = ["n", "amount", "closed"]
+VARS_SQL = """w AS (SELECT o_orderpriority AS series, CAST(o_orderdate AS DATE) AS day, count(*)::DOUBLE AS n, sum(o_totalprice) / 1000 AS amount, count(*) FILTER (o_orderstatus = 'F')::DOUBLE AS closed FROM orders GROUP BY ALL),
+span AS (SELECT series, unnest(generate_series(min(day)::TIMESTAMP, max(day)::TIMESTAMP, INTERVAL 1 DAY))::DATE AS day FROM w GROUP BY 1),
+many AS MATERIALIZED (SELECT series, day, coalesce(n, 0) AS n, coalesce(amount, 0) AS amount, coalesce(closed, 0) AS closed FROM span LEFT JOIN w USING (series, day))"""
 
 
 @query("z1_regularize", f"WITH {GAPS_SQL} SELECT series, CAST(day AS VARCHAR) AS day, n FROM full_days")
@@ -39,38 +45,60 @@ def z1(spark, sf):
     return day_text(full_order_days(spark, sf))
 
 
-LAGS = 20
+#: All autocorrelations up to the last day, from the products of pairs of days.
+ACF_SQL = f"""{FILLED_SQL}, c AS (SELECT series, n - avg(n) OVER (PARTITION BY series) AS d, row_number() OVER (PARTITION BY series ORDER BY day) AS t, count(*) OVER (PARTITION BY series) AS cnt FROM filled),
+r AS (SELECT x.series, (y.t - x.t)::INT AS lag, sum(x.d * y.d) / any_value(z.s) AS acf, any_value(x.cnt) AS cnt FROM c x JOIN c y ON x.series = y.series AND y.t >= x.t
+ JOIN (SELECT series, sum(d * d) AS s FROM c GROUP BY 1) z ON z.series = x.series GROUP BY ALL)"""
 
 
-@query("z2_acf", f"""WITH {FILLED_SQL}, c AS (SELECT series, day, n - avg(n) OVER (PARTITION BY series) AS d, count(*) OVER (PARTITION BY series) AS cnt FROM filled),
-p AS (SELECT series, cnt, d, k, d * lag(d, k::INT) OVER (PARTITION BY series, k ORDER BY day) AS prod FROM c, (SELECT unnest(generate_series(0, {LAGS})) AS k)),
-r AS (SELECT series, k::INT AS lag, sum(prod) / sum(d * d) AS acf, any_value(cnt) AS cnt FROM p GROUP BY ALL)
-SELECT series, lag, round(acf, 6) AS acf, round({S.Z95} / sqrt(cnt), 6) AS bound95, round({S.Z99} / sqrt(cnt), 6) AS bound99,
+@query("z2_acf", f"""WITH {ACF_SQL} SELECT series, lag, round(acf, 6) AS acf, round({S.Z95} / sqrt(cnt), 6) AS bound95, round({S.Z99} / sqrt(cnt), 6) AS bound99,
 round(CASE WHEN lag = 0 THEN 0 ELSE {S.Z95} * sqrt((1 + 2 * coalesce(sum(CASE WHEN lag > 0 THEN acf * acf END) OVER (PARTITION BY series ORDER BY lag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / cnt) END, 6) AS bartlett95
 FROM r""")
 def z2(spark, sf):
-    return rounded(S.acf(filled(spark, sf), KEYS, "day", "n", LAGS))
+    return rounded(S.acf(filled(spark, sf), KEYS, "day", "n"))
 
 
-@query("z3_pacf", f"""WITH RECURSIVE {FILLED_SQL}, c AS (SELECT series, day, n - avg(n) OVER (PARTITION BY series) AS d, count(*) OVER (PARTITION BY series) AS cnt FROM filled),
-p AS (SELECT series, cnt, d, k, d * lag(d, k::INT) OVER (PARTITION BY series, k ORDER BY day) AS prod FROM c, (SELECT unnest(generate_series(0, {LAGS})) AS k)),
-a AS (SELECT series, k::INT AS k, sum(prod) / sum(d * d) AS r, any_value(cnt) AS cnt FROM p GROUP BY ALL),
-rho AS (SELECT series, list(r ORDER BY k) AS rho, any_value(cnt) AS cnt FROM a GROUP BY 1),
+@query("z3_pacf", f"""WITH RECURSIVE {ACF_SQL}, rho AS MATERIALIZED (SELECT series, list(acf ORDER BY lag) AS rho, any_value(cnt) AS cnt FROM r GROUP BY 1),
 dl(series, k, phi, pacf) AS (SELECT series, 0, []::DOUBLE[], 1.0::DOUBLE FROM rho UNION ALL
- SELECT series, k + 1, list_append(list_transform(range(1, k + 1), lambda j: phi[j] - top * phi[k - j + 1]), top), top FROM (
-  SELECT dl.series, dl.k, dl.phi, (rho[k + 2] - coalesce(list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * rho[k + 2 - j])), 0))
-   / (1 - coalesce(list_sum(list_transform(range(1, k + 1), lambda j: phi[j] * rho[j + 1])), 0)) AS top FROM dl JOIN rho ON rho.series = dl.series WHERE dl.k < {LAGS}))
+ SELECT series, k + 1, list_append(list_transform(list_zip(phi, list_reverse(phi)), lambda z: z[1] - top * z[2]), top), top FROM (
+  SELECT dl.series, dl.k, dl.phi, (rho[k + 2] - coalesce(list_inner_product(phi, list_reverse(rho[2:k + 1])), 0)) / (1 - coalesce(list_inner_product(phi, rho[2:k + 1]), 0)) AS top
+  FROM dl JOIN rho ON rho.series = dl.series WHERE dl.k + 1 < rho.cnt))
 SELECT dl.series, k AS lag, round(pacf, 6) AS pacf, round({S.Z95} / sqrt(cnt), 6) AS bound95 FROM dl JOIN rho ON rho.series = dl.series""")
 def z3(spark, sf):
-    return rounded(G.pacf(filled(spark, sf), KEYS, "day", "n", LAGS))
+    return rounded(G.pacf(filled(spark, sf), KEYS, "day", "n"))
+
+
+RESID_SQL = "e AS (SELECT series, day, n - lag(n) OVER (PARTITION BY series ORDER BY day) AS e FROM filled)"
 
 
-@query("z4_adf")
+def adf_sql(source: str, value: str) -> str:
+    """The whole test: lags by AIC on the rows that serve all, then the chosen order on all rows it can use."""
+    most, poly = 60, lambda coef: " + ".join(f"{c} * pow(tau, {i})" for i, c in enumerate(coef))
+    critical = ", ".join(f"round({' + '.join(f'{c} / pow(n, {i})' for i, c in enumerate(coef))}, 6) AS critical_{level[:-1]}" for level, coef in ADF_CRITICAL.items())
+    past = ", ".join(f"coalesce(lag(dy, {i}) OVER w, 0)" for i in range(1, most + 1))
+    m, side = "(SELECT lags + 3 FROM size)", "sqrt(len(a))::INT"
+    return f"""d AS (SELECT series, day, {value}::DOUBLE AS y, lag({value}) OVER w AS y1, coalesce({value} - lag({value}) OVER w, 0)::DOUBLE AS dy FROM {source} WINDOW w AS (PARTITION BY series ORDER BY day)),
+size AS MATERIALIZED (SELECT greatest(0, least(ceil(12 * pow(n / 100, 0.25))::INT, n // 2 - 2)) AS lags FROM (SELECT max(n) AS n FROM (SELECT count(*) AS n FROM {source} GROUP BY series))),
+p AS (SELECT series, dy, y1, row_number() OVER w - 1 AS t, [{past}] AS past FROM d WINDOW w AS (PARTITION BY series ORDER BY day)),
+x AS MATERIALIZED (SELECT series, least(t - 1, lags) AS o, [1.0, y1] || past[1:lags] || [dy] AS x FROM p, size WHERE t >= 1),
+{Q.grams('x', m, 'o')},
+common AS (SELECT series, o, a FROM g, size WHERE o = lags),
+{Q.swept('common', side, '(SELECT lags + 2 FROM size)')},
+aic AS (SELECT series, k - 2 AS k, a[1] AS inv, z.a[len(z.a)] AS ssr, (SELECT c.a[1] FROM common c WHERE c.series = z.series) AS n FROM z WHERE k >= 2),
+best AS (SELECT series, arg_min(k, (n * (ln(2 * pi() * ssr / n) + 1) + 2 * (2 + k), k)) AS o FROM aic WHERE n > 2 + k AND ssr > 0 GROUP BY 1),
+{Q.added('SELECT series AS s2, o FROM best').replace('cell.o >= k.o', 'cell.o >= k.o AND cell.series = k.s2')},
+{Q.swept('whole', side, 'o + 2', 'f')},
+r AS (SELECT f.series, f.o AS n_lags, w.a[1] AS n, f.a[{m} + {m}] / sqrt(f.a[len(f.a)] / (w.a[1] - 2 - f.o) * f.a[{m} + 2]) AS tau FROM f JOIN whole w ON f.series = w.series WHERE k = top),
+q AS (SELECT *, CASE WHEN tau > {ADF_TAU_MAX} THEN 1.0 WHEN tau < {ADF_TAU_MIN} THEN 0.0 ELSE {Q.normal_cdf(f'(CASE WHEN tau <= {ADF_TAU_STAR} THEN {poly(ADF_SMALL_P)} ELSE {poly(ADF_LARGE_P)} END)')} END AS p FROM r)
+SELECT series, round(tau, 6) AS statistic, round(p, 6) AS p_value, n_lags::INT AS n_lags, n::BIGINT AS n_obs, {critical}, p <= 0.05 AS stationary FROM q"""
+
+
+@query("z4_adf", f"WITH RECURSIVE {FILLED_SQL}, {adf_sql('filled', 'n')}")
 def z4(spark, sf):
     return rounded(G.adf(filled(spark, sf), KEYS, "day", "n"))
 
 
-@query("z4_adf_differenced")
+@query("z4_adf_differenced", f"WITH RECURSIVE {FILLED_SQL}, {RESID_SQL}, steps AS (SELECT series, day, e FROM e WHERE e IS NOT NULL), {adf_sql('steps', 'e')}")
 def z4b(spark, sf):
     diffs = S.difference(filled(spark, sf), KEYS, "day", "n", 1).where(F.col("n_diff").isNotNull())
     return rounded(G.adf(diffs, KEYS, "day", "n_diff"))
@@ -87,13 +115,24 @@ def z5(spark, sf):
 SCORES = ["series", "order", "aic", "bic"]
 
 
+_grids: dict[tuple[str, str], DataFrame] = {}
+
+
+def grid(spark, sf):
+    """The search over all orders, written once per application and read by every query on it."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _grids:
+        _grids[key] = write_table(SE.sarima_grid(filled(spark, sf), KEYS, "day", "n", 20), "sarima-grid")
+    return _grids[key]
+
+
 @query("z6_sarima_grid")
 def z6(spark, sf):
-    return rounded(SE.sarima_grid(filled(spark, sf), KEYS, "day", "n", 20).select(*SCORES), 4)
+    return rounded(grid(spark, sf).select(*SCORES), 4)
 
 
 def best(spark, sf):
-    return SE.best_order(SE.sarima_grid(filled(spark, sf), KEYS, "day", "n", 20), KEYS)
+    return SE.best_order(grid(spark, sf), KEYS)
 
 
 @query("z7_fit_best")
@@ -101,7 +140,6 @@ def z7(spark, sf):
     return day_text(rounded(SE.fit_best(filled(spark, sf), KEYS, "day", "n", best(spark, sf)), 4))
 
 
-RESID_SQL = "e AS (SELECT series, day, n - lag(n) OVER (PARTITION BY series ORDER BY day) AS e FROM filled)"
 
 
 def steps(spark, sf):
@@ -130,7 +168,21 @@ def seasonal_forecast(spark, sf):
 query("z9_forecast")(seasonal_forecast)
 
 
-@query("z10_granger_matrix")
+GRANGER_LAGS = 12
+GRANGER_SQL = f"""WITH RECURSIVE {VARS_SQL}, {Q.lagged('many', VARS, GRANGER_LAGS, by_column=True)},
+y AS MATERIALIZED (SELECT series, x, least(t, {GRANGER_LAGS}) AS o FROM x WHERE t >= 1), {Q.grams('y', str(len(VARS) * (GRANGER_LAGS + 1) + 1), 'o')},
+{Q.added(f'SELECT unnest(range(1, {GRANGER_LAGS + 1})) AS o')},
+pairs AS (SELECT r.i AS r, c.i AS c FROM range({len(VARS)}) r(i), range({len(VARS)}) c(i) WHERE r.i <> c.i),
+cols AS (SELECT series, r, c, o, a, [0] || list_transform(range(0, o), lambda i: 1 + r * {GRANGER_LAGS} + i) || list_transform(range(0, o), lambda i: 1 + c * {GRANGER_LAGS} + i) || [1 + {len(VARS) * GRANGER_LAGS} + r] AS pick FROM whole, pairs),
+part AS MATERIALIZED (SELECT series, r, c, o, list_transform(range(0, len(pick) * len(pick)), lambda q: a[pick[q // len(pick) + 1] * {len(VARS) * (GRANGER_LAGS + 1) + 1} + pick[q % len(pick) + 1] + 1]) AS a FROM cols),
+{Q.swept('part', '(2 * o + 2)', '2 * o + 1', keys='series, r, c, o')},
+ssr AS (SELECT series, r, c, o, max(CASE WHEN k = o + 1 THEN a[len(a)] END) AS own, max(CASE WHEN k = 2 * o + 1 THEN a[len(a)] END) AS joint FROM z GROUP BY ALL),
+st AS (SELECT ssr.*, w.a[1] * (own - joint) / joint AS stat FROM ssr JOIN whole w ON w.series = ssr.series AND w.o = ssr.o WHERE w.a[1] > 2 * ssr.o + 1),
+names AS (SELECT unnest([{I.sql_list(VARS)}]) AS name, unnest(range({len(VARS)})) AS i)"""
+
+
+@query("z10_granger_matrix", f"""{GRANGER_SQL} SELECT series, rn.name AS response, cn.name AS cause, min(round({Q.chi2_tail('stat', 'o')}, 4)) AS p_value FROM st JOIN names rn ON rn.i = r JOIN names cn ON cn.i = c GROUP BY ALL
+UNION ALL SELECT DISTINCT series, name, name, 1.0::DOUBLE FROM many, names""")
 def z10(spark, sf):
     return G.granger_matrix(multivariate(spark, sf), KEYS, "day", VARS, 12)
 
@@ -149,7 +201,9 @@ def z11b(spark, sf):
     return out.withColumns({"coefficient": F.round("coefficient", 5), "ssr": F.round("ssr", 3)})
 
 
-@query("z11_lag_ols_many")
+@query("z11_lag_ols_many", f"""WITH RECURSIVE {VARS_SQL}, {Q.lagged('many', VARS, 5, by_column=True)}, y AS (SELECT series, x[1:17] AS x, 0 AS o FROM x WHERE t >= 5), {Q.grams('y', '17', 'o')}, {Q.swept('g', '17', '16')},
+f AS (SELECT z.series, z.a, g.a[1] AS n FROM z JOIN g USING (series) WHERE k = top), term AS (SELECT unnest(['const', {', '.join(f"'{c}_lag{i}'" for c in VARS for i in range(1, 6))}]) AS term, unnest(range(16)) AS i)
+SELECT series, term, round(a[i * 17 + 17], 5) AS coefficient, round(a[17 * 17], 5) AS ssr, n::BIGINT AS n FROM f, term""")
 def z11c(spark, sf):
     return rounded(G.lag_ols(multivariate(spark, sf), KEYS, "day", "n", VARS, 5), 5)
 
@@ -167,17 +221,55 @@ def z12b(spark, sf):
     return day_text(S.tail_split(filled(spark, sf), KEYS, "day", 20)[1])
 
 
-@query("z13_var_select")
+def criteria_sql(order: str, width: int) -> str:
+    """Scores of the order from a matrix swept up to it; the last three columns are the responses."""
+    at = lambda i, j: f"a[({width} - 3 + {i}) * {width} + {width} - 3 + {j} + 1] / n"
+    det = (f"({at(0, 0)}) * (({at(1, 1)}) * ({at(2, 2)}) - ({at(1, 2)}) * ({at(2, 1)})) - ({at(0, 1)}) * (({at(1, 0)}) * ({at(2, 2)}) - ({at(1, 2)}) * ({at(2, 0)}))"
+           f" + ({at(0, 2)}) * (({at(1, 0)}) * ({at(2, 1)}) - ({at(1, 1)}) * ({at(2, 0)}))")
+    return f"""ld AS (SELECT series, ({order})::INT AS lag_order, n, ({order}) * 9 + 3 AS params, 1 + 3 * ({order}) AS xs, ln({det}) AS ld FROM sw)
+SELECT series, lag_order, round(ld + 2 * params / n, 6) AS aic, round(ld + ln(n) * params / n, 6) AS bic, round(pow((n + xs) / (n - xs), 3) * exp(ld), 6) AS fpe,
+round(ld + 2 * ln(ln(n)) * params / n, 6) AS hqic, n::BIGINT AS n FROM ld"""
+
+
+@query("z13_var_select", f"""WITH RECURSIVE {VARS_SQL}, {Q.lagged('many', VARS, 20)}, y AS (SELECT series, x, 0 AS o FROM x WHERE t >= 20), {Q.grams('y', '64', 'o')}, {Q.swept('g', '64', '61')},
+sw AS (SELECT z.series, k, z.a, g.a[1] AS n FROM z JOIN g USING (series) WHERE k > 1 AND (k - 1) % 3 = 0), {criteria_sql('(k - 1) // 3', 64)}""")
 def z13(spark, sf):
     return rounded(G.var_select(multivariate(spark, sf), KEYS, "day", VARS, 20))
 
 
-@query("z13_var_select_own_sample")
+@query("z13_var_select_own_sample", f"""WITH RECURSIVE {VARS_SQL}, {Q.lagged('many', VARS, 9)}, y AS (SELECT series, x, least(t, 9) AS o FROM x WHERE t >= 1), {Q.grams('y', '31', 'o')},
+{Q.added('SELECT unnest(range(1, 10)) AS o')}, {Q.swept('whole', '31', '3 * o + 1')},
+sw AS (SELECT z.series, z.o, k, z.a, w.a[1] AS n FROM z JOIN whole w ON w.series = z.series AND w.o = z.o WHERE k = top), {criteria_sql('o', 31)}""")
 def z13b(spark, sf):
     return rounded(G.var_select(multivariate(spark, sf), KEYS, "day", VARS, 9, common_sample=False))
 
 
-@query("z14_var_forecast")
+def var_sql(source: str, cols: list[str], order: int) -> str:
+    """`b`: the swept matrix of a vector autoregression, `x` its rows, and `m`, the width."""
+    width = len(cols) * (order + 1) + 1
+    return f"""{Q.lagged(source, cols, order)}, y AS (SELECT series, x, 0 AS o FROM x WHERE t >= {order}), {Q.grams('y', str(width), 'o')}, {Q.swept('g', str(width), str(width - len(cols)))},
+b AS MATERIALIZED (SELECT series, a FROM z WHERE k = top)"""
+
+
+def fitted_sql(row: str, width: int, cols: int, c: int) -> str:
+    """The fit of response c from a list that starts with a row's regressors."""
+    return f"list_sum(list_transform(range(0, {width - cols}), lambda i: a[i * {width} + {width - cols} + {c} + 1] * {row}[i + 1]))"
+
+
+def ahead_sql(source: str, cols: list[str], order: int, steps: int) -> str:
+    """`r`: series, step and v, the values ahead, step by step."""
+    k, width = len(cols), len(cols) * (order + 1) + 1
+    made = ", ".join(fitted_sql("([1.0::DOUBLE] || recent)", width, k, c) for c in range(k))
+    values = ", ".join(f"{c}::DOUBLE" for c in cols)
+    return f"""{var_sql(source, cols, order)}, e AS (SELECT series, max(day) AS last_day, flatten(list([{values}] ORDER BY day DESC)[1:{order}]) AS recent FROM {source} GROUP BY 1),
+r(series, step, recent) AS (SELECT series, 0, recent FROM e UNION ALL SELECT r.series, step + 1, ([{made}] || recent)[1:{order * k}] FROM r JOIN b ON b.series = r.series WHERE step < {steps})"""
+
+
+TRAIN_SQL = "tail AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY day DESC) AS back FROM many), train AS (SELECT series, day, n, amount, closed FROM tail WHERE back > 20)"
+
+
+@query("z14_var_forecast", f"""WITH RECURSIVE {VARS_SQL}, {TRAIN_SQL}, {ahead_sql('train', VARS, 13, 20)}
+SELECT r.series, step, CAST(CAST(last_day + step AS DATE) AS VARCHAR) AS day, round(r.recent[1], 4) AS n, round(r.recent[2], 4) AS amount, round(r.recent[3], 4) AS closed FROM r JOIN e ON e.series = r.series WHERE step > 0""")
 def z14(spark, sf):
     train = S.tail_split(multivariate(spark, sf), KEYS, "day", 20)[0]
     return day_text(rounded(G.var_forecast(train, KEYS, "day", VARS, 13, 20), 4))
@@ -189,7 +281,10 @@ def z15(spark, sf):
     return rounded(S.durbin_watson(steps(spark, sf), KEYS, "day", "e"))
 
 
-@query("z15_durbin_watson_var")
+@query("z15_durbin_watson_var", f"""WITH RECURSIVE {VARS_SQL}, {var_sql('many', VARS, 13)},
+resid AS (SELECT series, day, {', '.join(f"x[{41 + c}] - {fitted_sql('x', 43, 3, c)} AS e{c}" for c in range(3))} FROM x JOIN b USING (series) WHERE t >= 13),
+s AS (SELECT series, {', '.join(f'e{c}, e{c} - lag(e{c}) OVER o AS d{c}' for c in range(3))} FROM resid WINDOW o AS (PARTITION BY series ORDER BY day))
+{' UNION ALL '.join(f"SELECT series, '{v}' AS response, round(sum(d{c} * d{c}) / sum(e{c} * e{c}), 6) AS durbin_watson FROM s GROUP BY 1" for c, v in enumerate(VARS))}""")
 def z15b(spark, sf):
     resid = G.var_residuals(multivariate(spark, sf), KEYS, "day", VARS, 13)
     return rounded(S.durbin_watson(resid, [*KEYS, "response"], "day", "residual"))
@@ -209,7 +304,12 @@ def levels_ahead(days, cols, order):
     return day_text(rounded(ahead.select("series", "day", *[f"{v}_forecast" for v in cols]), 4))
 
 
-@query("z16_var_forecast_levels")
+@query("z16_var_forecast_levels", f"""WITH RECURSIVE {VARS_SQL}, {TRAIN_SQL}, seconds AS (SELECT series, day, {', '.join(f'{v} - 2 * lag({v}) OVER o + lag({v}, 2) OVER o AS {v}2' for v in VARS)} FROM train WINDOW o AS (PARTITION BY series ORDER BY day)),
+diffs AS (SELECT * FROM seconds WHERE n2 IS NOT NULL), {ahead_sql('diffs', [f'{v}2' for v in VARS], 13, 20)},
+last AS (SELECT series, {', '.join(f'list({v} ORDER BY day DESC)[1:2] AS {v}' for v in VARS)} FROM train GROUP BY 1),
+up AS (SELECT r.series, step, {', '.join(f'sum(r.recent[{c + 1}]) OVER o AS s{c}' for c in range(3))} FROM r WHERE step > 0 WINDOW o AS (PARTITION BY series ORDER BY step))
+SELECT up.series, CAST(CAST(last_day + step AS DATE) AS VARCHAR) AS day, {', '.join(f'round(last.{v}[1] + sum(last.{v}[1] - last.{v}[2] + s{c}) OVER q, 4) AS {v}_forecast' for c, v in enumerate(VARS))}
+FROM up JOIN e USING (series) JOIN last USING (series) WINDOW q AS (PARTITION BY up.series ORDER BY step)""")
 def z16(spark, sf):
     return levels_ahead(multivariate(spark, sf), VARS, 13)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from hearsay.catalog import inputs as I
 from hearsay.catalog.aggregates import rounded
 from hearsay.catalog.registry import query
-from hearsay.functions import columns as C
+from hearsay.functions import columns as C, snowball as B
 from hearsay.operators import sentiment as N, tokens as T, topics as P
 from hearsay.vocab import STOPWORDS, TOPIC_NOISE
 
@@ -52,6 +52,57 @@ def t3b(spark, sf):
     return stems.select("doc_id", F.md5(F.concat_ws(" ", F.sort_array("stems"))).alias("v"))
 
 
+def snowball_sql() -> str:
+    """From `normal`, `stems`: each distinct word and its Snowball stem, one step of the algorithm after the other."""
+    def longest(rules: dict[str, str], region) -> str:
+        cases = []
+        for suffix in sorted(rules, key=lambda x: (-len(x), x)):
+            stem, need = f"left(w, length(w) - {len(suffix)})", B.BEFORE.get(suffix)
+            holds = f"length({stem}) >= {region(suffix)}" + (f" AND regexp_matches({stem}, '{need}$')" if need else "")
+            cases.append(f"WHEN w LIKE '%{suffix}' THEN CASE WHEN {holds} THEN {stem} || '{rules[suffix]}' ELSE w END")
+        return f"CASE {' '.join(cases)} ELSE w END"
+
+    def step(n: int, text: str) -> str:
+        return f"z{n} AS MATERIALIZED (SELECT word, r1, r2, done, CASE WHEN done THEN w ELSE {text} END AS w FROM z{n - 1})"
+
+    past = "NOT regexp_matches(w, 'eed(ly)?$') AND regexp_matches(w, '[aeiouy].*(ed|edly|ing|ingly)$')"
+    final = f"""w LIKE '%e' AND (length(w) - 1 >= r2 OR length(w) - 1 >= r1 AND NOT regexp_matches(left(w, length(w) - 1), '{B.SHORT}'))"""
+    named = " ".join(f"WHEN word = '{k}' THEN '{v}'" for k, v in B.EXCEPTIONS.items())
+    return ",\n".join([
+        "v AS (SELECT DISTINCT word FROM normal)",
+        r"m AS (SELECT word, regexp_replace(regexp_replace(word, '([aeiouy])y', '\1Y', 'g'), '^y', 'Y') AS w FROM v)",
+        f"ra AS (SELECT word, w, CASE WHEN regexp_matches(w, '{B.FIRST_REGION}') THEN length(regexp_extract(w, '{B.FIRST_REGION}', 0)) ELSE length(w) END AS r1 FROM m)",
+        f"rb AS (SELECT word, w, r1, CASE WHEN regexp_matches(substr(w, r1 + 1), '{B.NEXT_REGION}') THEN r1 + length(regexp_extract(substr(w, r1 + 1), '{B.NEXT_REGION}', 0)) ELSE length(w) END AS r2 FROM ra)",
+        """z0 AS MATERIALIZED (SELECT word, r1, r2, CASE WHEN w LIKE '%sses' THEN left(w, length(w) - 2) WHEN regexp_matches(w, 'ie[sd]$') THEN left(w, length(w) - CASE WHEN length(w) > 4 THEN 2 ELSE 1 END)
+WHEN regexp_matches(w, '[us]s$') THEN w WHEN regexp_matches(w, '[aeiouy].+s$') THEN left(w, length(w) - 1) ELSE w END AS w FROM rb)""",
+        f"z1 AS MATERIALIZED (SELECT word, r1, r2, w, w IN ({I.sql_list(B.KEPT_AFTER_PLURALS)}) AS done FROM z0)",
+        f"""y AS MATERIALIZED (SELECT *, CASE WHEN NOT done AND regexp_matches(w, 'eed(ly)?$') AND length(regexp_replace(w, 'eed(ly)?$', '')) >= r1 THEN regexp_replace(w, 'eed(ly)?$', 'ee')
+WHEN NOT done AND {past} THEN regexp_replace(w, '(edly|ingly|ed|ing)$', '') ELSE w END AS x, NOT done AND {past} AS cut FROM z1)""",
+        f"""z2 AS MATERIALIZED (SELECT word, r1, r2, done, CASE WHEN NOT cut THEN x WHEN regexp_matches(x, '(at|bl|iz)$') THEN x || 'e' WHEN regexp_matches(x, '{B.DOUBLE}') THEN left(x, length(x) - 1)
+WHEN length(x) <= r1 AND regexp_matches(x, '{B.SHORT}') THEN x || 'e' ELSE x END AS w FROM y)""",
+        step(3, r"regexp_replace(w, '^(.+[^aeiouy])[yY]$', '\1i')"),
+        step(4, longest(B.STEP_2, lambda x: "r1")),
+        step(5, longest(B.STEP_3, lambda x: "r2" if x == "ative" else "r1")),
+        step(6, longest(dict.fromkeys(B.STEP_4, ""), lambda x: "r2")),
+        step(7, f"CASE WHEN ({final}) OR (w LIKE '%ll' AND length(w) - 1 >= r2) THEN left(w, length(w) - 1) ELSE w END"),
+        f"stems AS (SELECT word, CASE {named} WHEN length(word) <= 2 THEN word ELSE replace(w, 'Y', 'y') END AS stem FROM z7)",
+    ])
+
+
+@query("t3_snowball_counts", f"WITH {RAW}, {NORMAL}, {snowball_sql()} SELECT stem, count(*)::BIGINT AS count FROM normal JOIN stems USING (word) GROUP BY 1")
+def t3c(spark, sf):
+    """Every distinct word is stemmed once."""
+    words = C.normalize_tokens(C.word_tokens("text"))
+    return T.stem_counts(T.word_count(docs(spark, sf), words), method="snowball")
+
+
+@query("t3_snowball_tokens", f"WITH {RAW}, {NORMAL}, {snowball_sql()} SELECT doc_id, md5(string_agg(stem, ' ' ORDER BY stem)) AS v FROM normal JOIN stems USING (word) GROUP BY 1")
+def t3d(spark, sf):
+    df = docs(spark, sf).select("doc_id", C.normalize_tokens(C.word_tokens("text")).alias("words"))
+    stems = T.stem_distinct(df, "words", "doc_id")
+    return stems.where(F.size("stems") > 0).select("doc_id", F.md5(F.concat_ws(" ", F.sort_array("stems"))).alias("v"))
+
+
 @query("t4_normalize_tokens", f"WITH {RAW}, {NORMAL} SELECT word, count(*)::BIGINT AS count FROM normal GROUP BY 1")
 def t4(spark, sf):
     return T.word_count(docs(spark, sf), C.normalize_tokens(C.word_tokens("text")))

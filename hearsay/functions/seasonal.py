@@ -101,15 +101,23 @@ def recursion_grams(x: np.ndarray, coefs: np.ndarray, burn: np.ndarray, period:
     not in the sums, which start after `burn` days.
     """
     phi, theta, big_phi, big_theta = np.asarray(coefs, float).T
-    past = np.zeros((len(x), len(phi), 5))
-    none = np.zeros((len(phi), 5))
-    back = np.column_stack((theta, big_theta, theta * big_theta))[:, :, None]
     known = ~np.isnan(x).any(axis=1)
-    own = np.zeros_like(past)
+    own = np.zeros((len(x), len(phi), 5))
     day = np.where(known[:, None], x, 0.0)[:, :, None]
     own[:, :, 0] = day[:, 0] - phi * day[:, 1] - big_phi * day[:, 2] + phi * big_phi * day[:, 3]
     own[:, :, 1] = big_phi * day[:, 3] - day[:, 1]
     own[:, :, 3] = phi * day[:, 3] - day[:, 2]
+    if known.all():
+        past = own
+        past[:, :, 0] = _inverted(own[:, :, 0], theta, big_theta, period)
+        past[1:, :, 2] -= past[:-1, :, 0]
+        past[period:, :, 4] -= past[:-period, :, 0]
+        past[period + 1:, :, 2] -= big_theta * past[:-period - 1, :, 0]
+        past[period + 1:, :, 4] -= theta * past[:-period - 1, :, 0]
+        past[:, :, 1:] = _inverted(own[:, :, 1:], theta[:, None], big_theta[:, None], period)
+        return np.stack([past[n:, i].T @ past[n:, i] for i, n in enumerate(burn)])
+    past, none = np.zeros_like(own), np.zeros((len(phi), 5))
+    back = np.column_stack((theta, big_theta, theta * big_theta))[:, :, None]
     for t in np.flatnonzero(known):
         a, b, c = (past[t - lag] if t >= lag else none for lag in (1, period, period + 1))
         made = own[t] - back[:, 0] * a - back[:, 1] * b - back[:, 2] * c
@@ -119,6 +127,18 @@ def recursion_grams(x: np.ndarray, coefs: np.ndarray, burn: np.ndarray, period:
     return np.stack([past[n:, i].T @ past[n:, i] for i, n in enumerate(burn)])
 
 
+def _inverted(x: np.ndarray, theta: np.ndarray, big_theta: np.ndarray, period: int) -> np.ndarray:
+    """The series y with y(t) + theta y(t-1) + Theta y(t-s) + theta Theta y(t-s-1) = x(t): season by season, then by doubling steps."""
+    out = np.array(x)
+    for t in range(period, len(out), period):
+        out[t: t + period] -= big_theta * out[t - period: t - period + len(out[t: t + period])]
+    step, power = 1, -theta
+    while step < len(out) and np.abs(power).max(initial=0) > 1e-30:
+        out[step:] = out[step:] + power * out[:-step]
+        step, power = 2 * step, power * power
+    return out
+
+
 def fit_whole(x: np.ndarray, tasks: Sequence[tuple[Sequence[int], Sequence[float]]], period: int, rounds: int = 200) -> list[dict | None]:
     """The fit of each (order, starting coefficients) by the whole recursion over `x`; None without enough days or without a rest."""
     burn = np.array([burn_in(order, period) for order, _ in tasks])

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from hearsay.functions.stats import (
     ADF_CRITICAL, adf_critical, adf_p_value, chi2_tail, default_adf_lags, durbin_levinson, solve_gram,
 )
-from hearsay.operators.series import acf, over_days
+from hearsay.operators.series import _key_schema, _per_row, acf, over_days
 from hearsay.session import ship_package
 
 
@@ -67,23 +67,6 @@ def _matrix(flat) -> np.ndarray:
     return np.asarray(flat, dtype=float).reshape(side, side)
 
 
-def _per_row(df: DataFrame, fn, schema: str) -> DataFrame:
-    """Apply `fn(row) -> list of tuples` to every aggregated row, in batches."""
-    ship_package(df.sparkSession)
-    names = [part.split()[0].strip("`") for part in schema.split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = [t for row in batch.itertuples(index=False) for t in fn(row)]
-            yield pd.DataFrame(out, columns=names)
-
-    return df.mapInPandas(run, schema)
-
-
-def _key_schema(df: DataFrame, keys: Sequence[str]) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
-
-
 def lag_ols(df: DataFrame, keys: Sequence[str], day: str, y: str, xs: Sequence[str], lags: int) -> DataFrame:
     """Regress y on a constant and lags 1..n of the xs: one row per coefficient, with SSR and n."""
     lagged = with_lags(df, keys, day, xs, lags)
@@ -110,8 +93,8 @@ def lag_ols_one(df: DataFrame, keys: Sequence[str], day: str, y: str, x: str, la
     )
 
 
-def pacf(df: DataFrame, keys: Sequence[str], day: str, value: str, nlags: int = 40) -> DataFrame:
-    """Partial autocorrelations by Durbin-Levinson on the aggregated autocorrelations."""
+def pacf(df: DataFrame, keys: Sequence[str], day: str, value: str, nlags: int | None = None) -> DataFrame:
+    """Partial autocorrelations by Durbin-Levinson on the autocorrelations, at all lags unless `nlags` says fewer."""
     rho = acf(df, keys, day, value, nlags).groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct("lag", "acf"))).alias("_s"), F.first("bound95").alias("bound95")
     ).select(*keys, F.col("_s.acf").alias("rho"), "bound95")

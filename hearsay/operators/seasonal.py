@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from hearsay.functions import seasonal as S
 from hearsay.operators.regress import _key_schema, _matrix, _per_row, gram
 from hearsay.operators.series import over_days
+from hearsay.session import cut_lineage
 
 ORDERS = list(product((0, 1), repeat=6))
 FORM = ["_d", "_sd"]
@@ -149,8 +150,14 @@ def sarima_grid(df: DataFrame, keys: Sequence[str], day: str, value: str, period
                 best[order] = fitted
         return [(*row[: len(keys)], *_scored(order, period, fitted)) for order, fitted in best.items()]
 
-    # A task per series and pair of differences.
-    return _per_row(days.repartition(*names), solve, f"{_key_schema(df, keys)}, {SCORED}")
+    return _per_row(spread_groups(days), solve, f"{_key_schema(df, keys)}, {SCORED}")
+
+
+def spread_groups(groups: DataFrame, most: int = 10_000) -> DataFrame:
+    """A task per row, a series and a pair of differences, up to `most` tasks; a plain shuffle would be merged by its bytes."""
+    held = cut_lineage(groups)
+    numbered = held.withColumn("_place", F.monotonically_increasing_id())
+    return numbered.repartitionByRange(max(1, min(held.count(), most)), "_place").drop("_place")
 
 
 def best_order(grid: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -7,10 +7,14 @@ different series run in different tasks.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from hearsay.session import ship_package
+
 Z95 = 1.959963984540054
 Z99 = 2.5758293035489004
 
@@ -19,6 +23,23 @@ def over_days(keys: Sequence[str], day: str):
     return Window.partitionBy(*keys).orderBy(day)
 
 
+def _per_row(df: DataFrame, fn, schema: str) -> DataFrame:
+    """Apply `fn(row) -> list of tuples` to every aggregated row, in batches."""
+    ship_package(df.sparkSession)
+    names = [part.split()[0].strip("`") for part in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = [t for row in batch.itertuples(index=False) for t in fn(row)]
+            yield pd.DataFrame(out, columns=names)
+
+    return df.mapInPandas(run, schema)
+
+
+def _key_schema(df: DataFrame, keys: Sequence[str]) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema)
+
+
 def regularize(df: DataFrame, keys: Sequence[str], day: str, value: str, fill: float | None = None) -> DataFrame:
     """Every day from a series' first to its last, absent days null or `fill`."""
     span = df.groupBy(*keys).agg(F.min(day).alias("_lo"), F.max(day).alias("_hi"))
@@ -90,25 +111,24 @@ def tail_split(df: DataFrame, keys: Sequence[str], day: str, n: int) -> tuple[Da
     return ranked.where(F.col("_r") > n).drop("_r"), ranked.where(F.col("_r") <= n).drop("_r")
 
 
-def acf(df: DataFrame, keys: Sequence[str], day: str, value: str, nlags: int = 40) -> DataFrame:
-    """Autocorrelation per lag with white-noise and Bartlett bands.
+def acf(df: DataFrame, keys: Sequence[str], day: str, value: str, nlags: int | None = None) -> DataFrame:
+    """Autocorrelation per lag, all of them unless `nlags` says fewer, with white-noise and Bartlett bands.
 
-    Lagged values come from one window, the products from one aggregation; no
-    pairs of rows are built.
+    One row per series holds its days; all sums of lagged products come from one
+    Fourier transform of them, its squared size and the way back. Null values
+    are left out before, so lags count the days that have one.
     """
-    w = over_days(keys, day)
-    d = F.col("_d")
-    centred = df.where(F.col(value).isNotNull()).withColumn(
-        "_d", F.col(value) - F.avg(value).over(Window.partitionBy(*keys))
-    )
-    lagged = centred.select(*keys, "_d", *[F.lag("_d", k).over(w).alias(f"_l{k}") for k in range(1, nlags + 1)])
-    sums = lagged.groupBy(*keys).agg(
-        F.count("_d").alias("_n"),
-        F.sum(d * d).alias("_c0"),
-        F.array(*[F.coalesce(F.sum(d * F.col(f"_l{k}")), F.lit(0.0)) for k in range(1, nlags + 1)]).alias("_c"),
-    )
-    flat = sums.select(*keys, "_n", "_c0", F.posexplode(F.concat(F.array("_c0"), "_c")).alias("lag", "_ck"))
-    out = flat.where(F.col("lag") < F.col("_n")).withColumn("acf", F.try_divide("_ck", "_c0"))
+    keys = list(keys)
+    held = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct(F.col(day).alias("_day"), F.col(value).cast("double").alias("_v")))).alias("_s"))
+    rows = held.select(*keys, F.col("_s._v").alias("days"))
+
+    def lagged(row):
+        sums = lagged_products(np.asarray(row.days, float))
+        few = sums[: len(sums) if nlags is None else nlags + 1]
+        return [(*row[: len(keys)], len(sums), k, float(c / sums[0]) if sums[0] else None) for k, c in enumerate(few)]
+
+    out = _per_row(rows, lagged, f"{_key_schema(df, keys)}, _n bigint, lag int, acf double")
     before = over_days(keys, "lag").rowsBetween(Window.unboundedPreceding, -1)
     squares = F.coalesce(F.sum(F.when(F.col("lag") > 0, F.col("acf") * F.col("acf"))).over(before), F.lit(0.0))
     root = F.sqrt(F.col("_n").cast("double"))
@@ -120,6 +140,17 @@ def acf(df: DataFrame, keys: Sequence[str], day: str, value: str, nlags: int = 4
     )
 
 
+def lagged_products(values: np.ndarray) -> np.ndarray:
+    """For each lag the sum of products of the centred values that many places apart."""
+    n = len(values)
+    centred = values - values.mean()
+    if not np.abs(centred).max() > 1e-12 * np.abs(values).max(initial=0):
+        return np.zeros(n)  # a constant series has none
+    size = 1 << (2 * n - 1).bit_length()
+    power = np.abs(np.fft.rfft(centred, size)) ** 2
+    return np.fft.irfft(power, size)[:n]
+
+
 def decompose(df: DataFrame, keys: Sequence[str], day: str, value: str, period: int = 7) -> DataFrame:
     """Additive trend, seasonal and residual parts.
 

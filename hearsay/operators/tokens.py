@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hearsay.functions import columns as C
+from hearsay.functions.snowball import snowball_word
 from hearsay.operators.bloom import bloom_filter
 from hearsay.operators.reshape import top_k
 from hearsay.operators.skew import join_hot_split
@@ -25,13 +26,23 @@ def remove_stopwords(df: DataFrame, col: str, out: str = "words", extra: Sequenc
     return df.withColumn(out, C.without_stopwords(col, [*base, *extra]))
 
 
-def stem(df: DataFrame, col: str, out: str = "stems") -> DataFrame:
-    return df.withColumn(out, C.stem_tokens(col))
+STEMMERS = {"light": C.stem_word, "snowball": snowball_word}
 
 
-def stem_counts(counts: DataFrame, word: str = "word", count: str = "count") -> DataFrame:
+def stem(df: DataFrame, col: str, out: str = "stems", method: str = "light") -> DataFrame:
+    """Stems in place of words, in order, word by word inside the row: `light` suffix rules or `snowball` English."""
+    return df.withColumn(out, F.transform(col, lambda w: STEMMERS[method](w)))
+
+
+def stem_counts(counts: DataFrame, word: str = "word", count: str = "count", method: str = "light") -> DataFrame:
     """Counts per stem from counts per word: each distinct word is stemmed once."""
-    return counts.groupBy(C.stem_word(F.col(word)).alias("stem")).agg(F.sum(count).alias(count))
+    return counts.groupBy(STEMMERS[method](F.col(word)).alias("stem")).agg(F.sum(count).alias(count))
+
+
+def stem_distinct(df: DataFrame, col: str, row_id: str, out: str = "stems", method: str = "snowball") -> DataFrame:
+    """As `stem`, for long token columns: each distinct word is stemmed once, and the words that change are put in by `lemmatize`."""
+    words = word_count(df, col).select(F.col("word").alias("form"), STEMMERS[method](F.col("word")).alias("lemma"))
+    return lemmatize(df, col, write_table(words, "stems"), row_id, out)
 
 
 def lemmatize(df: DataFrame, col: str, lemmas: Mapping[str, str] | DataFrame, row_id: str, out: str = "lemmas") -> DataFrame:
