@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import sys
 import zlib
 from collections.abc import Iterator
 
@@ -48,24 +50,37 @@ class WordEncoder:
         self.words: dict[bytes, bytes] = {}
         self.stems: dict[bytes, bytes] = {b"": b""}
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.turned = self._turned()
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _normal(self, word: bytes) -> bytes | str:
-        if word.isascii() or self.tokenizer.normalizer is None:
-            return word
-        return self.tokenizer.normalizer.normalize_str(word.decode(errors="replace"))
+    def _turned(self) -> re.Pattern:
+        """Letters whose normal form ends in something else, a combining mark."""
+        if self.tokenizer.normalizer is None:
+            return re.compile("(?!)")
+        letters = [chr(c) for c in range(0x80, sys.maxunicode + 1) if chr(c).isalpha()]
+        normal = self.tokenizer.normalizer.normalize_str(" ".join(letters)).split(" ")
+        found = [c for c, n in zip(letters, normal) if not n.isalpha()]
+        return re.compile(f"[{''.join(found)}]" if found else "(?!)")
 
     def _split(self, word: bytes) -> tuple[bytes, bytes]:
         stem = word.rstrip(self.MARKS)
-        if len(stem) < len(word) and stem and self._normal(stem)[-1:].isalpha():
-            return stem.lower(), word[len(stem):]
+        if len(stem) < len(word) and stem:
+            last = stem[-1:] if stem[-1] < 128 else stem.decode(errors="replace")[-1]
+            if last.isalpha() and (isinstance(last, bytes) or not self.turned.match(last)):
+                return stem.lower(), word[len(stem):]
         return word.lower() if word.isalpha() else word, b""
 
+    def _plain(self, stem: bytes) -> bool:
+        if stem.isascii():
+            return stem.isalpha()
+        text = stem.decode()
+        return text.isalpha() and not self.turned.search(text)
+
     def _learn(self, stems: list[bytes]) -> None:
-        letters = [s for s in stems if self._normal(s).isalpha()]
+        letters = [s for s in stems if self._plain(s)]
         for at in range(0, len(letters), 512):
             some = letters[at: at + 512]
             ids = self._ids(" ".join(s.decode() for s in some))

@@ -12,13 +12,16 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from hearsay.llm.common import join_weighted, materialise, slices
 from hearsay.llm.simhash import roots, segments_of
+from hearsay.operators.bloom import bloom_filter
 from hearsay.session import ship_package
 
 SHINGLE, SIMILARITY, BITS = 5, 0.8, 128
+#: Nodes that share a segment from which on the best connected of them is compared with all near it first.
+CROWD = 16
 #: Segments of each 64-bit word; two fingerprints meet where a segment differs in at most two bits.
 SEGMENTS = 3
 #: Complete distance up to which a pair is checked; at a similarity of 0.8 about 19 bits differ, of unrelated texts 64.
-DISTANCE = 36
+DISTANCE = 28
 _CHUNK = 1 << 14
 
 
@@ -86,11 +89,11 @@ def _segments(word: str, first: int) -> list[tuple[int, Column, int]]:
 
 
 def _entries(nodes: DataFrame, flips: bool) -> DataFrame:
-    """A row per segment, and per neighbour of its value at one bit: k, v, the flipped bit (-1: none) and the node's columns."""
+    """A row per segment, and per neighbour of its value at one bit: `at`, the segment and the value, the flipped bit (-1: none) and the node's columns."""
     cells = []
     for k, value, width in [*_segments("f0", 0), *_segments("f1", SEGMENTS)]:
         masks = [(-1, 0), *[(b, 1 << b) for b in range(width if flips else 0)]]
-        cells += [F.struct(F.lit(k).alias("k"), value.bitwiseXOR(F.lit(mask)).alias("v"), F.lit(bit).cast("byte").alias("bit")) for bit, mask in masks]
+        cells += [F.struct(value.bitwiseXOR(F.lit(mask | k << 32)).alias("at"), F.lit(bit).cast("byte").alias("bit")) for bit, mask in masks]
     return nodes.select("*", F.explode(F.array(*cells)).alias("_e")).select(*nodes.columns, "_e.*")
 
 
@@ -109,56 +112,77 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.where(F.col("same") >= similarity * (F.size("x") + F.size("y") - F.col("same"))).select("a", "b")
 
 
+def _differ(a: str, b: str) -> Column:
+    """One meeting of two entries counts: equal flips of equal values have met without."""
+    return (F.col(f"{a}.bit") != F.col(f"{b}.bit")) | (F.col(f"{a}.bit") < 0)
+
+
 def similar_groups(docs: DataFrame, id_col: str, text_col: str, size: int = SHINGLE, similarity: float = SIMILARITY, hub: int = 1000) -> DataFrame:
     """doc_id, text_hash, group: documents linked by shingle sets of at least `similarity` (Jaccard) share a group.
 
-    Texts with the same set of shingles are one node. Nodes that share a whole
-    segment are first linked to the least of them, the links checked in full, and
-    merged. Then all nodes enter a table per segment under their value and its
-    neighbours at one bit, so two whose segments differ in at most two bits meet;
-    pairs not yet in one group are verified over all 128 bits, by the sizes of
-    their sets and by the sets. Groups above `hub` nodes, the largest at a table
-    entry, aren't compared with themselves there.
+    Texts with the same set of shingles are one node. Of the nodes that share a
+    whole segment, the best connected one, likely what the others are copies of,
+    is linked to each; that of a crowd also to all nodes near it. These links are
+    checked in full, and nodes linked to one centre are a part. Then all nodes
+    enter a table per segment under their value and its neighbours at one bit, so
+    two whose segments differ in at most two bits meet; pairs of different parts
+    are verified over all 128 bits, by the sizes of their sets and by the sets.
+    A part above `hub` nodes, the largest at a table entry, isn't compared with
+    itself there.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("_text"))
+    key = F.xxhash64(F.col(id_col), F.col(text_col))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), key.alias("key"), F.col(text_col).alias("_text"))
     prints = materialise(add_prints(rows, "_text", size), "wide-prints")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
-    nodes = prints.groupBy("sig", "f0", "f1", "n").agg(first, F.count(F.lit(1)).alias("copies"))
+    nodes = prints.groupBy("sig", "f0", "f1", "n").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("copies"))
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    slim = nodes.where("n > 0").select("node", "f0", "f1", "n")
+    slim = nodes.where("n > 0").select("node", "f0", "f1", F.col("n").cast("int").alias("n"))
 
-    def sets_of(pairs: DataFrame, label: str) -> DataFrame:
+    def verified(pairs: DataFrame, label: str) -> DataFrame:
+        """The pairs (a, b) whose sets have the similarity; only texts in a pair are read again, and moved."""
         asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        named = nodes.join(asked, "node").select("node", F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_hash"))
-        texts = docs.select(F.col(id_col).alias("_own"), F.col(text_col).alias("_text"))
-        found = texts.join(named, F.col("_own").eqNullSafe(F.col("_id")) & (F.xxhash64("_text") == F.col("_hash"))).select("node", "_text")
-        return materialise(add_shingles(found.dropDuplicates(["node"]), "_text", size), label)
-
-    whole = _entries(slim, flips=False)
-    least = whole.groupBy("k", "v").agg(F.min(F.struct("node", "f0", "f1", "n")).alias("m"), F.count(F.lit(1)).alias("w")).where("w > 1")
-    least = materialise(least.select("k", "v", "m.*", "w").withColumnsRenamed({"node": "_node", "f0": "_f0", "f1": "_f1", "n": "_n"}), "segments")
-    stars = join_weighted(materialise(whole, "whole-segments"), least, ["k", "v"], "w").where("node <> _node")
-    own, other = F.struct("f0", "f1", "n").alias("p"), F.struct(F.col("_f0").alias("f0"), F.col("_f1").alias("f1"), F.col("_n").alias("n")).alias("q")
-    stars = stars.select(F.col("_node").alias("a"), F.col("node").alias("b"), own, other).where(_near("p", "q", similarity))
-    stars = materialise(stars.select("a", "b").distinct(), "star-pairs")
-    linked = materialise(_verified(stars, sets_of(stars, "star-sets"), similarity), "star-links")
-    merged = roots(linked).withColumnsRenamed({"f": "node", "root": "part"})
-    parted = materialise(slim.join(merged, "node", "left").withColumn("part", F.coalesce("part", "node")), "parts")
+        named = materialise(nodes.join(asked, "node").select("node", "key"), f"{label}-nodes")
+        texts = docs.select(key.alias("key"), F.col(text_col).alias("_text")).where(bloom_filter(named, "key").might_hold("key"))
+        sets = add_shingles(texts.join(named, "key").select("node", "_text").dropDuplicates(["node"]), "_text", size)
+        return materialise(_verified(pairs, materialise(sets, f"{label}-sets"), similarity), f"{label}-links")
+
+    whole = materialise(_entries(slim, flips=False).drop("bit"), "whole-segments")
+    shared = materialise(whole.groupBy("at").agg(F.count(F.lit(1)).alias("w")).where("w > 1"), "shared-segments")
+    crowded = materialise(join_weighted(whole, shared.withColumn("size", F.col("w")), ["at"], "w"), "crowded")
+    degree = crowded.groupBy("node").agg(F.sum("size").alias("degree"), F.count(F.lit(1)).alias("k"))
+    ranked = materialise(join_weighted(crowded, degree, ["node"], "k"), "degrees")
+    best = F.max_by(F.struct("node", "f0", "f1", "n"), F.struct("degree", -F.col("node"))).alias("c")
+    centres = materialise(ranked.groupBy("at").agg(best, F.count(F.lit(1)).alias("w")), "centres")
+    stars = join_weighted(crowded.select("at", "node", "f0", "f1", "n"), centres, ["at"], "w").select(F.struct("node", "f0", "f1", "n").alias("x"), F.col("c").alias("y"))
+    heads = centres.where(F.col("w") >= CROWD).select("c.*").distinct()
+    y, x = _entries(heads, flips=True).alias("y"), _entries(slim, flips=True).alias("x")
+    around = x.join(y, (F.col("x.at") == F.col("y.at")) & _differ("x", "y") & _near("x", "y", similarity))
+    around = around.select(*[F.struct(*[F.col(f"{s}.{c}").alias(c) for c in ("node", "f0", "f1", "n")]).alias(s) for s in ("x", "y")])
+    near = stars.where(_near("x", "y", similarity)).unionByName(around).where("x.node <> y.node")
+    near = materialise(near.select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct(), "star-pairs")
+    linked = verified(near, "star")
+    # Each node goes with the best connected centre it is linked to, and that with its own; what isn't one part by then is compared below.
+    owned = linked.unionByName(linked.select(F.col("b").alias("a"), "b")).distinct()
+    owned = owned.join(degree.select(F.col("node").alias("a"), "degree"), "a", "left").fillna(0, ["degree"])
+    part = owned.groupBy(F.col("b").alias("node")).agg(F.max_by("a", F.struct("degree", -F.col("a"))).alias("part"))
+    part = materialise(part, "parts-1")
+    for k in (2, 3):
+        above = part.select(F.col("node").alias("_up"), F.col("part").alias("_top"))
+        part = materialise(part.join(above, F.col("part") == F.col("_up"), "left").select("node", F.coalesce("_top", "part").alias("part")), f"parts-{k}")
+    parted = materialise(slim.join(part, "node", "left").withColumn("part", F.coalesce("part", "node")), "parted")
 
     entries = _entries(parted, flips=True)
     big = parted.groupBy("part").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > hub).select("part")
     left = entries
     if not big.isEmpty():
-        at = _entries(parted.join(F.broadcast(big), "part", "left_semi"), flips=True).groupBy("k", "v", "part").agg(F.count(F.lit(1)).alias("c"))
-        hubs = materialise(at.groupBy("k", "v").agg(F.max_by("part", F.struct("c", "part")).alias("hub")), "hubs")
-        left = entries.join(hubs, ["k", "v"], "left").where("hub IS NULL OR hub <> part").drop("hub")
+        at = _entries(parted.join(F.broadcast(big), "part", "left_semi"), flips=True).groupBy("at", "part").agg(F.count(F.lit(1)).alias("c"))
+        hubs = materialise(at.groupBy("at").agg(F.max_by("part", F.struct("c", "part")).alias("hub")), "hubs")
+        left = entries.join(hubs, "at", "left").where("hub IS NULL OR hub <> part").drop("hub")
     x, y = left.alias("x"), entries.alias("y")
-    turn = (F.col("x.bit") != F.col("y.bit")) | (F.col("x.bit") < 0)  # equal flips of equal values have met without
-    met = x.join(y.hint("merge"), (F.col("x.k") == F.col("y.k")) & (F.col("x.v") == F.col("y.v")) & (F.col("x.part") != F.col("y.part")) & turn & _near("x", "y", similarity))
+    met = x.join(y.hint("merge"), (F.col("x.at") == F.col("y.at")) & (F.col("x.part") != F.col("y.part")) & _differ("x", "y") & _near("x", "y", similarity))
     pairs = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-    pairs = materialise(pairs.distinct(), "met-pairs")
-    links = linked.unionByName(_verified(pairs, sets_of(pairs, "met-sets"), similarity))
-    group = roots(links).withColumnsRenamed({"f": "node", "root": "group"})
+    links = linked.unionByName(verified(materialise(pairs.distinct(), "met-pairs"), "met"))
+    ends = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    group = roots(ends).withColumnsRenamed({"f": "node", "root": "group"})
     named = nodes.join(group, "node", "left").withColumn("group", F.when(F.col("n") == 0, F.lit(-1)).otherwise(F.coalesce("group", "node")))
     classes = materialise(named.select("sig", "f0", "f1", "n", "group", "copies"), "groups")
     return join_weighted(prints, classes, ["sig", "f0", "f1", "n"], "copies").select("doc_id", "text_hash", "group")
