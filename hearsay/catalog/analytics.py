@@ -12,7 +12,7 @@ from hearsay.functions import columns as C
 from hearsay.operators import mentions as M, rows, sentiment as N, tokens as T
 from hearsay.operators.windows import share_within
 from hearsay.plans import activity as PA, brands as PB, overview as PO
-from hearsay.vocab import STOPWORDS, TOP_WORD_NOISE
+from hearsay.vocab import PLACES as ALL_PLACES, PRODUCT_SPELLINGS, STOPWORDS, TOP_WORD_NOISE
 
 
 @query("b1_slice_log", f"""WITH {I.LOG_SQL}, {COHORT_SQL}
@@ -140,9 +140,19 @@ def b11b(spark, sf):
 @query("b11_product_sentiment_top_labels", f"""WITH {SCORED}, {CLEAN_DOCS}, {HITS}, {SHARES}
 SELECT * FROM shares QUALIFY row_number() OVER (PARTITION BY sentiment ORDER BY ratio DESC, product) <= 10""")
 def b11d(spark, sf):
-    scored = scored_texts(spark, sf)
-    tops = [PB.product_sentiment(scored, "body", I.PRODUCTS, 10, label) for label in ("positive", "neutral", "negative")]
-    return rounded(tops[0].unionByName(tops[1]).unionByName(tops[2]))
+    return rounded(PB.product_sentiment_by_label(scored_texts(spark, sf), "body", I.PRODUCTS, 10))
+
+
+def spelled(name: str) -> list[str]:
+    return sorted({" ".join(s.replace(".", " ").replace("-", " ").split()) for s in PRODUCT_SPELLINGS[name]})
+
+
+@query("b11_product_mentions_all_spellings", f"WITH c AS (SELECT {I.clean_sql('text')} AS t FROM documents) " + " UNION ALL ".join(
+    f"SELECT '{p}' AS product, count(*)::BIGINT AS count FROM c WHERE {' OR '.join(f'contains(t, {chr(39)} {x} {chr(39)})' for x in spelled(p))} HAVING count(*) > 0" for p in PRODUCT_SPELLINGS))
+def b11e(spark, sf):
+    """Texts that name each product, under all spellings of the full list."""
+    hits = M.explode_mentions(I.texts(spark, sf).select("body"), "body", PRODUCT_SPELLINGS, "product")
+    return hits.groupBy("product").agg(F.count(F.lit(1)).alias("count"))
 
 
 @query("b11_explode_term_table", f"""WITH g AS (SELECT l.doc_id, {I.clean_sql('d.text')} AS t FROM documents d JOIN documents l USING (doc_id)),
@@ -209,6 +219,19 @@ def b15b(spark, sf):
     return PB.place_mentions(I.texts(spark, sf), "body", PLACES, match="word")
 
 
+BRANCHES_SQL = f"branches AS (SELECT ([{I.sql_list(ALL_PLACES)}])[1 + c_custkey % {len(ALL_PLACES)}] AS city, lower(c_mktsegment) AS rest FROM customer)"
+
+
+@query("b15_place_mentions_all_places", f"""WITH {BRANCHES_SQL}, p AS (SELECT unnest([{I.sql_list(ALL_PLACES)}]) AS place),
+h AS (SELECT place AS city FROM branches, p WHERE starts_with(replace(city, '.', '') || ' ' || rest, replace(place, '.', '')))
+SELECT city, count(*)::BIGINT AS count, round(count(*) * 100.0 / sum(count(*)) OVER (), 2) AS percent FROM h GROUP BY 1""")
+def b15c(spark, sf):
+    """The full list of places, in texts made of a place and a customer's market segment."""
+    place = F.get(C.string_array(ALL_PLACES), (F.col("c_custkey") % len(ALL_PLACES)).cast("int"))
+    texts = I.table(spark, sf, "customer").select(F.concat_ws(" ", F.initcap(place), "c_mktsegment").alias("body"))
+    return PB.place_mentions(texts, "body", ALL_PLACES)
+
+
 STACKED = "stacked AS (" + " UNION ALL ".join(f"SELECT '{b}' AS brand, j.* FROM j WHERE {I.word_match_sql('body', b)}" for b in I.BRANDS) + ")"
 
 

@@ -8,6 +8,7 @@ from hearsay.catalog import inputs as I
 from hearsay.catalog.registry import query
 from hearsay.functions import columns as C
 from hearsay.operators import aggregates as A, joins as J, reshape as R, rows, tokens as T, windows as W
+from hearsay.sources.bucketed import cohort_slice, write_bucketed
 from hearsay.vocab import BOT_AUTHOR
 
 QUALITY_SQL = """q AS (SELECT d.doc_id, CASE WHEN l.quality IS NULL THEN NULL ELSE d.source END AS author,
@@ -194,6 +195,14 @@ def j9(spark, sf):
     return J.cohort_activity(c, cohort).select("id", "author", "community")
 
 
+@query("j9_cohort_of_bucketed_log", f"WITH {I.LOG_SQL}, {COHORT_SQL} SELECT id, author, community FROM comments WHERE author IN (SELECT author FROM cohort)")
+def j9b(spark, sf):
+    """The log written in buckets by author, then sliced without an exchange of it."""
+    c, p = I.comments(spark, sf), I.posts(spark, sf)
+    log = write_bucketed(c.select("id", "author", "community"), "author", 16)
+    return cohort_slice(spark, log, J.cohort_of(c, p, "c7", exclude=[BOT_AUTHOR]))
+
+
 @query("j10_pivot_counts", "SELECT event_type, " + ", ".join(
     f"(count(*) FILTER (l.lang = '{x}'))::BIGINT AS {x}" for x in ("de", "en", "es", "fr")) +
     " FROM events e JOIN documents l ON e.event_id = l.doc_id GROUP BY 1")

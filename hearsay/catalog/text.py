@@ -8,7 +8,7 @@ from hearsay.catalog import inputs as I
 from hearsay.catalog.aggregates import rounded
 from hearsay.catalog.registry import query
 from hearsay.functions import columns as C, snowball as B
-from hearsay.operators import sentiment as N, tokens as T, topics as P
+from hearsay.operators import logistic as LR, sentiment as N, tokens as T, topics as P
 from hearsay.vocab import STOPWORDS, TOPIC_NOISE
 
 
@@ -277,6 +277,42 @@ def n2(spark, sf):
         "doc_id", "sentiment", F.round(N.label_score("sentiment_scores", "negative"), 6).alias("p_negative"))
 
 
+def word_model_sql(rounds: int, penalty: float = 1e-4) -> str:
+    """From `words`, `x` (text, word and feature), and `w`: the weights after some rounds of the bounded updates."""
+    parts = ["""lab AS (SELECT doc_id, toxic::DOUBLE AS y FROM labels JOIN documents USING (doc_id)), total AS (SELECT count(*) AS total FROM lab),
+tf AS MATERIALIZED (SELECT doc_id, word, count(*)::DOUBLE AS tf FROM words GROUP BY ALL),
+known AS MATERIALIZED (SELECT word, count(*) AS n, ln((any_value(total) + 1) / (count(*) + 1)) AS idf FROM tf JOIN lab USING (doc_id), total GROUP BY word),
+x AS MATERIALIZED (SELECT doc_id, word, x FROM (SELECT doc_id, word, tf * idf / nullif(sum(tf * idf) OVER (PARTITION BY doc_id), 0) AS x FROM tf JOIN known USING (word)) WHERE x > 0
+ UNION ALL SELECT doc_id, '', 1.0 FROM documents), w0 AS (SELECT word, 0.0::DOUBLE AS weight FROM known UNION ALL SELECT '', 0.0)"""]
+    for r in range(rounds):
+        own = f"(CASE WHEN word = '' THEN 0 ELSE {penalty} END)"
+        parts.append(f"""m{r} AS MATERIALIZED (SELECT doc_id, any_value(y) AS y, sum(x * weight) AS m FROM x JOIN w{r} USING (word) JOIN lab USING (doc_id) GROUP BY doc_id),
+s{r} AS (SELECT word, sum((1 / (1 + exp(-m)) - y) * x) / any_value(total) AS g, sum(2 * x * CASE WHEN abs(m) < 1e-6 THEN 0.25 ELSE (1 / (1 + exp(-m)) - 0.5) / m END) / any_value(total) AS h
+ FROM x JOIN m{r} USING (doc_id), total GROUP BY word),
+w{r + 1} AS MATERIALIZED (SELECT word, weight - (g + {own} * weight) / (h + {own}) AS weight FROM w{r} JOIN s{r} USING (word))""")
+    return ",\n".join([*parts, f"w AS (SELECT * FROM w{rounds})"])
+
+
+def toxic_texts(spark, sf):
+    return tokenised(spark, sf), tokenised(spark, sf).join(I.table(spark, sf, "labels").select("doc_id", F.col("toxic").alias("y")), "doc_id")
+
+
+@query("n2_word_sentiment")
+def n2b(spark, sf):
+    """Sentiment learned over exact words, 20 rounds."""
+    df, labelled = toxic_texts(spark, sf)
+    out = LR.score_words(LR.fit_words(labelled, "doc_id", "words", "y"), df, "doc_id", "words", ["clean", "toxic"])
+    return out.select("doc_id", "sentiment", F.round("probability", 6).alias("p_toxic"))
+
+
+@query("n2_word_sentiment_three_rounds", f"""WITH {WORDS}, {word_model_sql(3)}, p AS (SELECT doc_id, 1 / (1 + exp(-sum(x * weight))) AS p FROM x JOIN w USING (word) GROUP BY doc_id)
+SELECT doc_id, CASE WHEN p >= 0.5 THEN 'toxic' ELSE 'clean' END AS sentiment, round(p, 8) AS p_toxic FROM p""")
+def n2c(spark, sf):
+    df, labelled = toxic_texts(spark, sf)
+    out = LR.score_words(LR.fit_words(labelled, "doc_id", "words", "y", rounds=3), df, "doc_id", "words", ["clean", "toxic"])
+    return out.select("doc_id", "sentiment", F.round("probability", 8).alias("p_toxic"))
+
+
 @query("n3_sentiment_scores", f"""WITH {SCORED} SELECT doc_id, round(pw / (pw + nw + 1), 6) AS positive, round(nw / (pw + nw + 1), 6) AS negative,
 round(1 / (pw + nw + 1), 6) AS neutral FROM scored""")
 def n3(spark, sf):

@@ -109,12 +109,24 @@ def community_or_mention_rules(brands: Mapping[str, str], community: str, text:
 def place_hits(text: str | Column, places: Sequence[str], match: str = "prefix") -> Column:
     """Places found: `prefix` asks the text to begin with the place, `word` finds it anywhere.
 
-    Places are cleaned like the text, so a name with a dot in it can match.
+    Places are cleaned like the text, so a name with a dot in it can match. The
+    beginning of a text is looked up once per length that places have, so the
+    cost doesn't follow the list.
     """
     if match == "word":
         return term_hits(text, places, "word")
     cleaned = F.lower(C.strip_punct(text, "delete"))
-    table = {p: p.translate({ord(ch): None for ch in C.PUNCTUATION}) for p in places}
-    names = F.array(*[F.struct(F.lit(p).alias("name"), F.lit(s).alias("form")) for p, s in table.items()])
-    found = C.let(cleaned, lambda t: F.filter(names, lambda p: F.startswith(t, p["form"])))
-    return F.transform(found, lambda p: p["name"])
+    by_length: dict[int, dict[str, list[str]]] = {}
+    for place in places:
+        form = place.translate({ord(ch): None for ch in C.PUNCTUATION})
+        by_length.setdefault(len(form), {}).setdefault(form, []).append(place)
+
+    def found(t: Column) -> Column:
+        hits = []
+        for size, forms in sorted(by_length.items()):
+            start = F.substring(t, 1, size)
+            names = F.create_map(*[x for form, same in sorted(forms.items()) for x in (F.lit(form), C.string_array(same))])
+            hits.append(F.when(start.isin(sorted(forms)), F.element_at(names, start)))
+        return F.flatten(F.array_compact(F.array(*hits)))
+
+    return C.let(cleaned, found) if by_length else F.array().cast("array<string>")

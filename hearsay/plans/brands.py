@@ -13,7 +13,7 @@ from hearsay.operators.reshape import melt, top_k, top_k_with_other
 from hearsay.operators.rows import drop_sentinels
 from hearsay.operators.sentiment import score_sentiment, sentiment_code
 from hearsay.operators.tokens import remove_stopwords, word_count
-from hearsay.operators.windows import percent_of_total, share_within
+from hearsay.operators.windows import percent_of_total, share_within, top_k_per_group
 from hearsay.vocab import DELETED, TOP_WORD_NOISE
 
 
@@ -71,6 +71,12 @@ def product_sentiment(df: DataFrame, text: str, terms, k: int = 10, label: str =
     return top_k(counts, "ratio", k, ["product"])
 
 
+def product_sentiment_by_label(df: DataFrame, text: str, terms, k: int = 10, match: str = "word") -> DataFrame:
+    """For every sentiment the k products with the largest share of it, from one count."""
+    counts = product_sentiment_counts(df, text, terms, match)
+    return top_k_per_group(counts, ["sentiment"], "ratio", k, "row", ["product"]).drop("rank")
+
+
 def with_brand(df: DataFrame, rules: Sequence[tuple[str, Column]], default: str = "general") -> DataFrame:
     return df.withColumn("brand", M.attribute_brand(rules, default))
 

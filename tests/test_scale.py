@@ -11,6 +11,7 @@ from hearsay.operators import joins as J, mentions as M, rows as R, sentiment as
 from hearsay.operators.bloom import bloom_filter
 from hearsay.operators.skew import broadcast_if_small, join_hot_split
 from hearsay.operators.windows import top_k_per_group, with_row_id
+from hearsay.sources.bucketed import cohort_slice, write_bucketed
 
 SF = "/root/testdata/sf0.001"
 N = 3000
@@ -225,3 +226,27 @@ def test_rank_by_shuffle_keeps_nulls_and_ties(shuffled, skewed):
     df = skewed.select("id", F.when(F.col("id") % 5 > 0, F.col("id") % 2).alias("g"), F.when(F.col("id") % 4 > 0, F.col("k").cast("double")).alias("x"))
     want = Counter(map(tuple, top_k_per_group(df, ["g"], "x", 3, groups=df).collect()))
     assert Counter(map(tuple, top_k_per_group(df, ["g"], "x", 3).collect())) == want
+
+
+def test_cohort_of_a_bucketed_log_moves_no_log(shuffled, skewed):
+    """A third of the rows are one author's; the buckets are balanced and the slice has no exchange above the log's scan."""
+    spark = shuffled
+    log = skewed.withColumn("author", F.when(F.col("id") % 11 > 0, F.col("k"))).select("id", "author", "v")
+    kept = write_bucketed(log, "author", 4, share=0.01)
+    cohort = spark.createDataFrame([(0,), (7,), (None,), (9999,)], "author long")
+    out = cohort_slice(spark, kept, cohort)
+    assert out.columns == log.columns
+    assert Counter(map(tuple, out.collect())) == Counter(tuple(r) for r in log.collect() if r.author in (0, 7))
+    text = out._jdf.queryExecution().executedPlan().toString()
+    above = text[:text.index(kept.table)] if kept.table in text else text[:text.index("FileScan parquet")]
+    assert "Exchange" not in above and "Bucketed: true" in text
+    sizes = [r["count"] for r in spark.table(kept.table).groupBy(F.input_file_name()).count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 2 * N / 4
+
+
+@pytest.mark.parametrize("places", [[], ["st. louis", "saint", "s", "St louis"]])
+def test_places_of_equal_forms_and_nested_beginnings(spark, places):
+    df = spark.createDataFrame([("St. Louis, MO",), ("saintly",), ("",), (None,)], "t string")
+    got = [sorted(r.h) if r.h is not None else None for r in df.select(M.place_hits("t", places).alias("h")).collect()]
+    want = [["s", "st. louis"], ["s", "saint"], [], []] if places else [[], [], [], []]
+    assert got == want
