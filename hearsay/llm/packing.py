@@ -60,9 +60,11 @@ class WordEncoder:
         """Letters whose normal form ends in something else, a combining mark."""
         if self.tokenizer.normalizer is None:
             return re.compile("(?!)")
-        letters = [chr(c) for c in range(0x80, sys.maxunicode + 1) if chr(c).isalpha()]
-        normal = self.tokenizer.normalizer.normalize_str(" ".join(letters)).split(" ")
-        found = [c for c, n in zip(letters, normal) if not n.isalpha()]
+        found = []
+        for low in range(0, sys.maxunicode, 4096):  # few letters at a time: workers keep what they once took
+            letters = [c for c in map(chr, range(low, low + 4096)) if c.isalpha()]
+            normal = self.tokenizer.normalizer.normalize_str(" ".join(letters)).split(" ") if letters else []
+            found += [c for c, n in zip(letters, normal) if not n.isalpha()]
         return re.compile(f"[{''.join(found)}]" if found else "(?!)")
 
     def _split(self, word: bytes) -> tuple[bytes, bytes]:
