@@ -16,8 +16,6 @@ from hearsay.operators.bloom import bloom_filter
 from hearsay.session import ship_package
 
 SHINGLE, SIMILARITY, BITS = 5, 0.8, 128
-#: Nodes that share a segment from which on the best connected of them is compared with all near it first.
-CROWD = 16
 #: Segments of each 64-bit word; two fingerprints meet where a segment differs in at most two bits.
 SEGMENTS = 3
 #: Complete distance up to which a pair is checked; at a similarity of 0.8 about 19 bits differ, of unrelated texts 64.
@@ -122,8 +120,8 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, size: int = SHIN
 
     Texts with the same set of shingles are one node. Of the nodes that share a
     whole segment, the best connected one, likely what the others are copies of,
-    is linked to each; that of a crowd also to all nodes near it. These links are
-    checked in full, and nodes linked to one centre are a part. Then all nodes
+    is linked to each. These links are checked in full, and nodes linked to one
+    centre are a part. Then all nodes
     enter a table per segment under their value and its neighbours at one bit, so
     two whose segments differ in at most two bits meet; pairs of different parts
     are verified over all 128 bits, by the sizes of their sets and by the sets.
@@ -153,11 +151,7 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, size: int = SHIN
     best = F.max_by(F.struct("node", "f0", "f1", "n"), F.struct("degree", -F.col("node"))).alias("c")
     centres = materialise(ranked.groupBy("at").agg(best, F.count(F.lit(1)).alias("w")), "centres")
     stars = join_weighted(crowded.select("at", "node", "f0", "f1", "n"), centres, ["at"], "w").select(F.struct("node", "f0", "f1", "n").alias("x"), F.col("c").alias("y"))
-    heads = centres.where(F.col("w") >= CROWD).select("c.*").distinct()
-    y, x = _entries(heads, flips=True).alias("y"), _entries(slim, flips=True).alias("x")
-    around = x.join(y, (F.col("x.at") == F.col("y.at")) & _differ("x", "y") & _near("x", "y", similarity))
-    around = around.select(*[F.struct(*[F.col(f"{s}.{c}").alias(c) for c in ("node", "f0", "f1", "n")]).alias(s) for s in ("x", "y")])
-    near = stars.where(_near("x", "y", similarity)).unionByName(around).where("x.node <> y.node")
+    near = stars.where(_near("x", "y", similarity)).where("x.node <> y.node")
     near = materialise(near.select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct(), "star-pairs")
     linked = verified(near, "star")
     # Each node goes with the best connected centre it is linked to, and that with its own; what isn't one part by then is compared below.
