@@ -3,7 +3,9 @@
 Every round is a sum over the words of all texts: the losses are bounded by
 squares whose curvature follows each text's present margin, and since a text's
 features add up to two (its words to one, the constant to one), the bound splits
-into one square per word. All words move at once, and the loss never rises.
+into one square per word. All words move at once, and the loss never rises. The texts
+are coded by group and stay where they are; a round sends each group the weights
+of its words, and adds up what comes back by word.
 """
 
 from __future__ import annotations
@@ -11,10 +13,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from hearsay.operators.skew import join_hot_split
-from hearsay.operators.topics import term_counts
+from hearsay.operators.coded import chunks, code_words, kept, per_group
 from hearsay.session import write_table
 
 #: The constant's name among the words; no token is empty.
@@ -29,13 +33,63 @@ class WordModel:
     losses: list[float]
 
 
-def _features(counts: DataFrame, known: DataFrame, ids: DataFrame, row_id: str) -> DataFrame:
-    """row id, word, x: the TF-IDF shares of a text's known words, and 1 for the constant of every text."""
-    value = join_hot_split(counts.where(F.col("word") != CONSTANT), known.select("word", "n", "idf"), ["word"], "n", written=True)
-    value = value.select(row_id, "word", (F.col("tf") * F.col("idf")).alias("_v"))
-    whole = F.sum("_v").over(Window.partitionBy(row_id))
-    shares = value.select(row_id, "word", F.try_divide("_v", whole).alias("x")).where("x > 0")
-    return shares.unionByName(ids.select(row_id, F.lit(CONSTANT).alias("word"), F.lit(1.0).alias("x")))
+def _by_place(state: pa.Table, *names: str) -> list[np.ndarray]:
+    """Columns of a group's words as arrays over their places; zero for words that aren't there."""
+    place = state["_i"].to_numpy()
+    out = []
+    for name in names:
+        out.append(np.zeros(int(place.max()) + 1 if len(place) else 0))
+        out[-1][place] = state[name].to_numpy()
+    return out
+
+
+def _margins(cells: pa.Table, state: pa.Table):
+    """Slices of a group's texts, their cells (text, word and x, the TF-IDF share of the text's known words) and the sums of x and weight."""
+    idf, weight = _by_place(state, "idf", "weight")
+    for part, own, word, tf in chunks(cells):
+        told = word < len(idf)
+        own, word = own[told], word[told]
+        value = tf[told] * idf[word]
+        whole = np.bincount(own, value, len(part))
+        told = value > 0
+        own, word = own[told], word[told]
+        x = value[told] / whole[own]
+        yield part, own, word, x, np.bincount(own, x * weight[word], len(part))
+
+
+def _slopes(constant: float, schema: StructType):
+    """Work of a group: slope and curvature summed by word, and for the constant, whose row also has the loss and the sum of squared weights."""
+    def work(cells: pa.Table, state: pa.Table) -> pa.Table:
+        place = state["_i"].to_numpy()
+        size = int(place.max()) + 1 if len(place) else 0
+        slopes, bends, own_sums = np.zeros(size), np.zeros(size), np.zeros(3)
+        for part, own, word, x, sums in _margins(cells, state):
+            rows, ones = part.column("_rows").to_numpy(), part.column("_y").to_numpy()
+            # A text that comes in several rows counts as often, as its join to its labels has it.
+            margin = rows * sums + rows * rows * constant
+            p = 1 / (1 + np.exp(-margin))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                bend = rows * np.where(np.abs(margin) < 1e-6, 0.25, (p - 0.5) / margin)
+            slope = rows * p - ones
+            loss = rows * (np.maximum(margin, 0) + np.log1p(np.exp(-np.abs(margin)))) - margin * ones
+            slopes += np.bincount(word, slope[own] * x, size)
+            bends += np.bincount(word, 2 * bend[own] * x, size)
+            own_sums += (rows * slope).sum(), (2 * rows * bend).sum(), (rows * loss).sum()
+        home, weight = state["home"].to_numpy(), state["weight"].to_numpy()
+        last = [cells["_p"][0].as_py() if len(cells) else 0, -1, CONSTANT, 0, False, 0.0, constant, *own_sums, (weight[home] ** 2).sum()]
+        zeros = np.zeros(len(state))
+        made = [*[state[c] for c in ("_to", "_i", "word", "n", "home", "idf", "weight")], slopes[place], bends[place], zeros, zeros]
+        columns = [pa.array([*v.to_pylist(), x], t) if isinstance(v, pa.ChunkedArray) else pa.array(np.append(v, x)) for v, x, t in zip(made, last, _TYPES)]
+        return pa.table(columns, names=schema.names)
+
+    return work
+
+
+_TYPES = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.bool_(), *[pa.float64()] * 6]
+_SUMS = StructType([
+    StructField("_p", IntegerType()), StructField("_i", IntegerType()), StructField("word", StringType()), StructField("n", LongType()), StructField("home", BooleanType()),
+    *[StructField(c, DoubleType()) for c in ("idf", "weight", "_g", "_h", "_l", "_squares")],
+])
 
 
 def fit_words(df: DataFrame, row_id: str, tokens: str, label: str, rounds: int = 20, penalty: float = 1e-4, min_df: int = 1) -> WordModel:
@@ -46,35 +100,41 @@ def fit_words(df: DataFrame, row_id: str, tokens: str, label: str, rounds: int =
     without an id or a label, and repeated ids, must be settled before; rows with
     a null in either are left out. A word found in all texts has no weight.
     """
-    rows = df.where(F.col(row_id).isNotNull() & F.col(label).isNotNull()).select(row_id, tokens, F.col(label).cast("double").alias("_y"))
-    ids = write_table(rows.select(row_id, "_y"), "labelled")
-    total = ids.count()
-    counts = term_counts(rows, row_id, tokens)
-    used = counts.where(F.col("word") != CONSTANT).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_df)
-    known = write_table(used.withColumn("idf", F.log((total + 1) / (F.col("n") + 1))), "known-words")
-    x = write_table(_features(counts, known, ids, row_id).join(ids, row_id), "word-features")
-    start = known.unionByName(df.sparkSession.createDataFrame([(CONSTANT, total, 1.0)], known.schema))
-    weights, losses = write_table(start.withColumn("weight", F.lit(0.0)), "word-weights"), []
+    y = F.col(label).cast("double")
+    rows = df.where(F.col(row_id).isNotNull() & y.isNotNull()).select(row_id, tokens, F.lit(1.0).alias("_rows"), y.alias("_y"))
+    coded = code_words(rows, row_id, tokens, ["_rows", "_y"])
+    total = int(coded.rows.agg(F.sum("_rows")).first()[0] or 0)
+    of_word = Window.partitionBy("word")
+    known = coded.words.where(F.col("word") != CONSTANT).withColumns({"n": F.sum("n").over(of_word), "home": F.row_number().over(of_word.orderBy("_p")) == 1})
+    known = known.where(F.col("n") >= min_df).withColumns({"idf": F.log((total + 1) / (F.col("n") + 1)), "weight": F.lit(0.0)})
+    known = known.select("_p", "_i", "word", "n", "home", "idf", "weight")
+    state = write_table(known.where("idf > 0") if rounds and total else known, "word-weights")
+    cells = kept(coded, "_w", "_tf", "_rows", "_y")
+    constant, losses = 0.0, []
     for _ in range(rounds if total else 0):
-        margin = F.sum(F.col("x") * F.col("weight")).over(Window.partitionBy(row_id)).alias("_m")
-        here = join_hot_split(x, weights.select("word", "n", "weight"), ["word"], "n", written=True).select("word", "x", "_y", margin)
-        slope = 1 / (1 + F.exp(-F.col("_m"))) - F.col("_y")
-        bend = F.when(F.abs("_m") < 1e-6, 0.25).otherwise((1 / (1 + F.exp(-F.col("_m"))) - 0.5) / F.col("_m"))
-        loss = F.greatest("_m", F.lit(0.0)) - F.col("_m") * F.col("_y") + F.log1p(F.exp(-F.abs("_m")))
-        sums = here.groupBy("word").agg((F.sum(slope * F.col("x")) / total).alias("_g"), (F.sum(2 * bend * F.col("x")) / total).alias("_h"), (F.sum(loss) / total).alias("_l"))
-        own = F.when(F.col("word") == CONSTANT, 0.0).otherwise(penalty)
-        moved = weights.join(sums, "word").withColumn("_step", (F.col("_g") + own * F.col("weight")) / (F.col("_h") + own))
-        moved = write_table(moved.select("word", "n", "idf", (F.col("weight") - F.col("_step")).alias("weight"), "_l", (own * F.col("weight") * F.col("weight") / 2).alias("_p")), "word-weights")
-        losses.append(moved.agg(F.sum(F.when(F.col("word") == CONSTANT, F.col("_l"))) + F.sum("_p")).first()[0])
-        weights = moved.drop("_l", "_p")
+        sums = write_table(per_group(cells, state, _slopes(constant, _SUMS), _SUMS), "word-weights")
+        g, h, loss, squares = sums.where(F.col("word") == CONSTANT).agg(*[F.sum(c) for c in ("_g", "_h", "_l", "_squares")]).first()
+        losses.append(loss / total + penalty * squares / 2)
+        step = (F.sum("_g").over(of_word) / total + penalty * F.col("weight")) / (F.sum("_h").over(of_word) / total + penalty)
+        state = sums.where(F.col("word") != CONSTANT).select("_p", "_i", "word", "n", "home", "idf", (F.col("weight") - step).alias("weight"))
+        constant -= g / h
+    own = df.sparkSession.createDataFrame([(CONSTANT, total, 1.0, constant)], "word string, n bigint, idf double, weight double")
+    weights = write_table(state.where("home").select("word", "n", "idf", "weight").unionByName(own), "word-weights")
+    cells.unpersist()
     return WordModel(weights, losses)
 
 
 def score_words(model: WordModel, df: DataFrame, row_id: str, tokens: str, labels: Sequence[str] = ("negative", "positive")) -> DataFrame:
     """row id, probability of the label 1, and `sentiment`, the likelier of the two names; words without a weight count for nothing."""
-    ids = df.where(F.col(row_id).isNotNull()).select(row_id).distinct()
-    x = _features(term_counts(df, row_id, tokens), model.weights.where(F.col("word") != CONSTANT), ids, row_id)
-    known = join_hot_split(x, model.weights.select("word", "n", "weight"), ["word"], "n", written=True)
-    margin: Column = F.sum(F.col("x") * F.col("weight"))
-    out = known.groupBy(row_id).agg((1 / (1 + F.exp(-margin))).alias("probability"))
+    coded = code_words(df, row_id, tokens)
+    constant = model.weights.where(F.col("word") == CONSTANT).first()["weight"]
+    state = coded.words.select("_p", "_i", "word").join(model.weights.where(F.col("word") != CONSTANT).select("word", "idf", "weight"), "word").select("_p", "_i", "idf", "weight")
+
+    def work(cells: pa.Table, state: pa.Table) -> pa.Table:
+        found = [(part.column(row_id), 1 / (1 + np.exp(-(sums + constant)))) for part, _, _, _, sums in _margins(cells, state)]
+        ids = pa.chunked_array([f[0] for f in found], cells[row_id].type)
+        return pa.table([ids, pa.array(np.concatenate([f[1] for f in found]) if found else np.empty(0))], names=[row_id, "probability"])
+
+    kinds = StructType([coded.rows.schema[row_id], StructField("probability", DoubleType())])
+    out = per_group(coded.rows.select("_p", "_w", "_tf", row_id), state, work, kinds)
     return out.withColumn("sentiment", F.when(F.col("probability") >= 0.5, labels[1]).otherwise(labels[0]))
