@@ -1,10 +1,10 @@
 """Topics by variational inference on sums that Spark makes; words and documents stay in tables.
 
-A topic model's state is two written tables, one row per word and one per
-document, and k totals. A round joins the counts to both, shares every
-(document, word) count out over the topics, and adds the shares up by document
-and by word in one aggregation over two grouping sets, combined before the
-shuffle. Neither a vocabulary nor a document passes the driver.
+A topic model's state is one row per word and group of coded documents that has
+it, one per document, and k totals. A round sends both to the groups, shares
+every (document, word) count out over the topics there, and adds the shares up by
+document inside the group and by word over all of them. The counts themselves
+stay where they are; neither a vocabulary nor a document passes the driver.
 """
 
 from __future__ import annotations
@@ -14,9 +14,13 @@ from dataclasses import dataclass, field
 from functools import reduce
 from math import exp, lgamma, log
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from hearsay.operators.skew import join_hot_split
+from hearsay.operators.coded import Coded, chunks, code_words, kept, per_group
 from hearsay.session import write_table
 
 
@@ -66,28 +70,56 @@ def _start(word: Column, topic: int, seed: int) -> Column:
     return 0.5 + F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") / float(1 << 32)
 
 
-def term_counts(df: DataFrame, row_id: str, tokens: str | Column) -> DataFrame:
-    """Occurrences per (document, word) in a written table; null tokens and documents without an id don't count."""
-    words = df.select(row_id, F.explode(tokens).alias("word")).where(F.col("word").isNotNull() & F.col(row_id).isNotNull())
-    return write_table(words.groupBy(row_id, "word").agg(F.count(F.lit(1)).cast("double").alias("tf")), "topic-counts")
-
-
-def _shared(counts: DataFrame, words: DataFrame, docs: DataFrame | None, row_id: str, totals: Sequence[float], alpha: float) -> DataFrame:
-    """row id, word, p0 … (the count's shares), and `_ll`, the count's part of the bound. Without `docs`, all mixtures are even."""
+def _share(k: int, even: float, schema: StructType):
+    """Work of a group: its counts shared out over the topics and added up by word and by document, which has `_ll`, its part of the bound."""
+    def work(cells: pa.Table, state: pa.Table) -> pa.Table:
+        values = lambda rows: np.column_stack([rows[f"v{t}"].to_numpy() for t in range(k)])
+        of_words, of_docs = state.filter(pc.is_valid(state["word"])), state.filter(pc.is_null(state["word"]))
+        place = of_words["_i"].to_numpy()
+        level = np.zeros((int(place.max()) + 1 if len(place) else 0, k))
+        level[place] = values(of_words)
+        known = np.zeros(len(level), bool)
+        known[place] = True
+        mixed = np.full((int(pc.max(cells["_i"]).as_py() or 0) + 1 if len(cells) else 0, k), even)
+        if len(of_docs):
+            mixed[of_docs["_i"].to_numpy()] = values(of_docs)
+        sums, found = np.zeros_like(level), []
+        for part, own, word, tf in chunks(cells):
+            told = word < len(level)
+            told[told] = known[word[told]]
+            own, word, tf, docs = own[told], word[told], tf[told], part.column("_i").to_numpy()
+            shares = mixed[docs[own]] * level[word]
+            whole = shares.sum(1)
+            shares *= (tf / whole)[:, None]
+            for t in range(k):
+                sums[:, t] += np.bincount(word, shares[:, t], len(level))
+            used, starts = np.unique(own, return_index=True)
+            if len(used):
+                found.append((docs[used], np.add.reduceat(tf * np.log(whole), starts), np.add.reduceat(shares, starts)))
+        docs = np.concatenate([f[0] for f in found]) if found else np.empty(0, np.int32)
+        by_doc = np.concatenate([f[2] for f in found]) if found else np.empty((0, k))
+        bound = np.concatenate([f[1] for f in found]) if found else np.empty(0)
+        n, m, p = len(of_words), len(docs), (cells["_p"][0].as_py() if len(cells) else 0)
+        columns = [np.full(n + m, p, np.int32), np.concatenate([place, docs]).astype(np.int32), pa.array(of_words["word"].to_pylist() + [None] * m, pa.string()),
+                   pa.array(of_words["n"].to_pylist() + [None] * m, pa.int64()), pa.array(of_words["home"].to_pylist() + [False] * m, pa.bool_()), np.concatenate([np.zeros(n), bound]),
+                   *[np.concatenate([sums[place, t], by_doc[:, t]]) for t in range(k)]]
+        return pa.table([pa.array(c) for c in columns], names=schema.names)
+
+    return work
+
+
+def _round(cells: DataFrame, words: DataFrame, docs: DataFrame | None, totals: Sequence[float], alpha: float) -> DataFrame:
+    """_p, _i, p0 … (sums of the counts' shares), of words and, with a null word, of documents. Without `docs`, all mixtures are even."""
     k = len(totals)
-    level = [F.exp(digamma(f"g{t}") - digamma_of(total)) for t, total in enumerate(totals)]
-    known = words.select("word", "n", *[c.alias(f"_b{t}") for t, c in enumerate(level)])
-    rows = join_hot_split(counts, known, ["word"], "n", written=True).drop("n")
+    sent = words.select("_p", "_i", "word", "n", "home", *[F.exp(digamma(f"g{t}") - digamma_of(total)).alias(f"v{t}") for t, total in enumerate(totals)])
     if docs is not None:
-        mixed = docs.select(row_id, *[F.exp(digamma(f"g{t}") - digamma("whole")).alias(f"_e{t}") for t in range(k)])
-        rows = rows.join(mixed, row_id)
-        parts = [F.col(f"_e{t}") * F.col(f"_b{t}") for t in range(k)]
-    else:
-        even = exp(digamma_of(alpha) - digamma_of(alpha * k))
-        parts = [even * F.col(f"_b{t}") for t in range(k)]
-    rows = rows.select(row_id, "word", "tf", *[p.alias(f"_p{t}") for t, p in enumerate(parts)])
-    rows = rows.withColumn("_all", _add([F.col(f"_p{t}") for t in range(k)]))
-    return rows.select(row_id, "word", *[(F.col("tf") * F.col(f"_p{t}") / F.col("_all")).alias(f"p{t}") for t in range(k)], (F.col("tf") * F.log("_all")).alias("_ll"))
+        none = [F.lit(None).cast(kind).alias(c) for c, kind in (("word", "string"), ("n", "bigint"), ("home", "boolean"))]
+        sent = sent.unionByName(docs.select("_p", "_i", *none, *[F.exp(digamma(f"g{t}") - digamma("whole")).alias(f"v{t}") for t in range(k)]))
+    doubles = [StructField(c, DoubleType()) for c in ("_ll", *[f"p{t}" for t in range(k)])]
+    schema = StructType([StructField("_p", IntegerType()), StructField("_i", IntegerType()), StructField("word", StringType()), StructField("n", LongType()),
+                         StructField("home", BooleanType()), *doubles])
+    even = exp(digamma_of(alpha) - digamma_of(alpha * k))
+    return write_table(per_group(cells, sent, _share(k, even, schema), schema), "topic-sums")
 
 
 def fit_topics(
@@ -102,27 +134,32 @@ def fit_topics(
     an even mixture; documents without an id are left out.
     """
     alpha, eta = alpha or 1 / k, eta or 1 / k
-    counts = term_counts(df, row_id, tokens)
-    used = counts.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_df)
-    words = write_table(used.select("word", "n", *[_start(F.col("word"), t, seed).alias(f"g{t}") for t in range(k)]), "topic-words")
-    ids = df.select(row_id).where(F.col(row_id).isNotNull()).distinct()
-    size, totals = words.count(), _totals(words, k)
+    coded = code_words(df, row_id, tokens)
+    of_word = Window.partitionBy("word")
+    words = coded.words.withColumns({"n": F.sum("n").over(of_word), "home": F.row_number().over(of_word.orderBy("_p")) == 1}).where(F.col("n") >= min_df)
+    words = write_table(words.select("_p", "_i", "word", "n", "home", *[_start(F.col("word"), t, seed).alias(f"g{t}") for t in range(k)]), "topic-words")
+    size, totals = words.where("home").count(), _totals(words.where("home"), k)
+    cells = kept(coded, "_i", "_w", "_tf")
     docs, history = None, []
     for _ in range(rounds):
-        rows = _shared(counts, words, docs, row_id, totals, alpha)
-        sums = [F.sum(f"p{t}").alias(f"p{t}") for t in range(k)]
-        both = rows.groupingSets([[row_id], ["word"]], row_id, "word").agg(F.grouping("word").alias("_doc"), *sums, F.sum("_ll").alias("_ll"))
-        both = write_table(both, "topic-sums")
-        by_doc, by_word = both.where("_doc = 1"), both.where("_doc = 0")
+        both = _round(cells, words, docs, totals, alpha)
+        by_doc, by_word = both.where("word IS NULL"), both.where("word IS NOT NULL")
         if bounds and docs is not None:
-            history.append((by_doc.agg(F.sum("_ll")).first()[0] or 0.0) + _doc_bound(docs, k, alpha) + _word_bound(words, k, eta, size, totals))
-        docs = write_table(_weighted(by_doc, [row_id], k, alpha), "topic-docs")
-        words = write_table(words.select("word", "n").join(by_word.select("word", *[f"p{t}" for t in range(k)]), "word")
-                            .select("word", "n", *[(eta + F.col(f"p{t}")).alias(f"g{t}") for t in range(k)]), "topic-words")
-        totals = _totals(words, k)
-    even = [F.coalesce(F.col(f"g{t}"), F.lit(alpha)).alias(f"g{t}") for t in range(k)]
-    docs = ids.join(docs, row_id, "left").select(row_id, *even) if docs is not None else ids.select(row_id, *[F.lit(alpha).alias(f"g{t}") for t in range(k)])
-    return Topics(words, write_table(docs, "topic-docs"), row_id, k, alpha, eta, totals, history)
+            history.append((by_doc.agg(F.sum("_ll")).first()[0] or 0.0) + _doc_bound(docs, k, alpha) + _word_bound(words.where("home"), k, eta, size, totals))
+        docs = _weighted(by_doc, ["_p", "_i"], k, alpha)
+        words = by_word.select("_p", "_i", "word", "n", "home", *[(eta + F.sum(f"p{t}").over(of_word)).alias(f"g{t}") for t in range(k)])
+        totals = tuple((eta * size + (x or 0.0)) or 1.0 for x in by_word.agg(*[F.sum(f"p{t}") for t in range(k)]).first())
+    found = write_table(words.where("home").select("word", "n", *[f"g{t}" for t in range(k)]), "topic-words")
+    mixed = write_table(_of_ids(coded, docs, row_id, k, alpha), "topic-docs")
+    cells.unpersist()
+    return Topics(found, mixed, row_id, k, alpha, eta, totals, history)
+
+
+def _of_ids(coded: Coded, docs: DataFrame | None, row_id: str, k: int, alpha: float) -> DataFrame:
+    """row id, g0 … of every coded document; those without a counted word have an even mixture."""
+    if docs is None:
+        return coded.rows.select(row_id, *[F.lit(alpha).alias(f"g{t}") for t in range(k)])
+    return coded.rows.select(row_id, "_p", "_i").join(docs, ["_p", "_i"], "left").select(row_id, *[F.coalesce(F.col(f"g{t}"), F.lit(alpha)).alias(f"g{t}") for t in range(k)])
 
 
 def _weighted(sums: DataFrame, keep: list[str], k: int, base: float) -> DataFrame:
@@ -166,10 +203,12 @@ def _mixtures(docs: DataFrame, row_id: str, k: int) -> DataFrame:
 
 def infer_mixtures(topics: Topics, df: DataFrame, row_id: str, tokens: str | Column, rounds: int = 10) -> DataFrame:
     """(row id, topic, weight) of other documents, the topics held fixed; words the fit hasn't seen count for nothing."""
-    counts, k, docs = term_counts(df, row_id, tokens), topics.k, None
+    coded, k, docs = code_words(df, row_id, tokens), topics.k, None
+    words = write_table(coded.words.select("_p", "_i", "word").join(topics.words, "word").withColumn("home", F.lit(False)), "topic-words")
+    cells = kept(coded, "_i", "_w", "_tf")
     for _ in range(rounds):
-        rows = _shared(counts, topics.words, docs, row_id, topics.totals, topics.alpha)
-        sums = rows.groupBy(row_id).agg(*[F.sum(f"p{t}").alias(f"p{t}") for t in range(k)])
-        docs = write_table(_weighted(sums, [row_id], k, topics.alpha), "topic-docs")
-    ids = df.select(row_id).where(F.col(row_id).isNotNull()).distinct().join(docs, row_id, "left")
-    return _mixtures(ids.select(row_id, *[F.coalesce(F.col(f"g{t}"), F.lit(topics.alpha)).alias(f"g{t}") for t in range(k)]), row_id, k)
+        both = _round(cells, words, docs, topics.totals, topics.alpha)
+        docs = _weighted(both.where("word IS NULL"), ["_p", "_i"], k, topics.alpha)
+    out = _mixtures(write_table(_of_ids(coded, docs, row_id, k, topics.alpha), "topic-docs"), row_id, k)
+    cells.unpersist()
+    return out
