@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from hearsay.functions import columns as C
 from hearsay.functions.snowball import snowball_word
-from hearsay.operators.bloom import bloom_filter
+from hearsay.operators.coded import group_number, per_group
 from hearsay.operators.reshape import top_k
 from hearsay.operators.skew import join_hot_split
 from hearsay.operators.topics import fit_topics, topic_mixtures, topic_words
 from hearsay.operators.windows import top_k_per_group, with_row_id
-from hearsay.session import write_table
+from hearsay.session import ship_package, write_table
 from hearsay.vocab import STOPWORDS, TOPIC_NOISE
 
 
@@ -48,22 +52,37 @@ def stem_distinct(df: DataFrame, col: str, row_id: str, out: str = "stems", meth
 def lemmatize(df: DataFrame, col: str, lemmas: Mapping[str, str] | DataFrame, row_id: str, out: str = "lemmas") -> DataFrame:
     """Replace word forms by lemmas, keeping token order.
 
-    A mapping is applied inside the row. Of a (form, lemma) table, the tokens
-    that a Bloom filter of its forms lets through are counted and joined to it by
-    `join_hot_split`; only these move, and each row gets its lemmas by position.
-    Of several lemmas of a form the smallest counts. Null tokens go, and a row
-    without an id keeps its forms.
+    A mapping is applied inside the row. For a (form, lemma) table, the rows go to
+    groups, and each group is sent the lemmas of its own words, once each; there
+    they are put in by position. Of several lemmas of a form the smallest counts.
+    Null tokens go, and a row without an id keeps its forms.
     """
     if isinstance(lemmas, Mapping):
         return df.withColumn(out, C.lemmatize_tokens(col, lemmas))
     changed = lemmas.groupBy("form").agg(F.min("lemma").alias("lemma")).where("form <> lemma")
-    flat = df.select(row_id, F.posexplode(col).alias("_pos", "form")).where(bloom_filter(changed, "form").might_hold("form"))
-    used = flat.groupBy("form").agg(F.count(F.lit(1)).alias("count")).join(changed, "form")
-    mapped = join_hot_split(flat, used, ["form"], "count")
-    back = mapped.groupBy(row_id).agg(F.map_from_entries(F.collect_list(F.struct("_pos", "lemma"))).alias("_l"))
-    words = F.transform(col, lambda w, i: F.when(w.isNotNull(), F.coalesce(F.element_at("_l", i), w)))
-    merged = df.join(back, row_id, "left")
-    return merged.withColumn(out, F.coalesce(F.array_compact(words), F.array().cast("array<string>"))).drop("_l")
+    texts = write_table(df, "tokens")
+    groups = group_number(texts, col)
+    named = texts.where(F.col(row_id).isNotNull()).withColumn("_p", F.pmod(F.xxhash64(row_id, col), F.lit(groups)).cast("int"))
+    named = write_table(named.repartition(groups, "_p"), "grouped-tokens")
+    used = named.select("_p", F.explode(col).alias("form")).distinct()
+    sent = used.join(changed, "form").select("_p", "form", "lemma")
+    kept = [c for c in df.columns if c != out]
+    schema = StructType([*[df.schema[c] for c in kept], StructField(out, ArrayType(StringType()))])
+
+    def put_in(rows: pa.Table, state: pa.Table) -> pa.Table:
+        lists = rows[col].combine_chunks()
+        flat = lists.flatten()
+        at = pc.index_in(flat, value_set=state["form"].combine_chunks())
+        words = pc.coalesce(state["lemma"].combine_chunks().take(at), flat)
+        held = np.concatenate([[0], np.cumsum(pc.is_valid(flat).to_numpy(zero_copy_only=False))])
+        ends = held[np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())])]
+        made = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), words.drop_null())
+        return rows.select(kept).append_column(out, made)
+
+    ship_package(df.sparkSession)
+    mapped = per_group(named, sent, put_in, schema)
+    plain = texts.where(F.col(row_id).isNull()).withColumn(out, F.coalesce(F.array_compact(col), F.array().cast("array<string>")))
+    return mapped.unionByName(plain.select(*schema.names)).select(*[c for c in df.columns if c != out], out)
 
 
 def clean_text(df: DataFrame, col: str, lemmas: Mapping[str, str] | None = None,

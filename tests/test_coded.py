@@ -42,3 +42,14 @@ def test_kept_rows_do_not_move(spark, monkeypatch):
     cells.unpersist()
     assert len(re.findall(r"Exchange hashpartitioning\(_to", plan)) == 1
     assert "ENSURE_REQUIREMENTS" not in plan.split("InMemoryTableScan")[0]
+
+
+def test_lemmas_of_repeated_ids_and_long_rows(spark, monkeypatch):
+    from hearsay.operators.tokens import lemmatize
+
+    monkeypatch.setattr(K, "GROUP_TOKENS", 30)
+    texts = [(1, ["a", None, "b"]), (1, ["b", "c", "a"]), (2, ["b"] * 200), (3, None), (4, []), (None, ["a", None])]
+    df = spark.createDataFrame(texts, "id int, words array<string>")
+    lemmas = spark.createDataFrame([("a", "x"), ("b", "y"), ("b", "z"), ("c", "c"), (None, "n")], "form string, lemma string")
+    got = sorted(((r.id, r.lemmas) for r in lemmatize(df, "words", lemmas, "id").collect()), key=str)
+    assert got == sorted([(1, ["x", "y"]), (1, ["y", "c", "x"]), (2, ["y"] * 200), (3, []), (4, []), (None, ["a"])], key=str)
