@@ -67,7 +67,7 @@ def lemmatize(df: DataFrame, col: str, lemmas: Mapping[str, str] | DataFrame, ro
     used = named.select("_p", F.explode(col).alias("form")).distinct()
     sent = used.join(changed, "form").select("_p", "form", "lemma")
     kept = [c for c in df.columns if c != out]
-    schema = StructType([*[df.schema[c] for c in kept], StructField(out, ArrayType(StringType()))])
+    schema = StructType([*[named.schema[c] for c in kept], StructField(out, ArrayType(StringType()))])
 
     def put_in(rows: pa.Table, state: pa.Table) -> pa.Table:
         lists = rows[col].combine_chunks()

@@ -53,3 +53,12 @@ def test_lemmas_of_repeated_ids_and_long_rows(spark, monkeypatch):
     lemmas = spark.createDataFrame([("a", "x"), ("b", "y"), ("b", "z"), ("c", "c"), (None, "n")], "form string, lemma string")
     got = sorted(((r.id, r.lemmas) for r in lemmatize(df, "words", lemmas, "id").collect()), key=str)
     assert got == sorted([(1, ["x", "y"]), (1, ["y", "c", "x"]), (2, ["y"] * 200), (3, []), (4, []), (None, ["a"])], key=str)
+
+
+def test_lemmas_of_tokens_that_are_never_null(spark):
+    """The planner knows that split texts hold no null token; the rows come back from the groups all the same."""
+    from hearsay.operators.tokens import lemmatize
+
+    texts = spark.createDataFrame([(1, "a b"), (2, None), (3, "")], "id int, t string").select("id", F.array_remove(F.split("t", " "), "").alias("words"))
+    got = {r.id: r.lemmas for r in lemmatize(texts, "words", spark.createDataFrame([("a", "x")], "form string, lemma string"), "id").collect()}
+    assert got == {1: ["x", "b"], 2: [], 3: []}
