@@ -1,7 +1,8 @@
 """Decision trees and forests for many groups at once, grown level by level from histograms.
 
 One job per level counts (group, tree, node, feature, bin) for all groups and
-trees together; the counts are partial sums before they are shuffled, so a group
+trees together, from the rows or, where many have equal labels and bins, from sums of
+these made once; the counts are partial sums before they are shuffled, so a group
 with most of the rows is no heavier than its histogram. The driver sees no
 group, tree or node: splits are rows of a written table.
 """
@@ -21,6 +22,8 @@ from hearsay.session import write_table
 POISSON = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582)
 #: What a broadcast of per-group trees may hold, in array elements.
 BROADCAST_ELEMENTS = 2_000_000
+#: Rows a cell of equal label and bins holds on average at least, for rows to be grown by cells.
+MEETING = 4
 #: Shares of impurity are compared to this many digits; equal ones go to the first feature and the lowest cut.
 DIGITS = 9
 
@@ -81,8 +84,9 @@ def grow_forest(
     impurity = _gini if classes is not None else _squared_error
     width = 2 ** (depth + 1)
     levels: list[DataFrame] = []
+    cells = _cells(binned, names, trees, seed) if classes is not None else None
     for level in range(depth):
-        here = _at_nodes(binned, levels, names, trees, width, level, seed)
+        here = _at_nodes(binned, levels, names, trees, width, level, seed) if cells is None else _cells_at_nodes(cells, levels, names, trees, width, level)
         split = _best_splits(here, names, statistics, impurity, len(features), subset, min_rows, seed)
         levels.append(write_table(split, "tree-level"))
         if levels[-1].where("_feature IS NOT NULL").isEmpty():
@@ -144,6 +148,43 @@ def _key_join(rows: DataFrame, groups: DataFrame, keys: list[str], elements: int
     return join_hot_split(rows, groups, keys, "n", how=how).drop("n")
 
 
+def _weight(tree: Column, trees: int, seed: int) -> Column:
+    """How often the tree's bootstrap sample holds the row."""
+    if trees == 1:
+        return F.lit(1.0)
+    draw = F.pmod(F.xxhash64("_row", tree, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    return F.size(F.filter(F.array(*[F.lit(p) for p in POISSON]), lambda p: p <= draw)).cast("double")
+
+
+def _reached(tree: Column, width: int, level: int) -> Column:
+    """The node that a row's bins lead to, `level` splits down."""
+    def step(node: Column) -> Column:
+        at = tree * width + node
+        feature = F.get("_feature", at)
+        return F.when(feature.isNull(), node).otherwise(node * 2 + (F.get("_b", feature) > F.get("_bin", at)).cast("int"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(level)), F.lit(1), lambda n, _: step(n))
+
+
+def _cells(rows: DataFrame, keys: list[str], trees: int, seed: int) -> DataFrame | None:
+    """One row per group, label, bins and tree with the summed weights of its sampled rows, where that is far fewer
+    than the rows; they go down a tree together. None where most rows have bins of their own."""
+    counted = rows.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.xxhash64(*keys, "_y", "_b")).alias("cells")).first()
+    if counted["cells"] * MEETING > counted["n"]:
+        return None
+    draws = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("_tree"), _weight(t, trees, seed).alias("_w")))
+    drawn = rows.select(*keys, "_y", "_b", F.explode(draws).alias("_s")).select(*keys, "_y", "_b", "_s.*").where("_w > 0")
+    return write_table(drawn.groupBy(*keys, "_y", "_b", "_tree").agg(F.sum("_w").alias("_w")), "sampled-cells")
+
+
+def _cells_at_nodes(cells: DataFrame, levels: list[DataFrame], keys: list[str], trees: int, width: int, level: int) -> DataFrame:
+    """As `_at_nodes`, of cells."""
+    if not levels:
+        return cells.withColumn("_node", F.lit(1))
+    here = _key_join(cells, write_table(_with_splits(levels, keys, trees, width), "grown"), keys, trees * width * 2)
+    return here.select(*keys, "_y", "_b", "_tree", "_w", _reached(F.col("_tree"), width, level).alias("_node")).where(F.col("_node") >= 2**level)
+
+
 def _at_nodes(rows: DataFrame, levels: list[DataFrame], keys: list[str], trees: int, width: int, level: int, seed: int) -> DataFrame:
     """One row per sampled row and tree, with the node of this level it has reached.
 
@@ -154,20 +195,8 @@ def _at_nodes(rows: DataFrame, levels: list[DataFrame], keys: list[str], trees:
     if levels:
         here = _key_join(here, write_table(_with_splits(levels, keys, trees, width), "grown"), keys, trees * width * 2)
 
-    def weight(tree: Column) -> Column:
-        if trees == 1:
-            return F.lit(1.0)
-        draw = F.pmod(F.xxhash64("_row", tree, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-        return F.size(F.filter(F.array(*[F.lit(p) for p in POISSON]), lambda p: p <= draw)).cast("double")
-
-    def step(tree: Column, node: Column) -> Column:
-        at = tree * width + node
-        feature = F.get("_feature", at)
-        return F.when(feature.isNull(), node).otherwise(node * 2 + (F.get("_b", feature) > F.get("_bin", at)).cast("int"))
-
-    path = F.sequence(F.lit(1), F.lit(level))
-    reached = (lambda t: F.aggregate(path, F.lit(1), lambda n, _: step(t, n))) if levels else (lambda t: F.lit(1))
-    spots = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("_tree"), weight(t).alias("_w"), reached(t).alias("_node")))
+    reached = (lambda t: _reached(t, width, level)) if levels else (lambda t: F.lit(1))
+    spots = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(t.alias("_tree"), _weight(t, trees, seed).alias("_w"), reached(t).alias("_node")))
     spots = F.filter(spots, lambda s: (s["_w"] > 0) & (s["_node"] >= 2**level))
     small = here.select(*keys, "_y", "_b", spots.alias("_spots"))
     return small.select(*keys, "_y", "_b", F.explode("_spots").alias("_s")).select(*keys, "_y", "_b", "_s.*")
