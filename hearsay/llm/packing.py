@@ -7,6 +7,7 @@ import re
 import sys
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -28,6 +29,14 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _recalled(wanted: set[bytes], past: dict[bytes, bytes], known: dict[bytes, bytes]) -> list[bytes]:
+    """Take over what the past memory has; the others are returned."""
+    new = wanted.difference(past)
+    again = wanted.difference(new)
+    known.update(zip(again, map(past.__getitem__, again)))
+    return list(new)
+
+
 class WordEncoder:
     """Ids of texts, as little-endian 32-bit bytes, for a tokenizer that never joins text across white space.
 
@@ -36,8 +45,9 @@ class WordEncoder:
     normal form ends in a letter (it joins them to a combining mark); ASCII
     capitals make no difference to it. New stems of letters are encoded as one text, in which
     every stem ends with the only token that ends a word; should these not add
-    up, and for all other stems, each is encoded by itself. The memories start
-    anew when full, which changes no result.
+    up, and for all other stems, each is encoded by itself. A memory that is half
+    full becomes the past one, from which words in use come back; what the past
+    one before it held is forgotten. This changes no result.
     """
 
     MARKS = b".,!*#$%&;:?"
@@ -48,7 +58,9 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.room = Tokenizer.from_file(path), remembered
         self.words: dict[bytes, bytes] = {}
+        self.past_words: dict[bytes, bytes] = {}
         self.stems: dict[bytes, bytes] = {b"": b""}
+        self.past_stems: dict[bytes, bytes] = {}
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.turned = self._turned()
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
@@ -68,12 +80,16 @@ class WordEncoder:
         return re.compile(f"[{''.join(found)}]" if found else "(?!)")
 
     def _split(self, word: bytes) -> tuple[bytes, bytes]:
+        if word.isalpha():
+            return word.lower(), b""
         stem = word.rstrip(self.MARKS)
+        if stem.isalpha():
+            return stem.lower(), word[len(stem):]
         if len(stem) < len(word) and stem:
             last = stem[-1:] if stem[-1] < 128 else stem.decode(errors="replace")[-1]
             if last.isalpha() and (isinstance(last, bytes) or not self.turned.match(last)):
                 return stem.lower(), word[len(stem):]
-        return word.lower() if word.isalpha() else word, b""
+        return word, b""
 
     def _plain(self, stem: bytes) -> bool:
         if stem.isascii():
@@ -95,15 +111,16 @@ class WordEncoder:
                 self.stems[s] = self._ids(s.decode()).tobytes()
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.words) > self.room:
-            self.words = {}
-        if len(self.stems) > self.room:
-            self.stems = {b"": b""}
+        if len(self.words) > self.room // 2:
+            self.words, self.past_words = {}, self.words
+        if len(self.stems) > self.room // 2:
+            self.stems, self.past_stems = {b"": b""}, self.stems
         split = [t.split() for t in texts]
-        new = {w: self._split(w) for w in set().union(*split) if w not in self.words}
-        self._learn([s for s in {s for pair in new.values() for s in pair} if s not in self.stems])
-        self.words.update((w, self.stems[a] + self.stems[b]) for w, (a, b) in new.items())
-        known = self.words
+        known, stems = self.words, self.stems
+        new = _recalled(set().union(*split).difference(known), self.past_words, known)
+        pairs = list(map(self._split, new))
+        self._learn(_recalled(set(chain.from_iterable(pairs)).difference(stems), self.past_stems, stems))
+        known.update(zip(new, [stems[a] + stems[b] if b else stems[a] for a, b in pairs]))
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
