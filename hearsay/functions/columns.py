@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -215,6 +216,10 @@ def stem_word(t: Column) -> Column:
     return t
 
 
+def _ends(word: Column, endings: Sequence[str]) -> Column:
+    return reduce(Column.__or__, [word.endswith(e) for e in endings])
+
+
 STEM_RULES = (
     (r"^(.+)sses$", "$1ss"),
     (r"^(.{2,})ie[sd]$", "$1i"),
@@ -229,10 +234,21 @@ STEM_RULES = (
     (r"^(.+[^aeiouy])y$", "$1i"),
     (r"^(.{2,}[^aeiouy])e$", "$1"),
 )
+#: Each rule rewrites words with one of these endings only, or with one before a line end, which a pattern's `$` allows.
+STEM_ENDINGS = (
+    ("sses",), ("ies", "ied"), ("s",), ("eedly",), ("ingly", "edly"), ("ing", "ed"), ("at", "bl", "iz"), ("ly",), ("ely",), ("ness", "ful"), ("y",), ("e",),
+)
+LINE_ENDS = ("\n", "\r", "\u0085", "\u2028", "\u2029")
 
 
 def stem_tokens(tokens: str | Column) -> Column:
-    return F.transform(as_col(tokens), stem_word)
+    """`stem_word` of all tokens, rule by rule; a rule's pattern is tried on tokens with its endings only."""
+    def by_rules(words: Column) -> Column:
+        for rule, endings in zip(STEM_RULES, STEM_ENDINGS):
+            words = F.transform(words, lambda w: F.when(_ends(w, endings), F.regexp_replace(w, *rule)).otherwise(w))
+        return words
+
+    return let(as_col(tokens), lambda words: F.when(F.exists(words, lambda w: _ends(w, LINE_ENDS)), F.transform(words, stem_word)).otherwise(by_rules(words)))
 
 
 def lemmatize_tokens(tokens: str | Column, lemmas: Mapping[str, str]) -> Column:

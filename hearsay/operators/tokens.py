@@ -35,7 +35,8 @@ STEMMERS = {"light": C.stem_word, "snowball": snowball_word}
 
 def stem(df: DataFrame, col: str, out: str = "stems", method: str = "light") -> DataFrame:
     """Stems in place of words, in order, word by word inside the row: `light` suffix rules or `snowball` English."""
-    return df.withColumn(out, F.transform(col, lambda w: STEMMERS[method](w)))
+    stems = C.stem_tokens(col) if method == "light" else F.transform(col, lambda w: STEMMERS[method](w))
+    return df.withColumn(out, stems)
 
 
 def stem_counts(counts: DataFrame, word: str = "word", count: str = "count", method: str = "light") -> DataFrame:
