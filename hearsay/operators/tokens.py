@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from hearsay.functions import columns as C
 from hearsay.functions.snowball import snowball_word
+from hearsay.operators.bloom import bloom_filter
 from hearsay.operators.coded import group_number, per_group
 from hearsay.operators.reshape import top_k
 from hearsay.operators.skew import join_hot_split
@@ -115,9 +116,44 @@ def term_frequencies(df: DataFrame, tokens: str | Column) -> DataFrame:
 
 
 def tf(df: DataFrame, row_id: str, tokens: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Exact occurrences per (document, word)."""
-    words = C.explode_rows(df, tokens, "word", row_id, *keys)
-    return words.groupBy(row_id, *keys, "word").agg(F.count(F.lit(1)).alias("tf"))
+    """Exact occurrences per (document, word).
+
+    A document whose id no other row has is counted where it is, so its words
+    aren't shuffled. The ids are counted when called; rows without an id, and rows
+    whose id a Bloom filter takes for a repeated one, are counted by a shuffle.
+    """
+    ids = df.groupBy(row_id).agg(F.count(F.lit(1)).alias("_n")).where((F.col("_n") > 1) | F.col(row_id).isNull()).select(row_id)
+    repeated = write_table(ids, "repeated-ids")
+    if repeated.isEmpty():
+        return _row_counts(df, row_id, tokens, keys)
+    shared = F.coalesce(bloom_filter(repeated, row_id).might_hold(row_id), F.lit(True))
+    words = C.explode_rows(df.where(shared), tokens, "word", row_id, *keys)
+    counted = words.groupBy(row_id, *keys, "word").agg(F.count(F.lit(1)).alias("tf"))
+    return _row_counts(df.where(~shared), row_id, tokens, keys).unionByName(counted)
+
+
+def _row_counts(df: DataFrame, row_id: str, tokens: str | Column, keys: Sequence[str]) -> DataFrame:
+    """(row, word) with the occurrences in that row; a batch's rows are counted side by side."""
+    ship_package(df.sparkSession)
+    rows = df.select(row_id, *keys, (F.col(tokens) if isinstance(tokens, str) else tokens).alias("_tokens"))
+    schema = StructType([*rows.schema.fields[:-1], StructField("word", StringType()), StructField("tf", LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                some = batch.slice(at, 1000)
+                lists = some.column(some.num_columns - 1)
+                found = lists.flatten().dictionary_encode()
+                n = max(len(found.dictionary), 1)
+                owner = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+                word = pc.fill_null(found.indices, -1).to_numpy(zero_copy_only=False)
+                pairs, times = np.unique((owner * n + word)[word >= 0], return_counts=True)
+                own, word = np.divmod(pairs, n)
+                kept = [c.take(pa.array(own)) for c in some.columns[:-1]]
+                columns = [*kept, found.dictionary.take(pa.array(word)).cast(pa.string()), pa.array(times, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def idf(df: DataFrame, tokens: str) -> DataFrame:
