@@ -6,12 +6,12 @@ import os
 import re
 import sys
 import zlib
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from hearsay.llm.common import materialise, slices
@@ -29,38 +29,40 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _recalled(wanted: set[bytes], past: dict[bytes, bytes], known: dict[bytes, bytes]) -> list[bytes]:
-    """Take over what the past memory has; the others are returned."""
-    new = wanted.difference(past)
-    again = wanted.difference(new)
-    known.update(zip(again, map(past.__getitem__, again)))
-    return list(new)
-
-
 class WordEncoder:
     """Ids of texts, as little-endian 32-bit bytes, for a tokenizer that never joins text across white space.
 
-    Each distinct word is encoded once and remembered. A word is a stem and
-    trailing marks, which the tokenizer never joins either where the stem's
-    normal form ends in a letter (it joins them to a combining mark); ASCII
-    capitals make no difference to it. New stems of letters are encoded as one text, in which
-    every stem ends with the only token that ends a word; should these not add
-    up, and for all other stems, each is encoded by itself. A memory that is half
-    full becomes the past one, from which words in use come back; what the past
-    one before it held is forgotten. This changes no result.
+    The texts of a call are cut into words by the classes of their bytes: at white
+    space, and between an ASCII letter and a mark, which the tokenizer never joins
+    either. Arrow numbers the distinct words and puts their ids in the words'
+    places; each distinct word is encoded once and remembered in Arrow tables.
+    Marks that stay behind a word are cut off where its normal form ends in a
+    letter (the tokenizer joins them to a combining mark). ASCII capitals make no
+    difference to it, unless a combining mark may follow or an added token is
+    spelt. New stems of letters are encoded as one text, in which every stem ends
+    with the only token that ends a word; should these not add up, and for all
+    other stems, each is encoded by itself. A memory that is half full becomes the
+    past one, from which words in use come back; what the past one before it held
+    is forgotten. This changes no result.
     """
 
     MARKS = b".,!*#$%&;:?"
+    SPACE = b" \t\n\x0b\x0c\r"
+    #: Lead bytes of U+0300 to U+037F, where all marks that ASCII letters are composed with are.
+    COMBINING = b"\xcc", b"\xcd"
+    SMALL = bytes(range(256)).lower()
+    MEMORY = pa.schema([("word", pa.binary()), ("ids", pa.large_binary())])
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.room = Tokenizer.from_file(path), remembered
-        self.words: dict[bytes, bytes] = {}
-        self.past_words: dict[bytes, bytes] = {}
-        self.stems: dict[bytes, bytes] = {b"": b""}
-        self.past_stems: dict[bytes, bytes] = {}
+        self.words = self.past_words = self.stems = self.past_stems = self.MEMORY.empty_table()
+        self.learned: dict[bytes, bytes] = {}
+        # Classes of bytes: white space, ASCII letters, marks, others; only letters and marks differ by 3.
+        self.classes = bytes(0 if c in self.SPACE else 1 if bytes([c]).isalpha() else 2 if c in self.MARKS else 4 for c in range(256))
+        self.added = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.turned = self._turned()
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
@@ -80,15 +82,11 @@ class WordEncoder:
         return re.compile(f"[{''.join(found)}]" if found else "(?!)")
 
     def _split(self, word: bytes) -> tuple[bytes, bytes]:
-        if word.isalpha():
-            return word.lower(), b""
-        stem = word.rstrip(self.MARKS)
-        if stem.isalpha():
-            return stem.lower(), word[len(stem):]
-        if len(stem) < len(word) and stem:
-            last = stem[-1:] if stem[-1] < 128 else stem.decode(errors="replace")[-1]
-            if last.isalpha() and (isinstance(last, bytes) or not self.turned.match(last)):
-                return stem.lower(), word[len(stem):]
+        if not word.isascii():
+            stem = word.rstrip(self.MARKS)
+            last = stem.decode(errors="replace")[-1:] if len(stem) < len(word) else ""
+            if last.isalpha() and not self.turned.match(last):
+                return stem, word[len(stem):]
         return word, b""
 
     def _plain(self, stem: bytes) -> bool:
@@ -105,23 +103,56 @@ class WordEncoder:
             last = np.flatnonzero(self.ends[ids]) + 1
             if len(last) == len(some):
                 raw, cuts = ids.tobytes(), [0, *(4 * last).tolist()]
-                self.stems.update((s, raw[i:j]) for s, i, j in zip(some, cuts, cuts[1:]))
+                self.learned.update((s, raw[i:j]) for s, i, j in zip(some, cuts, cuts[1:]))
         for s in stems:
-            if s not in self.stems:
-                self.stems[s] = self._ids(s.decode()).tobytes()
+            if s not in self.learned:
+                self.learned[s] = self._ids(s.decode()).tobytes()
+
+    def _learn_words(self, words: list[bytes]) -> None:
+        pairs = [p for p in map(self._split, words) if p[1]]
+        wanted = list({x for p in pairs for x in p})
+        known = dict(zip(wanted, self._remember("stems", pa.array(wanted, pa.binary()), self._learn).to_pylist()))
+        joined = {a + b: known[a] + known[b] for a, b in pairs}
+        self._learn([w for w in words if w not in joined])
+        self.learned.update(joined)
+
+    def _remember(self, memory: str, wanted: pa.Array, learn: Callable[[list[bytes]], None]) -> pa.Array:
+        """Ids of distinct words; those that the memory doesn't have are learned."""
+        now, past = getattr(self, memory), getattr(self, f"past_{memory}")
+        if len(now) > self.room // 2:
+            now, past = self.MEMORY.empty_table(), now
+        rest = wanted.filter(pc.invert(pc.is_in(wanted, value_set=now["word"])))
+        at = pc.index_in(rest, value_set=past["word"])
+        new = rest.filter(at.is_null())
+        words = new.to_pylist()
+        learn(words)
+        made = pa.table([new, pa.array(map(self.learned.__getitem__, words), pa.large_binary())], schema=self.MEMORY)
+        self.learned.clear()
+        now = pa.concat_tables([now, past.take(at.drop_null()), made]).combine_chunks()
+        setattr(self, memory, now), setattr(self, f"past_{memory}", past)
+        return now["ids"].take(pc.index_in(wanted, value_set=now["word"])).combine_chunks()
+
+    def _cut(self, texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+        """The words of all texts, and how many come before each text and after the last."""
+        joined = b" " + b" ".join(texts)
+        small = joined.translate(self.SMALL)
+        data = joined if any(x in joined for x in self.COMBINING) or any(t in small for t in self.added) else small
+        kind = np.frombuffer(joined.translate(self.classes), np.uint8)
+        inside = kind != 0
+        starts = np.zeros(len(kind), bool)
+        starts[1:] = inside[1:] & (~inside[:-1] | (kind[1:] ^ kind[:-1] == 3))
+        first = np.searchsorted(np.flatnonzero(starts), np.cumsum([0] + [1 + len(t) for t in texts]))
+        data, cuts = data.translate(None, self.SPACE), np.flatnonzero(starts[inside])
+        cuts = np.append(cuts, len(data)).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(data)]), first
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.words) > self.room // 2:
-            self.words, self.past_words = {}, self.words
-        if len(self.stems) > self.room // 2:
-            self.stems, self.past_stems = {b"": b""}, self.stems
-        split = [t.split() for t in texts]
-        known, stems = self.words, self.stems
-        new = _recalled(set().union(*split).difference(known), self.past_words, known)
-        pairs = list(map(self._split, new))
-        self._learn(_recalled(set(chain.from_iterable(pairs)).difference(stems), self.past_stems, stems))
-        known.update(zip(new, [stems[a] + stems[b] if b else stems[a] for a, b in pairs]))
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        words, first = self._cut(texts)
+        coded = words.dictionary_encode()
+        ids = self._remember("words", coded.dictionary, self._learn_words).take(coded.indices)
+        places = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset: ids.offset + len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
+        raw = memoryview(ids.buffers()[2] or b"")
+        return [bytes(raw[i:j]) for i, j in zip(places[first], places[first[1:]])]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -134,7 +165,7 @@ def worker_encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def groups_of(texts: list[bytes], most: int = 1 << 20) -> Iterator[list[bytes]]:
+def groups_of(texts: list[bytes], most: int = 1 << 22) -> Iterator[list[bytes]]:
     """Consecutive texts of about `most` bytes together, so that the words of one group fit in memory."""
     group, size = [], 0
     for text in texts:
