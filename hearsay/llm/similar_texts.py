@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +22,8 @@ SHINGLE, SIMILARITY, BITS = 5, 0.8, 128
 SEGMENTS = 3
 #: Complete distance up to which a pair is checked; at a similarity of 0.8 about 19 bits differ, of unrelated texts 64.
 DISTANCE = 28
+#: Words of 64 bits in a sketch of a set of shingles.
+WORDS = 16
 _CHUNK = 1 << 14
 
 
@@ -115,7 +119,45 @@ def _differ(a: str, b: str) -> Column:
     return (F.col(f"{a}.bit") != F.col(f"{b}.bit")) | (F.col(f"{a}.bit") < 0)
 
 
-def similar_groups(docs: DataFrame, id_col: str, text_col: str, size: int = SHINGLE, similarity: float = SIMILARITY, hub: int = 1000) -> DataFrame:
+def _meet(a: str, b: str) -> Column:
+    """A segment of the two differs in at most two bits."""
+    cells = [zip(_segments(f"{a}.{w}", 0), _segments(f"{b}.{w}", 0)) for w in ("f0", "f1")]
+    return F.array_min(F.array(*[F.bit_count(x.bitwiseXOR(y)) for pairs in cells for (_, x, _), (_, y, _) in pairs])) <= 2
+
+
+def _rarest(sets: DataFrame, similarity: float) -> DataFrame:
+    """node, pos, s, sketch: of the shingles of each node, rarest in the table first, those one of which a similar set must have.
+
+    The sketch has a bit for each of 64 * WORDS buckets of shingles: whether their number is odd.
+    """
+    cells = sets.select("node", F.explode("shingles").alias("s"))
+    often = cells.groupBy("s").agg(F.count(F.lit(1)).alias("w")).withColumn("often", F.col("w"))
+    cells = join_weighted(cells, materialise(often, "crowd-shingles"), ["s"], "w")
+    bit = [F.when(F.pmod("s", F.lit(WORDS)) == k, F.expr(f"shiftleft(1L, cast(pmod(s div {WORDS}, 64) as int))")).otherwise(0) for k in range(WORDS)]
+    ranked = cells.groupBy("node").agg(
+        F.sort_array(F.collect_list(F.struct("often", "s"))).alias("l"), *[F.bit_xor(b).alias(f"_b{k}") for k, b in enumerate(bit)])
+    ranked = ranked.select("node", "l", F.array(*[f"_b{k}" for k in range(WORDS)]).alias("sketch"))
+    first = F.slice("l", F.lit(1), (F.floor(F.size("l") * (1 - similarity) + 1e-6) + 1).cast("int"))
+    return ranked.select("node", "sketch", F.posexplode(first).alias("pos", "_c")).select("node", "sketch", "pos", "_c.s")
+
+
+def _crowd_pairs(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (x, y) of different parts that meet, and can have the similarity by the places of a shingle they share.
+
+    Two sets that have m shingles in common share one that is in none of the last m - 1 places of either. A shingle that
+    only one of them has changes one bit of their sketches, so these differ in no more bits than the sets in shingles.
+    """
+    cells = materialise(_rarest(sets, similarity).join(nodes, "node"), "crowd-rarest")
+    x, y = cells.alias("x"), cells.alias("y")
+    least = (F.col("x.n") + F.col("y.n")) * (similarity / (1 + similarity)) - 1e-6
+    placed = (F.col("x.pos") + least <= F.col("x.n")) & (F.col("y.pos") + least <= F.col("y.n"))
+    differ = reduce(add, [F.bit_count(F.col("x.sketch")[k].bitwiseXOR(F.col("y.sketch")[k])) for k in range(WORDS)])
+    alike = differ <= F.col("x.n") + F.col("y.n") - 2 * least
+    apart = (F.col("x.node") < F.col("y.node")) & (F.col("x.part") != F.col("y.part"))
+    return x.join(y, (F.col("x.s") == F.col("y.s")) & apart & placed & alike & _near("x", "y", similarity) & _meet("x", "y"))
+
+
+def similar_groups(docs: DataFrame, id_col: str, text_col: str, size: int = SHINGLE, similarity: float = SIMILARITY, hub: int = 1000, crowd: int = 20) -> DataFrame:
     """doc_id, text_hash, group: documents linked by shingle sets of at least `similarity` (Jaccard) share a group.
 
     Texts with the same set of shingles are one node. Of the nodes that share a
@@ -125,8 +167,11 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, size: int = SHIN
     enter a table per segment under their value and its neighbours at one bit, so
     two whose segments differ in at most two bits meet; pairs of different parts
     are verified over all 128 bits, by the sizes of their sets and by the sets.
-    A part above `hub` nodes, the largest at a table entry, isn't compared with
-    itself there.
+    The nodes of parts above `hub` nodes, and all that are where more than `crowd`
+    of such a part are, are a crowd. Two texts of which one isn't linked to the
+    centre can be linked only by shingles that they have or lack against it, so
+    in a crowd those meet that share one of their rarest and whose sketches allow
+    the similarity; the same pairs are linked.
     """
     key = F.xxhash64(F.col(id_col), F.col(text_col))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), key.alias("key"), F.col(text_col).alias("_text"))
@@ -135,13 +180,17 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, size: int = SHIN
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     slim = nodes.where("n > 0").select("node", "f0", "f1", F.col("n").cast("int").alias("n"))
 
-    def verified(pairs: DataFrame, label: str) -> DataFrame:
-        """The pairs (a, b) whose sets have the similarity; only texts in a pair are read again, and moved."""
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    def sets_of(asked: DataFrame, label: str) -> DataFrame:
+        """The shingles of the nodes asked for; only their texts are read again, and moved."""
         named = materialise(nodes.join(asked, "node").select("node", "key"), f"{label}-nodes")
         texts = docs.select(key.alias("key"), F.col(text_col).alias("_text")).where(bloom_filter(named, "key").might_hold("key"))
         sets = add_shingles(texts.join(named, "key").select("node", "_text").dropDuplicates(["node"]), "_text", size)
-        return materialise(_verified(pairs, materialise(sets, f"{label}-sets"), similarity), f"{label}-links")
+        return materialise(sets, f"{label}-sets")
+
+    def verified(pairs: DataFrame, label: str) -> DataFrame:
+        """The pairs (a, b) whose sets have the similarity."""
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        return materialise(_verified(pairs, sets_of(asked, label), similarity), f"{label}-links")
 
     whole = materialise(_entries(slim, flips=False).drop("bit"), "whole-segments")
     shared = materialise(whole.groupBy("at").agg(F.count(F.lit(1)).alias("w")).where("w > 1"), "shared-segments")
@@ -166,14 +215,19 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, size: int = SHIN
 
     entries = _entries(parted, flips=True)
     big = parted.groupBy("part").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > hub).select("part")
-    left = entries
+    ends = [F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")]
+    left, pairs = entries, []
     if not big.isEmpty():
-        at = _entries(parted.join(F.broadcast(big), "part", "left_semi"), flips=True).groupBy("at", "part").agg(F.count(F.lit(1)).alias("c"))
-        hubs = materialise(at.groupBy("at").agg(F.max_by("part", F.struct("c", "part")).alias("hub")), "hubs")
-        left = entries.join(hubs, "at", "left").where("hub IS NULL OR hub <> part").drop("hub")
+        members = materialise(parted.join(F.broadcast(big), "part", "left_semi"), "members")
+        full = _entries(members, flips=True).groupBy("at", "part").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > crowd)
+        there = entries.join(materialise(full.select("at").distinct(), "full-entries"), "at", "left_semi").select("node")
+        crowded = materialise(there.unionByName(members.select("node")).distinct(), "crowd")
+        left = _entries(parted.join(crowded, "node", "left_anti"), flips=True)
+        close = _crowd_pairs(parted.join(crowded, "node"), sets_of(crowded, "crowd"), similarity)
+        pairs = [close.select(*ends)]
     x, y = left.alias("x"), entries.alias("y")
     met = x.join(y.hint("merge"), (F.col("x.at") == F.col("y.at")) & (F.col("x.part") != F.col("y.part")) & _differ("x", "y") & _near("x", "y", similarity))
-    pairs = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+    pairs = reduce(DataFrame.unionByName, [met.select(*ends), *pairs])
     links = linked.unionByName(verified(materialise(pairs.distinct(), "met-pairs"), "met"))
     ends = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     group = roots(ends).withColumnsRenamed({"f": "node", "root": "group"})
