@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import sys
@@ -165,6 +166,14 @@ def worker_encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
+def give_back() -> None:
+    """Free what the allocators keep after a task: workers that wait for the next one count in an executor's memory too."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def groups_of(texts: list[bytes], most: int = 1 << 22) -> Iterator[list[bytes]]:
     """Consecutive texts of about `most` bytes together, so that the words of one group fit in memory."""
     group, size = [], 0
@@ -185,6 +194,10 @@ def cut_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, capa
     schema = PIECES.format(id=rows.schema["doc_id"].dataType.simpleString())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from cut(batches)
+        give_back()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end, width = worker_encoder(tokenizer), bytes(4), 4 * capacity
         for batch in slices(batches):
             owner, piece, length, crc = [], [], [], []
