@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from hearsay.llm.common import join_weighted, materialise, slices
-from hearsay.llm.simhash import roots, segments_of
+from hearsay.llm.simhash import ball, roots, segments_of
 from hearsay.operators.bloom import bloom_filter
 from hearsay.session import ship_package
 
@@ -125,6 +125,16 @@ def _meet(a: str, b: str) -> Column:
     return F.array_min(F.array(*[F.bit_count(x.bitwiseXOR(y)) for pairs in cells for (_, x, _), (_, y, _) in pairs])) <= 2
 
 
+def _crowded(nodes: DataFrame, whole: DataFrame, crowd: int) -> DataFrame:
+    """The nodes with an entry where more than `crowd` have one, beyond four times what chance gives; any other node meets at most that many there."""
+    widths = [width for _, width, _ in segments_of(SEGMENTS, SEGMENTS)]
+    chance = whole.count() * (1 + min(widths)) >> min(widths)
+    full = _entries(nodes, flips=True).groupBy("at").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > crowd + 4 * chance // (2 * SEGMENTS))
+    masks = F.array(*[F.lit(m).cast("long") for m in ball(max(widths), 1)])
+    around = materialise(full, "full-entries").select("at", F.explode(masks).alias("m")).select(F.col("at").bitwiseXOR(F.col("m")).alias("at"))
+    return whole.join(around.distinct(), "at", "left_semi").select("node")
+
+
 def _rarest(sets: DataFrame, similarity: float) -> DataFrame:
     """node, pos, s, sketch: of the shingles of each node, rarest in the table first, those one of which a similar set must have.
 
@@ -168,10 +178,11 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, size: int = SHIN
     two whose segments differ in at most two bits meet; pairs of different parts
     are verified over all 128 bits, by the sizes of their sets and by the sets.
     The nodes of parts above `hub` nodes, and all that are where more than `crowd`
-    of such a part are, are a crowd. Two texts of which one isn't linked to the
-    centre can be linked only by shingles that they have or lack against it, so
-    in a crowd those meet that share one of their rarest and whose sketches allow
-    the similarity; the same pairs are linked.
+    nodes and more than chance puts there are, whatever their parts, are a crowd.
+    Two texts of which one isn't linked to the centre can be linked only by
+    shingles that they have or lack against it, so in a crowd those meet that
+    share one of their rarest and whose sketches allow the similarity; the same
+    pairs are linked. So each other node makes a bounded number of pairs.
     """
     key = F.xxhash64(F.col(id_col), F.col(text_col))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), key.alias("key"), F.col(text_col).alias("_text"))
@@ -216,12 +227,9 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, size: int = SHIN
     entries = _entries(parted, flips=True)
     big = parted.groupBy("part").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > hub).select("part")
     ends = [F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")]
+    crowded = materialise(_crowded(parted, whole, crowd).unionByName(parted.join(big, "part", "left_semi").select("node")).distinct(), "crowd")
     left, pairs = entries, []
-    if not big.isEmpty():
-        members = materialise(parted.join(F.broadcast(big), "part", "left_semi"), "members")
-        full = _entries(members, flips=True).groupBy("at", "part").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > crowd)
-        there = entries.join(materialise(full.select("at").distinct(), "full-entries"), "at", "left_semi").select("node")
-        crowded = materialise(there.unionByName(members.select("node")).distinct(), "crowd")
+    if not crowded.isEmpty():
         left = _entries(parted.join(crowded, "node", "left_anti"), flips=True)
         close = _crowd_pairs(parted.join(crowded, "node"), sets_of(crowded, "crowd"), similarity)
         pairs = [close.select(*ends)]

@@ -44,3 +44,21 @@ def test_rarest_shingles_and_sketches_lose_no_similar_pair(spark):
     pairs = {(r.a, r.b) for r in similar_texts._crowd_pairs(nodes, frame, 0.8).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).collect()}
     want = {(a, b) for b in range(len(sets)) for a in range(b) if len(u := {*sets[a]} & {*sets[b]}) >= 0.8 * len({*sets[a]} | {*sets[b]})}
     assert want and want <= pairs and len(pairs) < len(sets) * (len(sets) - 1) / 20
+
+
+def test_few_pairs_meet_in_a_crowd_without_a_large_part(spark, monkeypatch):
+    """Texts around a middle that is none of them: nearly all are a part of their own."""
+    base, met, plain = [f"red{k}" for k in range(200)], {}, similar_texts.materialise
+
+    def kept(df, label, *args):
+        out = met[label] = plain(df, label, *args)
+        return out
+
+    monkeypatch.setattr(similar_texts, "materialise", kept)
+    texts = [[f"y{i}.{k}" if k in (5 + i % 50, 70 + i % 41, 120 + i % 37, 160 + i % 29) else w for k, w in enumerate(base)] for i in range(150)]
+    texts += [[*t[:-1], "end"] for t in texts[::10]]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.group for r in similar_texts.similar_groups(docs, "doc_id", "text").collect()}
+    group = plain_similar([(k, " ".join(t)) for k, t in enumerate(texts)])
+    assert {frozenset(i for i in got if got[i] == g) for g in got.values()} == {frozenset(i for i in group if group[i] == g) for g in group.values()}
+    assert met["met-pairs"].count() < 4 * len(texts)
