@@ -156,15 +156,20 @@ def _crowd_pairs(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFr
 
     Two sets that have m shingles in common share one that is in none of the last m - 1 places of either. A shingle that
     only one of them has changes one bit of their sketches, so these differ in no more bits than the sets in shingles.
+    Nodes of the part that has a shingle most often are asked only by those of other parts, never by each other.
     """
     cells = materialise(_rarest(sets, similarity).join(nodes, "node"), "crowd-rarest")
-    x, y = cells.alias("x"), cells.alias("y")
+    held = cells.groupBy("s", "part").agg(F.count(F.lit(1)).alias("c"))
+    most = materialise(held.groupBy("s").agg(F.max_by("part", F.struct("c", "part")).alias("most"), F.sum("c").alias("w")), "crowd-most")
+    x, y = join_weighted(cells, most, ["s"], "w").where("part <> most").alias("x"), cells.alias("y")
     least = (F.col("x.n") + F.col("y.n")) * (similarity / (1 + similarity)) - 1e-6
     placed = (F.col("x.pos") + least <= F.col("x.n")) & (F.col("y.pos") + least <= F.col("y.n"))
     differ = reduce(add, [F.bit_count(F.col("x.sketch")[k].bitwiseXOR(F.col("y.sketch")[k])) for k in range(WORDS)])
     alike = differ <= F.col("x.n") + F.col("y.n") - 2 * least
-    apart = (F.col("x.node") < F.col("y.node")) & (F.col("x.part") != F.col("y.part"))
-    return x.join(y, (F.col("x.s") == F.col("y.s")) & apart & placed & alike & _near("x", "y", similarity) & _meet("x", "y"))
+    apart = (F.col("x.part") != F.col("y.part")) & ((F.col("y.part") == F.col("x.most")) | (F.col("x.node") < F.col("y.node")))
+    met = x.join(y, (F.col("x.s") == F.col("y.s")) & apart & placed & alike & _near("x", "y", similarity) & _meet("x", "y"))
+    ends = F.least("x.node", "y.node"), F.greatest("x.node", "y.node")
+    return met.select(*[F.struct(end.alias("node")).alias(name) for end, name in zip(ends, "xy")])
 
 
 def similar_groups(docs: DataFrame, id_col: str, text_col: str, size: int = SHINGLE, similarity: float = SIMILARITY, hub: int = 1000, crowd: int = 20) -> DataFrame:
@@ -179,6 +184,8 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, size: int = SHIN
     are verified over all 128 bits, by the sizes of their sets and by the sets.
     The nodes of parts above `hub` nodes, and all that are where more than `crowd`
     nodes and more than chance puts there are, whatever their parts, are a crowd.
+    Before, parts above `crowd` nodes take in what their centre is linked to by
+    entries, and in a crowd the part that has a shingle most often is met by others only.
     Two texts of which one isn't linked to the centre can be linked only by
     shingles that they have or lack against it, so in a crowd those meet that
     share one of their rarest and whose sketches allow the similarity; the same
@@ -224,6 +231,17 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, size: int = SHIN
         part = materialise(part.join(above, F.col("part") == F.col("_up"), "left").select("node", F.coalesce("_top", "part").alias("part")), f"parts-{k}")
     parted = materialise(slim.join(part, "node", "left").withColumn("part", F.coalesce("part", "node")), "parted")
 
+    # Large parts take in what their centre is linked to without sharing a whole segment.
+    many = parted.groupBy("part").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > crowd)
+    heads = materialise(_entries(parted.join(many.select(F.col("part").alias("node")), "node", "left_semi"), flips=True), "head-entries")
+    if not heads.isEmpty():
+        x, y = heads.alias("x"), _entries(parted, flips=True).alias("y")
+        met = x.join(y, (F.col("x.at") == F.col("y.at")) & (F.col("x.part") != F.col("y.part")) & _differ("x", "y") & _near("x", "y", similarity))
+        found = verified(materialise(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "head-pairs"), "head")
+        linked = linked.unionByName(found)
+        above = found.join(heads.select(F.col("node").alias("a"), F.col("part").alias("_top")).distinct(), "a").groupBy(F.col("b").alias("node")).agg(F.min("_top").alias("_top"))
+        parted = materialise(parted.join(above, "node", "left").withColumn("part", F.coalesce("_top", "part")).drop("_top"), "parted-again")
+
     entries = _entries(parted, flips=True)
     big = parted.groupBy("part").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > hub).select("part")
     ends = [F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")]

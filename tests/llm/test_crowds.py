@@ -62,3 +62,19 @@ def test_few_pairs_meet_in_a_crowd_without_a_large_part(spark, monkeypatch):
     group = plain_similar([(k, " ".join(t)) for k, t in enumerate(texts)])
     assert {frozenset(i for i in got if got[i] == g) for g in got.values()} == {frozenset(i for i in group if group[i] == g) for g in group.values()}
     assert met["met-pairs"].count() < 4 * len(texts)
+
+
+def test_pairs_of_a_crowd_are_those_of_different_parts(spark):
+    """Whichever part has a shingle most often, pairs across parts stay, smaller node first, and none within a part."""
+    import random
+
+    random.seed(6)
+    bases = [random.sample(range(100), 20) for _ in range(3)]
+    sets = [sorted({*random.choice(bases)} ^ {*random.sample(range(100), 1)}) for _ in range(150)]
+    part = [0 if k % 4 else k % 3 for k in range(len(sets))]
+    frame = spark.createDataFrame([(k, s, p) for k, (s, p) in enumerate(zip(sets, part))], "node long, shingles array<long>, part long")
+    nodes = frame.select("node", F.lit(0).cast("long").alias("f0"), F.lit(0).cast("long").alias("f1"), F.size("shingles").alias("n"), "part")
+    pairs = {(r.a, r.b) for r in similar_texts._crowd_pairs(nodes, frame.drop("part"), 0.8).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).collect()}
+    like = lambda a, b: len({*sets[a]} & {*sets[b]}) >= 0.8 * len({*sets[a]} | {*sets[b]})
+    assert {(a, b) for b in range(len(sets)) for a in range(b) if part[a] != part[b] and like(a, b)} <= pairs
+    assert all(a < b and part[a] != part[b] for a, b in pairs)
