@@ -125,13 +125,16 @@ def _meet(a: str, b: str) -> Column:
     return F.array_min(F.array(*[F.bit_count(x.bitwiseXOR(y)) for pairs in cells for (_, x, _), (_, y, _) in pairs])) <= 2
 
 
-def _crowded(nodes: DataFrame, whole: DataFrame, crowd: int) -> DataFrame:
-    """The nodes with an entry where more than `crowd` have one, beyond four times what chance gives; any other node meets at most that many there."""
-    widths = [width for _, width, _ in segments_of(SEGMENTS, SEGMENTS)]
-    chance = whole.count() * (1 + min(widths)) >> min(widths)
-    full = _entries(nodes, flips=True).groupBy("at").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > crowd + 4 * chance // (2 * SEGMENTS))
-    masks = F.array(*[F.lit(m).cast("long") for m in ball(max(widths), 1)])
-    around = materialise(full, "full-entries").select("at", F.explode(masks).alias("m")).select(F.col("at").bitwiseXOR(F.col("m")).alias("at"))
+def _crowded(whole: DataFrame, shared: DataFrame, crowd: int) -> DataFrame:
+    """The nodes of which a segment is within two bits of a value that more than `crowd` nodes have, beyond four times what chance gives.
+
+    Any other node meets at most that many by each value it can meet by.
+    """
+    chance = whole.count() // (2 * SEGMENTS << 64 // SEGMENTS)
+    full = shared.where(F.col("w") > crowd + 4 * chance)
+    width = max(width for _, width, _ in segments_of(SEGMENTS, SEGMENTS))
+    masks = F.array(*[F.lit(m).cast("long") for m in ball(width, 2)])
+    around = full.select("at", F.explode(masks).alias("m")).select(F.col("at").bitwiseXOR(F.col("m")).alias("at"))
     return whole.join(around.distinct(), "at", "left_semi").select("node")
 
 
@@ -182,8 +185,8 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, size: int = SHIN
     enter a table per segment under their value and its neighbours at one bit, so
     two whose segments differ in at most two bits meet; pairs of different parts
     are verified over all 128 bits, by the sizes of their sets and by the sets.
-    The nodes of parts above `hub` nodes, and all that are where more than `crowd`
-    nodes and more than chance puts there are, whatever their parts, are a crowd.
+    The nodes of parts above `hub` nodes, and all near a segment that more than
+    `crowd` nodes share, and more than by chance, whatever their parts, are a crowd.
     Before, parts above `crowd` nodes take in what their centre is linked to by
     entries, and in a crowd the part that has a shingle most often is met by others only.
     Two texts of which one isn't linked to the centre can be linked only by
@@ -245,7 +248,7 @@ def similar_groups(docs: DataFrame, id_col: str, text_col: str, size: int = SHIN
     entries = _entries(parted, flips=True)
     big = parted.groupBy("part").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > hub).select("part")
     ends = [F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")]
-    crowded = materialise(_crowded(parted, whole, crowd).unionByName(parted.join(big, "part", "left_semi").select("node")).distinct(), "crowd")
+    crowded = materialise(_crowded(whole, shared, crowd).unionByName(parted.join(big, "part", "left_semi").select("node")).distinct(), "crowd")
     left, pairs = entries, []
     if not crowded.isEmpty():
         left = _entries(parted.join(crowded, "node", "left_anti"), flips=True)

@@ -58,7 +58,7 @@ def test_few_pairs_meet_in_a_crowd_without_a_large_part(spark, monkeypatch):
     texts = [[f"y{i}.{k}" if k in (5 + i % 50, 70 + i % 41, 120 + i % 37, 160 + i % 29) else w for k, w in enumerate(base)] for i in range(150)]
     texts += [[*t[:-1], "end"] for t in texts[::10]]
     docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
-    got = {r.doc_id: r.group for r in similar_texts.similar_groups(docs, "doc_id", "text").collect()}
+    got = {r.doc_id: r.group for r in similar_texts.similar_groups(docs, "doc_id", "text", crowd=3).collect()}
     group = plain_similar([(k, " ".join(t)) for k, t in enumerate(texts)])
     assert {frozenset(i for i in got if got[i] == g) for g in got.values()} == {frozenset(i for i in group if group[i] == g) for g in group.values()}
     assert met["met-pairs"].count() < 4 * len(texts)
