@@ -1,27 +1,29 @@
 """Topics by variational inference on sums that Spark makes; words and documents stay in tables.
 
-A topic model's state is one row per word and group of coded documents that has
-it, one per document, and k totals. A round sends both to the groups, shares
-every (document, word) count out over the topics there, and adds the shares up by
-document inside the group and by word over all of them. The counts themselves
-stay where they are; neither a vocabulary nor a document passes the driver.
+A topic model's state is a vector per word, kept at the word's home, one per
+document, and k totals. A round sends each group of coded documents the vectors
+of its words and documents, shares every (document, word) count out over the
+topics there, and adds the shares up by document inside the group and by word at
+the homes. The counts themselves stay where they are, a round's files go when the
+next has ended, and neither a vocabulary nor a document passes the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
-from math import exp, lgamma, log
+from math import lgamma
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from hearsay.operators.coded import Coded, chunks, code_words, kept, per_group
-from hearsay.session import write_table
+from hearsay.operators.coded import Coded, code_words, per_group
+from hearsay.operators.linked import PASSED, Linked, levels_at, link_words, passed, read, read_counts, rows_of
+from hearsay.session import drop_table, shuffles_freed, write_table
 
 
 @dataclass(frozen=True)
@@ -54,72 +56,127 @@ def log_gamma(x: str) -> Column:
     return F.expr(f"{series} - ({' + '.join(f'ln({x} + {i})' for i in range(8))})")
 
 
-def digamma_of(x: float) -> float:
+def digamma_of(x):
+    """The same of a number or an array."""
     y = x + 6
     square = 1 / (y * y)
-    return log(y) - 0.5 / y - square * (1 / 12 - square * (1 / 120 - square * (1 / 252 - square / 240))) - sum(1 / (x + i) for i in range(6))
+    return np.log(y) - 0.5 / y - square * (1 / 12 - square * (1 / 120 - square * (1 / 252 - square / 240))) - sum(1 / (x + i) for i in range(6))
+
+
+def log_gamma_of(x):
+    y = x + 8
+    square = 1 / (y * y)
+    series = (y - 0.5) * np.log(y) - y + 0.9189385332046727 + (1 / 12 - square * (1 / 360 - square / 1260)) / y
+    return series - sum(np.log(x + i) for i in range(8))
 
 
 def _add(columns: Sequence[Column]) -> Column:
     return reduce(Column.__add__, columns)
 
 
-def _start(word: Column, topic: int, seed: int) -> Column:
-    """Between a half and one and a half, by a digest of word and topic: the same in every run and partitioning."""
-    digest = F.md5(F.concat_ws("-", F.lit(str(seed)), F.lit(str(topic)), word))
-    return 0.5 + F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") / float(1 << 32)
+#: Cells that are worked on at a time: their shares stay in a core's cache.
+_STEP = 1 << 15
 
 
-def _share(k: int, even: float, schema: StructType):
-    """Work of a group: its counts shared out over the topics and added up by word and by document, which has `_ll`, its part of the bound."""
+def _share(k: int, alpha: float, bounds: bool, homes: bool):
+    """Work of a group: its counts shared out over the topics and added up by document and, for the words' `homes`, by word."""
     def work(cells: pa.Table, state: pa.Table) -> pa.Table:
-        values = lambda rows: np.column_stack([rows[f"v{t}"].to_numpy() for t in range(k)])
-        of_words, of_docs = state.filter(pc.is_valid(state["word"])), state.filter(pc.is_null(state["word"]))
-        place = of_words["_i"].to_numpy()
-        level = np.zeros((int(place.max()) + 1 if len(place) else 0, k))
-        level[place] = values(of_words)
-        known = np.zeros(len(level), bool)
-        known[place] = True
-        mixed = np.full((int(pc.max(cells["_i"]).as_py() or 0) + 1 if len(cells) else 0, k), even)
-        if len(of_docs):
-            mixed[of_docs["_i"].to_numpy()] = values(of_docs)
-        sums, found = np.zeros_like(level), []
-        for part, own, word, tf in chunks(cells):
-            told = word < len(level)
-            told[told] = known[word[told]]
-            own, word, tf, docs = own[told], word[told], tf[told], part.column("_i").to_numpy()
-            shares = mixed[docs[own]] * level[word]
-            whole = shares.sum(1)
-            shares *= (tf / whole)[:, None]
-            for t in range(k):
-                sums[:, t] += np.bincount(word, shares[:, t], len(level))
-            used, starts = np.unique(own, return_index=True)
-            if len(used):
-                found.append((docs[used], np.add.reduceat(tf * np.log(whole), starts), np.add.reduceat(shares, starts)))
-        docs = np.concatenate([f[0] for f in found]) if found else np.empty(0, np.int32)
-        by_doc = np.concatenate([f[2] for f in found]) if found else np.empty((0, k))
-        bound = np.concatenate([f[1] for f in found]) if found else np.empty(0)
-        n, m, p = len(of_words), len(docs), (cells["_p"][0].as_py() if len(cells) else 0)
-        columns = [np.full(n + m, p, np.int32), np.concatenate([place, docs]).astype(np.int32), pa.array(of_words["word"].to_pylist() + [None] * m, pa.string()),
-                   pa.array(of_words["n"].to_pylist() + [None] * m, pa.int64()), pa.array(of_words["home"].to_pylist() + [False] * m, pa.bool_()), np.concatenate([np.zeros(n), bound]),
-                   *[np.concatenate([sums[place, t], by_doc[:, t]]) for t in range(k)]]
-        return pa.table([pa.array(c) for c in columns], names=schema.names)
+        sent = [(at.as_py(), doc.as_py(), read(values, "f8").reshape(-1, k)) for at, doc, values in rows_of(state, "_at", "doc", "values")]
+        level, starts = levels_at({at: values for at, doc, values in sent if not doc}, k)
+        mixed = {at: values for at, doc, values in sent if doc}
+        maps, blocks = cells.filter(pc.is_null(cells["docs"])), cells.filter(pc.is_valid(cells["docs"]))
+        place, size = {}, {}
+        for c, words, docs in rows_of(blocks, "_c", "words", "docs"):
+            n_words, n_docs = size.get(c.as_py(), (0, 0))
+            size[c.as_py()] = max(n_words, read(words, "i4").max(initial=-1) + 1), max(n_docs, read(docs, "i4").max(initial=-1) + 1)
+        for c, at, words, own in rows_of(maps, "_c", "_at", "words", "own"):
+            c, at, words = c.as_py(), at.as_py(), read(words, "i4")
+            if at in starts:
+                place.setdefault(c, np.full(size[c][0], -1, np.int32))[words] = read(own, "i4") + starts[at]
+        even = np.full(k, alpha)
+        levels = {c: mixed.get(c) if c in mixed else np.broadcast_to(even, (n, k)) for c, (_, n) in size.items()}
+        levels = {c: np.exp(digamma_of(g) - digamma_of(g.sum(1))[:, None]) for c, g in levels.items()}
+        sums, shared, bound = np.zeros_like(level), {c: np.full((n, k), alpha) for c, (_, n) in size.items()}, 0.0
+        for c, docs, words, counts, own, tf in rows_of(blocks, "_c", "docs", "words", "counts", "own", "tf"):
+            c, docs, words = c.as_py(), read(docs, "i4"), read(words, "i4")
+            if c not in place or not len(words):
+                continue
+            counts, at = read_counts(counts, len(words)), place[c][words]
+            n = int(counts.sum(dtype=np.int64))
+            own, tf, known = read_counts(own, n), read_counts(tf, n).astype(float), at >= 0
+            if not known.all():
+                told = np.repeat(known, counts)
+                own, tf, at, counts = own[told], tf[told], at[known], counts[known]
+            word = np.repeat(np.arange(len(at)), counts)
+            by_word, by_doc = np.zeros((k, len(at))), np.zeros((k, len(docs)))
+            of_word, of_doc = np.ascontiguousarray(level[at].T), np.ascontiguousarray(levels[c][docs].T)
+            for first in range(0, len(word), _STEP):
+                d, w, times = own[first:first + _STEP].astype(np.intp), word[first:first + _STEP], tf[first:first + _STEP]
+                here = slice(w[0], w[-1] + 1)
+                w = w - w[0]
+                shares = [x.take(d) * y[here].take(w) for x, y in zip(of_doc, of_word)]
+                whole = np.sum(shares, axis=0)
+                times = times / whole
+                for t, x in enumerate(shares):
+                    x *= times
+                    by_word[t, here] += np.bincount(w, x)
+                    by_doc[t] += np.bincount(d, x, len(docs))
+                if bounds:
+                    bound += float((times * whole * np.log(whole)).sum())
+            if homes:
+                sums[at] += by_word.T
+            shared[c][docs] += by_doc.T
+        if not len(cells) or not starts:
+            return passed([])
+        ends = dict(zip(starts, [*list(starts.values())[1:], len(level)]))
+        group, to = cells["_p"][0].as_py(), [*starts]
+        rows = [(h, group, False, sums[start:ends[h]], None, 0.0) for h, start in starts.items()] if homes else []
+        rows += [(to[j % len(to)] if homes else group, c, True, g, None, _doc_bound(g, k, alpha) if bounds else 0.0) for j, (c, g) in enumerate(shared.items())]
+        return passed([*rows, (to[0], -1, True, None, None, bound)] if bounds else rows)
+
+    return work
+
+
+def _gather(group_of: dict[int, int], k: int, eta: float, bounds: bool):
+    """Work of a home: what its words' groups send added up, with the sums over its words; documents are sent back to their group."""
+    def work(links: pa.Table, sums: pa.Table) -> pa.Table:
+        place = {at.as_py(): read(places, "i4") for at, places in rows_of(links, "_at", "places")}
+        level = np.full((max((int(x.max(initial=-1)) for x in place.values()), default=-1) + 1, k), eta)
+        rows, found = [], {}
+        for at, doc, values, bound in rows_of(sums, "_at", "doc", "values", "bound"):
+            if doc.as_py():
+                rows.append((group_of.get(at.as_py(), -1), at.as_py(), True, read(values, "f8"), None, bound.as_py()))
+            else:
+                found[at.as_py()] = read(values, "f8").reshape(-1, k)
+        for at in sorted(found):
+            level[place[at]] += found[at]
+        if len(links):
+            own = float(((eta - level) * digamma_of(level) + log_gamma_of(level)).sum()) if bounds else 0.0
+            rows.append((links["_p"][0].as_py(), -1, False, level, level.sum(0).tolist(), own))
+        return passed(rows)
+
+    return work
+
+
+def _send(k: int, totals: Sequence[float]):
+    """Work of a home: each group's list of words with exp(E[log weight])."""
+    def work(links: pa.Table, state: pa.Table) -> pa.Table:
+        slope, rows = digamma_of(np.array(totals)), []
+        for home, _, values in rows_of(state, "_to", "_at", "values"):
+            level = np.exp(digamma_of(read(values, "f8").reshape(-1, k)) - slope)
+            rows += [(at.as_py(), home.as_py(), False, level[read(places, "i4")], None, 0.0) for at, places in rows_of(links, "_at", "places")]
+        return passed(rows)
 
     return work
 
 
-def _round(cells: DataFrame, words: DataFrame, docs: DataFrame | None, totals: Sequence[float], alpha: float) -> DataFrame:
-    """_p, _i, p0 … (sums of the counts' shares), of words and, with a null word, of documents. Without `docs`, all mixtures are even."""
+def _round(linked: Linked, words: DataFrame, docs: DataFrame | None, totals: Sequence[float], alpha: float, eta: float | None = None, bounds: bool = False) -> DataFrame:
+    """The documents' and, with `eta`, the words' vectors after a round. Without `docs`, all mixtures are even."""
     k = len(totals)
-    sent = words.select("_p", "_i", "word", "n", "home", *[F.exp(digamma(f"g{t}") - digamma_of(total)).alias(f"v{t}") for t, total in enumerate(totals)])
-    if docs is not None:
-        none = [F.lit(None).cast(kind).alias(c) for c, kind in (("word", "string"), ("n", "bigint"), ("home", "boolean"))]
-        sent = sent.unionByName(docs.select("_p", "_i", *none, *[F.exp(digamma(f"g{t}") - digamma("whole")).alias(f"v{t}") for t in range(k)]))
-    doubles = [StructField(c, DoubleType()) for c in ("_ll", *[f"p{t}" for t in range(k)])]
-    schema = StructType([StructField("_p", IntegerType()), StructField("_i", IntegerType()), StructField("word", StringType()), StructField("n", LongType()),
-                         StructField("home", BooleanType()), *doubles])
-    even = exp(digamma_of(alpha) - digamma_of(alpha * k))
-    return write_table(per_group(cells, sent, _share(k, even, schema), schema), "topic-sums")
+    sent = per_group(linked.links, words, _send(k, totals), PASSED)
+    sums = per_group(linked.cells, sent if docs is None else sent.unionByName(docs), _share(k, alpha, bounds, eta is not None), PASSED)
+    with shuffles_freed(words.sparkSession):
+        return write_table(sums if eta is None else per_group(linked.links, sums, _gather(linked.group_of, k, eta, bounds), PASSED), "topic-sums")
 
 
 def fit_topics(
@@ -134,53 +191,82 @@ def fit_topics(
     an even mixture; documents without an id are left out.
     """
     alpha, eta = alpha or 1 / k, eta or 1 / k
-    coded = code_words(df, row_id, tokens)
-    of_word = Window.partitionBy("word")
-    words = coded.words.withColumns({"n": F.sum("n").over(of_word), "home": F.row_number().over(of_word.orderBy("_p")) == 1}).where(F.col("n") >= min_df)
-    words = write_table(words.select("_p", "_i", "word", "n", "home", *[_start(F.col("word"), t, seed).alias(f"g{t}") for t in range(k)]), "topic-words")
-    size, totals = words.where("home").count(), _totals(words.where("home"), k)
-    cells = kept(coded, "_i", "_w", "_tf")
-    docs, history = None, []
+    with shuffles_freed(df.sparkSession):
+        coded = code_words(df, row_id, tokens)
+        linked = link_words(coded, coded.words, k, seed, min_df)
+    size, words, docs, state, history, bound = linked.words.count(), linked.level, None, None, [], (0.0, 0.0)
+    totals = _totals(words, k)
     for _ in range(rounds):
-        both = _round(cells, words, docs, totals, alpha)
-        by_doc, by_word = both.where("word IS NULL"), both.where("word IS NOT NULL")
-        if bounds and docs is not None:
-            history.append((by_doc.agg(F.sum("_ll")).first()[0] or 0.0) + _doc_bound(docs, k, alpha) + _word_bound(words.where("home"), k, eta, size, totals))
-        docs = _weighted(by_doc, ["_p", "_i"], k, alpha)
-        words = by_word.select("_p", "_i", "word", "n", "home", *[(eta + F.sum(f"p{t}").over(of_word)).alias(f"g{t}") for t in range(k)])
-        totals = tuple((eta * size + (x or 0.0)) or 1.0 for x in by_word.agg(*[F.sum(f"p{t}") for t in range(k)]).first())
-    found = write_table(words.where("home").select("word", "n", *[f"g{t}" for t in range(k)]), "topic-words")
-    mixed = write_table(_of_ids(coded, docs, row_id, k, alpha), "topic-docs")
-    cells.unpersist()
+        last, state = state, _round(linked, words, docs, totals, alpha, eta, bounds)
+        words, docs = state.where(~F.col("doc")), state.where(F.col("doc") & (F.col("_at") >= 0))
+        if bounds:
+            told = _sum_bound(state.where(F.col("doc") & (F.col("_at") < 0)))
+            if last is not None:
+                history.append(told + bound[0] + _word_bound(bound[1], k, eta, size, totals))
+            bound = _sum_bound(docs), _sum_bound(words)
+        totals = _totals(words, k)
+        if last is not None:
+            drop_table(last)
+    with shuffles_freed(df.sparkSession):
+        found = write_table(per_group(linked.words, words, *_unpack_words(k)), "topic-words")
+        mixed = write_table(_of_ids(coded, docs, row_id, k, alpha), "topic-docs")
+    for table in (coded.rows, *([] if state is None else [state])):
+        drop_table(table)
+    linked.free()
     return Topics(found, mixed, row_id, k, alpha, eta, totals, history)
 
 
+def _unpack_words(k: int):
+    """Work of a home, and its columns: word, n, g0 …."""
+    schema = StructType([StructField("word", StringType()), StructField("n", LongType()), *[StructField(f"g{t}", DoubleType()) for t in range(k)]])
+
+    def work(words: pa.Table, state: pa.Table) -> pa.Table:
+        level = np.concatenate([np.empty((0, k)), *[read(values, "f8").reshape(-1, k) for values, in rows_of(state, "values")]])[words["_i"].to_numpy()]
+        return pa.table([words["word"], words["n"], *[pa.array(level[:, t]) for t in range(k)]], names=schema.names)
+
+    return work, schema
+
+
+def _unpack_docs(k: int):
+    """_p, _i, g0 … of documents' vectors."""
+    schema = StructType([StructField("_p", IntegerType()), StructField("_i", IntegerType()), *[StructField(f"g{t}", DoubleType()) for t in range(k)]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c, values in rows_of(pa.Table.from_batches([batch]), "_at", "values"):
+                g = read(values, "f8").reshape(-1, k)
+                columns = [np.full(len(g), c.as_py(), np.int32), np.arange(len(g), dtype=np.int32), *g.T]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(v)) for v in columns], names=schema.names)
+
+    return run, schema
+
+
 def _of_ids(coded: Coded, docs: DataFrame | None, row_id: str, k: int, alpha: float) -> DataFrame:
     """row id, g0 … of every coded document; those without a counted word have an even mixture."""
     if docs is None:
         return coded.rows.select(row_id, *[F.lit(alpha).alias(f"g{t}") for t in range(k)])
-    return coded.rows.select(row_id, "_p", "_i").join(docs, ["_p", "_i"], "left").select(row_id, *[F.coalesce(F.col(f"g{t}"), F.lit(alpha)).alias(f"g{t}") for t in range(k)])
+    found = docs.select("_at", "values").mapInArrow(*_unpack_docs(k))
+    return coded.rows.select(row_id, "_p", "_i").join(found, ["_p", "_i"], "left").select(row_id, *[F.coalesce(F.col(f"g{t}"), F.lit(alpha)).alias(f"g{t}") for t in range(k)])
 
 
-def _weighted(sums: DataFrame, keep: list[str], k: int, base: float) -> DataFrame:
-    """g0 … from p0 …, and their sum, `whole`."""
-    g = sums.select(*keep, *[(base + F.col(f"p{t}")).alias(f"g{t}") for t in range(k)])
-    return g.withColumn("whole", _add([F.col(f"g{t}") for t in range(k)]))
+def _totals(words: DataFrame, k: int) -> tuple[float, ...]:
+    return tuple(x or 1.0 for x in words.agg(*[F.sum(F.col("totals")[t]) for t in range(k)]).first())
 
 
-def _totals(words: DataFrame, k: int) -> tuple[float, ...]:
-    return tuple(x or 1.0 for x in words.agg(*[F.sum(f"g{t}") for t in range(k)]).first())
+def _sum_bound(rows: DataFrame) -> float:
+    return rows.agg(F.sum("bound")).first()[0] or 0.0
 
 
-def _doc_bound(docs: DataFrame, k: int, alpha: float) -> float:
-    each = _add([(alpha - F.col(c)) * (digamma(c) - digamma("whole")) + log_gamma(c) for c in (f"g{t}" for t in range(k))]) - log_gamma("whole")
-    return docs.agg(F.sum(each + (lgamma(k * alpha) - k * lgamma(alpha)))).first()[0] or 0.0
+def _doc_bound(g: np.ndarray, k: int, alpha: float) -> float:
+    whole = g.sum(1)
+    each = ((alpha - g) * (digamma_of(g) - digamma_of(whole)[:, None]) + log_gamma_of(g)).sum(1) - log_gamma_of(whole)
+    return float((each + (lgamma(k * alpha) - k * lgamma(alpha))).sum())
 
 
-def _word_bound(words: DataFrame, k: int, eta: float, size: int, totals: Sequence[float]) -> float:
-    each = [F.sum((eta - F.col(f"g{t}")) * (digamma(f"g{t}") - digamma_of(total)) + log_gamma(f"g{t}")) for t, total in enumerate(totals)]
-    found = sum(x or 0.0 for x in words.agg(*each).first())
-    return found + k * (lgamma(size * eta) - size * lgamma(eta)) - sum(lgamma(total) for total in totals)
+def _word_bound(own: float, k: int, eta: float, size: int, totals: Sequence[float]) -> float:
+    """The words' part of the bound, from what the homes tell of it and the totals."""
+    slopes = sum((eta * size - total) * float(digamma_of(total)) for total in totals)
+    return own - slopes + k * (lgamma(size * eta) - size * lgamma(eta)) - sum(lgamma(total) for total in totals)
 
 
 def topic_words(topics: Topics, n_words: int = 10) -> DataFrame:
@@ -203,12 +289,16 @@ def _mixtures(docs: DataFrame, row_id: str, k: int) -> DataFrame:
 
 def infer_mixtures(topics: Topics, df: DataFrame, row_id: str, tokens: str | Column, rounds: int = 10) -> DataFrame:
     """(row id, topic, weight) of other documents, the topics held fixed; words the fit hasn't seen count for nothing."""
-    coded, k, docs = code_words(df, row_id, tokens), topics.k, None
-    words = write_table(coded.words.select("_p", "_i", "word").join(topics.words, "word").withColumn("home", F.lit(False)), "topic-words")
-    cells = kept(coded, "_i", "_w", "_tf")
+    k, docs = topics.k, None
+    with shuffles_freed(df.sparkSession):
+        coded = code_words(df, row_id, tokens)
+        linked = link_words(coded, coded.words.join(topics.words.drop("n"), "word"), k)
     for _ in range(rounds):
-        both = _round(cells, words, docs, topics.totals, topics.alpha)
-        docs = _weighted(both.where("word IS NULL"), ["_p", "_i"], k, topics.alpha)
-    out = _mixtures(write_table(_of_ids(coded, docs, row_id, k, topics.alpha), "topic-docs"), row_id, k)
-    cells.unpersist()
-    return out
+        last, docs = docs, _round(linked, linked.level, docs, topics.totals, topics.alpha)
+        if last is not None:
+            drop_table(last)
+    out = write_table(_of_ids(coded, docs, row_id, k, topics.alpha), "topic-docs")
+    for table in (coded.rows, *([] if docs is None else [docs])):
+        drop_table(table)
+    linked.free()
+    return _mixtures(out, row_id, k)
