@@ -63,6 +63,20 @@ def read(cell: pa.Scalar, kind: str) -> np.ndarray:
     return np.frombuffer(cell.as_buffer(), kind)
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Numbers by place of their bytes, which makes signs, exponents and all that is near one value small, and how many they are; nothing is lost."""
+    planes = np.ascontiguousarray(values, "f8").reshape(-1).view("u1").reshape(-1, 8).T.tobytes()
+    return np.int64(values.size).tobytes() + (pa.compress(planes, codec="zstd", asbytes=True) if values.size else b"")
+
+
+def unpacked(cell: pa.Scalar, k: int) -> np.ndarray:
+    """The vectors of `k` numbers that `packed` wrote."""
+    data = cell.as_buffer()
+    n = int(np.frombuffer(data[:8], "i8")[0])
+    planes = np.frombuffer(pa.decompress(data[8:], decompressed_size=8 * n, codec="zstd"), "u1") if n else np.empty(0, "u1")
+    return np.ascontiguousarray(planes.reshape(8, n).T).view("f8").reshape(-1, k)
+
+
 def read_counts(cell: pa.Scalar, n: int) -> np.ndarray:
     """Numbers as `_small` wrote them."""
     return read(cell, f"u{len(cell.as_buffer()) // max(n, 1) or 1}")
@@ -113,7 +127,7 @@ def _settle(group_of: dict[int, int], k: int, seed: int, min_df: int, given: boo
             level = np.column_stack([table[f"g{t}"].to_numpy()[first] for t in range(k)])[used]
         else:
             level = first_weights(words.to_pylist(), k, seed)
-        rows = [("level", home, -1, None, None, level.tobytes(), level.sum(0).tolist())]
+        rows = [("level", home, -1, None, None, packed(level), level.sum(0).tolist())]
         c, i, at = table["_p"].to_numpy(), table["_i"].to_numpy().astype(np.int32), index[code]
         c, i, at = c[at >= 0], i[at >= 0], at[at >= 0]
         coded = np.array(sorted(group_of))
@@ -159,11 +173,11 @@ def link_words(coded: Coded, words: DataFrame, k: int, seed: int = 0, min_df: in
 
 
 def passed(rows: list[tuple]) -> pa.Table:
-    """Rows of `PASSED`, whose values are arrays of numbers, copied once."""
+    """Rows of `PASSED`; their values are bytes, copied once."""
     if not rows:
         return pa.table([pa.array([], t) for t in _PASSED_TYPES], names=PASSED.names)
     columns = [*zip(*rows)]
-    parts = [np.empty(0, "u1") if v is None else np.ascontiguousarray(v).view("u1").ravel() for v in columns[3]]
+    parts = [np.empty(0, "u1") if v is None else np.frombuffer(v, "u1") for v in columns[3]]
     ends = np.cumsum([0, *[len(x) for x in parts]])
     columns[3] = pa.Array.from_buffers(pa.binary(), len(parts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.concatenate(parts))])
     return pa.table([v if t == pa.binary() else pa.array(v, t) for v, t in zip(columns, _PASSED_TYPES)], names=PASSED.names)

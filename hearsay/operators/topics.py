@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from hearsay.operators.coded import Coded, code_words, per_group
-from hearsay.operators.linked import PASSED, Linked, levels_at, link_words, passed, read, read_counts, rows_of
+from hearsay.operators.linked import PASSED, Linked, levels_at, link_words, packed, passed, read, read_counts, rows_of, unpacked
 from hearsay.session import drop_table, shuffles_freed, write_table
 
 
@@ -81,7 +81,7 @@ _STEP = 1 << 15
 def _share(k: int, alpha: float, bounds: bool, homes: bool):
     """Work of a group: its counts shared out over the topics and added up by document and, for the words' `homes`, by word."""
     def work(cells: pa.Table, state: pa.Table) -> pa.Table:
-        sent = [(at.as_py(), doc.as_py(), read(values, "f8").reshape(-1, k)) for at, doc, values in rows_of(state, "_at", "doc", "values")]
+        sent = [(at.as_py(), doc.as_py(), unpacked(values, k)) for at, doc, values in rows_of(state, "_at", "doc", "values")]
         level, starts = levels_at({at: values for at, doc, values in sent if not doc}, k)
         mixed = {at: values for at, doc, values in sent if doc}
         maps, blocks = cells.filter(pc.is_null(cells["docs"])), cells.filter(pc.is_valid(cells["docs"]))
@@ -130,8 +130,8 @@ def _share(k: int, alpha: float, bounds: bool, homes: bool):
             return passed([])
         ends = dict(zip(starts, [*list(starts.values())[1:], len(level)]))
         group, to = cells["_p"][0].as_py(), [*starts]
-        rows = [(h, group, False, sums[start:ends[h]], None, 0.0) for h, start in starts.items()] if homes else []
-        rows += [(to[j % len(to)] if homes else group, c, True, g, None, _doc_bound(g, k, alpha) if bounds else 0.0) for j, (c, g) in enumerate(shared.items())]
+        rows = [(h, group, False, packed(sums[start:ends[h]]), None, 0.0) for h, start in starts.items()] if homes else []
+        rows += [(to[j % len(to)] if homes else group, c, True, packed(g), None, _doc_bound(g, k, alpha) if bounds else 0.0) for j, (c, g) in enumerate(shared.items())]
         return passed([*rows, (to[0], -1, True, None, None, bound)] if bounds else rows)
 
     return work
@@ -145,14 +145,14 @@ def _gather(group_of: dict[int, int], k: int, eta: float, bounds: bool):
         rows, found = [], {}
         for at, doc, values, bound in rows_of(sums, "_at", "doc", "values", "bound"):
             if doc.as_py():
-                rows.append((group_of.get(at.as_py(), -1), at.as_py(), True, read(values, "f8"), None, bound.as_py()))
+                rows.append((group_of.get(at.as_py(), -1), at.as_py(), True, values.as_buffer(), None, bound.as_py()))
             else:
-                found[at.as_py()] = read(values, "f8").reshape(-1, k)
+                found[at.as_py()] = unpacked(values, k)
         for at in sorted(found):
             level[place[at]] += found[at]
         if len(links):
             own = float(((eta - level) * digamma_of(level) + log_gamma_of(level)).sum()) if bounds else 0.0
-            rows.append((links["_p"][0].as_py(), -1, False, level, level.sum(0).tolist(), own))
+            rows.append((links["_p"][0].as_py(), -1, False, packed(level), level.sum(0).tolist(), own))
         return passed(rows)
 
     return work
@@ -163,8 +163,8 @@ def _send(k: int, totals: Sequence[float]):
     def work(links: pa.Table, state: pa.Table) -> pa.Table:
         slope, rows = digamma_of(np.array(totals)), []
         for home, _, values in rows_of(state, "_to", "_at", "values"):
-            level = np.exp(digamma_of(read(values, "f8").reshape(-1, k)) - slope)
-            rows += [(at.as_py(), home.as_py(), False, level[read(places, "i4")], None, 0.0) for at, places in rows_of(links, "_at", "places")]
+            level = np.exp(digamma_of(unpacked(values, k)) - slope)
+            rows += [(at.as_py(), home.as_py(), False, packed(level[read(places, "i4")]), None, 0.0) for at, places in rows_of(links, "_at", "places")]
         return passed(rows)
 
     return work
@@ -221,7 +221,7 @@ def _unpack_words(k: int):
     schema = StructType([StructField("word", StringType()), StructField("n", LongType()), *[StructField(f"g{t}", DoubleType()) for t in range(k)]])
 
     def work(words: pa.Table, state: pa.Table) -> pa.Table:
-        level = np.concatenate([np.empty((0, k)), *[read(values, "f8").reshape(-1, k) for values, in rows_of(state, "values")]])[words["_i"].to_numpy()]
+        level = np.concatenate([np.empty((0, k)), *[unpacked(values, k) for values, in rows_of(state, "values")]])[words["_i"].to_numpy()]
         return pa.table([words["word"], words["n"], *[pa.array(level[:, t]) for t in range(k)]], names=schema.names)
 
     return work, schema
@@ -234,7 +234,7 @@ def _unpack_docs(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c, values in rows_of(pa.Table.from_batches([batch]), "_at", "values"):
-                g = read(values, "f8").reshape(-1, k)
+                g = unpacked(values, k)
                 columns = [np.full(len(g), c.as_py(), np.int32), np.arange(len(g), dtype=np.int32), *g.T]
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(v)) for v in columns], names=schema.names)
 

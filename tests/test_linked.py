@@ -4,6 +4,7 @@ import os
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,11 +57,20 @@ def test_a_round_sends_bytes_not_words(spark, many_groups):
     assert state.where(~F.col("doc")).count() <= groups and groups < state.where("doc").count() <= coded.groups
     sizes = defaultdict(int)
     for r in state.collect():
-        sizes[r.doc] += len(r["values"])
-    assert sizes == {False: linked.words.count() * 24, True: 40 * 24}
+        sizes[r.doc] += len(L.unpacked(pa.scalar(bytes(r["values"])), 3))
+    assert sizes == {False: linked.words.count(), True: 40}
     linked.free()
 
 
+def test_packed_vectors_lose_nothing():
+    values = np.random.default_rng(1).gamma(0.1, size=(999, 4)) * 10.0 ** np.arange(-300, 100, 100)
+    values[0] = [0.0, -0.0, np.inf, 5e-324]
+    near = 0.1 + 1e-6 * np.random.default_rng(2).random((5000, 4))
+    for v in (values, near, np.empty((0, 4))):
+        assert L.unpacked(pa.scalar(L.packed(v)), 4).tobytes() == v.tobytes() and L.unpacked(pa.scalar(L.packed(v)), 4).shape == v.shape
+    assert len(L.packed(near)) < 0.8 * near.nbytes
+
+
 def test_numbers_of_groups_fall_in_different_partitions(spark):
     for n in (1, 2, 7, 40):
         keys = K.spread_keys(spark, n)
